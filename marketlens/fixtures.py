@@ -121,9 +121,82 @@ SELECT event_id AS id, event_type AS normalized_query, value AS duration, CASE W
 """
 
 
+PROJECTIONS["fx_quotes"] = """
+SELECT o.selection_id, o.bookmaker_id, o.price, o.updated_at, s.market_id, s.event_id, s.market_type, s.side, s.position
+FROM fx_odds o JOIN fx_selections s ON s.selection_id = o.selection_id
+"""
+PROJECTIONS["fx_named_books"] = """
+SELECT CAST(s_suppkey AS BIGINT) AS bookmaker_id, concat('Book ', CAST(s_suppkey % 40 AS VARCHAR(9))) AS name,
+       lower(s_name) AS slug, CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE concat('pk-', CAST(s_suppkey % 50 AS VARCHAR(9))) END AS provider_key
+FROM supplier
+"""
+
+# Reference answers used only by the SQL oracles.
+PROJECTIONS["ref_devig"] = """
+WITH RECURSIVE quotes AS (
+  SELECT s.market_id, o.bookmaker_id, o.selection_id, 1.0 / o.price AS q
+  FROM fx_odds o JOIN fx_selections s ON s.selection_id = o.selection_id WHERE o.price > 1),
+sets AS (
+  SELECT market_id, bookmaker_id, list(q) AS qs, sum(q) AS total FROM quotes GROUP BY 1, 2 HAVING count(*) >= 2),
+steps AS (
+  SELECT market_id, bookmaker_id, qs, total, 0 AS i, CAST(1 AS DOUBLE) AS klo, CAST(10 AS DOUBLE) AS khi,
+         CAST(0 AS DOUBLE) AS zlo, CAST(0.9 AS DOUBLE) AS zhi FROM sets
+  UNION ALL
+  SELECT market_id, bookmaker_id, qs, total, i + 1,
+         CASE WHEN ksum > 1 THEN (klo + khi) / 2 ELSE klo END, CASE WHEN ksum > 1 THEN khi ELSE (klo + khi) / 2 END,
+         CASE WHEN zsum > 1 THEN (zlo + zhi) / 2 ELSE zlo END, CASE WHEN zsum > 1 THEN zhi ELSE (zlo + zhi) / 2 END
+  FROM (SELECT *, list_sum([pow(x, (klo + khi) / 2) FOR x IN qs]) AS ksum,
+          list_sum([(sqrt(((zlo + zhi) / 2) * ((zlo + zhi) / 2) + 4 * (1 - (zlo + zhi) / 2) * x * x / total)
+                     - (zlo + zhi) / 2) / (2 * (1 - (zlo + zhi) / 2)) FOR x IN qs]) AS zsum
+        FROM steps WHERE i < 50) s),
+solved AS (SELECT market_id, bookmaker_id, total, (klo + khi) / 2 AS k, (zlo + zhi) / 2 AS z FROM steps WHERE i = 50),
+raw AS (
+  SELECT v.*, q.selection_id, q.q, q.q / v.total AS mult, pow(q.q, v.k) AS p_raw,
+         (sqrt(v.z * v.z + 4 * (1 - v.z) * q.q * q.q / v.total) - v.z) / (2 * (1 - v.z)) AS s_raw
+  FROM solved v JOIN quotes q ON q.market_id = v.market_id AND q.bookmaker_id = v.bookmaker_id),
+normed AS (
+  SELECT market_id, bookmaker_id, selection_id, total AS overround, mult,
+         CASE WHEN total <= 1 THEN mult ELSE p_raw / sum(p_raw) OVER w END AS power,
+         CASE WHEN total <= 1 THEN mult ELSE s_raw / sum(s_raw) OVER w END AS shin
+  FROM raw WINDOW w AS (PARTITION BY market_id, bookmaker_id))
+SELECT *, max(greatest(mult, power, shin) - least(mult, power, shin)) OVER (PARTITION BY market_id, bookmaker_id) AS method_spread
+FROM normed
+"""
+PROJECTIONS["ref_fair"] = """
+WITH per_book AS (
+  SELECT DISTINCT d.market_id, d.bookmaker_id, d.overround, b.sharp, greatest(0, b.consensus_weight) AS w
+  FROM ref_devig d JOIN fx_books b ON b.bookmaker_id = d.bookmaker_id),
+per_market AS (
+  SELECT market_id, count(*) AS book_count, count(*) FILTER (WHERE sharp) AS sharp_book_count,
+         avg(overround) AS avg_overround, sum(w) AS w_all, coalesce(sum(w) FILTER (WHERE sharp), 0) AS w_sharp
+  FROM per_book GROUP BY 1),
+acc AS (
+  SELECT d.selection_id, d.market_id, sum(d.shin * p.w) AS shin, sum(d.mult * p.w) AS mult, sum(d.power * p.w) AS power,
+         coalesce(sum(d.shin * p.w) FILTER (WHERE p.sharp), 0) AS sharp, max(d.method_spread) AS method_spread
+  FROM ref_devig d JOIN per_book p ON p.market_id = d.market_id AND p.bookmaker_id = d.bookmaker_id GROUP BY 1, 2),
+best AS (
+  SELECT selection_id, price AS best_price, bookmaker_id AS best_bookmaker_id FROM (
+    SELECT d.selection_id, d.bookmaker_id, o.price,
+           row_number() OVER (PARTITION BY d.selection_id ORDER BY o.price DESC, d.bookmaker_id) AS rn
+    FROM ref_devig d JOIN fx_odds o ON o.selection_id = d.selection_id AND o.bookmaker_id = d.bookmaker_id) t
+  WHERE rn = 1),
+blend AS (
+  SELECT a.*, m.book_count, m.sharp_book_count, m.avg_overround, m.w_all, m.w_sharp,
+         a.shin / m.w_all / sum(a.shin / m.w_all) OVER (PARTITION BY a.market_id) AS consensus
+  FROM acc a JOIN per_market m ON m.market_id = a.market_id)
+SELECT b.selection_id, b.market_id, least(0.999999, b.consensus) AS prob_consensus,
+       CASE WHEN w_sharp > 0 THEN least(0.999999, sharp / w_sharp) ELSE 0 END AS prob_sharp,
+       least(0.999999, mult / w_all) AS prob_multiplicative, least(0.999999, power / w_all) AS prob_power,
+       least(0.999999, shin / w_all) AS prob_shin, method_spread, 1 / least(0.999999, consensus) AS fair_price,
+       t.best_price, t.best_bookmaker_id, (t.best_price * least(0.999999, consensus) - 1) * 100 AS edge_pct,
+       greatest(0, least(1, ((t.best_price - 1) * least(0.999999, consensus) - (1 - least(0.999999, consensus))) / (t.best_price - 1) * 0.25)) AS kelly_fraction,
+       (avg_overround - 1) * 100 AS overround_pct, book_count, sharp_book_count
+FROM blend b JOIN best t ON t.selection_id = b.selection_id
+"""
+
 
 def _uses(sql: str) -> list[str]:
-    return [name for name in dict.fromkeys(re.findall(r"\bfx_\w+", sql)) if name in PROJECTIONS]
+    return [name for name in dict.fromkeys(re.findall(r"\b(?:fx|ref)_\w+", sql)) if name in PROJECTIONS]
 
 
 def _ordered(sql: str, seen: dict[str, None]) -> dict[str, None]:
@@ -152,6 +225,8 @@ class Tables:
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+        # Read parquet timestamps as instants so that filters on them reach the scan without a cast.
+        spark.conf.set("spark.sql.parquet.inferTimestampNTZ.enabled", "false")
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
