@@ -131,6 +131,98 @@ SELECT CAST(s_suppkey AS BIGINT) AS bookmaker_id, concat('Book ', CAST(s_suppkey
 FROM supplier
 """
 
+PROJECTIONS["fx_venue_markets"] = """
+SELECT p_partkey AS market_id, CASE p_partkey % 5 WHEN 0 THEN 'a' WHEN 1 THEN 'c' ELSE 'b' END AS venue,
+       concat(p_name, ' ', CAST(p_size AS VARCHAR(9))) AS question,
+       CASE WHEN p_partkey % 7 = 0 THEN 'settled' ELSE 'open' END AS status, lower(p_type) AS category,
+       CAST(1 + (p_partkey * 13) % 98 AS DOUBLE) / 100 AS last_price, p_retailprice AS volume
+FROM part
+"""
+PROJECTIONS["fx_decisions"] = """
+SELECT o_orderkey AS decision_id, o_custkey % 10 AS strategy_id, o_orderkey % 25 AS market_id,
+       CASE WHEN o_orderkey % 2 = 0 THEN 'yes' ELSE 'no' END AS side,
+       CAST(5 + o_custkey % 90 AS DOUBLE) / 100 AS market_price, CAST(6 + o_custkey % 90 AS DOUBLE) / 100 AS limit_price,
+       CAST(o_orderkey % 1000 AS DOUBLE) / 1000 AS confidence, CAST((o_orderkey * 7) % 300 - 100 AS DOUBLE) / 1000 AS edge,
+       CAST(1 + o_custkey % 40 AS DOUBLE) AS size,
+       CASE o_orderstatus WHEN 'F' THEN 'executed' WHEN 'O' THEN 'approved' ELSE 'skipped' END AS status, o_orderdate AS created_at
+FROM orders
+"""
+PROJECTIONS["fx_evidence"] = """
+SELECT l_orderkey AS decision_id, CASE l_linenumber WHEN 1 THEN 'flow_imbalance' WHEN 2 THEN 'smart_money' WHEN 3 THEN 'trader_accuracy'
+         WHEN 4 THEN 'price_trend' WHEN 5 THEN 'liquidity' WHEN 6 THEN 'cross_venue' ELSE 'steam' END AS kind,
+       CASE WHEN l_linenumber = 5 THEN 0 ELSE CAST(CAST(l_quantity AS BIGINT) - 25 AS DOUBLE) / 1000 END AS contribution,
+       l_quantity AS value, l_shipdate AS created_at
+FROM lineitem
+"""
+
+PROJECTIONS["fx_graded_sides"] = """
+SELECT s.selection_id, s.market_id, s.event_id, s.market_type,
+       CASE WHEN s.market_type <> 'totals' THEN s.side WHEN s.position = 0 THEN 'over' WHEN s.position = 1 THEN 'under' ELSE 'draw' END AS side,
+       CASE WHEN s.market_type = 'h2h' OR p.p_size % 9 = 0 THEN NULL WHEN s.market_type = 'spreads' THEN CAST(p.p_size % 7 - 3 AS DOUBLE)
+            ELSE CAST(p.p_size % 12 AS DOUBLE) / 2 + 2 END AS point
+FROM fx_selections s JOIN part p ON p.p_partkey = s.selection_id
+"""
+PROJECTIONS["fx_results"] = """
+SELECT event_id, home_score, away_score, CASE WHEN home_score > away_score THEN 'home' WHEN home_score < away_score THEN 'away' ELSE 'draw' END AS winner_side,
+       status = 'final' AS completed
+FROM fx_events WHERE status <> 'live'
+"""
+PROJECTIONS["fx_open_snapshots"] = """
+SELECT l_partkey AS selection_id, l_shipdate AS captured_at, max(CAST(105 + 8 * CAST(l_quantity AS BIGINT) AS DOUBLE) / 100) AS best_price
+FROM lineitem GROUP BY 1, 2
+"""
+PROJECTIONS["fx_insights"] = """
+SELECT o_orderkey AS insight_id, o_custkey AS selection_id, CASE o_orderkey % 3 WHEN 0 THEN 'back' WHEN 1 THEN 'lay' ELSE 'pass' END AS stance,
+       CAST(o_orderkey % 100 AS DOUBLE) / 100 AS stated_prob FROM orders
+"""
+PROJECTIONS["fx_open_positions"] = """
+SELECT o_orderkey AS position_id, o_custkey % 10 AS strategy_id, o_orderkey % 25 AS market_id,
+       CASE o_orderkey % 3 WHEN 0 THEN 'Yes' WHEN 1 THEN 'no' ELSE 'NO' END AS side, CAST(1 + o_custkey % 500 AS DOUBLE) AS size,
+       CAST(1 + o_custkey % 500 AS DOUBLE) * CAST(5 + o_orderkey % 90 AS DOUBLE) / 100 AS cost_basis,
+       CASE WHEN o_orderstatus = 'O' THEN 'open' ELSE 'settled' END AS status
+FROM orders
+"""
+PROJECTIONS["fx_strategies"] = """
+SELECT s_suppkey AS strategy_id, CAST(s_nationkey AS BIGINT) AS user_id, CASE s_suppkey % 3 WHEN 0 THEN 'both' WHEN 1 THEN 'a' ELSE 'b' END AS venue,
+       2000000 + s_acctbal * 10 AS bankroll, CAST(50 + s_suppkey % 200 AS DOUBLE) AS max_stake, CAST(s_suppkey % 3 AS DOUBLE) / 200 AS min_edge,
+       CAST(s_suppkey % 6 AS DOUBLE) / 10 AS min_confidence, CAST(900 + s_suppkey % 300 AS BIGINT) AS max_open_positions,
+       CAST(CASE WHEN s_suppkey % 2 = 0 THEN 1000000 ELSE 0 END AS DOUBLE) AS daily_loss_limit,
+       CASE WHEN s_suppkey % 11 = 0 THEN 'halted' WHEN s_suppkey % 13 = 0 THEN 'paused' ELSE 'active' END AS status
+FROM supplier
+"""
+PROJECTIONS["fx_exchange_orders"] = """
+SELECT decision_id AS order_id, decision_id, strategy_id, market_id, side, limit_price, size,
+       CASE WHEN decision_id % 3 = 0 THEN NULL ELSE floor(size / 2) END AS accrued_size,
+       CASE decision_id % 5 WHEN 0 THEN 'pending' WHEN 1 THEN 'open' WHEN 2 THEN 'partial' WHEN 3 THEN 'filled' ELSE 'cancelled' END AS status,
+       CASE WHEN decision_id % 5 IN (2, 3) THEN floor(size / 2) ELSE 0 END AS filled_size, created_at AS placed_at
+FROM fx_decisions
+"""
+PROJECTIONS["fx_order_reports"] = """
+SELECT order_id, report_seq, strategy_id, market_id, side, filled_size, avg_fill_price, reported_at,
+       CASE order_id % 4 WHEN 0 THEN 'open' WHEN 1 THEN 'partial' WHEN 2 THEN 'filled' ELSE 'cancelled' END AS status FROM fx_fills
+"""
+PROJECTIONS["fx_standings"] = """
+SELECT o_orderkey AS id, o_custkey % 25 AS team_id, o_orderdate AS captured_at, CAST(o_custkey % 100 AS DOUBLE) / 100 AS win_percent,
+       CAST(o_orderkey % 301 - 150 AS DOUBLE) AS point_differential, o_custkey % 40 AS games_played FROM orders WHERE o_custkey % 25 < 22
+"""
+PROJECTIONS["fx_valuations"] = """
+SELECT o_orderkey AS id, o_custkey % 25 AS team_id, o_orderdate AS captured_at, o_totalprice * 1000 AS squad_value_eur,
+       o_orderkey % 4 AS league_tier FROM orders WHERE o_custkey % 25 <> 3
+"""
+PROJECTIONS["fx_injuries"] = """
+SELECT o_orderkey AS id, o_custkey % 25 AS team_id, o_orderdate AS captured_at, CAST(o_orderkey % 5 AS DOUBLE) / 4 AS severity FROM orders
+"""
+PROJECTIONS["fx_teams"] = """
+SELECT c_nationkey AS team_id, CAST(min(c_nationkey) % 3 AS BIGINT) AS tier FROM (SELECT CAST(c_nationkey AS BIGINT) AS c_nationkey FROM customer) c GROUP BY 1
+"""
+PROJECTIONS["fx_market_fixtures"] = """
+SELECT event_id % 25 AS market_id, max(event_id) AS event_id, CASE WHEN event_id % 25 % 4 = 3 THEN 'tie' WHEN event_id % 25 % 2 = 0 THEN 'home' ELSE 'away' END AS outcome
+FROM fx_events WHERE event_id < (SELECT max(p_partkey) FROM part) / 9 GROUP BY event_id % 25
+"""
+PROJECTIONS["fx_halts"] = """
+SELECT event_id AS id, event_type = 'error' AS active, event_type AS reason, CAST(user_id AS VARCHAR(20)) AS actor, ts AS created_at FROM events
+"""
+
 # Reference answers used only by the SQL oracles.
 PROJECTIONS["ref_devig"] = """
 WITH RECURSIVE quotes AS (
@@ -194,6 +286,73 @@ SELECT b.selection_id, b.market_id, least(0.999999, b.consensus) AS prob_consens
 FROM blend b JOIN best t ON t.selection_id = b.selection_id
 """
 
+PROJECTIONS["ref_scored"] = """
+SELECT t.*, CASE WHEN m.status = 'settled' AND m.result <> '' THEN CASE WHEN t.side = m.result THEN 1 ELSE 0 END END AS is_winner
+FROM fx_trades t LEFT JOIN fx_prediction_markets m ON m.market_id = t.market_id
+"""
+PROJECTIONS["ref_traders"] = """
+SELECT *, CASE WHEN resolved_trade_count > 0 THEN winning_trade_count / resolved_trade_count ELSE 0 END AS win_rate,
+       greatest(0, least(100, floor(((winning_trade_count + 3) / (resolved_trade_count + 6) - 0.5) * 2000 + 0.5) / 10)) AS smart_score,
+       max_trade_size >= 10000 OR total_notional >= 100000 AS is_whale
+FROM (SELECT trader_id, count(*) AS trade_count, sum(notional) AS total_notional, avg(notional) AS avg_trade_size,
+        max(notional) AS max_trade_size, count(is_winner) AS resolved_trade_count, count(*) FILTER (WHERE is_winner = 1) AS winning_trade_count
+      FROM ref_scored WHERE trader_id IS NOT NULL GROUP BY 1) t
+"""
+PROJECTIONS["ref_flow"] = """
+WITH u AS (SELECT * FROM fx_prediction_markets WHERE status = 'open' AND last_price > 0.02 AND last_price < 0.98),
+w AS (
+  SELECT t.*, coalesce(r.smart_score, 0) / 100 AS weight, t.traded_at >= n.at - INTERVAL 4 HOUR AS trend, t.traded_at >= n.at - INTERVAL 12 HOUR AS late
+  FROM ref_scored t JOIN u ON u.market_id = t.market_id LEFT JOIN ref_traders r ON r.trader_id = t.trader_id,
+       (SELECT max(traded_at) AS at FROM fx_trades) n WHERE t.traded_at >= n.at - INTERVAL 24 HOUR),
+sides AS (
+  SELECT market_id, side, count(*) AS fills, sum(notional) AS notional, sum(notional * weight) AS smart, count(is_winner) AS resolved,
+         count(*) FILTER (WHERE is_winner = 1) AS wins, avg(price) AS price_mean, coalesce(avg(price) FILTER (WHERE trend), 0) AS price_recent
+  FROM w GROUP BY 1, 2),
+tot AS (
+  SELECT market_id, count(*) AS total_fills, sum(notional) AS total_notional, sum(notional * weight) AS smart_total,
+         coalesce(avg(price) FILTER (WHERE NOT late), 0) AS early_price, coalesce(avg(price) FILTER (WHERE late), 0) AS late_price,
+         count(*) FILTER (WHERE late) AS late_fills
+  FROM w GROUP BY 1),
+lead AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY market_id ORDER BY notional DESC, side) AS rn FROM sides) s WHERE rn = 1)
+SELECT t.market_id, u.venue, u.question, u.category, u.liquidity, u.last_price, l.side,
+       CASE WHEN l.side = 'yes' THEN u.last_price ELSE 1 - u.last_price END AS market_price, t.total_fills, t.total_notional, t.smart_total,
+       l.fills AS side_fills, l.notional AS side_notional, l.smart AS side_smart, l.resolved AS side_resolved, l.wins AS side_wins,
+       l.price_mean AS side_price_mean, l.price_recent AS side_price_recent, t.early_price, t.late_price, t.late_fills
+FROM tot t JOIN lead l ON l.market_id = t.market_id JOIN u ON u.market_id = t.market_id WHERE t.total_fills >= 8 AND t.total_notional > 0
+"""
+PROJECTIONS["ref_pairs"] = """
+WITH live AS (SELECT * FROM fx_prediction_markets WHERE status = 'open' AND last_price > 0)
+SELECT market_id, other_price FROM (
+  SELECT m.market_id, o.last_price AS other_price, row_number() OVER (PARTITION BY m.market_id ORDER BY o.market_id) AS rn
+  FROM fx_prediction_markets m JOIN live o ON o.question = m.question AND o.venue <> m.venue) t WHERE rn = 1
+"""
+PROJECTIONS["ref_evidence"] = """
+WITH s AS (SELECT *, side_notional / total_notional AS share, (late_price - early_price) * CASE WHEN side = 'yes' THEN 1 ELSE -1 END AS move FROM ref_flow),
+x AS (SELECT s.*, CASE WHEN side = 'yes' THEN p.other_price ELSE 1 - p.other_price END - market_price AS gap FROM s LEFT JOIN ref_pairs p ON p.market_id = s.market_id),
+raw AS (
+  SELECT market_id, 'flow_imbalance' AS kind, share AS v, (share - market_price) * 0.10 AS c, total_fills AS sample_size, 24 AS window_hours, 4 AS places FROM s
+  UNION ALL SELECT market_id, 'smart_money', side_smart / smart_total, (side_smart / smart_total - market_price) * 0.18, total_fills, 24, 4 FROM s WHERE smart_total > 0
+  UNION ALL SELECT market_id, 'trader_accuracy', (side_wins + 3) / (side_resolved + 6), ((side_wins + 3) / (side_resolved + 6) - 0.5) * 0.20, side_resolved, 24, 4 FROM s WHERE side_resolved > 0
+  UNION ALL SELECT market_id, 'price_trend', side_price_recent - side_price_mean, (side_price_recent - side_price_mean) * 0.25, side_fills, 24, 4 FROM s WHERE side_price_recent > 0 AND side_price_mean > 0
+  UNION ALL SELECT market_id, 'liquidity', liquidity, 0, 1, 24, 2 FROM s
+  UNION ALL SELECT market_id, 'reverse_line_move', move, move * 0.5, late_fills, 24, 4 FROM s
+    WHERE early_price > 0 AND late_price > 0 AND late_fills >= 4 AND share - 0.5 > 0.1 AND move < -0.005
+  UNION ALL SELECT market_id, 'cross_venue', gap, gap * 0.35, 1, 24, 4 FROM x WHERE gap IS NOT NULL)
+SELECT market_id, kind, floor(v * pow(10, places) + 0.5) / pow(10, places) AS value,
+       floor(greatest(-0.08, least(0.08, c)) * 10000 + 0.5) / 10000 AS contribution, CAST(sample_size AS BIGINT) AS sample_size,
+       CAST(window_hours AS BIGINT) AS window_hours
+FROM raw
+"""
+PROJECTIONS["ref_candidates"] = """
+WITH agg AS (SELECT market_id, greatest(-0.15, least(0.15, sum(contribution))) AS total, count(*) FILTER (WHERE contribution <> 0) AS n,
+               count(*) FILTER (WHERE contribution > 0) AS pos FROM ref_evidence GROUP BY 1),
+f AS (SELECT r.*, a.n, a.pos, greatest(0.01, least(0.99, r.market_price + a.total)) AS fair FROM ref_flow r JOIN agg a ON a.market_id = r.market_id)
+SELECT market_id, venue, question, category, side, liquidity, floor(market_price * 10000 + 0.5) / 10000 AS market_price,
+       floor(fair * 10000 + 0.5) / 10000 AS fair_value, floor((fair - market_price) * 10000 + 0.5) / 10000 AS edge,
+       CASE WHEN n > 0 THEN floor((greatest(pos, n - pos) / n * 0.5 + total_fills / (total_fills + 90.0) * 0.3 + least(1, n / 3) * 0.2) * 1000 + 0.5) / 1000 ELSE 0 END AS confidence
+FROM f
+"""
+
 
 def _uses(sql: str) -> list[str]:
     return [name for name in dict.fromkeys(re.findall(r"\b(?:fx|ref)_\w+", sql)) if name in PROJECTIONS]

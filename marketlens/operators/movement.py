@@ -47,9 +47,8 @@ def append_changes(quotes: DataFrame, prior: DataFrame, order: list[str]) -> Dat
 
 def replay_changes(observations: DataFrame) -> DataFrame:
     """Change log of a full observation history: only the first observation and the moves."""
-    rows = lagged(
-        observations.filter(F.col("price") > 1), KEYS, ["captured_at", "id"], ["price"], ts="captured_at"
-    )
+    day = segment_of(F.col("captured_at"))
+    rows = lagged(observations.filter(F.col("price") > 1), KEYS, ["captured_at", "id"], ["price"], day)
     opening = F.col("prev_price").isNull()
     return (
         rows.filter(opening | (F.col("price") != F.col("prev_price")))

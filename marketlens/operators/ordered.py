@@ -2,8 +2,9 @@
 
 A window over ``partitionBy(key)`` sends every row of a key to one task. These helpers split each key's
 timeline into fixed segments (a day, an hour), run the window inside (key, segment), and carry one
-summary row per segment across the boundary. The segment is a pure function of the row, so a recomputed
-task always reproduces it.
+summary row per segment across the boundary. A segment is any expression of the row that never falls as
+the order rises (a time bucket, or a struct of leading order columns and a bucket of the next); being a
+pure function of the row, a recomputed task always reproduces it.
 """
 
 from __future__ import annotations
@@ -24,14 +25,14 @@ def segment_of(ts: Column, micros: int = DAY_MICROS) -> Column:
 
 
 def with_carry(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Sequence[str], ts: str, micros: int = DAY_MICROS
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Sequence[str], segment: Column
 ) -> DataFrame:
     """Rows plus, for every segment, one row repeating the last ``values`` of the previous segment.
 
     Carry rows have ``__carry`` = true and sort first; run any look-back-one window over
     ``lag_window(keys, order)`` and then drop them with ``drop_carry``.
     """
-    rows = df.withColumn(SEGMENT, segment_of(F.col(ts), micros))
+    rows = df.withColumn(SEGMENT, segment)
     last = (
         rows.groupBy(*keys, SEGMENT)
         .agg(F.max_by(F.struct(*values), F.struct(*order)).alias("__last"))
@@ -51,11 +52,11 @@ def drop_carry(df: DataFrame) -> DataFrame:
 
 
 def lagged(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Sequence[str], ts: str, micros: int = DAY_MICROS
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Sequence[str], segment: Column
 ) -> DataFrame:
     """Adds ``prev_<value>`` for every value, as ``lag`` over the key's whole history would."""
     window = lag_window(keys, order)
-    scanned = with_carry(df, keys, order, values, ts, micros).select(
+    scanned = with_carry(df, keys, order, values, segment).select(
         "*", *[F.lag(v).over(window).alias(f"prev_{v}") for v in values]
     )
     return drop_carry(scanned)

@@ -125,7 +125,7 @@ def _(t: Tables):
 
 @query(
     "to_instant",
-    """SELECT event_id, to_timestamp(epoch(ts)::BIGINT) AT TIME ZONE 'UTC' AS from_seconds,
+    """SELECT event_id, make_timestamp(epoch_us(ts) // 1000000 * 1000000) AS from_seconds,
        make_timestamp(epoch_us(ts) // 1000 * 1000) AS from_millis, date_trunc('day', ts) AS from_text FROM events""",
 )
 def _(t: Tables):

@@ -29,7 +29,7 @@ def canonical(frame: pd.DataFrame) -> list[tuple]:
     for row in frame.itertuples(index=False):
         cells = []
         for v in row:
-            if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
+            if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and v != v):
                 cells.append("<null>")
             elif isinstance(v, bool):
                 cells.append(str(v))
