@@ -223,6 +223,30 @@ PROJECTIONS["fx_halts"] = """
 SELECT event_id AS id, event_type = 'error' AS active, event_type AS reason, CAST(user_id AS VARCHAR(20)) AS actor, ts AS created_at FROM events
 """
 
+PROJECTIONS["fx_notes"] = """
+SELECT event_id AS note_id, event_id % 25 AS market_id, CASE event_type WHEN 'click' THEN 'yes' WHEN 'view' THEN 'no' ELSE 'watching' END AS stance,
+       concat('author', CAST(user_id AS VARCHAR(20))) AS author_name, props AS body, user_id % 10 = 0 AS hidden, ts AS created_at FROM events
+"""
+PROJECTIONS["fx_subscriptions"] = """
+SELECT o_orderkey AS subscription_id, o_custkey AS user_id, CASE o_orderkey % 5 WHEN 0 THEN 'price_Desk_month' WHEN 1 THEN 'auto-yearly' WHEN 2 THEN 'SIGNAL' ELSE 'basic' END AS price_key,
+       CASE o_orderstatus WHEN 'F' THEN 'active' WHEN 'O' THEN 'trialing' ELSE 'canceled' END AS status,
+       CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_orderdate END AS ends_at FROM orders
+"""
+PROJECTIONS["fx_alerts"] = """
+SELECT event_id AS alert_id, CASE WHEN user_id % 2 = 0 THEN 'edge' ELSE 'whale' END AS kind, concat('L', CAST(user_id % 5 AS VARCHAR(9))) AS league,
+       CASE event_id % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'b' ELSE '' END AS venue, value, ts AS raised_at FROM events
+"""
+PROJECTIONS["fx_alert_subscriptions"] = """
+SELECT c_custkey AS subscription_id, c_custkey AS user_id, CASE WHEN c_custkey % 2 = 0 THEN 'edge' ELSE 'whale' END AS kind,
+       CASE c_custkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'l1, L2' ELSE 'l3' END AS leagues, CASE c_custkey % 4 WHEN 0 THEN 'both' WHEN 1 THEN 'a' ELSE 'B' END AS venue,
+       200 + c_acctbal / 40 AS min_value, CASE c_custkey % 2 WHEN 0 THEN 'database, email' ELSE '' END AS channels, c_custkey % 7 <> 0 AS active,
+       CASE WHEN c_custkey % 5 = 0 THEN timestamp '2024-01-30 23:50:00' END AS last_sent_at
+FROM customer
+"""
+PROJECTIONS["fx_sheet_legs"] = """
+SELECT l_orderkey AS sheet_id, l_partkey AS selection_id, CASE WHEN l_linenumber = 7 THEN 0 ELSE 1 + l_quantity / 25 END AS price FROM lineitem
+"""
+
 # Reference answers used only by the SQL oracles.
 PROJECTIONS["ref_devig"] = """
 WITH RECURSIVE quotes AS (

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from marketlens.functions.common import hours_between
+from marketlens.functions.common import hours_between, js_round
 
 SECONDS_CEILING = 1e11
 LOCAL_ZONE = "America/New_York"
@@ -54,14 +54,16 @@ def kickoff_label(commence_at: Column, status: Column, as_of: Column) -> Column:
 
 
 def age_label(at: Column, as_of: Column) -> Column:
-    """never, just now, Nm ago, Nh ago or Nd ago."""
-    minutes = F.floor((F.unix_micros(as_of) - F.unix_micros(at)) / F.lit(60_000_000.0) + 0.5)
-    hours = F.floor(minutes / 60.0 + 0.5)
-    days = F.floor(hours / 24.0 + 0.5)
+    """never, just now (under 90 s), Nm ago, Nh ago or Nd ago."""
+    seconds = F.greatest(F.lit(0.0), js_round((F.unix_micros(as_of) - F.unix_micros(at)) / F.lit(1e6)))
+
+    def ago(unit: float, letter: str) -> Column:
+        return F.concat(js_round(seconds / unit).cast("bigint").cast("string"), F.lit(f"{letter} ago"))
+
     return (
         F.when(at.isNull(), F.lit("never"))
-        .when(minutes < 1, F.lit("just now"))
-        .when(minutes < 60, F.concat(minutes.cast("string"), F.lit("m ago")))
-        .when(hours < 24, F.concat(hours.cast("string"), F.lit("h ago")))
-        .otherwise(F.concat(days.cast("string"), F.lit("d ago")))
+        .when(seconds < 90, F.lit("just now"))
+        .when(seconds < 3600, ago(60.0, "m"))
+        .when(seconds < 86400, ago(3600.0, "h"))
+        .otherwise(ago(86400.0, "d"))
     )
