@@ -151,16 +151,16 @@ def _(t: Tables):
 
 @query(
     "api_usage",
-    "SELECT ip_address AS api_key, CAST(created_at AS DATE) AS day, path AS endpoint, count(*) AS requests FROM fx_requests GROUP BY 1, 2, 3",
+    "SELECT ip_address AS api_key, CAST(CAST(created_at AS DATE) AS VARCHAR) AS day, path AS endpoint, count(*) AS requests FROM fx_requests GROUP BY 1, 2, 3",
 )
 def _(t: Tables):
     rows = t("fx_requests").withColumnRenamed("ip_address", "api_key").withColumnRenamed("path", "endpoint")
-    return ops.api_usage(rows)
+    return ops.api_usage(rows).withColumn("day", F.col("day").cast("string"))
 
 
 @query(
     "quota_use",
-    """WITH u AS (SELECT ip_address AS api_key, CAST(created_at AS DATE) AS day, count(*) AS used FROM fx_requests GROUP BY 1, 2),
+    """WITH u AS (SELECT ip_address AS api_key, CAST(CAST(created_at AS DATE) AS VARCHAR) AS day, count(*) AS used FROM fx_requests GROUP BY 1, 2),
     q AS (SELECT ip_address AS api_key, CASE WHEN count(*) % 3 = 0 THEN NULL ELSE count(*) // 30 END AS daily_quota FROM fx_requests GROUP BY 1)
     SELECT u.api_key, u.day, u.used, q.daily_quota, coalesce(u.used <= q.daily_quota, true) AS allowed FROM u JOIN q ON q.api_key = u.api_key""",
 )
@@ -168,7 +168,7 @@ def _(t: Tables):
     rows = t("fx_requests").withColumnRenamed("ip_address", "api_key").withColumnRenamed("path", "endpoint")
     n = F.count(F.lit(1))
     quotas = rows.groupBy("api_key").agg(F.when(n % 3 != 0, F.floor(n / 30)).alias("daily_quota"))
-    return ops.quota_use(ops.api_usage(rows), quotas)
+    return ops.quota_use(ops.api_usage(rows), quotas).withColumn("day", F.col("day").cast("string"))
 
 
 @query(
