@@ -247,6 +247,73 @@ PROJECTIONS["fx_sheet_legs"] = """
 SELECT l_orderkey AS sheet_id, l_partkey AS selection_id, CASE WHEN l_linenumber = 7 THEN 0 ELSE 1 + l_quantity / 25 END AS price FROM lineitem
 """
 
+PROJECTIONS["fx_app_events"] = """
+SELECT event_id AS id, event_type AS name, CASE user_id % 4 WHEN 0 THEN 'pageView' WHEN 1 THEN 'check_out' WHEN 2 THEN '' ELSE 'sign-up' END AS category,
+       CASE user_id % 3 WHEN 0 THEN 'usd' WHEN 1 THEN ' EUR ' ELSE '' END AS currency, CASE WHEN event_type = 'view' THEN 0 ELSE value END AS value, ts AS created_at FROM events
+"""
+PROJECTIONS["fx_raw_requests"] = """
+SELECT event_id AS id, CASE WHEN event_id % 11 = 0 THEN 'TRACE' WHEN event_id % 2 = 0 THEN 'get' ELSE 'POST' END AS method,
+       CASE WHEN event_id % 13 = 0 THEN ' ' ELSE concat('https://example.com/p', CAST(user_id % 9 AS VARCHAR(9)), '?q=', CAST(event_id AS VARCHAR(20))) END AS path,
+       CASE WHEN event_id % 17 = 0 THEN 999 ELSE 200 END AS status_code, CASE WHEN event_id % 19 = 0 THEN -1 ELSE value END AS duration_ms,
+       CASE WHEN event_id % 23 = 0 THEN NULL ELSE ts END AS created_at FROM events
+"""
+PROJECTIONS["fx_shop_orders"] = """
+SELECT id AS order_id, status, total_amount, currency, customer_id, created_at FROM fx_orders
+"""
+PROJECTIONS["fx_items"] = """
+SELECT l_orderkey AS order_id, l_partkey AS product_id, CAST(l_quantity AS BIGINT) AS quantity, l_extendedprice / l_quantity AS price FROM lineitem
+"""
+PROJECTIONS["fx_products"] = """
+SELECT p_partkey AS product_id, p_name AS name, CAST(p_size % 7 AS BIGINT) AS category_id, p_retailprice AS price, p_size % 4 <> 0 AS is_available,
+       CAST(CASE WHEN p_size % 5 = 0 THEN 0 ELSE p_size * 4 END AS BIGINT) AS inventory_count FROM part
+"""
+PROJECTIONS["fx_categories"] = """
+SELECT CAST(r_regionkey AS BIGINT) AS category_id, r_name AS name FROM region
+"""
+PROJECTIONS["fx_customers"] = """
+SELECT c_custkey AS customer_id, c_name AS name, CASE WHEN c_custkey % 5 = 0 THEN 'Inactive' ELSE 'Active' END AS status, c_acctbal AS total_spent FROM customer WHERE c_custkey % 97 <> 0
+"""
+PROJECTIONS["fx_payments"] = """
+SELECT o_orderkey AS payment_id, CASE o_custkey % 4 WHEN 0 THEN 'creditCard' WHEN 1 THEN 'bank_transfer' WHEN 2 THEN '' ELSE 'cash' END AS method, o_totalprice AS amount,
+       CASE WHEN o_orderkey % 6 IN (2, 3) AND o_orderkey % 7 <> 0 THEN o_totalprice / 4 ELSE 0 END AS refund_amount,
+       CASE o_orderkey % 6 WHEN 0 THEN 'completed' WHEN 1 THEN 'succeeded' WHEN 2 THEN 'partiallyRefunded' WHEN 3 THEN 'refunded' WHEN 4 THEN 'failed' ELSE 'pending' END AS status,
+       CASE o_custkey % 3 WHEN 0 THEN 'USD' WHEN 1 THEN 'EUR' ELSE 'GBP' END AS currency, o_orderdate AS created_at FROM orders
+"""
+PROJECTIONS["fx_gift_cards"] = """
+SELECT c_custkey AS card_id, CASE c_custkey % 4 WHEN 0 THEN 'ACTIVE' WHEN 1 THEN 'USED' WHEN 2 THEN 'EXPIRED' ELSE 'DEACTIVATED' END AS status, c_custkey % 3 <> 0 AS is_active,
+       CASE c_nationkey % 2 WHEN 0 THEN 'USD' ELSE 'EUR' END AS currency, 1000 + c_acctbal AS initial_balance, 1500 - c_acctbal / 10 AS current_balance FROM customer
+"""
+PROJECTIONS["fx_coupons"] = """
+SELECT p_partkey AS coupon_id, p_size % 2 = 0 AS is_active, CASE p_size % 3 WHEN 0 THEN 'Scheduled' WHEN 1 THEN 'Expired' ELSE 'Active' END AS status, p_size AS usage_count FROM part
+"""
+PROJECTIONS["fx_reviews"] = """
+SELECT l_partkey AS product_id, l_returnflag <> 'N' AS approved, l_linestatus = 'F' AS featured, l_linenumber % 2 = 0 AS verified, CAST(1 + l_quantity % 5 AS DOUBLE) AS rating FROM lineitem
+"""
+PROJECTIONS["fx_waitlist"] = """
+SELECT o_orderkey AS entry_id, CASE o_orderstatus WHEN 'F' THEN 'waiting' WHEN 'O' THEN 'purchased' ELSE 'notified' END AS status, o_custkey % 12 AS quantity, o_orderdate AS created_at,
+       CASE o_orderkey % 4 WHEN 0 THEN 'waiting' WHEN 1 THEN 'seated' WHEN 2 THEN 'cancelled' ELSE 'no_show' END AS table_status, CAST(o_custkey % 60 AS DOUBLE) AS quoted_wait FROM orders
+"""
+PROJECTIONS["fx_catalogue"] = """
+SELECT p_partkey AS id, p_size % 3 = 0 AS flag, CASE WHEN p_size % 9 = 0 THEN '' ELSE p_brand END AS brand, p_type AS type, CASE p_size % 3 WHEN 0 THEN 'active' WHEN 1 THEN 'draft' ELSE 'archived' END AS status,
+       CASE WHEN p_size % 4 = 0 THEN NULL ELSE p_partkey % 50 END AS parent_id, p_partkey % 300 AS product_id, p_size AS amount, p_retailprice / 100 AS rate,
+       CASE p_size % 3 WHEN 0 THEN 'online' WHEN 1 THEN 'offline' ELSE 'warning' END AS device_status FROM part
+"""
+PROJECTIONS["fx_print_logs"] = """
+SELECT event_id AS id, CASE event_type WHEN 'error' THEN 'failed' WHEN 'signup' THEN 'warning' ELSE 'success' END AS status, user_id % 20 AS pages, value AS duration_seconds FROM events
+"""
+PROJECTIONS["fx_routes"] = """
+SELECT o_orderkey AS route_id, o_custkey % 30 AS stops, CAST(10 + o_custkey % 200 AS DOUBLE) AS delivery_minutes, o_orderdate AS last_active FROM orders
+"""
+PROJECTIONS["fx_zones"] = """
+SELECT c_custkey AS zone_id, CASE c_custkey % 3 WHEN 0 THEN 'active' WHEN 1 THEN 'draft' ELSE 'inactive' END AS status, c_custkey % 4 AS country_count FROM customer
+"""
+PROJECTIONS["fx_drivers"] = """
+SELECT s_suppkey AS driver_id, CASE s_suppkey % 3 WHEN 0 THEN 'active' WHEN 1 THEN 'on_delivery' ELSE 'on_break' END AS status FROM supplier
+"""
+PROJECTIONS["fx_tax_rates"] = """
+SELECT s_suppkey AS tax_rate_id, CASE WHEN s_suppkey % 3 = 1 THEN 'inactive' ELSE 'active' END AS status, s_suppkey % 5 = 3 AS is_default, CAST(s_suppkey % 25 AS DOUBLE) AS rate FROM supplier
+"""
+
 # Reference answers used only by the SQL oracles.
 PROJECTIONS["ref_devig"] = """
 WITH RECURSIVE quotes AS (

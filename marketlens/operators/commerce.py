@@ -207,8 +207,9 @@ def dashboard_series(orders: DataFrame, as_of: Column, span: str = "30d") -> Dat
         _count().alias("orders"), sum_if(~is_cancelled(F.col("status")), F.col("total_amount")).alias("revenue")
     )
     grid = calendar(orders.sparkSession, start, as_of, key, hourly=span == "today")
-    codes = cells.select("currency").distinct()
-    dense = grid.join(codes)
+    # Currency codes are a short closed list, so the set of those in use fits one array.
+    codes = cells.agg(F.collect_set("currency").alias("codes")).scalar()
+    dense = grid.select("bucket", F.explode(codes).alias("currency"))
     return dense.join(cells, ["bucket", "currency"], "left").na.fill(0, ["orders", "revenue"])
 
 
