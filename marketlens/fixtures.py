@@ -314,6 +314,77 @@ PROJECTIONS["fx_tax_rates"] = """
 SELECT s_suppkey AS tax_rate_id, CASE WHEN s_suppkey % 3 = 1 THEN 'inactive' ELSE 'active' END AS status, s_suppkey % 5 = 3 AS is_default, CAST(s_suppkey % 25 AS DOUBLE) AS rate FROM supplier
 """
 
+PROJECTIONS["fx_campaigns"] = """
+SELECT p_partkey AS campaign_id, CASE p_size % 3 WHEN 0 THEN 'email' WHEN 1 THEN 'socialMedia' ELSE 'push_note' END AS type, CASE p_partkey % 3 WHEN 0 THEN 'usd' WHEN 1 THEN 'EUR' ELSE '' END AS currency,
+       CASE p_size % 6 WHEN 0 THEN 'sent' WHEN 1 THEN 'draft' WHEN 2 THEN 'scheduled' WHEN 3 THEN 'completed' WHEN 4 THEN 'active' ELSE '' END AS status,
+       CASE WHEN p_partkey = 7 THEN NULL ELSE CAST(p_size * 10 AS DOUBLE) END AS audience_size, CASE WHEN p_partkey = 10 THEN NULL WHEN p_size % 4 = 0 THEN 0 ELSE CAST(p_size * 7 AS DOUBLE) END AS sent_count,
+       CAST(p_size % 60 AS DOUBLE) AS open_rate, CASE WHEN p_size % 4 = 0 THEN NULL ELSE CAST(p_size % 30 AS DOUBLE) END AS click_rate, CASE WHEN p_partkey = 4 THEN NULL ELSE CAST(p_size % 9 AS DOUBLE) END AS conversion_rate,
+       p_retailprice AS budget, p_retailprice / 2 AS spent, p_partkey % 60 AS list_id FROM part
+"""
+PROJECTIONS["fx_lists"] = """
+SELECT s_suppkey AS list_id, s_name AS name, CASE WHEN s_suppkey % 4 = 0 THEN 'archived' ELSE 'active' END AS status, s_suppkey % 30 AS stored_subscribers FROM supplier
+"""
+PROJECTIONS["fx_members"] = """
+SELECT c_custkey AS member_id, c_custkey % 60 AS list_id, CASE c_custkey % 5 WHEN 0 THEN 'pending' WHEN 1 THEN 'unsubscribed' WHEN 2 THEN 'bounced' ELSE 'subscribed' END AS status,
+       CAST(make_date(2024, 1, CAST(1 + c_custkey % 28 AS INT)) AS TIMESTAMP) AS created_at FROM customer
+"""
+PROJECTIONS["fx_sends"] = """
+SELECT l_partkey AS campaign_id, CASE l_linenumber WHEN 1 THEN 'queued' WHEN 2 THEN 'failed' WHEN 3 THEN 'bounced' WHEN 4 THEN 'complained' ELSE 'sent' END AS status, l_discount > 0.05 AS opened, l_tax > 0.05 AS clicked, l_shipdate AS sent_at
+FROM lineitem WHERE l_partkey % 3 <> 0
+"""
+PROJECTIONS["fx_posts"] = """
+SELECT doc_id AS post_id, concat('Post ', CAST(doc_id AS VARCHAR(20))) AS title, CASE WHEN doc_id % 4 = 0 THEN 'draft' WHEN doc_id % 4 = 1 THEN 'scheduled' WHEN doc_id % 4 = 2 THEN 'failed' ELSE 'published' END AS status, n_chars AS views,
+       doc_id % 40 AS author_id, n_chars * 3 AS reach, n_chars % 100 AS engagement,
+       CAST(make_date(2023, CAST(1 + doc_id % 12 AS INT), CAST(1 + doc_id % 28 AS INT)) AS TIMESTAMP) AS created_at FROM documents
+"""
+PROJECTIONS["fx_site_pages"] = """
+SELECT page_id, CAST(length(url) AS BIGINT) AS views, CAST(make_date(2023, CAST(1 + page_id % 12 AS INT), 3) AS TIMESTAMP) AS created_at FROM pages
+"""
+PROJECTIONS["fx_post_categories"] = """
+SELECT doc_id AS post_id, doc_id % 7 AS category_id FROM documents WHERE doc_id % 5 <> 0 UNION ALL SELECT doc_id, (doc_id + 3) % 7 FROM documents WHERE doc_id % 10 = 1
+"""
+PROJECTIONS["fx_comments"] = """
+SELECT conv_id * 1000 + turn AS comment_id, conv_id AS post_id, role AS author, text AS content, CAST(make_date(2024, CAST(1 + conv_id % 12 AS INT), CAST(1 + turn % 28 AS INT)) AS TIMESTAMP) AS created_at FROM conversations
+"""
+PROJECTIONS["fx_authors"] = """
+SELECT c_custkey AS author_id, c_name AS name FROM customer WHERE c_custkey < 30
+"""
+PROJECTIONS["fx_query_rows"] = """
+SELECT event_id AS id, concat(CASE event_type WHEN 'click' THEN ' select' WHEN 'view' THEN 'SELECT' WHEN 'signup' THEN 'insert' WHEN 'purchase' THEN 'Update' ELSE 'pragma' END, '  * from t', CAST(user_id % 7 AS VARCHAR(9)), chr(10), ' where k = 1') AS query,
+       concat(event_type, CAST(user_id % 7 AS VARCHAR(9))) AS normalized_query, value AS duration, CASE WHEN user_id % 2 = 0 THEN 'primary' ELSE 'replica' END AS connection,
+       CASE WHEN value > 100 THEN 'slow' WHEN event_type = 'error' THEN 'failed' WHEN event_id % 41 = 0 THEN 'odd' ELSE 'completed' END AS status, ts AS executed_at, concat('M', CAST(user_id % 3 AS VARCHAR(9))) AS model, 'get' AS method,
+       CASE WHEN event_id % 37 = 0 THEN 'not json' ELSE concat('["', event_type, '", "x"]') END AS tags, concat('["t', CAST(user_id % 7 AS VARCHAR(9)), '"]') AS affected_tables FROM events
+"""
+PROJECTIONS["fx_logs"] = """
+SELECT event_id AS id, ts AS logged_at, CASE event_type WHEN 'error' THEN 'error' WHEN 'signup' THEN 'warning' WHEN 'click' THEN 'info' WHEN 'view' THEN 'success' ELSE 'trace' END AS type, concat('src', CAST(user_id % 4 AS VARCHAR(9))) AS source,
+       concat('proj', CAST(user_id % 6 AS VARCHAR(9))) AS project, concat('message ', props) AS message, '' AS stacktrace, concat('f', CAST(user_id % 9 AS VARCHAR(9)), '.ts') AS file FROM events
+"""
+PROJECTIONS["fx_errors"] = """
+SELECT event_id AS id, CASE WHEN user_id % 3 = 0 THEN 'TypeError' ELSE 'RangeError' END AS type, concat('failed in ', CAST(user_id % 5 AS VARCHAR(9))) AS message,
+       CASE event_id % 3 WHEN 0 THEN 'unresolved' WHEN 1 THEN 'resolved' ELSE 'ignored' END AS status, ts AS created_at FROM events WHERE event_type IN ('error', 'signup')
+"""
+PROJECTIONS["fx_deliveries"] = """
+SELECT event_id AS id, CASE user_id % 4 WHEN 0 THEN 'email' WHEN 1 THEN 'sms' WHEN 2 THEN 'push' ELSE '' END AS channel, CASE event_type WHEN 'click' THEN 'sent' WHEN 'view' THEN 'delivered' WHEN 'error' THEN 'failed' WHEN 'signup' THEN 'pending' ELSE 'queued' END AS status, ts AS created_at FROM events
+"""
+PROJECTIONS["fx_sockets"] = """
+SELECT event_id AS id, CASE event_type WHEN 'error' THEN 'error' WHEN 'click' THEN 'connection' WHEN 'view' THEN 'success' ELSE 'disconnection' END AS type, CAST(user_id AS VARCHAR(20)) AS socket, ts AS created_at FROM events
+"""
+PROJECTIONS["fx_releases"] = """
+SELECT p_partkey AS release_id, p_name AS version, CASE WHEN p_size % 3 = 0 THEN 'draft' ELSE 'published' END AS status, CAST(p_size AS BIGINT) AS downloads, CAST(make_date(2023, CAST(1 + p_partkey % 12 AS INT), CAST(1 + p_partkey % 28 AS INT)) AS TIMESTAMP) AS created_at FROM part
+"""
+PROJECTIONS["fx_deployments"] = """
+SELECT o_orderkey AS id, CASE o_orderkey % 5 WHEN 0 THEN 'success' WHEN 1 THEN 'ready' WHEN 2 THEN 'failed' WHEN 3 THEN 'running' ELSE 'pending' END AS status, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE CAST(o_custkey % 600 AS DOUBLE) END AS duration, o_orderdate AS created_at FROM orders
+"""
+PROJECTIONS["fx_samples"] = """
+SELECT event_id AS id, concat('org', CAST(user_id % 6 AS VARCHAR(9))) AS org, value AS pressure, ts AS sampled_at FROM events
+"""
+PROJECTIONS["fx_jobs"] = """
+SELECT event_id AS id, concat('q', CAST(user_id % 4 AS VARCHAR(9))) AS queue, concat('Job', CAST(user_id % 9 AS VARCHAR(9))) AS name, CASE WHEN event_type = 'click' THEN 'processing' ELSE 'pending' END AS status, props AS payload, ts AS created_at FROM events WHERE event_type <> 'error'
+"""
+PROJECTIONS["fx_failed_jobs"] = """
+SELECT event_id AS id, concat('q', CAST(user_id % 4 AS VARCHAR(9))) AS queue, concat('Job', CAST(user_id % 9 AS VARCHAR(9))) AS name, concat('boom ', CAST(user_id AS VARCHAR(20))) AS error, props AS payload, ts AS failed_at FROM events WHERE event_type = 'error'
+"""
+
 # Reference answers used only by the SQL oracles.
 PROJECTIONS["ref_devig"] = """
 WITH RECURSIVE quotes AS (
