@@ -130,10 +130,11 @@ def outcome_side(ticker: Column, home: Column, away: Column, subtitle: Column) -
 
 def market_value(raw: Column) -> Column:
     """'€1.20bn', '450m' or '900k' to whole euros; 0 when unreadable."""
-    text = F.lower(F.regexp_replace(F.coalesce(raw, F.lit("")), r"[€\s,]", ""))
-    number = F.regexp_extract(text, r"([0-9]+(?:\.[0-9]+)?)(bn|m|k|th\.?)?", 1).try_cast("double")
-    unit = F.regexp_extract(text, r"([0-9]+(?:\.[0-9]+)?)(bn|m|k|th\.?)?", 2)
-    scale = F.when(unit == "bn", 1e9).when(unit == "m", 1e6).when(unit == "", 1.0).otherwise(1e3)
+    text = F.lower(F.regexp_replace(F.coalesce(raw, F.lit("")), r"[€,\s]", ""))
+    pattern = r"^([0-9.]+)(bn|m|k)?$"
+    number = F.regexp_extract(text, pattern, 1).try_cast("double")
+    unit = F.regexp_extract(text, pattern, 2)
+    scale = F.when(unit == "bn", 1e9).when(unit == "m", 1e6).when(unit == "k", 1e3).otherwise(1.0)
     return F.coalesce(F.floor(number * scale + 0.5), F.lit(0)).cast("bigint")
 
 
@@ -148,7 +149,10 @@ def injury_severity(status: Column) -> Column:
 
 
 def list_slug(name: Column) -> Column:
-    return F.trim(F.lit("-"), F.regexp_replace(F.lower(F.trim(name)), "[^a-z0-9]+", "-"))
+    """Lower case, punctuation dropped, spaces and dash runs as one dash."""
+    kept = F.regexp_replace(F.trim(F.lower(name)), r"[^A-Za-z0-9_\s-]+", "")
+    dashed = F.regexp_replace(F.regexp_replace(kept, r"\s+", "-"), "-+", "-")
+    return F.regexp_replace(dashed, "^-|-$", "")
 
 
 # Accented letters and their plain forms.
@@ -157,7 +161,24 @@ PLAIN = "aaaaaaceeeeiiiinooooouuuuyysz"
 
 
 def club_slug(name: Column) -> Column:
-    return list_slug(F.translate(F.lower(name), ACCENTED, PLAIN))
+    """Accents folded, anything but letters and digits as one dash; 'club' when nothing is left."""
+    plain = F.translate(F.lower(name), ACCENTED, PLAIN)
+    slug = F.regexp_replace(F.regexp_replace(plain, "[^a-z0-9]+", "-"), "^-|-$", "")
+    return F.when(slug == "", "club").otherwise(slug)
+
+
+def feature_fingerprint(selection: Column, price: Column, prob: Column, edge: Column, books: Column, hours: Column) -> Column:
+    """Hash of a candidate's rounded features, stable while nothing material changes."""
+    text = F.concat_ws(
+        ":",
+        selection.cast("string"),
+        F.format_string("%.2f", price),
+        F.format_string("%.3f", prob),
+        F.format_string("%.1f", edge),
+        books.cast("string"),
+        F.floor(hours + 0.5).cast("string"),
+    )
+    return F.hex(F.xxhash64(text))
 
 
 def title_label(value: Column) -> Column:

@@ -24,10 +24,10 @@ def to_instant(raw: Column) -> Column:
 def proximity_bucket(commence_at: Column, status: Column, as_of: Column) -> Column:
     """inPlay, imminent (1 h), near (24 h) or far; NULL when finished or without a start time."""
     hours = hours_between(commence_at, as_of)
-    done = status.isin("final", "postponed", "cancelled")
+    done = status.isin("final", "settled", "cancelled")
     return (
         F.when(commence_at.isNull() | done, F.lit(None).cast("string"))
-        .when((status == "live") | (hours <= 0), F.lit("inPlay"))
+        .when(status.isin("live", "in_progress") | (hours <= 0), F.lit("inPlay"))
         .when(hours <= 1, F.lit("imminent"))
         .when(hours <= 24, F.lit("near"))
         .otherwise(F.lit("far"))
