@@ -385,6 +385,38 @@ PROJECTIONS["fx_failed_jobs"] = """
 SELECT event_id AS id, concat('q', CAST(user_id % 4 AS VARCHAR(9))) AS queue, concat('Job', CAST(user_id % 9 AS VARCHAR(9))) AS name, concat('boom ', CAST(user_id AS VARCHAR(20))) AS error, props AS payload, ts AS failed_at FROM events WHERE event_type = 'error'
 """
 
+PROJECTIONS["fx_clubs"] = """
+SELECT CAST(substr(p_brand, 7) AS BIGINT) AS sport_id, min(p_partkey) AS team_id, p_name AS name, replace(p_name, ' ', '') AS search_key,
+       concat('nick', CAST(min(p_partkey) AS VARCHAR(20))) AS nick
+FROM part GROUP BY p_brand, p_name
+"""
+PROJECTIONS["fx_club_names"] = """
+SELECT CAST(substr(p_brand, 7) AS BIGINT) AS sport_id,
+       CASE p_partkey % 6 WHEN 0 THEN concat(' ', upper(replace(p_name, ' ', '-')), '! ') WHEN 1 THEN concat('Royal ', p_name) WHEN 2 THEN substr(p_name, 1 + position(' ' IN p_name))
+            WHEN 3 THEN concat(substr(p_name, 1 + position(' ' IN p_name)), ' ', substr(p_name, 1, position(' ' IN p_name) - 1)) WHEN 4 THEN concat('Nick', CAST(p_partkey AS VARCHAR(20))) ELSE concat(p_name, ' united') END AS name
+FROM part
+"""
+PROJECTIONS["fx_incoming_events"] = """
+SELECT concat('p', CAST(o_orderkey % 3 AS VARCHAR(9))) AS provider, concat('x', CAST(o_orderkey AS VARCHAR(20))) AS external_id, CAST(o_custkey % 2 AS BIGINT) AS sport_id,
+       o_custkey % 25 AS home_team_id, (o_custkey * 7 + o_orderkey) % 25 AS away_team_id, o_orderdate AS commence_at, o_orderkey FROM orders
+"""
+PROJECTIONS["fx_ticker_rows"] = """
+SELECT p_partkey AS id, concat(CASE p_partkey % 4 WHEN 0 THEN 'kxmlbtotal' WHEN 1 THEN 'KXMLBSPREAD' WHEN 2 THEN 'KXEPLGAME' ELSE 'SOLO' END, CASE WHEN p_partkey % 4 = 3 THEN '' ELSE concat('-26AUG', CAST(p_size AS VARCHAR(9)), 'SDAZ-', CASE p_partkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'DET' ELSE 'TIE' END,
+         CASE WHEN p_partkey % 4 = 2 THEN '' ELSE CAST(p_size AS VARCHAR(9)) END) END) AS ticker,
+       concat(p_name, CASE p_partkey % 3 WHEN 0 THEN ' vs ' WHEN 1 THEN ' v ' ELSE ' and ' END, p_type, CASE p_partkey % 2 WHEN 0 THEN ' Winner?' ELSE '' END) AS title, p_name, p_type, p_size,
+       CASE p_partkey % 5 WHEN 0 THEN concat('Reg Time: ', upper(p_name)) WHEN 1 THEN 'Draw' WHEN 2 THEN p_type ELSE '' END AS subtitle,
+       CASE p_partkey % 6 WHEN 0 THEN '€1.20bn' WHEN 1 THEN concat('€', CAST(p_size AS VARCHAR(9)), 'm') WHEN 2 THEN concat(CAST(p_size AS VARCHAR(9)), '.50k') WHEN 3 THEN '-' WHEN 4 THEN CAST(p_size * 1000 AS VARCHAR(9)) ELSE '' END AS value_text,
+       CASE p_partkey % 8 WHEN 0 THEN 'Out for season (knee)' WHEN 1 THEN 'Questionable' WHEN 2 THEN 'Day-To-Day' WHEN 3 THEN '15-Day-IL' WHEN 4 THEN 'sore' WHEN 5 THEN '' WHEN 6 THEN 'Out' ELSE 'Probable' END AS injury
+FROM part
+"""
+PROJECTIONS["fx_raw_trades"] = """
+SELECT event_id, concat('T', CAST(event_id % 5000 AS VARCHAR(20))) AS trade_id, concat('M', CAST(user_id % 25 AS VARCHAR(9))) AS ticker, CASE WHEN event_id % 29 = 0 THEN 'n/a' ELSE CAST(1 + event_id % 40 AS VARCHAR(9)) END AS count_fp,
+       concat('0.', CAST(10 + event_id % 80 AS VARCHAR(9))) AS yes_price_dollars, concat('0.', CAST(10 + event_id % 70 AS VARCHAR(9))) AS no_price_dollars, CASE event_id % 3 WHEN 0 THEN 'no' ELSE 'yes' END AS taker_side, ts AS created_at,
+       CASE WHEN event_type = 'error' THEN 'SELL' ELSE 'BUY' END AS side, CASE event_id % 2 WHEN 0 THEN 'Yes' ELSE 'No' END AS outcome, CAST(1 + event_id % 40 AS DOUBLE) AS size, CAST(10 + event_id % 80 AS DOUBLE) / 100 AS price,
+       concat('0xAB', CAST(user_id AS VARCHAR(20))) AS wallet, CASE WHEN user_id % 2 = 0 THEN '' ELSE concat('n', CAST(user_id AS VARCHAR(20))) END AS name
+FROM events
+"""
+
 # Reference answers used only by the SQL oracles.
 PROJECTIONS["ref_devig"] = """
 WITH RECURSIVE quotes AS (

@@ -31,7 +31,7 @@ def checkpoint_root(spark: SparkSession) -> str:
     Only a local master may fall back to a folder of its own; on a cluster a missing setting is an
     error, because a machine-local path would be lost together with its executor.
     """
-    configured = spark.conf.get(CHECKPOINT_KEY, None)
+    configured = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
     if configured:
         return configured
     if not spark.sparkContext.master.startswith("local"):
