@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 # Newton steps from the low end of each bracket. Both probability sums fall and are convex in their parameter,
 # so the steps approach the root from one side; the counts reach double precision on sets of 2 to 12 outcomes.
-POWER_STEPS = 14
-SHIN_STEPS = 8
+POWER_STEPS = 13
+SHIN_STEPS = 6
 POWER_BRACKET = (1.0, 10.0)
 INSIDER_BRACKET = (0.0, 0.9)
 
