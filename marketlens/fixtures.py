@@ -217,7 +217,7 @@ SELECT c_nationkey AS team_id, CAST(min(c_nationkey) % 3 AS BIGINT) AS tier FROM
 """
 PROJECTIONS["fx_market_fixtures"] = """
 SELECT event_id % 25 AS market_id, max(event_id) AS event_id, CASE WHEN event_id % 25 % 4 = 3 THEN 'tie' WHEN event_id % 25 % 2 = 0 THEN 'home' ELSE 'away' END AS outcome
-FROM fx_events WHERE event_id < (SELECT max(p_partkey) FROM part) / 9 GROUP BY event_id % 25
+FROM fx_events WHERE event_id IN (SELECT event_id FROM fx_selections) GROUP BY event_id % 25
 """
 PROJECTIONS["fx_halts"] = """
 SELECT event_id AS id, event_type = 'error' AS active, event_type AS reason, CAST(user_id AS VARCHAR(20)) AS actor, ts AS created_at FROM events
@@ -334,7 +334,7 @@ FROM lineitem WHERE l_partkey % 3 <> 0
 """
 PROJECTIONS["fx_posts"] = """
 SELECT doc_id AS post_id, concat('Post ', CAST(doc_id AS VARCHAR(20))) AS title, CASE WHEN doc_id % 4 = 0 THEN 'draft' WHEN doc_id % 4 = 1 THEN 'scheduled' WHEN doc_id % 4 = 2 THEN 'failed' ELSE 'published' END AS status, n_chars AS views,
-       doc_id % 40 AS author_id, n_chars * 3 AS reach, n_chars % 100 AS engagement,
+       doc_id % 400 AS author_id, n_chars * 3 AS reach, n_chars % 100 AS engagement,
        CAST(make_date(2023, CAST(1 + doc_id % 12 AS INT), CAST(1 + doc_id % 28 AS INT)) AS TIMESTAMP) AS created_at FROM documents
 """
 PROJECTIONS["fx_site_pages"] = """
@@ -347,7 +347,7 @@ PROJECTIONS["fx_comments"] = """
 SELECT conv_id * 1000 + turn AS comment_id, conv_id AS post_id, role AS author, text AS content, CAST(make_date(2024, CAST(1 + conv_id % 12 AS INT), CAST(1 + turn % 28 AS INT)) AS TIMESTAMP) AS created_at FROM conversations
 """
 PROJECTIONS["fx_authors"] = """
-SELECT c_custkey AS author_id, c_name AS name FROM customer WHERE c_custkey < 30
+SELECT c_custkey AS author_id, c_name AS name FROM customer
 """
 PROJECTIONS["fx_query_rows"] = """
 SELECT event_id AS id, concat(CASE event_type WHEN 'click' THEN ' select' WHEN 'view' THEN 'SELECT' WHEN 'signup' THEN 'insert' WHEN 'purchase' THEN 'Update' ELSE 'pragma' END, '  * from t', CAST(user_id % 7 AS VARCHAR(9)), chr(10), ' where k = 1') AS query,
@@ -391,7 +391,7 @@ SELECT CAST(substr(p_brand, 7) AS BIGINT) AS sport_id, min(p_partkey) AS team_id
 FROM part GROUP BY p_brand, p_name
 """
 PROJECTIONS["fx_club_names"] = """
-SELECT CAST(substr(p_brand, 7) AS BIGINT) AS sport_id,
+SELECT CAST(substr(p_brand, 7) AS BIGINT) AS sport_id, p_partkey, p_name AS club,
        CASE p_partkey % 6 WHEN 0 THEN concat(' ', upper(replace(p_name, ' ', '-')), '! ') WHEN 1 THEN concat('Royal ', p_name) WHEN 2 THEN substr(p_name, 1 + position(' ' IN p_name))
             WHEN 3 THEN concat(substr(p_name, 1 + position(' ' IN p_name)), ' ', substr(p_name, 1, position(' ' IN p_name) - 1)) WHEN 4 THEN concat('Nick', CAST(p_partkey AS VARCHAR(20))) ELSE concat(p_name, ' united') END AS name
 FROM part
@@ -417,6 +417,10 @@ SELECT event_id, concat('T', CAST(event_id % 5000 AS VARCHAR(20))) AS trade_id,
 FROM events
 """
 
+PROJECTIONS["fx_card_sales"] = """
+SELECT o_orderkey AS card_id, o_custkey % 3 <> 0 AS is_active, o_totalprice AS initial_balance, o_totalprice / 3 AS current_balance, o_orderdate AS created_at FROM orders
+"""
+
 # Reference answers used only by the SQL oracles.
 PROJECTIONS["ref_devig"] = """
 WITH RECURSIVE quotes AS (

@@ -38,6 +38,20 @@ def filter_events(
     return rows
 
 
+def page_of_events(events: DataFrame, limit: int = 50, offset: int = 0) -> DataFrame:
+    """One page of events by start time; never more than 200."""
+    return events.orderBy("commence_at", "event_id").offset(max(0, offset)).limit(min(PAGE_LIMIT, max(1, limit)))
+
+
+def page_envelope(rows: DataFrame, limit: int, offset: int = 0) -> DataFrame:
+    """Total, limit, offset and whether more rows follow the page."""
+    total = F.col("total")
+    counted = rows.agg(F.count(F.lit(1)).alias("total"))
+    return counted.select(
+        total, F.lit(limit).alias("limit"), F.lit(offset).alias("offset"), (total > offset + limit).alias("has_more")
+    )
+
+
 def odds_board(
     events: DataFrame,
     selections: DataFrame,
@@ -54,9 +68,7 @@ def odds_board(
     The page of at most 200 events is cut first and every other input is joined to it, so the nested
     arrays only ever hold one page of the board. ``events`` is already filtered (``filter_events``).
     """
-    page = (
-        events.orderBy("commence_at", "event_id").offset(max(0, offset)).limit(min(PAGE_LIMIT, max(1, limit)))
-    )
+    page = page_of_events(events, limit, offset)
     sides = selections if market_type is None else selections.filter(F.col("market_type") == market_type)
     wanted = sides.join(page.select("event_id"), "event_id", "left_semi")
     top = best.select("selection_id", "best_price", "best_bookmaker_id", "average_price", "edge_vs_average_pct")

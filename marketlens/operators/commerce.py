@@ -582,3 +582,17 @@ def payment_stats(payments: DataFrame, as_of: Column, days: int = 30) -> DataFra
     )
     long = sums.select(F.explode(items).alias("m")).select("m.*")
     return long.select("*", *_comparison(F.col("current"), F.col("previous")))
+
+
+def gift_card_stats(cards: DataFrame, as_of: Column, days: int = 30) -> DataFrame:
+    """Active cards issued in the last ``days`` days against the days before, with all value and balance."""
+    start, before = minus_days(as_of, days), minus_days(as_of, 2 * days)
+    ts = F.col("created_at")
+    live = F.col("is_active")
+    sums = cards.agg(
+        count_if(live & (ts > start) & (ts <= as_of)).cast("double").alias("current"),
+        count_if(live & (ts > before) & (ts <= start)).cast("double").alias("previous"),
+        F.coalesce(F.sum("initial_balance"), F.lit(0.0)).alias("total_value"),
+        F.coalesce(F.sum("current_balance"), F.lit(0.0)).alias("current_balance"),
+    )
+    return sums.select("*", *_comparison(F.col("current"), F.col("previous")))

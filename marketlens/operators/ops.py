@@ -203,7 +203,8 @@ def discussion_threads(notes: DataFrame, limit: int | None = 12) -> DataFrame:
     if limit is not None:
         counts = counts.orderBy(F.desc("last_at"), "market_id").limit(limit)
     newest = W.partitionBy("market_id").orderBy(F.desc("created_at"), F.desc("note_id"))
-    top = shown.withColumn("rn", F.row_number().over(newest)).filter(F.col("rn") <= 3)
+    listed = shown.join(counts.select("market_id"), "market_id", "left_semi")
+    top = listed.withColumn("rn", F.row_number().over(newest)).filter(F.col("rn") <= 3)
     latest = top.groupBy("market_id").agg(
         F.sort_array(F.collect_list(F.struct("rn", "note_id", "author_name", "stance", "body", "created_at"))).alias("latest")
     )

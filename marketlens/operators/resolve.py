@@ -42,16 +42,17 @@ def distinct_names(names: DataFrame) -> DataFrame:
     return clean.distinct().withColumn("key", search_key(F.col("name"))).filter(F.col("key") != "")
 
 
-def exact_matches(names: DataFrame, teams: DataFrame) -> DataFrame:
-    """Names whose key is a team's search key, or else one of its learned aliases; the lowest id wins."""
+def with_exact(names: DataFrame, teams: DataFrame) -> DataFrame:
+    """Names with the team whose search key, or else a learned alias, equals theirs; the lowest id wins."""
     own = teams.select("sport_id", F.col("search_key").alias("key"), "team_id", F.lit(0).alias("rank"))
     learned = teams.select("sport_id", F.explode_outer("aliases").alias("key"), "team_id", F.lit(1).alias("rank"))
     keys = own.unionByName(learned).filter(F.col("key").isNotNull() & (F.col("key") != ""))
-    best = keys.groupBy("sport_id", "key").agg(F.min(F.struct("rank", "team_id")).alias("m"))
-    how = F.when(F.col("m.rank") == 0, "exact").otherwise("alias")
-    return names.join(best, ["sport_id", "key"]).select(
-        "sport_id", "name", "key", F.col("m.team_id").alias("team_id"), how.alias("matched_by")
-    )
+    best = keys.groupBy("sport_id", "key").agg(F.min(F.struct("rank", "team_id")).alias("exact"))
+    return names.join(best, ["sport_id", "key"], "left")
+
+
+def _how() -> Column:
+    return F.when(F.col("exact.rank") == 0, "exact").otherwise("alias")
 
 
 def _block(rows: DataFrame, rank: DataFrame, keep: list[str]) -> DataFrame:
@@ -98,18 +99,20 @@ def resolve_teams(names: DataFrame, teams: DataFrame) -> DataFrame:
     Names are matched against the teams at batch start; names that found nothing share one new team per
     search key (``new_key``).
     """
-    base = distinct_names(names)
-    exact = exact_matches(base, teams).withColumn("score", F.lit(1.0))
-    rest = base.join(exact.select("sport_id", "name"), ["sport_id", "name"], "left_anti")
-    fuzzy = fuzzy_matches(rest, teams).withColumn("matched_by", F.lit("fuzzy"))
-    found = exact.unionByName(fuzzy)
-    new = rest.join(fuzzy.select("sport_id", "name"), ["sport_id", "name"], "left_anti")
-    return found.withColumn("new_key", F.lit(None).cast("string")).unionByName(
-        new.select(
-            "sport_id", "name", "key", F.lit(None).cast("bigint").alias("team_id"), F.lit("new").alias("matched_by"),
-            F.lit(None).cast("double").alias("score"), F.col("key").alias("new_key"),
-        )
-    )
+    keyed = with_exact(distinct_names(names), teams)
+    rest = keyed.filter(F.col("exact").isNull()).select("sport_id", "name", "key")
+    near = fuzzy_matches(rest, teams).select("sport_id", "name", F.struct("team_id", "score").alias("near"))
+    rows = keyed.join(near, ["sport_id", "name"], "left")
+    known, close = F.col("exact").isNotNull(), F.col("near").isNotNull()
+    return rows.select(
+        "sport_id",
+        "name",
+        "key",
+        F.coalesce("exact.team_id", "near.team_id").alias("team_id"),
+        F.when(known, _how()).when(close, "fuzzy").otherwise("new").alias("matched_by"),
+        F.when(known, F.lit(1.0)).otherwise(F.col("near.score")).alias("score"),
+        F.when(~known & ~close, F.col("key")).alias("new_key"),
+    )
 
 
 def learn_aliases(teams: DataFrame, resolved: DataFrame) -> DataFrame:
@@ -153,20 +156,27 @@ def contained_matches(names: DataFrame, teams: DataFrame) -> DataFrame:
 
 def match_existing_teams(names: DataFrame, teams: DataFrame) -> DataFrame:
     """Team of every name without creating any; an ambiguous containment gives NULL and stops there."""
-    base = distinct_names(names)
-    exact = exact_matches(base, teams).select("sport_id", "name", "key", "team_id", "matched_by")
-    rest = base.join(exact.select("sport_id", "name"), ["sport_id", "name"], "left_anti")
-    held = contained_matches(rest, teams)
-    single = F.when(F.col("candidates") == 1, F.col("team_id"))
-    contained = held.select(
-        "sport_id", "name", "key", single.alias("team_id"), F.when(single.isNotNull(), "contained").otherwise("ambiguous").alias("matched_by")
-    )
-    open_names = rest.join(held.select("sport_id", "name"), ["sport_id", "name"], "left_anti")
-    fuzzy = fuzzy_matches(open_names, teams).select("sport_id", "name", "key", "team_id", F.lit("fuzzy").alias("matched_by"))
-    none = open_names.join(fuzzy.select("sport_id", "name"), ["sport_id", "name"], "left_anti").select(
-        "sport_id", "name", "key", F.lit(None).cast("bigint").alias("team_id"), F.lit("none").alias("matched_by")
+    keyed = with_exact(distinct_names(names), teams)
+    rest = keyed.filter(F.col("exact").isNull()).select("sport_id", "name", "key")
+    held = contained_matches(rest, teams).select("sport_id", "name", F.struct("candidates", "team_id").alias("held"))
+    near = fuzzy_matches(rest, teams).select("sport_id", "name", F.col("team_id").alias("near_id"))
+    rows = keyed.join(held, ["sport_id", "name"], "left").join(near, ["sport_id", "name"], "left")
+    known, inside = F.col("exact").isNotNull(), F.col("held").isNotNull()
+    single = F.col("held.candidates") == 1
+    return rows.select(
+        "sport_id",
+        "name",
+        "key",
+        F.when(known, F.col("exact.team_id"))
+        .when(inside, F.when(single, F.col("held.team_id")))
+        .otherwise(F.col("near_id"))
+        .alias("team_id"),
+        F.when(known, _how())
+        .when(inside, F.when(single, "contained").otherwise("ambiguous"))
+        .when(F.col("near_id").isNotNull(), "fuzzy")
+        .otherwise("none")
+        .alias("matched_by"),
     )
-    return exact.unionByName(contained).unionByName(fuzzy).unionByName(none)
 
 
 def resolve_events(incoming: DataFrame, events: DataFrame, sources: DataFrame) -> DataFrame:

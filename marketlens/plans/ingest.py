@@ -83,13 +83,14 @@ def _(t: Tables):
 
 
 FLAT_SQL = """
-q AS (SELECT * FROM fx_quotes WHERE bookmaker_id = 0),
+q AS (SELECT event_id, market_id * 8 + bookmaker_id AS market_id, selection_id, market_type, side, price FROM fx_quotes),
 sized AS (SELECT market_id, count(*) AS n FROM q WHERE side <> 'draw' OR market_type = 'h2h' GROUP BY 1)
 """
 
 
 def _flat_docs(t: Tables):
-    q = t("fx_quotes").filter(F.col("bookmaker_id") == 0)
+    # Every (market, book) set of the fixture is one market of the feed.
+    q = t("fx_quotes").withColumn("market_id", F.col("market_id") * 8 + F.col("bookmaker_id"))
     sid = F.col("selection_id").cast("string")
     code = F.when(F.col("market_type") == "h2h", "1_0").when(F.col("market_type") == "spreads", "2_0").otherwise("3_0")
     side = F.when(F.col("market_type") == "totals", F.when(F.col("side") == "home", "Over").when(F.col("side") == "away", "Under")).otherwise(F.initcap("side"))
@@ -123,7 +124,7 @@ def _(t: Tables):
 
 @query(
     "normalise_matchup_feed",
-    """WITH q AS (SELECT *, CAST(CASE WHEN price >= 2 THEN floor((price - 1) * 100 + 0.5) ELSE floor(-100 / (price - 1) + 0.5) END AS DOUBLE) AS am FROM fx_quotes WHERE bookmaker_id = 1 AND event_id % 9 <> 0),
+    """WITH q AS (SELECT *, CAST(CASE WHEN price >= 2 THEN floor((price - 1) * 100 + 0.5) ELSE floor(-100 / (price - 1) + 0.5) END AS DOUBLE) AS am FROM (SELECT event_id, market_id * 8 + bookmaker_id AS market_id, market_type, side, price FROM fx_quotes WHERE event_id % 9 <> 0) z),
     d AS (SELECT *, CASE WHEN am >= 100 THEN 1 + am / 100 WHEN am <= -100 THEN 1 + 100 / abs(am) ELSE 0 END AS dec FROM q),
     n AS (SELECT market_id, count(*) AS outcomes FROM d WHERE dec > 1 GROUP BY 1)
     SELECT d.event_id AS matchup_id, d.market_type, d.side, d.dec AS price, n.outcomes, CASE WHEN d.event_id % 4 = 0 THEN 'full_game' WHEN d.event_id % 4 = 1 THEN 'first_half' ELSE concat('period_', CAST(d.event_id % 4 AS VARCHAR)) END AS period,
@@ -134,7 +135,7 @@ def _(t: Tables):
 def _(t: Tables):
     from marketlens.functions.prices import american_number
 
-    q = t("fx_quotes").filter(F.col("bookmaker_id") == 1)
+    q = t("fx_quotes").withColumn("market_id", F.col("market_id") * 8 + F.col("bookmaker_id"))
     price = F.struct(F.col("side").alias("designation"), F.lit(None).cast("double").alias("points"), american_number(F.col("price")).cast("double").alias("price"))
     kind = F.when(F.col("market_type") == "h2h", "moneyline").when(F.col("market_type") == "spreads", "spread").otherwise("total")
     m = q.groupBy("event_id", "market_id", "market_type").agg(F.collect_list(price).alias("prices"))
@@ -540,16 +541,13 @@ def _(t: Tables):
 
 @query(
     "name_similarity",
-    """WITH n AS (SELECT DISTINCT n.sport_id, trim(n.name) AS name, c.name AS club FROM fx_club_names n JOIN fx_clubs c ON c.sport_id = n.sport_id AND c.team_id % 40 = 0),
-    k AS (SELECT *, list_distinct([x FOR x IN string_split_regex(regexp_replace(lower(name), '[^a-z0-9 ]', ' ', 'g'), ' +') IF len(x) > 1]) AS a, list_distinct(string_split(club, ' ')) AS b,
-            [x FOR x IN string_split_regex(regexp_replace(lower(name), '[^a-z0-9 ]', ' ', 'g'), ' +') IF len(x) > 1][-1] AS la, string_split(club, ' ')[-1] AS lb FROM n)
-    SELECT sport_id, name, club, least(1, 0.6 * len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) + CASE WHEN la = lb THEN 0.4 ELSE 0 END) AS score FROM k""",
+    """WITH k AS (SELECT p_partkey, name, club, [x FOR x IN string_split_regex(regexp_replace(lower(name), '[^a-z0-9 ]', ' ', 'g'), ' +') IF len(x) > 1] AS a, string_split(club, ' ') AS b FROM fx_club_names)
+    SELECT p_partkey, name, club, least(1, 0.6 * len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) + CASE WHEN a[-1] = b[-1] THEN 0.4 ELSE 0 END) AS score FROM k""",
     dbl="score",
 )
 def _(t: Tables):
-    clubs = t("fx_clubs").filter(F.col("team_id") % 40 == 0).select("sport_id", F.col("name").alias("club"))
-    pairs = t("fx_club_names").select("sport_id", F.trim("name").alias("name")).distinct().join(clubs, "sport_id")
-    return pairs.withColumn("score", X.name_similarity(F.col("name"), F.col("club")))
+    score = X.name_similarity(F.col("name"), F.col("club"))
+    return t("fx_club_names").select("p_partkey", "name", "club", score.alias("score"))
 
 
 @query(
@@ -633,7 +631,7 @@ def _(t: Tables):
     "resolve_events",
     """WITH stored AS (SELECT o_orderkey AS event_id, sport_id, home_team_id, away_team_id, commence_at FROM fx_incoming_events WHERE o_orderkey % 2 = 0),
     src AS (SELECT provider, external_id, o_orderkey AS event_id FROM fx_incoming_events WHERE o_orderkey % 4 = 0),
-    inc AS (SELECT * FROM fx_incoming_events WHERE o_orderkey % 4 <> 2),
+    inc AS (SELECT * FROM fx_incoming_events),
     direct AS (SELECT i.provider, i.external_id, s.event_id FROM inc i JOIN src s ON s.provider = i.provider AND s.external_id = i.external_id),
     cand AS (SELECT i.provider, i.external_id, e.event_id, abs(epoch_us(e.commence_at) - epoch_us(i.commence_at)) AS gap, e.commence_at AS et FROM inc i JOIN stored e ON e.sport_id = i.sport_id AND e.home_team_id = i.home_team_id AND e.away_team_id = i.away_team_id
              WHERE abs(epoch_us(e.commence_at) - epoch_us(i.commence_at)) <= 21600000000 AND (i.provider, i.external_id) NOT IN (SELECT provider, external_id FROM direct) AND (i.provider, e.event_id) NOT IN (SELECT provider, event_id FROM src)),
@@ -648,7 +646,7 @@ def _(t: Tables):
     key = F.col("o_orderkey")
     stored = rows.filter(key % 2 == 0).select(key.alias("event_id"), "sport_id", "home_team_id", "away_team_id", "commence_at")
     sources = rows.filter(key % 4 == 0).select("provider", "external_id", key.alias("event_id"))
-    return R.resolve_events(rows.filter(key % 4 != 2).drop("o_orderkey"), stored, sources)
+    return R.resolve_events(rows.drop("o_orderkey"), stored, sources)
 
 
 def _book_records(t: Tables):

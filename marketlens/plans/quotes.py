@@ -267,11 +267,15 @@ def _(t: Tables):
     big="selections quotes",
 )
 def _(t: Tables):
-    sides = t("fx_selections")
-    history = board.history_arrays(board.price_history(t("fx_snapshots")))
-    page = board.odds_board(
-        board.filter_events(t("fx_events")), sides, t("fx_odds"), _best(t), _fair(t), history, limit=200
-    )
+    # The page is cut first, and every other input only for it.
+    events = board.filter_events(t("fx_events"))
+    shown = board.page_of_events(events, limit=200).select("event_id")
+    sides = t("fx_selections").join(shown, "event_id", "left_semi")
+    ids = sides.select("selection_id")
+    odds = t("fx_odds").join(ids, "selection_id", "left_semi")
+    history = board.history_arrays(board.price_history(t("fx_snapshots").join(ids, "selection_id", "left_semi")))
+    prices = fair.fair_prices(odds, sides, t("fx_books"))
+    page = board.odds_board(events, sides, odds, fair.selection_best(odds), prices, history, limit=200)
     flat = F.flatten(F.transform("markets", lambda m: m["selections"]))
 
     def total(items, value):
@@ -455,3 +459,12 @@ def _(t: Tables):
 )
 def _(t: Tables):
     return movement.replay_changes(t("fx_snapshots")).drop("prev_price", "implied_prob")
+
+
+@query(
+    "page_envelope",
+    """SELECT count(*) AS total, 50 AS "limit", 100 AS "offset", count(*) > 150 AS has_more FROM fx_events WHERE status IN ('scheduled', 'live')""",
+    big='"limit" "offset"',
+)
+def _(t: Tables):
+    return board.page_envelope(board.filter_events(t("fx_events")), 50, 100)

@@ -412,3 +412,14 @@ def _(t: Tables):
 )
 def _(t: Tables):
     return C.payment_stats(t("fx_payments"), now(t))
+
+
+@query(
+    "gift_card_stats",
+    f"""WITH s AS (SELECT CAST(count(*) FILTER (WHERE is_active AND created_at > {NOW} - INTERVAL 30 DAY) AS DOUBLE) AS current, CAST(count(*) FILTER (WHERE is_active AND created_at > {NOW} - INTERVAL 60 DAY AND created_at <= {NOW} - INTERVAL 30 DAY) AS DOUBLE) AS previous,
+        sum(initial_balance) AS total_value, sum(current_balance) AS current_balance FROM fx_card_sales)
+    SELECT *, current - previous AS difference, CASE WHEN previous <> 0 THEN (current - previous) / previous * 100 ELSE 0 END AS percentage, current >= previous AS is_increase FROM s""",
+    dbl="current previous total_value current_balance difference percentage",
+)
+def _(t: Tables):
+    return C.gift_card_stats(t("fx_card_sales"), now(t))
