@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from marketlens.functions.common import count_if, js_round
 from marketlens.functions.prices import american_text, implied_prob
+from marketlens.session import cut
 
 PAGE_LIMIT = 200
 HISTORY_POINTS = 30
@@ -39,8 +40,11 @@ def filter_events(
 
 
 def page_of_events(events: DataFrame, limit: int = 50, offset: int = 0) -> DataFrame:
-    """One page of events by start time; never more than 200."""
-    return events.orderBy("commence_at", "event_id").offset(max(0, offset)).limit(min(PAGE_LIMIT, max(1, limit)))
+    """One page of events by start time; never more than 200.
+
+    The page is checkpointed: it is read once, and the bulk reads of a board all start from the same rows.
+    """
+    return cut(events.orderBy("commence_at", "event_id").offset(max(0, offset)).limit(min(PAGE_LIMIT, max(1, limit))))
 
 
 def page_envelope(rows: DataFrame, limit: int, offset: int = 0) -> DataFrame:
@@ -53,22 +57,19 @@ def page_envelope(rows: DataFrame, limit: int, offset: int = 0) -> DataFrame:
 
 
 def odds_board(
-    events: DataFrame,
+    page: DataFrame,
     selections: DataFrame,
     odds: DataFrame,
     best: DataFrame,
     fair: DataFrame,
     history: DataFrame | None = None,
-    limit: int = 50,
-    offset: int = 0,
     market_type: str | None = None,
 ) -> DataFrame:
     """One page of events with markets, selections and quotes nested inside.
 
-    The page of at most 200 events is cut first and every other input is joined to it, so the nested
-    arrays only ever hold one page of the board. ``events`` is already filtered (``filter_events``).
+    ``page`` comes from ``page_of_events`` (at most 200 events) and every other input is joined to it, so
+    the nested arrays only ever hold one page of the board.
     """
-    page = page_of_events(events, limit, offset)
     sides = selections if market_type is None else selections.filter(F.col("market_type") == market_type)
     wanted = sides.join(page.select("event_id"), "event_id", "left_semi")
     top = best.select("selection_id", "best_price", "best_bookmaker_id", "average_price", "edge_vs_average_pct")

@@ -101,8 +101,12 @@ def fair_prices(
     )
     quotes = open_quotes(odds, selections, market_ids)
     fits = solve_margins(quotes)
+    # Overround and quote count need no solver, so this branch is one plain aggregate per (market, book).
+    sets = quotes.groupBy("market_id", "bookmaker_id").agg(
+        F.sum(usable_prob(F.col("price"))).alias("overround"), F.count(F.lit(1)).alias("quote_count")
+    )
     per_market = (
-        fits.select("market_id", "bookmaker_id", "overround")
+        sets.filter(F.col("quote_count") >= MIN_QUOTES)
         .join(weights, "bookmaker_id")
         .groupBy("market_id")
         .agg(

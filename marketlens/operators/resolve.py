@@ -15,6 +15,7 @@ from marketlens.functions.text import (
     tokens,
     words,
 )
+from marketlens.session import cut
 
 EVENT_WINDOW_MICROS = 6 * 3_600_000_000
 # Ticker series of single games, the league they resolve in and the competition name.
@@ -37,9 +38,12 @@ GAME_SERIES = {
 
 
 def distinct_names(names: DataFrame) -> DataFrame:
-    """One row per (sport, trimmed name): repeats of a spelling are folded before anything is matched."""
+    """One row per (sport, trimmed name): repeats of a spelling are folded before anything is matched.
+
+    The distinct spellings are checkpointed, so the matching steps below read the feed only once.
+    """
     clean = names.select("sport_id", F.trim("name").alias("name")).filter(F.col("name") != "")
-    return clean.distinct().withColumn("key", search_key(F.col("name"))).filter(F.col("key") != "")
+    return cut(clean.distinct().withColumn("key", search_key(F.col("name"))).filter(F.col("key") != ""))
 
 
 def with_exact(names: DataFrame, teams: DataFrame) -> DataFrame:

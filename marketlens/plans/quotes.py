@@ -268,14 +268,13 @@ def _(t: Tables):
 )
 def _(t: Tables):
     # The page is cut first, and every other input only for it.
-    events = board.filter_events(t("fx_events"))
-    shown = board.page_of_events(events, limit=200).select("event_id")
-    sides = t("fx_selections").join(shown, "event_id", "left_semi")
+    shown = board.page_of_events(board.filter_events(t("fx_events")), limit=200)
+    sides = t("fx_selections").join(shown.select("event_id"), "event_id", "left_semi")
     ids = sides.select("selection_id")
     odds = t("fx_odds").join(ids, "selection_id", "left_semi")
     history = board.history_arrays(board.price_history(t("fx_snapshots").join(ids, "selection_id", "left_semi")))
     prices = fair.fair_prices(odds, sides, t("fx_books"))
-    page = board.odds_board(events, sides, odds, fair.selection_best(odds), prices, history, limit=200)
+    page = board.odds_board(shown, sides, odds, fair.selection_best(odds), prices, history)
     flat = F.flatten(F.transform("markets", lambda m: m["selections"]))
 
     def total(items, value):
