@@ -730,9 +730,10 @@ def _(t: Tables):
         F.when(F.col("n") % 2 == 0, 1).otherwise(2).cast("bigint").alias("sport_id"), F.col("n").alias("team_id"), name.alias("name"),
         X.search_key(name).alias("search_key"), F.array().cast("array<string>").alias("aliases"),
     )
-    sports = t("region").filter(F.col("r_regionkey") < 2).select(
-        (F.col("r_regionkey") + 1).cast("bigint").alias("sport_id"), F.when(F.col("r_regionkey") == 0, "epl").otherwise("cup").alias("sport_slug"), F.lit("Soccer").alias("grouping"),
-        F.lit(True).alias("active"), F.col("r_regionkey").alias("position"),
+    region = F.col("r_regionkey")
+    sports = t("region").select(
+        (region + 1).cast("bigint").alias("sport_id"), F.when(region == 0, "epl").otherwise(F.concat(F.lit("cup"), region.cast("string"))).alias("sport_slug"),
+        F.when(region < 3, "Soccer").otherwise("Other").alias("grouping"), F.lit(True).alias("active"), region.alias("position"),
     )
     rows = R.resolve_fixtures(tickers, sports, teams, t("fx_events"))
     return rows.select("ticker", "competition", "home_team_id", "away_team_id", "event_id", "commence_at", "matched")
