@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from marketlens.functions.text import (
@@ -229,14 +230,18 @@ def cluster_feed_events(feed: DataFrame) -> DataFrame:
     """Records of one fixture from several books: same league and team pair within six hours of the first.
 
     ``position`` is the feed order. A cluster depends only on the distinct start times of a pair in order
-    of first appearance, so the ordered fold runs over that short list and every record then looks up its
-    start time; the records themselves are never gathered.
+    of first appearance. Start times with a gap of more than six hours between them can never share a
+    cluster, so each run of close start times is folded on its own; every record then looks up its start
+    time, and the records themselves are never gathered.
     """
     rows = feed.filter(F.col("commence_at").isNotNull()).withColumn("pair", pair_key(F.col("home_team"), F.col("away_team")))
     keys = ["sport_slug", "pair"]
     starts = rows.groupBy(*keys, "commence_at").agg(F.min("position").alias("first"))
-    ordered = F.sort_array(F.collect_list(F.struct("first", F.unix_micros("commence_at").alias("t"))))
-    lists = starts.groupBy(*keys).agg(ordered.alias("starts"))
+    by_time = W.partitionBy(*keys).orderBy("t")
+    timed = starts.select(*keys, "first", F.unix_micros("commence_at").alias("t"))
+    gap = F.when(F.col("t") - F.lag("t").over(by_time) > EVENT_WINDOW_MICROS, 1).otherwise(0)
+    runs = timed.withColumn("gap", gap).withColumn("run", F.sum("gap").over(by_time))
+    lists = runs.groupBy(*keys, "run").agg(F.sort_array(F.collect_list(F.struct("first", "t"))).alias("starts"))
 
     def place(state: Column, s: Column) -> Column:
         hit = F.get(F.filter(state["anchors"], lambda a: F.abs(a - s["t"]) <= EVENT_WINDOW_MICROS), F.lit(0))
