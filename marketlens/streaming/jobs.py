@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from marketlens.functions.common import count_if
+from marketlens.functions.text import page_path
 from marketlens.operators import movement, ops, positions, settle
 from marketlens.operators.evidence import MIN_FILLS
 from marketlens.operators.web import is_page
-from marketlens.functions.text import page_path
 from marketlens.sources.tables import BucketedState, insert_ignore, keyed_upsert
 
 QUOTE_DELAY = "10 minutes"
@@ -226,7 +226,12 @@ def stream_alerts(
         pairs = ops.alert_matches(batch, open_subscriptions, F.current_timestamp()).select("alert_id", "subscription_id")
         matches = pairs.distinct().join(batch.select("alert_id", "raised_at"), "alert_id").persist()
         stored = state.read(batch_id, state.touched(matches))
-        sent = cooled_deliveries(matches, stored).persist()
+        seeds = subscriptions.select("subscription_id", F.col("last_sent_at").alias("seed_at"))
+        known = matches.select("subscription_id").distinct().join(stored, "subscription_id", "left").join(
+            seeds, "subscription_id", "left"
+        )
+        last = known.select("subscription_id", F.coalesce("last_sent_at", "seed_at").alias("last_sent_at"))
+        sent = cooled_deliveries(matches, last).persist()
         sent.write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
         newest = sent.groupBy("subscription_id").agg(F.max("sent_at").alias("last_sent_at"))
         state.write(keyed_upsert(stored, newest, ["subscription_id"]), batch_id)
