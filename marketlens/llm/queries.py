@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marketlens.llm import bpe, fingerprints, language, lines, neighbours, packing, sharding
+from marketlens.llm import bpe, fingerprints, jaccard, language, lines, neighbours, packing, sharding
 from marketlens.llm.tables import read_table
 
 SHARDS = 40
@@ -43,9 +43,13 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read_table(spark, sf_dir, "documents"))
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.document_links(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_sharding, op2_line_dedup, op3_packing, op6_neighbours, op7_language, op8_fingerprints, op9_bpe)
+    for f in (op1_sharding, op2_line_dedup, op3_packing, op6_neighbours, op7_language, op8_fingerprints, op9_bpe, op10_jaccard_join)
 }
 #: SQL for the queries that it can express within reason; the tests compare the others with brute force.
 ORACLES: dict[str, str] = {"op2_line_dedup": lines.ORACLE_SQL}

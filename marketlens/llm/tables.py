@@ -86,3 +86,46 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, fold: np.ndarray | None =
     terms = BYTE_CODES[text[inner]]
     terms *= powers[place]
     return mix(np.add.reduceat(terms, heads)), np.searchsorted(offsets, starts, "right") - 1
+
+
+def by_group(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Table]:
+    """One table per run of equal values in a column of integers; the rows must come sorted by it."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        values = batch.column(column).to_numpy(zero_copy_only=False)
+        cuts = [0, *(np.flatnonzero(values[1:] != values[:-1]) + 1).tolist(), len(values)]
+        for start, stop in zip(cuts, cuts[1:]):
+            if held and values[start] != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(start, stop - start))
+            last = values[start]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def shingle_hashes(data: np.ndarray, offsets: np.ndarray, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all runs of ``width`` words and the row of each, in order.
+
+    A row of fewer words has one run of all its words, a row without words none.
+    """
+    words, rows = word_hashes(data, offsets)
+    if not len(words):
+        return words, rows
+    factors = mix(np.arange(1, width + 1, dtype=np.uint64)) | np.uint64(1)
+    counts = np.bincount(rows, minlength=len(offsets) - 1)
+    total = np.zeros(len(words), np.uint64)
+    for k in range(width):
+        total[: len(words) - k] += words[k:] * factors[k]
+    full = np.zeros(len(words), bool)
+    if len(words) >= width:
+        full[: len(words) - width + 1] = rows[: len(words) - width + 1] == rows[width - 1 :]
+    firsts = np.flatnonzero(np.diff(rows, prepend=-1))
+    for first in firsts[counts[rows[firsts]] < width]:
+        size = counts[rows[first]]
+        total[first] = (words[first : first + size] * factors[:size]).sum(dtype=np.uint64) + np.uint64(size)
+        full[first] = True
+    return mix(total[full]), rows[full]
