@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marketlens.llm import bpe, fingerprints, jaccard, language, lines, neighbours, packing, repeats, sharding
+from marketlens.llm import bpe, fingerprints, jaccard, language, lines, neighbours, packing, repeats, scoring, sharding
 from marketlens.llm.tables import read_table
 
 SHARDS = 40
@@ -31,6 +31,10 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.dedup(read_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.score(read_table(spark, sf_dir, "documents"))
+
+
 def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.document_neighbours(read_table(spark, sf_dir, "embeddings"), QUERY_EVERY, NEIGHBOURS)
 
@@ -53,7 +57,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_sharding, op2_line_dedup, op3_packing, op4_suffix_dedup, op6_neighbours, op7_language, op8_fingerprints, op9_bpe, op10_jaccard_join)
+    for f in (op1_sharding, op2_line_dedup, op3_packing, op4_suffix_dedup, op5_lm_scoring, op6_neighbours, op7_language, op8_fingerprints, op9_bpe, op10_jaccard_join)
 }
 #: SQL for the queries that it can express within reason; the tests compare the others with brute force.
 ORACLES: dict[str, str] = {"op2_line_dedup": lines.ORACLE_SQL}
