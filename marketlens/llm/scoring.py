@@ -213,7 +213,7 @@ def counted_rows(found: DataFrame, order: int, lanes: int) -> DataFrame:
         bucket = table.column("bucket")[0].as_py()
         shard = Shard.counted(Occurrences(unpack(x.as_py() for x in table.column("note")), order), order)
         totals = np.concatenate([classes(shard.arrays[f"count{k}"]) for k in range(2, order + 1)])
-        rows = [(-1, bucket, totals.tolist(), None)]
+        rows = [(bucket % lanes, bucket, totals.tolist(), None)]
         words = shard.arrays["word"]
         lane = (mix(words) % np.uint64(lanes)).astype(np.int64)
         for x in np.unique(lane).tolist():
@@ -230,17 +230,24 @@ def counted_table(rows: list[tuple]) -> pa.Table:
 
 
 def summed_rows(counted: DataFrame) -> DataFrame:
-    """Per lane of tokens: its counts of counts, distinct and plain tokens, and for each bucket the sums it asked for."""
+    """Per lane of tokens: its counts of counts, distinct and plain tokens, and for each bucket the sums it asked for.
+
+    The counts of counts of buckets pass through, so that buckets are counted once; they bear lane -1.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         lane = table.column("lane")[0].as_py()
+        rows = [(-1, -1, x.as_py(), None) for x in table.column("totals") if x.is_valid]
+        table = table.filter(table.column("note").is_valid())
+        if not table.num_rows:
+            return counted_table(rows)
         sources = table.column("source").to_pylist()
         parts = unpack(x.as_py() for x in table.column("note"))
         words, back = np.unique(np.concatenate([p["word"] for p in parts]), return_inverse=True)
         before = np.bincount(back, np.concatenate([p["before"] for p in parts]), len(words)).astype(np.int64)
         plain = np.bincount(back, np.concatenate([p["plain"] for p in parts]), len(words)).astype(np.int64)
         totals = [*classes(before).tolist(), float(before.sum()), float(len(words)), float(plain.sum())]
-        rows = [(lane, -1, totals, None)]
+        rows.append((lane, -1, totals, None))
         at = 0
         for source, part in zip(sources, parts, strict=True):
             mine = back[at : at + len(part["word"])]
@@ -248,7 +255,7 @@ def summed_rows(counted: DataFrame) -> DataFrame:
             rows.append((lane, source, None, pack(word=part["word"], before=narrow(before[mine]), plain=narrow(plain[mine]))))
         return counted_table(rows)
 
-    return counted.filter("lane >= 0").groupBy("lane").applyInArrow(run, COUNTED)
+    return counted.groupBy("lane").applyInArrow(run, COUNTED)
 
 
 def totalled(rows: DataFrame, name: str) -> DataFrame:
@@ -338,7 +345,7 @@ def score(docs: DataFrame, parts: int = 7, left: int = 2, order: int = ORDER) ->
     every = F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("bucket")
     none = F.lit(None).cast("array<double>")
     answers = summed.filter("note IS NOT NULL").select(F.col("source").alias("bucket"), "note", none.alias("runs"), none.alias("tokens"))
-    for name, source in (("runs", counted), ("tokens", summed)):
+    for name, source in (("runs", summed.filter("lane < 0")), ("tokens", summed.filter("lane >= 0"))):
         other = "tokens" if name == "runs" else "runs"
         shared = totalled(source, name).select(every, F.lit(None).cast("binary").alias("note"), name, none.alias(other))
         answers = answers.unionByName(shared)
