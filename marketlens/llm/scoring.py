@@ -155,10 +155,9 @@ class Shard:
             for c in (1, 2, 3):
                 arrays[f"kinds{k}{c}"] = np.bincount(back, counts == c if c < 3 else counts >= c, len(contexts))
             weight = np.ones(len(at), np.int64)
-        words, back = np.unique(seen.word[at], return_inverse=True)
-        arrays["word"], arrays["before"] = words, np.bincount(back, minlength=len(words))
-        plain = seen.word[seen.train]
-        arrays["plain"] = np.bincount(np.searchsorted(words, plain), minlength=len(words))
+        arrays["word"] = words = np.unique(seen.word)  # all that are asked for, also by documents held out
+        arrays["before"] = np.bincount(np.searchsorted(words, seen.word[at]), minlength=len(words))
+        arrays["plain"] = np.bincount(np.searchsorted(words, seen.word[seen.train]), minlength=len(words))
         return cls(arrays)
 
     def save(self, folder: str) -> None:
@@ -246,7 +245,7 @@ def summed_rows(counted: DataFrame) -> DataFrame:
         words, back = np.unique(np.concatenate([p["word"] for p in parts]), return_inverse=True)
         before = np.bincount(back, np.concatenate([p["before"] for p in parts]), len(words)).astype(np.int64)
         plain = np.bincount(back, np.concatenate([p["plain"] for p in parts]), len(words)).astype(np.int64)
-        totals = [*classes(before).tolist(), float(before.sum()), float(len(words)), float(plain.sum())]
+        totals = [*classes(before).tolist(), float(before.sum()), float((plain > 0).sum()), float(plain.sum())]
         rows.append((lane, -1, totals, None))
         at = 0
         for source, part in zip(sources, parts, strict=True):
