@@ -299,8 +299,8 @@ def document_links(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 def one_per_class(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with one document of each class: the one of the least doc_id, of rows equal in it and in text the first met."""
     classes = text_classes(docs, threshold)
-    best = classes.filter("keeper").select("key", F.col("doc_id").alias("_least"))
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    rows = docs.withColumn("_key", text_key(F.col("text"))).join(best.withColumnRenamed("key", "_best"), F.col("_key") == F.col("_best"))
-    rows = rows.filter(F.col("doc_id").eqNullSafe(F.col("_least")))
-    return rows.dropDuplicates(["_key"]).select(*names)
+    best = classes.filter("keeper").select("key", F.col("doc_id").alias("least"))
+    whole = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    rows = docs.select(whole.alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("key")).join(best, "key")
+    rows = rows.filter(F.col("doc_id").eqNullSafe(F.col("least"))).dropDuplicates(["key"])
+    return rows.select(*[F.col(f"doc.c{i}").alias(c) for i, c in enumerate(docs.columns)])

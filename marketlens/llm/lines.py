@@ -54,15 +54,15 @@ def repeated(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataFra
     return found.join(first.drop("_last"), match).filter(place > F.col("_first")).select(*KEYS, "start", "lines")
 
 
-def dedup(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
-    """``docs`` with later repeated runs deleted from ``text``, and n_lines, n_removed, n_runs.
+def dedup(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, report: bool = True) -> DataFrame:
+    """``docs`` with later repeated runs deleted from ``text``, and, with ``report``, n_lines, n_removed, n_runs.
 
     Columns of ``docs`` that bear one of these names are replaced.
     """
-    names = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed", "n_runs")]
+    names = [c for c in docs.columns if not report or c.lower() not in ("n_lines", "n_removed", "n_runs")]
     text = F.coalesce(F.col("text"), F.lit("")).cast("string")
-    kept = [text.alias("text") if c == "text" else F.col(f"`{c}`") for c in names]
-    keyed = docs.select(*kept, F.col("doc_id").alias("_id"), F.xxhash64(text).alias("_hash"))
+    others = F.struct(F.lit(0), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names) if c != "text"])
+    keyed = docs.select(others.alias("others"), text.alias("text"), F.col("doc_id").alias("_id"), F.xxhash64(text).alias("_hash"))
     later = repeated(keyed.select(*KEYS, "text"), gram, window)
     length = gram + window - 1
     covered = later.groupBy(F.col("_id").alias("_l_id"), F.col("_hash").alias("_l_hash")).agg(
@@ -80,8 +80,11 @@ def dedup(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda z: z["a"]["line"]), "\n"))
     steps = F.arrays_zip(F.slice("_starts", 2, F.size("_starts")).alias("b"), F.slice("_starts", 1, F.size("_starts") - 1).alias("a"))
     n_runs = F.when(F.col("_gone").isNull(), 0).otherwise(1 + F.size(F.filter(steps, lambda z: z["b"] - z["a"] > length)))
+    columns = [text.alias("text") if c == "text" else F.col(f"others.c{i}").alias(c) for i, c in enumerate(names)]
+    if not report:
+        return joined.select(*columns)
     return joined.select(
-        *[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in names],
+        *columns,
         F.size(F.split("text", "\n")).cast("long").alias("n_lines"),
         F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"),
         n_runs.cast("long").alias("n_runs"),

@@ -78,6 +78,11 @@ def merged(parts: list[tuple[list, list]], k: int) -> tuple[list, list]:
     return [i for _, i in best], [-s for s, _ in best]
 
 
+def found_frame(rows: list[tuple]) -> pd.DataFrame:
+    kinds = {"query_id": "int64", "part": "int32", "ids": "object", "scores": "object"}
+    return pd.DataFrame(rows, columns=list(kinds)).astype(kinds)
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, column: str = "embedding", block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` rows of ``vectors`` with the largest inner product with each query."""
     if k < 1:
@@ -94,9 +99,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, column: str = "embed
 
     def search(key: tuple, ask: pd.DataFrame, have: pd.DataFrame) -> pd.DataFrame:
         if not len(ask) or not len(have):
-            return pd.DataFrame({"query_id": [], "part": [], "ids": [], "scores": []})
+            return found_frame([])
         found = best_of_block(np.vstack(ask["v"]), ask["vec_id"].to_numpy(), np.vstack(have["v"]), have["vec_id"].to_numpy(), k)
-        return pd.DataFrame([(q, int(key[1]), ids, scores) for q, ids, scores in found], columns=["query_id", "part", "ids", "scores"])
+        return found_frame([(q, int(key[1]), ids, scores) for q, ids, scores in found])
 
     rows = left.groupBy(*tile).cogroup(right.groupBy(*tile)).applyInPandas(search, FOUND)
     while blocks > 1:
@@ -114,7 +119,7 @@ def merge_parts(rows: DataFrame, k: int) -> DataFrame:
         for query, group, ids, scores in zip(part["query_id"], part["group"], part["ids"], part["scores"], strict=True):
             lists.setdefault((query, group), []).append((list(ids), list(scores)))
         out = [(query, group, *merged(parts, k)) for (query, group), parts in lists.items()]
-        return pd.DataFrame(out, columns=["query_id", "part", "ids", "scores"])
+        return found_frame(out)
 
     grouped = rows.withColumn("group", F.floor(F.col("part") / FAN_IN).cast("int")).withColumn("lane", F.pmod(F.xxhash64("query_id"), F.lit(256)))
     return grouped.groupBy("group", "lane").applyInPandas(merge, FOUND)

@@ -412,11 +412,11 @@ def deleted(table: pa.Table, notes: list[dict[str, np.ndarray]]) -> list[tuple[i
 
 
 def found_repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The documents in lanes and the notes of the spans to delete."""
+    """The documents in lanes, columns but ``text`` named by their place, and the notes of the spans to delete."""
     text = F.coalesce(F.col("text"), F.lit("")).cast("string")
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     buckets, lane_count = groups_for(total, BUCKET_BYTES), groups_for(total, LANE_BYTES)
-    kept = [text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
+    kept = [text.alias("text") if c == "text" else F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]
     keyed = docs.select(*kept, F.col("doc_id").cast("long").alias("_id"), F.xxhash64(text).alias("_hash"))
     keyed = keyed.withColumn("_lane", F.pmod(F.xxhash64("_id", "_hash"), F.lit(lane_count)).cast("int"))
     notes = cut(indexed_notes(anchor_notes(keyed, buckets), buckets))
@@ -425,23 +425,23 @@ def found_repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return lanes, notes.filter(F.col("kind") == SPANS).unionByName(windows)
 
 
-def dedup(docs: DataFrame) -> DataFrame:
-    """``docs`` with repeats deleted from ``text`` (bytes that no longer make a character are dropped), and n_bytes, n_removed,
-    n_spans and kept_sha256 of the exact bytes. Columns of these names are replaced."""
-    added = ("n_bytes", "n_removed", "n_spans", "kept_sha256")
+def dedup(docs: DataFrame, report: bool = True) -> DataFrame:
+    """``docs`` with repeats deleted from ``text`` (bytes that no longer make a character are dropped), and, with ``report``,
+    n_bytes, n_removed, n_spans and kept_sha256 of the exact bytes. Columns of these names are replaced."""
+    added = ("n_bytes", "n_removed", "n_spans", "kept_sha256") if report else ()
     names = [c for c in docs.columns if c.lower() not in added]
     fields = [T.StructField("text", T.StringType()) if c == "text" else docs.schema[c] for c in names]
-    schema = T.StructType([*fields, *(T.StructField(c, T.LongType()) for c in added[:3]), T.StructField(added[3], T.StringType())])
+    schema = T.StructType([*fields, *(T.StructField(c, T.StringType() if c == "kept_sha256" else T.LongType()) for c in added)])
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         table = opened(left)
         rows = deleted(table, unpack(x.as_py() for x in right.column("note")))
-        columns = {c: table.column(c) for c in names}
-        columns["text"] = pa.array([kept.decode(errors="ignore") for *_, kept in rows], pa.string())
-        for k, c in enumerate(added[:3]):
-            columns[c] = pa.array([row[k] for row in rows], pa.int64())
-        columns[added[3]] = pa.array([hashlib.sha256(kept).hexdigest() for *_, kept in rows], pa.string())
-        return pa.table(columns)
+        text = pa.array([kept.decode(errors="ignore") for *_, kept in rows], pa.string())
+        columns = [text if c == "text" else table.column(f"c{i}") for i, c in enumerate(names)]
+        if report:
+            columns += [pa.array([row[k] for row in rows], pa.int64()) for k in range(3)]
+            columns.append(pa.array([hashlib.sha256(kept).hexdigest() for *_, kept in rows], pa.string()))
+        return pa.table(columns, names=[*names, *added])
 
     lanes, spans = found_repeats(docs.select(*[F.col(f"`{c}`") for c in names]))
     return lanes.groupBy("lane").cogroup(spans.select("lane", "note").groupBy("lane")).applyInArrow(run, schema)

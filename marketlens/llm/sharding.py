@@ -7,7 +7,7 @@ all rows, and walks on while it lands outside the rows (cycle walking). The plac
 shard p mod shards, slot p div shards. Everything is a column expression.
 
 Null values hash and sort like any others; equal rows share a key and are numbered apart; an empty table gives an empty
-result. Columns must be groupable (no maps); other names do not matter, since added names are checked.
+result. Columns must be groupable (no maps). Columns may have any names but those that are added.
 """
 
 from __future__ import annotations
@@ -78,15 +78,17 @@ def shard(df: DataFrame, shards: int, seed: int = 0) -> DataFrame:
         raise ValueError("shards must be positive")
     if taken := [c for c in df.columns if c.lower() in (*ADDED, "row_count")]:
         raise ValueError(f"columns {taken} are taken; rename them first")
-    names = [F.col(f"`{c}`") for c in df.columns]
-    rows = numbered(df)
+    plain = df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(df.columns)])
+    names = [F.col(f"c{i}").alias(c) for i, c in enumerate(df.columns)]
+    rows = numbered(plain)
     count = F.col("row_count")
     rows = rows.withColumn("_high", F.greatest(F.ceil(F.sqrt(count.cast("double"))), F.lit(1)).cast("long"))
     rows = rows.withColumn("_low", F.ceil(count / F.col("_high")).cast("long"))
     rows = rows.withColumn("_start", feistel(F.col("row_number"), F.col("_high"), F.col("_low"), seed))
     place = walked(F.col("_start"), F.col("_high"), F.col("_low"), count, seed)
-    rows = rows.select(*names, "row_number", place.alias("position"))
-    return rows.withColumns({"shard": F.pmod("position", F.lit(shards)).cast("int"), "slot": F.floor(F.col("position") / shards).cast("long")})
+    rows = rows.withColumn("position", place)
+    shard_of, slot = F.pmod("position", F.lit(shards)).cast("int"), F.floor(F.col("position") / shards).cast("long")
+    return rows.select(*names, "row_number", "position", shard_of.alias("shard"), slot.alias("slot"))
 
 
 def shard_sizes(rows: int, shards: int) -> list[int]:
