@@ -47,7 +47,7 @@ def test_many_blocks(spark, monkeypatch):
 def test_odd_cases(spark):
     rows = vectors(60, 4)
     rows += [(60, None), (61, [0.0] * 4), (80, [float("nan"), 1.0, 1.0, 1.0]), (100, [float("inf"), 1.0, 1.0, 1.0]), (62, [None, 1.0, 1.0, 1.0]), (None, [1.0] * 4), (63, []), (120, [1.0, 2.0]), (64, [3.0, 1.0])]
-    rows += [(i, rows[0][1]) for i in range(200, 260)] + [(i, [1e-30, 1e30, 5.0, -2.0]) for i in (300, 301)]
+    rows += [(i, rows[0][1]) for i in range(200, 260)] + [(i, [2.0**-100, 2.0**60, 5.0, -2.0]) for i in (300, 301)]
     check(spark, rows, 20, 20, block=50)
     check(spark, rows[:1], 20, 20)
     check(spark, [], 20, 20)
