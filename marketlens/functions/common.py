@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -12,6 +12,11 @@ def js_round(x: Column, places: int = 0) -> Column:
     return F.floor(x * F.lit(factor) + F.lit(0.5)).cast("double") / F.lit(factor)
 
 
+def first_rows(rows: DataFrame, limit: int | None, *order: Column | str) -> DataFrame:
+    """The first ``limit`` rows in the given order; all rows, in no order, without a limit."""
+    return rows if limit is None else rows.orderBy(*order).limit(limit)
+
+
 def clamp(x: Column, low: float, high: float) -> Column:
     return F.least(F.lit(float(high)), F.greatest(F.lit(float(low)), x))
 

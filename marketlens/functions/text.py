@@ -188,8 +188,11 @@ def title_label(value: Column) -> Column:
     return F.array_join(parts, " ")
 
 
-def compact_text(value: Column, limit: int = 240) -> Column:
+def compact_text(value: Column, limit: int | None = None) -> Column:
+    """White space made single; with ``limit`` longer texts end in an ellipsis there."""
     text = F.trim(F.regexp_replace(F.coalesce(value, F.lit("")), r"\s+", " "))
+    if limit is None:
+        return text
     cut = F.concat(F.rtrim(F.substring(text, 1, limit - 1)), F.lit("…"))
     return F.when(F.length(text) <= limit, text).otherwise(cut)
 

@@ -10,7 +10,6 @@ from marketlens.functions.common import count_if, js_round
 from marketlens.functions.prices import american_text, implied_prob
 from marketlens.session import cut
 
-PAGE_LIMIT = 200
 HISTORY_POINTS = 30
 
 
@@ -40,11 +39,11 @@ def filter_events(
 
 
 def page_of_events(events: DataFrame, limit: int = 50, offset: int = 0) -> DataFrame:
-    """One page of events by start time; never more than 200.
+    """One page of events by start time.
 
     The page is checkpointed: it is read once, and the bulk reads of a board all start from the same rows.
     """
-    return cut(events.orderBy("commence_at", "event_id").offset(max(0, offset)).limit(min(PAGE_LIMIT, max(1, limit))))
+    return cut(events.orderBy("commence_at", "event_id").offset(max(0, offset)).limit(max(1, limit)))
 
 
 def page_envelope(rows: DataFrame, limit: int, offset: int = 0) -> DataFrame:
@@ -260,14 +259,15 @@ def pending_predictions(fair: DataFrame, selections: DataFrame, events: DataFram
     )
 
 
-def price_history(change_log: DataFrame, points: int = HISTORY_POINTS) -> DataFrame:
-    """The last ``points`` prices of each selection, numbered oldest first.
+def price_history(change_log: DataFrame, points: int | None = None) -> DataFrame:
+    """The prices of each selection, numbered from the newest; with ``points`` the last ones of each.
 
     The row-number filter lets Spark keep at most ``points`` rows per key before the shuffle, so a
     selection with a huge log stays small on both sides of it.
     """
     newest = W.partitionBy("selection_id").orderBy(F.desc("captured_at"), F.desc("id"))
-    kept = change_log.withColumn("back", F.row_number().over(newest)).filter(F.col("back") <= points)
+    kept = change_log.withColumn("back", F.row_number().over(newest))
+    kept = kept if points is None else kept.filter(F.col("back") <= points)
     return kept.select("selection_id", "id", "price", "captured_at", "back")
 
 

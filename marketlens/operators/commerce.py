@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketlens.functions.common import count_if, js_round, minus_days, ratio, sum_if
+from marketlens.functions.common import count_if, first_rows, js_round, minus_days, ratio, sum_if
 from marketlens.functions.text import currency_code, title_label
 from marketlens.operators.web import percentage
 
@@ -67,12 +67,12 @@ def payment_methods(payments: DataFrame) -> DataFrame:
     )
 
 
-def daily_orders(orders: DataFrame, limit: int = 30) -> DataFrame:
-    """Value and count per (day, currency), newest rows first."""
+def daily_orders(orders: DataFrame, limit: int | None = None) -> DataFrame:
+    """Value and count per (day, currency); with ``limit`` the newest rows."""
     rows = orders.groupBy(
         F.date_format("created_at", "yyyy-MM-dd").alias("date"), currency_code(F.col("currency")).alias("currency")
     ).agg(F.sum("total_amount").alias("value"), _count().alias("orders"))
-    return rows.orderBy(F.desc("date"), "currency").limit(limit)
+    return first_rows(rows, limit, F.desc("date"), "currency")
 
 
 def product_totals(orders: DataFrame, items: DataFrame) -> DataFrame:
@@ -85,8 +85,9 @@ def product_totals(orders: DataFrame, items: DataFrame) -> DataFrame:
     )
 
 
-def top_products(orders: DataFrame, items: DataFrame, products: DataFrame, limit: int = 10) -> DataFrame:
-    top = product_totals(orders, items).orderBy(F.desc("revenue"), "product_id", "currency").limit(limit)
+def top_products(orders: DataFrame, items: DataFrame, products: DataFrame, limit: int | None = None) -> DataFrame:
+    """Totals of each product and currency with the product's name; with ``limit`` those of the largest revenue."""
+    top = first_rows(product_totals(orders, items), limit, F.desc("revenue"), "product_id", "currency")
     named = products.select("product_id", "name", "category_id")
     rows = top.join(named, "product_id", "left")
     fallback = F.concat(F.lit("Product "), F.col("product_id").cast("string"))
@@ -94,7 +95,7 @@ def top_products(orders: DataFrame, items: DataFrame, products: DataFrame, limit
 
 
 def top_categories(top: DataFrame, categories: DataFrame) -> DataFrame:
-    """Category roll-up of the top products only."""
+    """Category roll-up of the given products."""
     rows = top.groupBy("category_id", "currency").agg(
         F.sum("quantity").alias("quantity"), F.sum("revenue").alias("revenue")
     )
@@ -128,18 +129,12 @@ def previous_start(as_of: Column, span: str) -> Column | None:
     return None
 
 
-def bucket_key(ts: Column, span: str, elapsed_days: Column | None = None) -> Column:
-    if span == "today":
-        return F.date_format(ts, "yyyy-MM-dd'T'HH")
-    if span in DAY_RANGES:
-        return F.date_format(ts, "yyyy-MM-dd")
-    if span == "year":
-        return F.date_format(ts, "yyyy-MM")
-    return (
-        F.when(elapsed_days > 730, F.date_format(ts, "yyyy"))
-        .when(elapsed_days > 90, F.date_format(ts, "yyyy-MM"))
-        .otherwise(F.date_format(ts, "yyyy-MM-dd"))
-    )
+BUCKET_FORMATS = {"hour": "yyyy-MM-dd'T'HH", "day": "yyyy-MM-dd", "month": "yyyy-MM", "year": "yyyy"}
+
+
+def bucket_unit(span: str, unit: str | None = None) -> str:
+    """The unit of a range's time buckets: the given one, else that of the range (months for 'all')."""
+    return unit or ("hour" if span == "today" else "day" if span in DAY_RANGES else "month")
 
 
 def change_pct(current: Column, previous: Column) -> Column:
@@ -192,24 +187,27 @@ def calendar(spark, start: Column, end: Column, key, hourly: bool = False) -> Da
     return spark.range(1).select(F.explode(days).alias("at")).select(key(F.col("at")).alias("bucket")).distinct()
 
 
-def dashboard_series(orders: DataFrame, as_of: Column, span: str = "30d") -> DataFrame:
-    """Orders and revenue per dense time bucket and currency; an empty bucket has zero orders."""
+def dashboard_series(orders: DataFrame, as_of: Column, span: str = "30d", unit: str | None = None) -> DataFrame:
+    """Orders and revenue per dense time bucket and currency; an empty bucket has zero orders.
+
+    ``unit`` (hour, day, month or year) overrides the range's own.
+    """
+    unit = bucket_unit(span, unit)
     first = orders.agg(F.min("created_at").alias("t")).scalar()
     start = period_start(as_of, span, first)
-    elapsed = (F.unix_micros(as_of) - F.unix_micros(start)) / F.lit(8.64e10)
     ts = F.col("created_at")
 
     def key(c: Column) -> Column:
-        return bucket_key(c, span, elapsed)
+        return F.date_format(c, BUCKET_FORMATS[unit])
 
     current = orders.filter((ts >= start) & (ts <= as_of))
     cells = current.groupBy(key(ts).alias("bucket"), currency_code(F.col("currency")).alias("currency")).agg(
         _count().alias("orders"), sum_if(~is_cancelled(F.col("status")), F.col("total_amount")).alias("revenue")
     )
-    grid = calendar(orders.sparkSession, start, as_of, key, hourly=span == "today")
-    # Currency codes are a short closed list, so the set of those in use fits one array.
-    codes = cells.agg(F.collect_set("currency").alias("codes")).scalar()
-    dense = grid.select("bucket", F.explode(codes).alias("currency"))
+    grid = calendar(orders.sparkSession, start, as_of, key, hourly=unit == "hour")
+    # The calendar is bounded by the range; the currencies are free text and stay rows.
+    buckets = grid.agg(F.collect_list("bucket").alias("buckets")).scalar()
+    dense = cells.select("currency").distinct().select(F.explode(buckets).alias("bucket"), "currency")
     return dense.join(cells, ["bucket", "currency"], "left").na.fill(0, ["orders", "revenue"])
 
 

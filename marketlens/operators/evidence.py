@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from marketlens.functions.common import clamp, count_if, js_round, minus_hours, pct_text
+from marketlens.functions.common import clamp, count_if, first_rows, js_round, minus_hours, pct_text
 from marketlens.operators.ordered import lagged
 
 WINDOW_HOURS = 24
@@ -19,21 +19,19 @@ PRIOR_WEIGHT = 6.0
 MAX_SIGNAL = 0.08
 MAX_TOTAL = 0.15
 MIN_FILLS = 8
-UNIVERSE_LIMIT = 400
-CANDIDATE_LIMIT = 40
 MIN_EDGE = 0.03
 
 
 def market_universe(
-    markets: DataFrame, venues: list[str] | None = None, categories: list[str] | None = None, limit: int = UNIVERSE_LIMIT
+    markets: DataFrame, venues: list[str] | None = None, categories: list[str] | None = None, limit: int | None = None
 ) -> DataFrame:
-    """Open markets with a real price, the most traded first."""
+    """Open markets with a real price; with ``limit`` the most traded of them."""
     rows = markets.filter((F.col("status") == "open") & (F.col("last_price") > 0.02) & (F.col("last_price") < 0.98))
     if venues:
         rows = rows.filter(F.col("venue").isin(venues))
     if categories:
         rows = rows.filter(F.lower("category").isin([c.lower() for c in categories]))
-    return rows.orderBy(F.desc("volume"), "market_id").limit(limit)
+    return first_rows(rows, limit, F.desc("volume"), "market_id")
 
 
 def market_flow(scored: DataFrame, traders: DataFrame, universe: DataFrame, as_of: Column) -> DataFrame:
@@ -328,14 +326,10 @@ def score_candidates(flow: DataFrame) -> DataFrame:
     )
 
 
-def build_candidates(flow: DataFrame, min_edge: float = MIN_EDGE, limit: int = CANDIDATE_LIMIT) -> DataFrame:
-    """Strongest candidates by edge times confidence."""
-    return (
-        score_candidates(flow)
-        .filter(F.abs("edge") >= min_edge)
-        .orderBy(F.desc(F.col("edge") * F.col("confidence")), "market_id")
-        .limit(limit)
-    )
+def build_candidates(flow: DataFrame, min_edge: float = MIN_EDGE, limit: int | None = None) -> DataFrame:
+    """Candidates of at least ``min_edge``; with ``limit`` the strongest by edge times confidence."""
+    rows = score_candidates(flow).filter(F.abs("edge") >= min_edge)
+    return first_rows(rows, limit, F.desc(F.col("edge") * F.col("confidence")), "market_id")
 
 
 def strategy_profiles(strategies: DataFrame) -> DataFrame:
@@ -353,41 +347,40 @@ def strategy_profiles(strategies: DataFrame) -> DataFrame:
     )
 
 
-def profile_universe(markets: DataFrame, profiles: DataFrame, limit: int = UNIVERSE_LIMIT) -> DataFrame:
-    """The most traded open markets of each filter, as (profile, min_edge, market) rows."""
+def profile_universe(markets: DataFrame, profiles: DataFrame, limit: int | None = None) -> DataFrame:
+    """The open markets of each filter, as (profile, min_edge, market) rows; with ``limit`` the most traded of each.
+
+    A filter meets the markets of its venue and category: filters are spread over the categories they name ('*' for
+    none) and the two venues a market can have ('*' for both), so that every row of the join is a match.
+    """
     live = markets.filter((F.col("status") == "open") & (F.col("last_price") > 0.02) & (F.col("last_price") < 0.98))
-    keyed = live.select(
-        "market_id", "volume", F.lower("category").alias("c"), F.explode(F.array("venue", F.lit("*"))).alias("venue_key")
-    )
-    matched = keyed.join(profiles, "venue_key").filter(
-        (F.size("wanted") == 0) | F.array_contains(F.col("wanted"), F.col("c"))
+    keyed = live.select("market_id", "volume", "venue", F.lower("category").alias("c"))
+    keyed = keyed.withColumn("venue_key", F.explode(F.array("venue", F.lit("*")))).withColumn(
+        "category_key", F.explode(F.array(F.coalesce("c", F.lit("")), F.lit("*")))
     )
+    wanted = F.when(F.size("wanted") == 0, F.array(F.lit("*"))).otherwise(F.array_distinct("wanted"))
+    asked = profiles.select("profile", "min_edge", "venue_key", F.explode(wanted).alias("category_key"))
+    matched = keyed.join(asked, ["venue_key", "category_key"]).select("profile", "min_edge", "market_id", "volume")
+    if limit is None:
+        return matched.drop("volume")
     order = W.partitionBy("profile").orderBy(F.desc("volume"), "market_id")
-    return (
-        matched.withColumn("rn", F.row_number().over(order))
-        .filter(F.col("rn") <= limit)
-        .select("profile", "min_edge", "market_id")
-    )
+    return matched.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= limit).drop("rn", "volume")
 
 
 def candidates_for_strategies(
-    scored: DataFrame, universe: DataFrame, strategies: DataFrame, limit: int = CANDIDATE_LIMIT
+    scored: DataFrame, universe: DataFrame, strategies: DataFrame, limit: int | None = None
 ) -> DataFrame:
-    """Candidates of every strategy under its own filters, at most ``limit`` each.
+    """Candidates of every strategy under its own filters, ranked; with ``limit`` at most so many each.
 
     ``scored`` is ``score_candidates`` over the markets of ``universe`` (``profile_universe``). Lists are
-    ranked once per distinct filter and only the short lists meet the strategies.
+    ranked once per distinct filter before they meet the strategies.
     """
     ranked = W.partitionBy("profile").orderBy(F.desc(F.col("edge") * F.col("confidence")), "market_id")
-    lists = (
-        universe.join(scored, "market_id")
-        .filter(F.abs("edge") >= F.col("min_edge"))
-        .withColumn("rank", F.row_number().over(ranked))
-        .filter(F.col("rank") <= limit)
-        .drop("min_edge")
-    )
+    lists = universe.join(scored, "market_id").filter(F.abs("edge") >= F.col("min_edge")).withColumn("rank", F.row_number().over(ranked))
+    if limit is not None:
+        lists = lists.filter(F.col("rank") <= limit)
     key = F.xxhash64("venue", F.sort_array(F.coalesce("categories", F.array())), "min_edge")
-    return strategies.withColumn("profile", key).drop("venue", "categories").join(lists, "profile").drop("profile")
+    return strategies.withColumn("profile", key).drop("venue", "categories").join(lists.drop("min_edge"), "profile").drop("profile")
 
 
 RUNG_SPAN = 100_000

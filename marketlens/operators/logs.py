@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marketlens.functions.common import count_if, js_round, minus_days, minus_hours, ratio
+from marketlens.functions.common import count_if, first_rows, js_round, minus_days, minus_hours, ratio
 from marketlens.functions.text import compact_text, strip_query
 from marketlens.operators.web import percentage
 
@@ -171,23 +171,24 @@ def slowest_requests(requests: DataFrame, limit: int = 5) -> DataFrame:
     return top.select("id", "method", strip_query(F.col("path")).alias("path"), "status_code", "duration_ms", "created_at")
 
 
-def slowest_queries(logs: DataFrame, threshold: float = 100.0, limit: int = 5) -> DataFrame:
+def slowest_queries(logs: DataFrame, threshold: float = 100.0, limit: int = 5, length: int | None = None) -> DataFrame:
+    """The longest of the slow queries, white space made single; with ``length`` their text is shortened to it."""
     top = slow_queries(logs, threshold).orderBy(F.desc("duration"), F.desc("id")).limit(limit)
-    return top.select("id", compact_text(F.col("query")).alias("query"), "duration", "status", "connection", "executed_at")
+    return top.select("id", compact_text(F.col("query"), length).alias("query"), "duration", "status", "connection", "executed_at")
 
 
-def http_metrics(requests: DataFrame, sample: int = 1000) -> DataFrame:
-    """Mean duration and success and error rates over the newest requests, with the count of all."""
-    newest = requests.orderBy(F.desc("created_at"), F.desc("id")).limit(sample)
+def http_metrics(requests: DataFrame, sample: int | None = None) -> DataFrame:
+    """Mean duration and success and error rates over all requests, or the newest ``sample``, with the count of all."""
     status = F.col("status_code")
-    sums = newest.agg(
+    sums = first_rows(requests, sample, F.desc("created_at"), F.desc("id")).agg(
         _n().alias("sampled"),
         F.coalesce(js_round(F.avg("duration_ms")), F.lit(0.0)).alias("average_ms"),
         count_if((status >= 200) & (status < 400)).alias("ok"),
         count_if(status >= 400).alias("bad"),
     )
+    total = F.col("sampled") if sample is None else requests.agg(_n()).scalar()
     return sums.select(
-        requests.agg(_n()).scalar().alias("total"),
+        total.alias("total"),
         "sampled",
         "average_ms",
         ratio(F.col("ok") * 100.0, F.col("sampled"), None).alias("success_rate"),
@@ -312,13 +313,16 @@ def daily_rollup(df: DataFrame, ts: str, as_of: Column, days: int, value: str |
     return grid.join(cells, "day", "left").na.fill(0)
 
 
-def global_search(tables: dict[str, tuple[DataFrame, str, list[str]]], needle: str, per_table: int = 5) -> DataFrame:
-    """First matches of each table, lowest id first: ``tables`` maps name to (rows, id column, fields)."""
+def global_search(tables: dict[str, tuple[DataFrame, str, list[str]]], needle: str, per_table: int | None = None) -> DataFrame:
+    """Matches of each table, with ``per_table`` those of the lowest ids: ``tables`` maps name to (rows, id column, fields)."""
     parts = [
-        df.filter(contains_any(fields, needle))
-        .select(F.lit(name).alias("table"), F.col(key).cast("bigint").alias("id"), F.col(fields[0]).cast("string").alias("title"))
-        .orderBy("id")
-        .limit(per_table)
+        first_rows(
+            df.filter(contains_any(fields, needle)).select(
+                F.lit(name).alias("table"), F.col(key).cast("bigint").alias("id"), F.col(fields[0]).cast("string").alias("title")
+            ),
+            per_table,
+            "id",
+        )
         for name, (df, key, fields) in tables.items()
     ]
     return reduce(lambda a, b: a.unionByName(b), parts)
@@ -351,11 +355,12 @@ def retention_prune(df: DataFrame, ts: str, as_of: Column, days: int = RETENTION
     return df.filter(F.col(ts) >= minus_days(as_of, days))
 
 
-def pressure_samples(samples: DataFrame, as_of: Column, hours: float = 24, limit: int = 60) -> DataFrame:
-    """Newest samples of each organisation in a window, numbered oldest first by time."""
+def pressure_samples(samples: DataFrame, as_of: Column, hours: float = 24, limit: int | None = None) -> DataFrame:
+    """Samples of each organisation in a window, numbered from the newest; with ``limit`` the newest of each."""
     order = W.partitionBy("org").orderBy(F.desc("sampled_at"), F.desc("id"))
     rows = samples.filter(F.col("sampled_at") >= minus_hours(as_of, hours))
-    return rows.withColumn("back", F.row_number().over(order)).filter(F.col("back") <= limit)
+    rows = rows.withColumn("back", F.row_number().over(order))
+    return rows if limit is None else rows.filter(F.col("back") <= limit)
 
 
 def job_history(active: DataFrame, failed: DataFrame) -> DataFrame:

@@ -192,7 +192,7 @@ def entitlements(subscriptions: DataFrame, as_of: Column) -> DataFrame:
     )
 
 
-def discussion_threads(notes: DataFrame, limit: int | None = 12) -> DataFrame:
+def discussion_threads(notes: DataFrame, limit: int | None = None) -> DataFrame:
     """Note counts by stance and the newest three notes per market; hidden notes stay out."""
     shown = notes.filter(~F.col("hidden"))
     counts = shown.groupBy("market_id").agg(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketlens.functions.common import clamp, count_if, js_round, minus_hours, ratio
+from marketlens.functions.common import clamp, count_if, first_rows, js_round, minus_hours, ratio
 
 WHALE_SINGLE_FILL = 10_000.0
 WHALE_TOTAL = 100_000.0
@@ -61,27 +61,27 @@ def display_name(alias: Column, wallet: Column) -> Column:
     return F.when(F.coalesce(alias, F.lit("")) != "", alias).otherwise(short)
 
 
-def smart_money(traders: DataFrame, limit: int = 50) -> DataFrame:
+def smart_money(traders: DataFrame, limit: int | None = None) -> DataFrame:
     """Best traders with a record or whale size, by score then notional."""
     rows = traders.filter((F.col("resolved_trade_count") >= MIN_RESOLVED) | F.col("is_whale"))
     if "wallet" in rows.columns:
         rows = rows.withColumn("name", display_name(F.col("alias"), F.col("wallet")))
-    return rows.orderBy(F.desc("smart_score"), F.desc("total_notional"), "trader_id").limit(limit)
+    return first_rows(rows, limit, F.desc("smart_score"), F.desc("total_notional"), "trader_id")
 
 
-def big_trades(fills: DataFrame, markets: DataFrame, traders: DataFrame, limit: int = 30) -> DataFrame:
-    """Largest fills with their market and trader; the top rows are cut before anything is joined."""
-    top = fills.orderBy(F.desc("notional"), "trade_id").limit(limit)
+def big_trades(fills: DataFrame, markets: DataFrame, traders: DataFrame, limit: int | None = None) -> DataFrame:
+    """Fills with their market and trader; with ``limit`` the largest, cut before anything is joined."""
+    top = first_rows(fills, limit, F.desc("notional"), "trade_id")
     named = traders.select("trader_id", *[c for c in ("alias", "smart_score", "is_whale") if c in traders.columns])
     return top.join(markets.select("market_id", "venue", "question"), "market_id").join(named, "trader_id", "left")
 
 
-def graph_traders(traders: DataFrame, limit: int = 40) -> DataFrame:
+def graph_traders(traders: DataFrame, limit: int | None = None) -> DataFrame:
     rows = traders.filter(
         (F.col("trade_count") > 0)
         & ((F.col("resolved_trade_count") >= MIN_RESOLVED) | F.col("is_whale") | (F.col("total_notional") > 0))
     )
-    return rows.orderBy(F.desc("smart_score"), F.desc("total_notional"), "trader_id").limit(limit)
+    return first_rows(rows, limit, F.desc("smart_score"), F.desc("total_notional"), "trader_id")
 
 
 def graph_links(scored: DataFrame, traders: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketlens.functions.common import count_if, js_round, minus_days, sum_if
+from marketlens.functions.common import count_if, first_rows, js_round, minus_days, sum_if
 from marketlens.functions.text import browser_name, currency_code, device_name, page_path, title_label
 
 RANGE_DAYS = {"day": 1, "week": 7, "month": 30, "year": 365}
@@ -162,11 +162,11 @@ def analytics_events(events: DataFrame, as_of: Column, span: str = "month") -> D
     return rows.withColumn("category", category).withColumn("currency", currency_code(F.col("currency")))
 
 
-def event_totals(events: DataFrame, limit: int = 100) -> DataFrame:
+def event_totals(events: DataFrame, limit: int | None = None) -> DataFrame:
     rows = events.groupBy("name", "category", "currency").agg(
         F.count(F.lit(1)).alias("count"), F.sum("value").alias("value"), F.max("created_at").alias("last_seen")
     )
-    return rows.orderBy(F.desc("count"), "name", "category", "currency").limit(limit)
+    return first_rows(rows, limit, F.desc("count"), "name", "category", "currency")
 
 
 def event_categories(events: DataFrame) -> DataFrame:

@@ -135,12 +135,12 @@ def _(t: Tables):
 def _(t: Tables):
     from marketlens.functions.text import compact_text
 
-    return t("documents").select("doc_id", compact_text(F.col("text")).alias("short"))
+    return t("documents").select("doc_id", compact_text(F.col("text"), 240).alias("short"))
 
 
 @query(
     "http_metrics",
-    """WITH n AS (SELECT * FROM fx_requests ORDER BY created_at DESC, id DESC LIMIT 1000) SELECT (SELECT count(*) FROM fx_requests) AS total, count(*) AS sampled, floor(avg(duration_ms) + 0.5) AS average_ms,
+    """WITH n AS (SELECT * FROM fx_requests) SELECT (SELECT count(*) FROM fx_requests) AS total, count(*) AS sampled, floor(avg(duration_ms) + 0.5) AS average_ms,
        count(*) FILTER (WHERE status_code BETWEEN 200 AND 399) * 100 / count(*) AS success_rate, count(*) FILTER (WHERE status_code >= 400) * 100 / count(*) AS error_rate FROM n""",
     dbl="average_ms success_rate error_rate",
 )
@@ -274,6 +274,7 @@ def _(t: Tables):
             "pages": (t("pages"), "page_id", ["url", "html"]),
         },
         "RING",
+        per_table=5,
     )
 
 
@@ -306,7 +307,7 @@ def _(t: Tables):
     dbl="pressure",
 )
 def _(t: Tables):
-    return L.pressure_samples(t("fx_samples"), tape_as_of(t), hours=72)
+    return L.pressure_samples(t("fx_samples"), tape_as_of(t), hours=72, limit=60)
 
 
 JOBS_SQL = """

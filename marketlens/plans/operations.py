@@ -144,7 +144,7 @@ def _(t: Tables):
     SELECT c.*, l.latest FROM c JOIN (SELECT market_id, string_agg(CAST(note_id AS VARCHAR), ',' ORDER BY rn) AS latest FROM s WHERE rn <= 3 GROUP BY 1) l ON l.market_id = c.market_id""",
 )
 def _(t: Tables):
-    rows = ops.discussion_threads(t("fx_notes"))
+    rows = ops.discussion_threads(t("fx_notes"), limit=12)
     ids = F.array_join(F.transform("latest", lambda n: n["note_id"].cast("string")), ",")
     return rows.withColumn("latest", ids)
 

@@ -272,7 +272,7 @@ def _(t: Tables):
     sides = t("fx_selections").join(shown.select("event_id"), "event_id", "left_semi")
     ids = sides.select("selection_id")
     odds = t("fx_odds").join(ids, "selection_id", "left_semi")
-    history = board.history_arrays(board.price_history(t("fx_snapshots").join(ids, "selection_id", "left_semi")))
+    history = board.history_arrays(board.price_history(t("fx_snapshots").join(ids, "selection_id", "left_semi"), board.HISTORY_POINTS))
     prices = fair.fair_prices(odds, sides, t("fx_books"))
     page = board.odds_board(shown, sides, odds, fair.selection_best(odds), prices, history)
     flat = F.flatten(F.transform("markets", lambda m: m["selections"]))
@@ -380,7 +380,7 @@ def _(t: Tables):
     dbl="price",
 )
 def _(t: Tables):
-    return board.price_history(t("fx_snapshots"))
+    return board.price_history(t("fx_snapshots"), board.HISTORY_POINTS)
 
 
 @query(

@@ -52,7 +52,7 @@ def _(t: Tables):
     dbl="value",
 )
 def _(t: Tables):
-    return C.daily_orders(_year(t))
+    return C.daily_orders(_year(t), limit=30)
 
 
 TOP_SQL = f"""
@@ -61,18 +61,21 @@ top AS (SELECT t.*, coalesce(p.name, concat('Product ', CAST(t.product_id AS VAR
 """
 
 
-def _top(t: Tables):
-    return C.top_products(_year(t), t("fx_items"), t("fx_products"))
+ALL_SQL = TOP_SQL.replace(" ORDER BY revenue DESC, product_id, currency LIMIT 10", "")
+
+
+def _top(t: Tables, limit: int | None = None):
+    return C.top_products(_year(t), t("fx_items"), t("fx_products"), limit)
 
 
 @query("top_products", f"WITH {TOP_SQL} SELECT * FROM top", dbl="revenue", big="quantity")
 def _(t: Tables):
-    return _top(t)
+    return _top(t, limit=10)
 
 
 @query(
     "top_product_categories",
-    f"""WITH {TOP_SQL} SELECT t.category_id, t.currency, coalesce(c.name, 'Uncategorized') AS name, sum(quantity) AS quantity, sum(revenue) AS revenue
+    f"""WITH {ALL_SQL} SELECT t.category_id, t.currency, coalesce(c.name, 'Uncategorized') AS name, sum(quantity) AS quantity, sum(revenue) AS revenue
     FROM top t LEFT JOIN fx_categories c ON c.category_id = t.category_id GROUP BY 1, 2, 3""",
     dbl="revenue",
     big="quantity",
@@ -119,7 +122,7 @@ def _(t: Tables):
     dbl="revenue",
 )
 def _(t: Tables):
-    return C.dashboard_series(t("fx_shop_orders"), now(t), "all")
+    return C.dashboard_series(t("fx_shop_orders"), now(t), "all", unit="year")
 
 
 @query(

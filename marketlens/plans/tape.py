@@ -48,7 +48,7 @@ def _(t: Tables):
     dbl=TRADER_DOUBLES,
 )
 def _(t: Tables):
-    return tape.smart_money(trader_table(t))
+    return tape.smart_money(trader_table(t), limit=50)
 
 
 @query(
@@ -59,11 +59,11 @@ def _(t: Tables):
     dbl="price notional smart_score",
 )
 def _(t: Tables):
-    return tape.big_trades(t("fx_trades"), t("fx_prediction_markets"), trader_table(t))
+    return tape.big_trades(t("fx_trades"), t("fx_prediction_markets"), trader_table(t), limit=30)
 
 
 GRAPH_SQL = """
-top AS (SELECT * FROM ref_traders WHERE trade_count > 0 ORDER BY smart_score DESC, total_notional DESC, trader_id LIMIT 40),
+top AS (SELECT * FROM ref_traders WHERE trade_count > 0),
 links AS (SELECT concat('t:', CAST(s.trader_id AS VARCHAR)) AS source, concat('m:', CAST(s.market_id AS VARCHAR)) AS target, s.market_id,
             sum(s.notional) AS value, count(*) AS trades, count(*) FILTER (WHERE is_winner = 1) AS wins, count(*) FILTER (WHERE is_winner = 0) AS losses
           FROM ref_scored s JOIN top ON top.trader_id = s.trader_id GROUP BY 1, 2, 3)
@@ -148,8 +148,7 @@ _register_signal("sig_cross_venue", "cross_venue", evidence.cross_venue, _with_p
 
 @query(
     "build_candidates",
-    """SELECT market_id, venue, side, market_price, fair_value, edge, confidence FROM ref_candidates WHERE abs(edge) >= 0.005
-    ORDER BY edge * confidence DESC, market_id LIMIT 40""",
+    """SELECT market_id, venue, side, market_price, fair_value, edge, confidence FROM ref_candidates WHERE abs(edge) >= 0.005""",
     dbl="market_price fair_value edge confidence",
 )
 def _(t: Tables):

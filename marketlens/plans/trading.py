@@ -182,7 +182,7 @@ STRATEGY_CANDIDATES = """
 sc AS (SELECT s.strategy_id, s.bankroll, s.max_stake, s.min_confidence, c.*,
          row_number() OVER (PARTITION BY s.strategy_id ORDER BY c.edge * c.confidence DESC, c.market_id) AS rk
        FROM fx_strategies s JOIN ref_candidates c ON (s.venue = 'both' OR s.venue = c.venue) AND abs(c.edge) >= s.min_edge),
-sz AS (SELECT *, (fair_value - market_price) / (1 - market_price) AS kelly, least(fair_value, market_price + 0.01) AS limit_price, edge > 0 AS accept FROM sc WHERE rk <= 40),
+sz AS (SELECT *, (fair_value - market_price) / (1 - market_price) AS kelly, least(fair_value, market_price + 0.01) AS limit_price, edge > 0 AS accept FROM sc),
 st AS (SELECT *, CASE WHEN accept AND confidence >= min_confidence AND kelly > 0
          THEN floor(least(bankroll * kelly * 0.25 * confidence, max_stake, bankroll) * 100) / 100 ELSE 0 END AS stake FROM sz),
 fin AS (SELECT *, CAST(floor(stake / limit_price) AS BIGINT) AS size FROM st)

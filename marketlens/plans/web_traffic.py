@@ -127,7 +127,7 @@ def _events(t: Tables):
     dbl="value",
 )
 def _(t: Tables):
-    return web.event_totals(_events(t))
+    return web.event_totals(_events(t), limit=100)
 
 
 @query(

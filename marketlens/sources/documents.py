@@ -75,25 +75,33 @@ def normalise_schedule(documents: DataFrame) -> DataFrame:
 
 
 ENTRY = "struct<team: struct<id: string, displayName: string>, stats: array<struct<name: string, value: double>>>"
-STANDINGS_LEVELS = 4
+STANDINGS_LEVELS = 6
 
 
 def _group(depth: int) -> str:
     own = f"name: string, standings: struct<entries: array<{ENTRY}>>"
-    return f"struct<{own}>" if depth == 0 else f"struct<{own}, children: array<{_group(depth - 1)}>>"
+    return f"struct<{own}, children: array<{'string' if depth == 0 else _group(depth - 1)}>>"
 
 
-STANDINGS_SCHEMA = f"sport string, root {_group(STANDINGS_LEVELS - 1)}"
+def standings_schema(levels: int = STANDINGS_LEVELS) -> str:
+    """Schema of standings documents nested so many levels deep; what lies below the last stays text."""
+    return f"sport string, root {_group(levels - 1)}"
 
 
-def standings_from_stats(documents: DataFrame) -> DataFrame:
-    """Entries of every nesting level with their named statistics as columns."""
+STANDINGS_SCHEMA = standings_schema()
+
+
+def standings_from_stats(documents: DataFrame, levels: int = STANDINGS_LEVELS) -> DataFrame:
+    """Entries of every nesting level with their named statistics as columns; deeper documents are an error."""
     level = documents.select("sport", F.col("root").alias("g"))
     entries = None
-    for depth in range(STANDINGS_LEVELS):
+    for depth in range(levels):
+        if depth == levels - 1:
+            deeper = F.raise_error(F.lit(f"standings are nested more than {levels} levels deep"))
+            level = level.filter(F.when(F.size("g.children") > 0, deeper.cast("boolean")).otherwise(F.lit(True)))
         here = level.select("sport", F.col("g.name").alias("group_name"), F.explode("g.standings.entries").alias("e"))
         entries = here if entries is None else entries.unionByName(here)
-        if depth < STANDINGS_LEVELS - 1:
+        if depth < levels - 1:
             level = level.select("sport", F.explode("g.children").alias("g"))
 
     def stat(name: str) -> Column:
@@ -135,9 +143,9 @@ def injuries_from_feed(documents: DataFrame) -> DataFrame:
     return rows.filter((F.coalesce("team", F.lit("")) != "") & (athlete != "")).select(
         "sport",
         "team",
-        F.substring(athlete, 1, 120).alias("athlete"),
-        F.substring(F.coalesce("i.status", F.lit("")), 1, 60).alias("status"),
-        F.substring(F.coalesce("i.details.type", F.lit("")), 1, 80).alias("injury_type"),
+        athlete.alias("athlete"),
+        F.coalesce("i.status", F.lit("")).alias("status"),
+        F.coalesce("i.details.type", F.lit("")).alias("injury_type"),
         injury_severity(F.col("i.status")).alias("severity"),
     )
 
