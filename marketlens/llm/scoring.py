@@ -2,8 +2,8 @@
 
 Every occurrence of a run of n tokens is dealt by the token before its last, which is part of all contexts but the empty one,
 so that a bucket can count runs and contexts of all orders above one by itself. A bucket's model is a shard of sorted hash
-arrays; a worker writes it to a scratch file, maps it into memory, looks up the bucket's occurrences and removes the
-file. What depends on the last token alone (its continuation and plain counts) is summed by token and sent back to the
+arrays; a worker writes them to scratch files one order at a time, maps them into memory, looks up the bucket's
+occurrences and removes the files. What depends on the last token alone (its continuation and plain counts) is summed by token and sent back to the
 buckets that asked. Discounts come from counts of counts over the whole corpus. Per document, a bucket returns one sum.
 
 The occurrences are shuffled once: counting and scoring read the same exchange.
@@ -18,6 +18,7 @@ from __future__ import annotations
 import os
 import tempfile
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ from marketlens.llm.tables import LOWER, MULTIPLIER, groups_for, mix, slices, te
 
 ORDER = 3
 #: Text whose occurrences make a batch, a bucket, and whose documents' sums and tokens' counts make a lane.
-BATCH_BYTES, BUCKET_BYTES, LANE_BYTES = 24 << 20, 32 << 20, 32 << 20
+BATCH_BYTES, BUCKET_BYTES, LANE_BYTES = 32 << 20, 24 << 20, 32 << 20
 BEGIN, END = mix(np.array([101, 102], np.uint64))
 NOTES = "bucket int, note binary"
 COUNTED = "lane int, source int, totals array<double>, note binary"
@@ -53,6 +54,16 @@ def narrow(values: np.ndarray) -> np.ndarray:
     return values.astype(np.uint8 if top < 256 else np.uint16 if top < 65536 else np.uint32)
 
 
+def planes(values: np.ndarray) -> np.ndarray:
+    """The bytes of the values, all lowest ones first, which packs better than whole values."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T)
+
+
+def unplanes(bytes_of: np.ndarray) -> np.ndarray:
+    width, n = bytes_of.shape
+    return np.ascontiguousarray(bytes_of.T).reshape(-1).view(f"<u{width}") if n else np.zeros(0, np.uint8)
+
+
 def occurrence_notes(docs: DataFrame, buckets: int, order: int) -> DataFrame:
     """(bucket, note): the occurrences of each batch of documents, dealt by the token before the last."""
 
@@ -75,15 +86,17 @@ def occurrence_notes(docs: DataFrame, buckets: int, order: int) -> DataFrame:
         for b in range(buckets):
             use = by_bucket[cuts[b] : cuts[b + 1]]
             if len(use):
-                present = np.zeros(len(words), bool)
-                for k in range(order):
-                    present[number[k, use]] = True
-                place = np.cumsum(present) - 1
-                tokens = {f"t{k}": narrow(place[number[k, use]]) for k in range(order)}
+                times = sum(np.bincount(number[k, use], minlength=len(words)) for k in range(order))
+                present = np.flatnonzero(times)
+                present = present[np.argsort(-times[present], kind="stable")]  # frequent ones get small numbers
+                place = np.zeros(len(words), np.int32)
+                place[present] = np.arange(len(present))
+                tokens = {f"t{k}": planes(narrow(place[number[k, use]])) for k in range(order)}
                 there = np.zeros(len(docs_of["row"]), bool)
                 there[doc[use]] = True
                 used = {n: c[there] for n, c in docs_of.items()}
-                out.append((b, pack(words=words[present], doc=narrow((np.cumsum(there) - 1)[doc[use]]), **tokens, **used)))
+                steps = np.diff((np.cumsum(there) - 1)[doc[use]], prepend=0) % int(there.sum())
+                out.append((b, pack(words=words[present], doc=planes(narrow(steps)), **tokens, **used)))
         return pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], names=["bucket", "note"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,8 +129,9 @@ class Occurrences:
     def __init__(self, parts: list[dict[str, np.ndarray]], order: int):
         self.docs = joined([{n: p[n] for n in ("row", "id", "null", "held")} for p in parts])
         shift = np.cumsum([0, *(len(p["row"]) for p in parts)])
-        self.doc = np.concatenate([p["doc"].astype(np.int64) + s for p, s in zip(parts, shift, strict=False)])
-        tokens = [np.concatenate([p["words"][p[f"t{k}"]] for p in parts]) for k in range(order)]
+        docs = [np.cumsum(unplanes(p["doc"]).astype(np.int64)) % len(p["row"]) for p in parts]
+        self.doc = np.concatenate([d + s for d, s in zip(docs, shift, strict=False)])
+        tokens = [np.concatenate([p["words"][unplanes(p[f"t{k}"])] for p in parts]) for k in range(order)]
         self.word = tokens[0]
         self.train = ~self.docs["held"][self.doc]
         self.context, past = {}, np.zeros(len(self.word), np.uint64)
@@ -149,25 +163,26 @@ class Shard:
             counts = np.bincount(back, weight, len(runs)).astype(np.int64)
             at = at[first]
             contexts, back = np.unique(seen.context[k][at], return_inverse=True)
-            arrays[f"run{k}"], arrays[f"count{k}"] = runs, counts
+            arrays[f"run{k}"], arrays[f"count{k}"] = runs, narrow(counts)
             arrays[f"context{k}"] = contexts
-            arrays[f"total{k}"] = np.bincount(back, counts, len(contexts))
+            arrays[f"total{k}"] = narrow(np.bincount(back, counts, len(contexts)))
             for c in (1, 2, 3):
-                arrays[f"kinds{k}{c}"] = np.bincount(back, counts == c if c < 3 else counts >= c, len(contexts))
+                arrays[f"kinds{k}{c}"] = narrow(np.bincount(back, counts == c if c < 3 else counts >= c, len(contexts)))
             weight = np.ones(len(at), np.int64)
         arrays["word"] = words = np.unique(seen.word)  # all that are asked for, also by documents held out
         arrays["before"] = np.bincount(np.searchsorted(words, seen.word[at]), minlength=len(words))
         arrays["plain"] = np.bincount(np.searchsorted(words, seen.word[seen.train]), minlength=len(words))
         return cls(arrays)
 
-    def save(self, folder: str) -> None:
-        for name, values in self.arrays.items():
-            np.save(os.path.join(folder, f"{name}.npy"), values)
-
-    @classmethod
-    def mapped(cls, folder: str) -> Shard:
-        names = [f[:-4] for f in os.listdir(folder) if f.endswith(".npy")]
-        return cls({n: np.load(os.path.join(folder, f"{n}.npy"), mmap_mode="r") for n in names})
+    @contextmanager
+    def mapped(self, folder: str, *names: str) -> Iterator[Shard]:
+        """The named arrays out of memory, as files mapped into it; the files go when they have been used."""
+        paths = {name: os.path.join(folder, f"{name}.npy") for name in names}
+        for name, path in paths.items():
+            np.save(path, self.arrays.pop(name))
+        yield Shard({name: np.load(path, mmap_mode="r") for name, path in paths.items()})
+        for path in paths.values():
+            os.remove(path)
 
     def find(self, name: str, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where the keys stand in a sorted array, and whether they are there."""
@@ -176,18 +191,19 @@ class Shard:
         at[at == len(have)] = 0
         return at, (have[at] == keys) if len(have) else np.zeros(len(keys), bool)
 
-    def mixture(self, seen: Occurrences, order: int, discounts: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    def mixture(self, seen: Occurrences, order: int, discounts: dict[int, np.ndarray], folder: str) -> tuple[np.ndarray, np.ndarray]:
         """Per occurrence, the model's probability is ``fixed + share * p`` with p that of the last token by itself."""
         fixed, share = np.zeros(len(seen.word)), np.ones(len(seen.word))
         for k in range(2, order + 1):
-            context, known = self.find(f"context{k}", seen.context[k])
-            if not known.any():
-                continue
-            total = np.where(known, self.arrays[f"total{k}"][context], 1)
-            run, have = self.find(f"run{k}", seen.run[k])
-            count = np.where(have, self.arrays[f"count{k}"][run], 0)
+            kinds = [f"kinds{k}{c}" for c in (1, 2, 3)]
+            with self.mapped(folder, f"context{k}", f"total{k}", *kinds) as part:
+                context, known = part.find(f"context{k}", seen.context[k])
+                total = np.where(known, part.arrays[f"total{k}"][context], 1) if known.any() else 1
+                left = sum(discounts[k][c + 1] * part.arrays[name][context] for c, name in enumerate(kinds)) / total if known.any() else 0
+            with self.mapped(folder, f"run{k}", f"count{k}") as part:
+                run, have = part.find(f"run{k}", seen.run[k])
+                count = np.where(have, part.arrays[f"count{k}"][run], 0).astype(np.int64) if have.any() else np.zeros(len(run), np.int64)
             own = np.maximum(count - discounts[k][np.minimum(count, 3)], 0) / total
-            left = sum(discounts[k][c] * self.arrays[f"kinds{k}{c}"][context] for c in (1, 2, 3)) / total
             fixed = np.where(known, own + left * fixed, fixed)
             share = np.where(known, left * share, share)
         return fixed, share
@@ -279,12 +295,8 @@ def score_rows(found: DataFrame, answers: DataFrame, order: int, lanes: int) ->
             known = joined(asked) if asked else {"word": np.zeros(0, np.uint64), "before": np.zeros(0, np.int64), "plain": np.zeros(0, np.int64)}
             by_word = np.argsort(known["word"])
             with tempfile.TemporaryDirectory() as folder:
-                Shard.counted(seen, order).save(folder)
-                shard = Shard.mapped(folder)
-                fixed, share = shard.mixture(seen, order, discounts)
-                vocabulary = Shard({"word": known["word"][by_word]})
-                at, have = vocabulary.find("word", seen.word)
-                del shard
+                fixed, share = Shard.counted(seen, order).mixture(seen, order, discounts, folder)
+            at, have = Shard({"word": known["word"][by_word]}).find("word", seen.word)
             plain_count = np.where(have, known["plain"][by_word][at], 0).astype(np.float64) if len(by_word) else np.zeros(len(at))
             before_count = np.where(have, known["before"][by_word][at], 0).astype(np.int64) if len(by_word) else np.zeros(len(at), np.int64)
             cut = discounts_of(np.array(single))
