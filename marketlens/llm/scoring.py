@@ -31,11 +31,13 @@ from marketlens.llm.tables import LOWER, MULTIPLIER, groups_for, mix, slices, te
 
 ORDER = 3
 #: Text whose occurrences make a batch, a bucket, and whose documents' sums and tokens' counts make a lane.
-BATCH_BYTES, BUCKET_BYTES, LANE_BYTES = 32 << 20, 24 << 20, 32 << 20
+BATCH_BYTES, BUCKET_BYTES, LANE_BYTES = 32 << 20, 20 << 20, 32 << 20
 BEGIN, END = mix(np.array([101, 102], np.uint64))
 NOTES = "bucket int, note binary"
 COUNTED = "lane int, source int, totals array<double>, note binary"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+#: Occurrences looked up at a time.
+CHUNK = 500_000
 #: Counts of counts kept per order: runs counted once, twice, three and four times, and three times or more.
 CLASSES = 5
 
@@ -96,7 +98,7 @@ def occurrence_notes(docs: DataFrame, buckets: int, order: int) -> DataFrame:
                 there[doc[use]] = True
                 used = {n: c[there] for n, c in docs_of.items()}
                 steps = np.diff((np.cumsum(there) - 1)[doc[use]], prepend=0) % int(there.sum())
-                out.append((b, pack(words=words[present], doc=planes(narrow(steps)), **tokens, **used)))
+                out.append((b, pack(words=planes(words[present]), doc=planes(narrow(steps)), **tokens, **used)))
         return pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], names=["bucket", "note"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,21 +126,29 @@ def occurrence_notes(docs: DataFrame, buckets: int, order: int) -> DataFrame:
 
 
 class Occurrences:
-    """A bucket's occurrences: hashes of runs and contexts of each order, document, and training flag."""
+    """A bucket's occurrences: tokens, document and training flag; hashes of runs and contexts are made when asked for."""
 
     def __init__(self, parts: list[dict[str, np.ndarray]], order: int):
         self.docs = joined([{n: p[n] for n in ("row", "id", "null", "held")} for p in parts])
         shift = np.cumsum([0, *(len(p["row"]) for p in parts)])
         docs = [np.cumsum(unplanes(p["doc"]).astype(np.int64)) % len(p["row"]) for p in parts]
-        self.doc = np.concatenate([d + s for d, s in zip(docs, shift, strict=False)])
-        tokens = [np.concatenate([p["words"][unplanes(p[f"t{k}"])] for p in parts]) for k in range(order)]
-        self.word = tokens[0]
+        self.doc = np.concatenate([(d + s).astype(np.int32) for d, s in zip(docs, shift, strict=False)])
+        self.tokens = [np.concatenate([unplanes(p["words"])[unplanes(p[f"t{k}"])] for p in parts]) for k in range(order)]
+        self.word = self.tokens[0]
         self.train = ~self.docs["held"][self.doc]
-        self.context, past = {}, np.zeros(len(self.word), np.uint64)
-        for k in range(2, order + 1):
-            past = mix(past * MULTIPLIER + tokens[k - 1])
-            self.context[k] = past
-        self.run = {k: mix(c + self.word * MULTIPLIER) for k, c in self.context.items()}
+
+    def context(self, k: int, at: np.ndarray | slice = slice(None)) -> np.ndarray:
+        """Hashes of the k - 1 tokens before the last."""
+        past = np.zeros(len(self.word[at]), np.uint64)
+        for tokens in self.tokens[1:k]:
+            past *= MULTIPLIER
+            past += tokens[at]
+            past = mix(past)
+        return past
+
+    def run(self, k: int, at: np.ndarray | slice = slice(None)) -> np.ndarray:
+        """Hashes of the last k tokens."""
+        return mix(self.context(k, at) + self.word[at] * MULTIPLIER)
 
 
 def classes(counts: np.ndarray) -> np.ndarray:
@@ -159,10 +169,10 @@ class Shard:
         at = np.flatnonzero(seen.train)
         weight = np.ones(len(at), np.int64)
         for k in range(order, 1, -1):
-            runs, first, back = np.unique(seen.run[k][at], return_index=True, return_inverse=True)
+            runs, first, back = np.unique(seen.run(k, at), return_index=True, return_inverse=True)
             counts = np.bincount(back, weight, len(runs)).astype(np.int64)
             at = at[first]
-            contexts, back = np.unique(seen.context[k][at], return_inverse=True)
+            contexts, back = np.unique(seen.context(k, at), return_inverse=True)
             arrays[f"run{k}"], arrays[f"count{k}"] = runs, narrow(counts)
             arrays[f"context{k}"] = contexts
             arrays[f"total{k}"] = narrow(np.bincount(back, counts, len(contexts)))
@@ -187,25 +197,36 @@ class Shard:
     def find(self, name: str, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where the keys stand in a sorted array, and whether they are there."""
         have = self.arrays[name]
-        at = np.searchsorted(have, keys)
+        if not len(have):
+            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+        order = np.argsort(keys)
+        at = np.empty(len(keys), np.int64)
+        at[order] = np.searchsorted(have, keys[order])
         at[at == len(have)] = 0
-        return at, (have[at] == keys) if len(have) else np.zeros(len(keys), bool)
+        return at, have[at] == keys
 
     def mixture(self, seen: Occurrences, order: int, discounts: dict[int, np.ndarray], folder: str) -> tuple[np.ndarray, np.ndarray]:
         """Per occurrence, the model's probability is ``fixed + share * p`` with p that of the last token by itself."""
         fixed, share = np.zeros(len(seen.word)), np.ones(len(seen.word))
+        chunks = [slice(at, at + CHUNK) for at in range(0, len(fixed), CHUNK)]
+        left = np.zeros(len(fixed))
         for k in range(2, order + 1):
             kinds = [f"kinds{k}{c}" for c in (1, 2, 3)]
+            total = np.zeros(len(fixed), np.int32)  # 0: the context is unknown
             with self.mapped(folder, f"context{k}", f"total{k}", *kinds) as part:
-                context, known = part.find(f"context{k}", seen.context[k])
-                total = np.where(known, part.arrays[f"total{k}"][context], 1) if known.any() else 1
-                left = sum(discounts[k][c + 1] * part.arrays[name][context] for c, name in enumerate(kinds)) / total if known.any() else 0
+                for chunk in chunks if len(part.arrays[f"context{k}"]) else ():
+                    at, known = part.find(f"context{k}", seen.context(k, chunk))
+                    total[chunk] = np.where(known, part.arrays[f"total{k}"][at], 0)
+                    spare = sum(discounts[k][c + 1] * part.arrays[name][at] for c, name in enumerate(kinds))
+                    left[chunk] = np.where(known, spare / np.maximum(total[chunk], 1), 1)
             with self.mapped(folder, f"run{k}", f"count{k}") as part:
-                run, have = part.find(f"run{k}", seen.run[k])
-                count = np.where(have, part.arrays[f"count{k}"][run], 0).astype(np.int64) if have.any() else np.zeros(len(run), np.int64)
-            own = np.maximum(count - discounts[k][np.minimum(count, 3)], 0) / total
-            fixed = np.where(known, own + left * fixed, fixed)
-            share = np.where(known, left * share, share)
+                for chunk in chunks if len(part.arrays[f"run{k}"]) else ():
+                    at, have = part.find(f"run{k}", seen.run(k, chunk))
+                    count = np.where(have, part.arrays[f"count{k}"][at], 0).astype(np.int64)
+                    own = np.maximum(count - discounts[k][np.minimum(count, 3)], 0) / np.maximum(total[chunk], 1)
+                    known = total[chunk] > 0
+                    fixed[chunk] = np.where(known, own + left[chunk] * fixed[chunk], fixed[chunk])
+                    share[chunk] = np.where(known, left[chunk] * share[chunk], share[chunk])
         return fixed, share
 
 
@@ -221,6 +242,10 @@ def discounts_of(kinds: np.ndarray) -> np.ndarray:
     return np.clip(out, [0, 0.05, 0.05, 0.05], [0, 0.95, 1.95, 2.95])
 
 
+def lane_of(hashes: np.ndarray, lanes: int) -> np.ndarray:
+    return (mix(hashes) % np.uint64(lanes)).astype(np.int64)
+
+
 def counted_rows(found: DataFrame, order: int, lanes: int) -> DataFrame:
     """Per bucket: its counts of counts, and for each lane of tokens their counts in this bucket."""
 
@@ -230,10 +255,10 @@ def counted_rows(found: DataFrame, order: int, lanes: int) -> DataFrame:
         totals = np.concatenate([classes(shard.arrays[f"count{k}"]) for k in range(2, order + 1)])
         rows = [(bucket % lanes, bucket, totals.tolist(), None)]
         words = shard.arrays["word"]
-        lane = (mix(words) % np.uint64(lanes)).astype(np.int64)
+        lane = lane_of(words, lanes)
         for x in np.unique(lane).tolist():
             use = lane == x
-            rows.append((x, bucket, None, pack(word=words[use], before=narrow(shard.arrays["before"][use]), plain=narrow(shard.arrays["plain"][use]))))
+            rows.append((x, bucket, None, pack(word=planes(words[use]), before=narrow(shard.arrays["before"][use]), plain=narrow(shard.arrays["plain"][use]))))
         return counted_table(rows)
 
     return found.groupBy("bucket").applyInArrow(run, COUNTED)
@@ -245,7 +270,8 @@ def counted_table(rows: list[tuple]) -> pa.Table:
 
 
 def summed_rows(counted: DataFrame) -> DataFrame:
-    """Per lane of tokens: its counts of counts, distinct and plain tokens, and for each bucket the sums it asked for.
+    """Per lane of tokens: its counts of counts, distinct and plain tokens, and for each bucket the sums it asked for, in the
+    order in which it did.
 
     The counts of counts of buckets pass through, so that buckets are counted once; they bear lane -1.
     """
@@ -258,16 +284,16 @@ def summed_rows(counted: DataFrame) -> DataFrame:
             return counted_table(rows)
         sources = table.column("source").to_pylist()
         parts = unpack(x.as_py() for x in table.column("note"))
-        words, back = np.unique(np.concatenate([p["word"] for p in parts]), return_inverse=True)
+        words, back = np.unique(np.concatenate([unplanes(p["word"]) for p in parts]), return_inverse=True)
         before = np.bincount(back, np.concatenate([p["before"] for p in parts]), len(words)).astype(np.int64)
         plain = np.bincount(back, np.concatenate([p["plain"] for p in parts]), len(words)).astype(np.int64)
         totals = [*classes(before).tolist(), float(before.sum()), float((plain > 0).sum()), float(plain.sum())]
         rows.append((lane, -1, totals, None))
         at = 0
         for source, part in zip(sources, parts, strict=True):
-            mine = back[at : at + len(part["word"])]
+            mine = back[at : at + len(part["before"])]
             at += len(mine)
-            rows.append((lane, source, None, pack(word=part["word"], before=narrow(before[mine]), plain=narrow(plain[mine]))))
+            rows.append((lane, source, None, pack(before=narrow(before[mine]), plain=narrow(plain[mine]))))
         return counted_table(rows)
 
     return counted.groupBy("lane").applyInArrow(run, COUNTED)
@@ -291,14 +317,17 @@ def score_rows(found: DataFrame, answers: DataFrame, order: int, lanes: int) ->
             kinds = np.array(kinds or [0.0] * CLASSES * (order - 1)).reshape(-1, CLASSES)
             *single, before, distinct, plain = tokens or [0.0] * (CLASSES + 3)
             discounts = {k: discounts_of(kinds[k - 2]) for k in range(2, order + 1)}
-            asked = unpack(x.as_py() for x in right.column("note") if x.is_valid)
-            known = joined(asked) if asked else {"word": np.zeros(0, np.uint64), "before": np.zeros(0, np.int64), "plain": np.zeros(0, np.int64)}
-            by_word = np.argsort(known["word"])
+            shard = Shard.counted(seen, order)
+            words = shard.arrays["word"]
+            lane, before_of, plain_of = lane_of(words, lanes), np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+            for x, note in zip(right.column("lane").to_pylist(), right.column("note"), strict=True):
+                if note.is_valid:
+                    answer = unpack([note.as_py()])[0]
+                    before_of[lane == x], plain_of[lane == x] = answer["before"], answer["plain"]
             with tempfile.TemporaryDirectory() as folder:
-                fixed, share = Shard.counted(seen, order).mixture(seen, order, discounts, folder)
-            at, have = Shard({"word": known["word"][by_word]}).find("word", seen.word)
-            plain_count = np.where(have, known["plain"][by_word][at], 0).astype(np.float64) if len(by_word) else np.zeros(len(at))
-            before_count = np.where(have, known["before"][by_word][at], 0).astype(np.int64) if len(by_word) else np.zeros(len(at), np.int64)
+                fixed, share = shard.mixture(seen, order, discounts, folder)
+            at = np.searchsorted(words, seen.word)
+            before_count, plain_count = before_of[at], plain_of[at]
             cut = discounts_of(np.array(single))
             alone = np.full(len(at), 1 / (distinct + 1))
             if before:
@@ -312,7 +341,7 @@ def score_rows(found: DataFrame, answers: DataFrame, order: int, lanes: int) ->
                 "tokens": np.bincount(seen.doc, minlength=n), "known": np.bincount(seen.doc, plain_count > 0, n).astype(np.int64),
                 "base": np.bincount(seen.doc, base, n), "score": np.bincount(seen.doc, scores, n), "train": np.full(n, plain),
             }
-            lane = (mix(sums["row"].astype(np.uint64)) % np.uint64(lanes)).astype(np.int64)
+            lane = lane_of(sums["row"].astype(np.uint64), lanes)
             for x in np.unique(lane).tolist():
                 out.append((x, pack(**{name: narrow(c[lane == x]) if name in ("tokens", "known") else c[lane == x] for name, c in sums.items()})))
         return pa.table({"bucket": pa.array([x for x, _ in out], pa.int32()), "note": pa.array([x for _, x in out], pa.binary())})
@@ -355,9 +384,9 @@ def score(docs: DataFrame, parts: int = 7, left: int = 2, order: int = ORDER) ->
     summed = summed_rows(counted)
     every = F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("bucket")
     none = F.lit(None).cast("array<double>")
-    answers = summed.filter("note IS NOT NULL").select(F.col("source").alias("bucket"), "note", none.alias("runs"), none.alias("tokens"))
+    answers = summed.filter("note IS NOT NULL").select(F.col("source").alias("bucket"), "lane", "note", none.alias("runs"), none.alias("tokens"))
     for name, source in (("runs", summed.filter("lane < 0")), ("tokens", summed.filter("lane >= 0"))):
         other = "tokens" if name == "runs" else "runs"
-        shared = totalled(source, name).select(every, F.lit(None).cast("binary").alias("note"), name, none.alias(other))
+        shared = totalled(source, name).select(every, F.lit(-1).alias("lane"), F.lit(None).cast("binary").alias("note"), name, none.alias(other))
         answers = answers.unionByName(shared)
     return document_sums(score_rows(found, answers, order, lanes))
