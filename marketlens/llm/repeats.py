@@ -38,7 +38,7 @@ LENGTH = 100
 ANCHOR = 40
 #: Text that makes a batch with a suffix array of its own, that a bucket's anchors stem from, and that a lane holds.
 BATCH_BYTES, BUCKET_BYTES, LANE_BYTES = 16 << 20, 24 << 20, 12 << 20
-STEP_BYTES = 2 << 20
+STEP_BYTES = 1 << 20
 NULL_ID = np.iinfo(np.int64).min
 SPANS, ANCHORS = 0, 1
 NOTES = "lane int, kind int, note binary"

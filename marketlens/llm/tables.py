@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that a task works on at a time, so that its arrays stay small whatever the batch size.
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 2 << 20
 #: Random odd multiplier and seed of the byte hashes.
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 #: ASCII white space.
