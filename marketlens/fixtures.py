@@ -201,6 +201,11 @@ PROJECTIONS["fx_order_reports"] = """
 SELECT order_id, report_seq, strategy_id, market_id, side, filled_size, avg_fill_price, reported_at,
        CASE order_id % 4 WHEN 0 THEN 'open' WHEN 1 THEN 'partial' WHEN 2 THEN 'filled' ELSE 'cancelled' END AS status FROM fx_fills
 """
+# What venues say about orders: some are unknown to them, and of some nothing is heard.
+PROJECTIONS["fx_venue_answers"] = """
+SELECT order_id, report_seq, CASE WHEN order_id % 9 = 4 THEN 'not_found' ELSE status END AS status, filled_size, avg_fill_price
+FROM fx_order_reports WHERE order_id % 8 <> 5
+"""
 PROJECTIONS["fx_standings"] = """
 SELECT o_orderkey AS id, o_custkey % 25 AS team_id, o_orderdate AS captured_at, CAST(o_custkey % 100 AS DOUBLE) / 100 AS win_percent,
        CAST(o_orderkey % 301 - 150 AS DOUBLE) AS point_differential, o_custkey % 40 AS games_played FROM orders WHERE o_custkey % 25 < 22
@@ -551,6 +556,17 @@ SELECT market_id, venue, question, category, side, liquidity, floor(market_price
 FROM f
 """
 
+# The same chain for fills some of whose results are known while their market is still open.
+for _name in ("ref_scored", "ref_traders", "ref_flow", "ref_pairs", "ref_evidence"):
+    PROJECTIONS[_name.replace("ref_", "ref_known_")] = PROJECTIONS[_name].replace("ref_", "ref_known_")
+PROJECTIONS["fx_known_fills"] = """
+SELECT *, CASE trade_id % 4 WHEN 0 THEN 1 WHEN 1 THEN 0 END AS is_winner FROM fx_trades
+"""
+PROJECTIONS["ref_known_scored"] = """
+SELECT t.* REPLACE (coalesce(t.is_winner, CASE WHEN m.status = 'settled' AND m.result <> '' THEN CASE WHEN t.side = m.result THEN 1 ELSE 0 END END) AS is_winner)
+FROM fx_known_fills t LEFT JOIN fx_prediction_markets m ON m.market_id = t.market_id
+"""
+
 
 def _uses(sql: str) -> list[str]:
     return [name for name in dict.fromkeys(re.findall(r"\b(?:fx|ref)_\w+", sql)) if name in PROJECTIONS]

@@ -178,7 +178,7 @@ def feature_fingerprint(selection: Column, price: Column, prob: Column, edge: Co
         books.cast("string"),
         F.floor(hours + 0.5).cast("string"),
     )
-    return F.hex(F.xxhash64(text))
+    return F.sha2(text, 256)
 
 
 def title_label(value: Column) -> Column:

@@ -220,16 +220,24 @@ def strategy_halts(strategies: DataFrame, realised: DataFrame) -> DataFrame:
     return rows.select("strategy_id", "status", reason.alias("halt_reason"))
 
 
-def order_reconcile(orders: DataFrame, reports: DataFrame, as_of: Column) -> DataFrame:
-    """Working orders against the latest venue report: new status, expiry after 45 minutes, changed flag."""
+def order_reconcile(orders: DataFrame, reports: DataFrame, as_of: Column, accounts: DataFrame | None = None) -> DataFrame:
+    """Working orders against the latest venue report: new status, expiry after 45 minutes, changed flag.
+
+    Only a report of status 'not_found' says that the venue does not know an order. Orders without a report are left
+    alone, since the venue may be out of reach, and so are those of strategies that ``accounts`` (strategy_id, active)
+    does not list as active.
+    """
     latest = reports.groupBy("order_id").agg(
         F.max_by(F.struct("status", "filled_size", "avg_fill_price"), "report_seq").alias("r")
     )
-    rows = orders.filter(F.col("status").isin(WORKING)).join(latest, "order_id", "left")
-    unknown = F.col("r").isNull()
+    rows = orders.filter(F.col("status").isin(WORKING))
+    if accounts is not None:
+        rows = rows.join(accounts.filter("active").select("strategy_id"), "strategy_id", "left_semi")
+    rows = rows.join(latest, "order_id")
+    unknown = F.col("r.status") == "not_found"
     resting = F.col("r.status").isin("open", "partial")
     expired = resting & (hours_between(as_of, F.col("placed_at")) * 60.0 >= RESTING_MINUTES)
-    filled = F.coalesce(F.col("r.filled_size"), F.lit(0.0))
+    filled = F.when(unknown, 0.0).otherwise(F.coalesce(F.col("r.filled_size"), F.lit(0.0)))
     status = (
         F.when(unknown, "cancelled")
         .when(expired, F.when(filled > 0, "partial").otherwise("cancelled"))
@@ -241,7 +249,7 @@ def order_reconcile(orders: DataFrame, reports: DataFrame, as_of: Column) -> Dat
         F.col("status").alias("old_status"),
         status.alias("new_status"),
         filled.alias("new_filled_size"),
-        F.coalesce(F.col("r.avg_fill_price"), F.lit(0.0)).alias("avg_fill_price"),
+        F.when(unknown, 0.0).otherwise(F.coalesce(F.col("r.avg_fill_price"), F.lit(0.0))).alias("avg_fill_price"),
         F.coalesce(expired, F.lit(False)).alias("expired"),
         F.when(unknown, "the venue has no record of this order").otherwise("").alias("note"),
         F.col("filled_size").alias("old_filled_size"),

@@ -57,6 +57,28 @@ def replay_changes(observations: DataFrame) -> DataFrame:
     )
 
 
+def replay_onto(quotes: DataFrame, prior: DataFrame) -> DataFrame:
+    """The quotes of a batch that are newer than the stored one of their key, with ``changed`` and ``is_opening``.
+
+    Every quote is compared with the one before it, the stored one first, so moves inside a batch are kept.
+    """
+    stored = prior.select(*KEYS, F.struct("captured_at", "id").alias("mark"), F.col("price").alias("p0"), F.col("point").alias("q0"))
+    rows = quotes.filter(F.col("price") > 1).join(stored, KEYS, "left")
+    rows = rows.filter(F.col("mark").isNull() | (F.struct("captured_at", "id") > F.col("mark")))
+    order = W.partitionBy(*KEYS).orderBy("captured_at", "id", "price")
+    before = F.lag(F.struct("price", "point")).over(order)
+    stored_quote = F.when(F.col("mark").isNotNull(), F.struct(F.col("p0").alias("price"), F.col("q0").alias("point")))
+    rows = rows.withColumn("before", F.coalesce(before, stored_quote))
+    same = F.col("price").eqNullSafe(F.col("before.price")) & F.col("point").eqNullSafe(F.col("before.point"))
+    return rows.select(
+        *quotes.columns,
+        american_number(F.col("price")).alias("american"),
+        implied_prob(F.col("price")).alias("implied_prob"),
+        (F.col("before").isNull() | ~same).alias("changed"),
+        F.col("before").isNull().alias("is_opening"),
+    )
+
+
 def recent_moves(
     change_log: DataFrame, selections: DataFrame | None = None, books: DataFrame | None = None, limit: int | None = None
 ) -> DataFrame:

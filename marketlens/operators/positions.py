@@ -30,11 +30,26 @@ def booked_orders(reports: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def accrue_positions(reports: DataFrame, keys: list[str]) -> DataFrame:
-    """Open positions per key (strategy, market, side) from cumulative order reports."""
+def accrue_positions(reports: DataFrame, keys: list[str], settlements: DataFrame | None = None) -> DataFrame:
+    """Positions per key (strategy, market, side) from cumulative order reports.
+
+    ``settlements`` (market_id, settled_at) ends positions: what is filled later starts a new one, told apart by
+    ``after_settlement``, and books only what its orders had not filled before.
+    """
+    if settlements is None:
+        booked = booked_orders(reports, keys)
+    else:
+        marks = settlements.select("market_id", "settled_at")
+        late = F.coalesce(F.col("reported_at") > F.col("settled_at"), F.lit(False))
+        rows = reports.join(marks, "market_id", "left").withColumn("late", late)
+        columns = ["order_id", *keys, "report_seq", "filled_size", "avg_fill_price"]
+        before = booked_orders(rows.filter("NOT late").select(*columns), keys)
+        after = fill_increments(rows.filter("late").select(*columns), before)
+        after = after.select("order_id", *keys, F.col("delta_size").alias("size"), F.col("delta_cost").alias("cost"))
+        booked = before.withColumn("after_settlement", F.lit(False)).unionByName(after.withColumn("after_settlement", F.lit(True)))
+        keys = [*keys, "after_settlement"]
     return (
-        booked_orders(reports, keys)
-        .groupBy(*keys)
+        booked.groupBy(*keys)
         .agg(F.sum("size").alias("size"), F.sum("cost").alias("cost_basis"), F.count(F.lit(1)).alias("orders"))
         .withColumn("avg_price", F.when(F.col("size") > 0, F.col("cost_basis") / F.col("size")).otherwise(F.lit(0.0)))
     )

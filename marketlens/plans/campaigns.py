@@ -45,13 +45,12 @@ def _(t: Tables):
 
 @query(
     "campaign_overview",
-    f"""WITH {CAMPAIGN_SQL}, k AS (SELECT * FROM c WHERE sent_count IS NOT NULL AND conversion_rate IS NOT NULL AND click_rate IS NOT NULL AND audience_size IS NOT NULL),
-    g AS (SELECT count(*) AS campaigns, {_full("audience_size")}, {_full("sent_count")}, {_full("opens")}, {_full("clicks")}, {_full("conversions")}, {RATES} FROM k)
+    f"""WITH {CAMPAIGN_SQL}, g AS (SELECT count(*) AS campaigns, {_full("audience_size")}, {_full("sent_count")}, {_full("opens")}, {_full("clicks")}, {_full("conversions")}, {RATES} FROM c)
     SELECT campaigns, audience_size AS audience, sent_count AS sent, opens, clicks, conversions, open_rate, click_rate, conversion_rate FROM g""",
     dbl="audience sent opens clicks conversions open_rate click_rate conversion_rate",
 )
 def _(t: Tables):
-    return M.campaign_overview(_campaigns(t).na.drop(subset=["sent_count", "conversion_rate", "click_rate", "audience_size"]))
+    return M.campaign_overview(_campaigns(t))
 
 
 @query(

@@ -391,7 +391,8 @@ def _(t: Tables):
 @query(
     "keyed_upsert",
     """WITH o AS (SELECT o_custkey AS k, max(o_totalprice) AS price, 'old' AS note FROM orders WHERE o_orderstatus = 'F' GROUP BY 1),
-    n AS (SELECT o_custkey AS k, arg_max(o_totalprice, o_orderkey) AS price FROM orders WHERE o_orderstatus = 'O' GROUP BY 1)
+    n AS (SELECT o_custkey AS k, CASE WHEN o_orderkey % 5 <> 0 THEN o_totalprice END AS price FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS rn
+          FROM orders WHERE o_orderstatus = 'O') x WHERE rn = 1)
     SELECT coalesce(o.k, n.k) AS k, coalesce(n.price, o.price) AS price, o.note FROM o FULL OUTER JOIN n ON n.k = o.k""",
     dbl="price",
 )
@@ -399,7 +400,8 @@ def _(t: Tables):
     orders = t("orders")
     stored = orders.filter(F.col("o_orderstatus") == "F").groupBy(F.col("o_custkey").alias("k")).agg(F.max("o_totalprice").alias("price"))
     stored = stored.withColumn("note", F.lit("old"))
-    fresh = orders.filter(F.col("o_orderstatus") == "O").select(F.col("o_custkey").alias("k"), F.col("o_totalprice").alias("price"), "o_orderkey")
+    price = F.when(F.col("o_orderkey") % 5 != 0, F.col("o_totalprice"))
+    fresh = orders.filter(F.col("o_orderstatus") == "O").select(F.col("o_custkey").alias("k"), price.alias("price"), "o_orderkey")
     return tables.keyed_upsert(stored, fresh, ["k"], ["price"], order=["o_orderkey"])
 
 
@@ -568,13 +570,16 @@ def _(t: Tables):
     return t("fx_ticker_rows").select("id", X.title_label(snake).alias("label"))
 
 
-@query("feature_fingerprint")
+@query(
+    "feature_fingerprint",
+    """SELECT id, sha256(concat_ws(':', CAST(selection_id AS VARCHAR), printf('%.2f', price), printf('%.3f', 1 / price), printf('%.1f', selection_id % 37 * 0.3),
+         CAST(bookmaker_id AS VARCHAR), CAST(CAST(floor(id % 97 * 0.25 + 0.5) AS BIGINT) AS VARCHAR))) AS fingerprint FROM fx_snapshots""",
+)
 def _(t: Tables):
-    fair = _fair(t)
-    print_ = X.feature_fingerprint(
-        F.col("selection_id"), F.col("best_price"), F.col("prob_consensus"), F.col("edge_pct"), F.col("book_count"), F.lit(10.4)
-    )
-    return fair.select("selection_id", print_.alias("fingerprint"))
+    edge, hours = F.col("selection_id") % 37 * F.lit(0.3), F.col("id") % 97 * F.lit(0.25)
+    price = F.col("price")
+    print_ = X.feature_fingerprint(F.col("selection_id"), price, 1 / price, edge, F.col("bookmaker_id"), hours)
+    return t("fx_snapshots").select("id", print_.alias("fingerprint"))
 
 
 CLUBS_SQL = """

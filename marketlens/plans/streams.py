@@ -15,9 +15,12 @@ ONCE = {"availableNow": True}
 
 
 def _stream(t: Tables, table: str):
-    """The rows of one table as a file stream."""
-    schema = t.table(table).schema
-    return t.spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(t.sf_dir)
+    """The rows of one table, a file or a folder of files, as a file stream."""
+    reader = t.spark.readStream.schema(t.table(table).schema)
+    path = t.spark._jvm.org.apache.hadoop.fs.Path(f"{t.sf_dir}/{table}.parquet")
+    if path.getFileSystem(t.spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory():
+        return reader.parquet(f"{t.sf_dir}/{table}.parquet")
+    return reader.option("pathGlobFilter", f"{table}.parquet").parquet(t.sf_dir)
 
 
 def _folder(t: Tables, name: str) -> str:
@@ -56,8 +59,9 @@ def _trades(t: Tables):
 
 @query(
     "stream_quote_changes",
-    """SELECT l_partkey AS selection_id, l_suppkey % 8 AS bookmaker_id, arg_max(CAST(105 + 8 * CAST(l_quantity AS BIGINT) AS DOUBLE) / 100, (l_shipdate, l_orderkey * 100 + l_linenumber, CAST(105 + 8 * CAST(l_quantity AS BIGINT) AS DOUBLE) / 100)) AS price, true AS is_opening
-    FROM lineitem GROUP BY 1, 2""",
+    """WITH q AS (SELECT l_partkey AS selection_id, l_suppkey % 8 AS bookmaker_id, CAST(105 + 8 * CAST(l_quantity AS BIGINT) AS DOUBLE) / 100 AS price, l_shipdate AS captured_at, l_orderkey * 100 + l_linenumber AS id FROM lineitem),
+    w AS (SELECT *, lag(price) OVER (PARTITION BY selection_id, bookmaker_id ORDER BY captured_at, id, price) AS prev FROM q)
+    SELECT selection_id, bookmaker_id, captured_at, id, price, prev IS NULL AS is_opening FROM w WHERE prev IS NULL OR prev <> price""",
     dbl="price",
 )
 def _(t: Tables):
@@ -65,14 +69,18 @@ def _(t: Tables):
     quotes = _quotes(t)
     _finish(jobs.stream_quote_changes(quotes, f"{root}/state", f"{root}/log", f"{root}/ckpt", buckets=8, **ONCE))
     log = t.spark.read.parquet(f"{root}/log")
-    return log.select("selection_id", "bookmaker_id", "price", "is_opening")
+    return log.select("selection_id", "bookmaker_id", "captured_at", "id", "price", "is_opening")
 
 
-@query("stream_trade_tape", "SELECT DISTINCT CASE WHEN event_id % 2 = 0 THEN 'a' ELSE 'b' END AS venue, CAST(event_id % 3000 AS VARCHAR) AS external_id FROM events")
+@query(
+    "stream_trade_tape",
+    """SELECT CASE WHEN event_id % 2 = 0 THEN 'a' ELSE 'b' END AS venue, CAST(event_id % 3000 AS VARCHAR) AS external_id, min(event_id) AS event_id FROM (
+      SELECT *, row_number() OVER (PARTITION BY event_id % 2, event_id % 3000 ORDER BY ts, event_id) AS rn FROM events) e WHERE rn = 1 GROUP BY 1, 2""",
+)
 def _(t: Tables):
     root = _folder(t, "trades")
-    _finish(jobs.stream_trade_tape(_trades(t), f"{root}/out", f"{root}/ckpt", **ONCE))
-    return t.spark.read.parquet(f"{root}/out").select("venue", "external_id")
+    _finish(jobs.stream_trade_tape(_trades(t), f"{root}/out", f"{root}/ckpt", buckets=8, **ONCE))
+    return t.spark.read.parquet(f"{root}/out").select("venue", "external_id", "event_id")
 
 
 @query(

@@ -23,9 +23,10 @@ def trader_table(t: Tables):
     return tape.trader_scores(scored_fills(t))
 
 
-def flow_rows(t: Tables):
+def flow_rows(t: Tables, fills: str = "fx_trades"):
     universe = evidence.market_universe(t("fx_prediction_markets"))
-    return evidence.market_flow(scored_fills(t), trader_table(t), universe, tape_as_of(t))
+    scored = tape.score_fills(t(fills), t("fx_prediction_markets"))
+    return evidence.market_flow(scored, tape.trader_scores(scored), universe, tape_as_of(t))
 
 
 @query("score_fills", "SELECT trade_id, market_id, trader_id, side, is_winner FROM ref_scored")
@@ -122,12 +123,13 @@ def _(t: Tables):
     return flow_rows(t)
 
 
-def _register_signal(name: str, kind: str, make, prepare=None):
-    sql = f"SELECT * FROM ref_evidence WHERE kind = '{kind}'"
+def _register_signal(name: str, kind: str, make, prepare=None, known: bool = False):
+    fills, rows = ("fx_known_fills", "ref_known_evidence") if known else ("fx_trades", "ref_evidence")
+    sql = f"SELECT * FROM {rows} WHERE kind = '{kind}'"
 
     @query(name, sql, dbl="value contribution")
     def _(t: Tables):
-        flow = flow_rows(t)
+        flow = flow_rows(t, fills)
         if prepare is not None:
             flow = prepare(flow, t)
         return evidence.signal_rows(flow, make()).drop("summary")
@@ -139,7 +141,7 @@ def _with_pairs(flow, t: Tables):
 
 _register_signal("sig_flow_imbalance", "flow_imbalance", evidence.flow_imbalance)
 _register_signal("sig_smart_money", "smart_money", evidence.smart_money)
-_register_signal("sig_trader_accuracy", "trader_accuracy", evidence.trader_accuracy)
+_register_signal("sig_trader_accuracy", "trader_accuracy", evidence.trader_accuracy, known=True)
 _register_signal("sig_price_trend", "price_trend", evidence.price_trend)
 _register_signal("sig_liquidity", "liquidity", evidence.liquidity)
 _register_signal("sig_reverse_line", "reverse_line_move", evidence.reverse_line)

@@ -26,12 +26,17 @@ booked AS (SELECT order_id, strategy_id, market_id, side, max(filled_size) AS si
 
 @query(
     "accrue_positions",
-    f"""WITH {BOOKED_SQL} SELECT strategy_id, market_id, side, sum(size) AS size, sum(cost) AS cost_basis, count(*) AS orders,
-       sum(cost) / sum(size) AS avg_price FROM booked GROUP BY 1, 2, 3""",
+    f"""WITH f AS (SELECT x.*, coalesce(x.reported_at > {MONTH_START} AND m.status = 'settled', false) AS late FROM fx_fills x LEFT JOIN fx_prediction_markets m ON m.market_id = x.market_id),
+    b AS (SELECT order_id, strategy_id, market_id, side, late, max(filled_size) AS size, arg_max(filled_size * avg_fill_price, filled_size) AS cost
+          FROM (SELECT * FROM f WHERE filled_size > 0 ORDER BY order_id, report_seq) x GROUP BY 1, 2, 3, 4, 5),
+    g AS (SELECT l.strategy_id, l.market_id, l.side, l.late, l.size - coalesce(e.size, 0) AS size, l.cost - coalesce(e.cost, 0) AS cost
+          FROM b l LEFT JOIN b e ON l.late AND NOT e.late AND e.order_id = l.order_id WHERE l.size > coalesce(e.size, 0))
+    SELECT strategy_id, market_id, side, late AS after_settlement, sum(size) AS size, sum(cost) AS cost_basis, count(*) AS orders, sum(cost) / sum(size) AS avg_price FROM g GROUP BY 1, 2, 3, 4""",
     dbl="size cost_basis avg_price",
 )
 def _(t: Tables):
-    return positions.accrue_positions(t("fx_fills"), KEYS)
+    settled = t("fx_prediction_markets").filter("status = 'settled'").select("market_id", _since().alias("settled_at"))
+    return positions.accrue_positions(t("fx_fills"), KEYS, settled)
 
 
 @query(
@@ -274,10 +279,10 @@ def _(t: Tables):
 
 @query(
     "order_reconcile",
-    f"""WITH r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY order_id ORDER BY report_seq DESC) AS rn FROM fx_order_reports) x WHERE rn = 1),
-    j AS (SELECT o.order_id, o.decision_id, o.status AS old_status, o.filled_size AS old_filled, r.order_id IS NULL AS unknown, coalesce(r.filled_size, 0) AS filled, coalesce(r.avg_fill_price, 0) AS avg_fill_price,
+    f"""WITH r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY order_id ORDER BY report_seq DESC) AS rn FROM fx_venue_answers) x WHERE rn = 1),
+    j AS (SELECT o.order_id, o.decision_id, o.status AS old_status, o.filled_size AS old_filled, r.status = 'not_found' AS unknown, CASE WHEN r.status = 'not_found' THEN 0 ELSE coalesce(r.filled_size, 0) END AS filled, CASE WHEN r.status = 'not_found' THEN 0 ELSE coalesce(r.avg_fill_price, 0) END AS avg_fill_price,
             coalesce(r.status IN ('open', 'partial') AND epoch_us({MONTH_START}) - epoch_us(o.placed_at) >= 2700000000, false) AS expired, r.status AS rs
-          FROM fx_exchange_orders o LEFT JOIN r ON r.order_id = o.order_id WHERE o.status IN ('pending', 'open', 'partial')),
+          FROM fx_exchange_orders o JOIN r ON r.order_id = o.order_id WHERE o.status IN ('pending', 'open', 'partial') AND o.strategy_id % 5 <> 4),
     k AS (SELECT *, CASE WHEN unknown THEN 'cancelled' WHEN expired THEN CASE WHEN filled > 0 THEN 'partial' ELSE 'cancelled' END ELSE rs END AS new_status FROM j)
     SELECT order_id, decision_id, old_status, new_status, filled AS new_filled_size, avg_fill_price, expired,
            CASE WHEN unknown THEN 'the venue has no record of this order' ELSE '' END AS note, new_status <> old_status OR filled <> old_filled AS changed,
@@ -285,7 +290,8 @@ def _(t: Tables):
     dbl="new_filled_size avg_fill_price",
 )
 def _(t: Tables):
-    return D.order_reconcile(t("fx_exchange_orders"), t("fx_order_reports"), _since())
+    accounts = t("fx_exchange_orders").select("strategy_id").distinct().withColumn("active", F.col("strategy_id") % 5 != 4)
+    return D.order_reconcile(t("fx_exchange_orders"), t("fx_venue_answers"), _since(), accounts)
 
 
 @query(

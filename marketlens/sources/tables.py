@@ -7,21 +7,28 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def last_per_key(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The last row of each key by ``order``; an aggregate, so repeats are folded before the shuffle."""
+def last_per_key(rows: DataFrame, keys: list[str], order: list[str], first: bool = False) -> DataFrame:
+    """The last (or first) row of each key by ``order``; an aggregate, so repeats are folded before the shuffle."""
     payload = [c for c in rows.columns if c not in keys]
     if not payload:
         return rows.dropDuplicates(keys)
     by = F.struct(*order) if order else F.struct(*payload)
-    return rows.groupBy(*keys).agg(F.max_by(F.struct(*payload), by).alias("r")).select(*keys, "r.*")
+    pick = F.min_by if first else F.max_by
+    return rows.groupBy(*keys).agg(pick(F.struct(*payload), by).alias("r")).select(*keys, "r.*")
 
 
 def keyed_upsert(
-    existing: DataFrame, incoming: DataFrame, keys: list[str], merge: list[str] | None = None, order: list[str] | None = None
+    existing: DataFrame,
+    incoming: DataFrame,
+    keys: list[str],
+    merge: list[str] | None = None,
+    order: list[str] | None = None,
+    blanks: bool = False,
 ) -> DataFrame:
     """Existing rows with ``merge`` columns refreshed from the incoming row of the key, plus new keys.
 
-    Without ``merge`` every non-key column is refreshed. Columns the incoming rows lack keep their value.
+    Without ``merge`` every non-key column is refreshed. Columns the incoming rows lack keep their value, and so do values
+    for which they have NULL, since a feed that omits a field says nothing about it; with ``blanks`` NULL is a value.
     """
     fresh = last_per_key(incoming, keys, order or [])
     columns = [c for c in existing.columns if c not in keys]
@@ -35,7 +42,8 @@ def keyed_upsert(
         if c not in fresh.columns:
             return F.col(f"o.{c}")
         if c in refreshed:
-            return F.when(given, F.col(f"n.{c}")).otherwise(F.col(f"o.{c}"))
+            fresh_value = F.col(f"n.{c}")
+            return F.when(given if blanks else given & fresh_value.isNotNull(), fresh_value).otherwise(F.col(f"o.{c}"))
         return F.when(known, F.col(f"o.{c}")).otherwise(F.col(f"n.{c}"))
 
     return rows.select(*keys, *[pick(c).alias(c) for c in columns])

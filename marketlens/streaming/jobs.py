@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from marketlens.functions.common import count_if
@@ -16,7 +17,7 @@ from marketlens.functions.text import page_path
 from marketlens.operators import movement, ops, positions, settle
 from marketlens.operators.evidence import MIN_FILLS
 from marketlens.operators.web import is_page
-from marketlens.sources.tables import BucketedState, insert_ignore, keyed_upsert
+from marketlens.sources.tables import BucketedState, insert_ignore, keyed_upsert, last_per_key
 
 QUOTE_DELAY = "10 minutes"
 TRADE_DELAY = "24 hours"
@@ -47,27 +48,43 @@ def _append(stream: DataFrame, path: str, checkpoint: str, trigger: dict) -> Str
 def stream_quote_changes(
     quotes: DataFrame, state_root: str, log_path: str, checkpoint: str, buckets: int = 64, **trigger
 ) -> StreamingQuery:
-    """Appends only quotes that moved: each batch is compared with the last price of its keys."""
+    """Appends only quotes that moved, also within a batch; quotes older than the last one of their key are ignored."""
     state = BucketedState(quotes.sparkSession, state_root, movement.KEYS, QUOTE_STATE, buckets)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         columns = [c.split()[0] for c in QUOTE_STATE.split(", ")]
         prior = state.read(batch_id, state.touched(batch))
-        rows = movement.append_changes(batch.select(*columns), prior, ["captured_at", "id"]).persist()
+        rows = movement.replay_onto(batch.select(*columns), prior).persist()
         rows.filter("changed").write.mode("overwrite").parquet(f"{log_path}/batch={batch_id}")
-        state.write(keyed_upsert(prior, rows.select(*columns), movement.KEYS), batch_id)
+        state.write(keyed_upsert(prior, rows.select(*columns), movement.KEYS, order=["captured_at", "id"], blanks=True), batch_id)
         rows.unpersist()
 
     return _start(quotes, handle, checkpoint, trigger or {"processingTime": "1 second"})
 
 
-def unique_trades(trades: DataFrame) -> DataFrame:
-    """First fill of each (venue, external id) inside the watermark."""
-    return trades.withWatermark("traded_at", TRADE_DELAY).dropDuplicatesWithinWatermark(["venue", "external_id"])
+def stream_trade_tape(trades: DataFrame, path: str, checkpoint: str, buckets: int = 64, **trigger) -> StreamingQuery:
+    """Appends the first fill of each (venue, external id), however late a repetition comes.
 
+    The tape is partitioned by a hash of that key and by batch. A batch looks up its keys in the buckets it touches,
+    in older batches only, so that a replayed batch writes the same rows again.
+    """
+    spark, schema = trades.sparkSession, trades.schema
+    keys = ["venue", "external_id"]
+    stored = T.StructType([*schema.fields, T.StructField("bucket", T.IntegerType()), T.StructField("batch", T.LongType())])
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        rows = batch.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")).persist()
+        touched = [r["bucket"] for r in rows.select("bucket").distinct().collect()]
+        fresh = rows
+        if batch_id and touched:
+            tape = spark.read.schema(stored).parquet(path)
+            known = tape.filter(F.col("bucket").isin(touched) & (F.col("batch") < batch_id)).select(*keys)
+            fresh = rows.join(known, keys, "left_anti")
+        first = last_per_key(fresh, [*keys, "bucket"], ["traded_at", "event_id"] if "event_id" in batch.columns else ["traded_at"], first=True)
+        first.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(path)
+        rows.unpersist()
 
-def stream_trade_tape(trades: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
-    return _append(unique_trades(trades), path, checkpoint, trigger or {"processingTime": "5 minutes"})
+    return _start(trades, handle, checkpoint, trigger or {"processingTime": "5 minutes"})
 
 
 def rolling_market_flow(fills: DataFrame, delay: str = TRADE_DELAY) -> DataFrame:

@@ -5,6 +5,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
+from marketlens.operators import movement
 from marketlens.operators.movement import KEYS
 from marketlens.sources.tables import BucketedState, insert_ignore, keyed_upsert, write_csv
 from marketlens.streaming import jobs
@@ -38,20 +39,42 @@ def test_quote_changes_over_batches(spark, tmp_path):
     seen = {r["id"] for r in log.collect()}
     by_batch = {b: {r["id"] // 100 for r in log.filter(F.col("batch") == b).collect()} for b in order}
     sequence = [next(iter(v)) for v in by_batch.values()]
+    mark = {}
     for b in sequence:
-        last = {}
-        for s, k, price, _, at, i in batches[b]:
-            if price > 1:
-                last[(s, k)] = max(last.get((s, k), (BASE, -1, 0)), (at, i, price))
-        for key, (_, i, price) in last.items():
-            if prior.get(key) != price:
+        for s, k, price, _, at, i in sorted(batches[b], key=lambda r: (r[4], r[5])):
+            if price <= 1 or (at, i) <= mark.get((s, k), (BASE - timedelta(1), 0)):
+                continue
+            if prior.get((s, k)) != price:
                 want.append(i)
-            prior[key] = price
+            prior[s, k], mark[s, k] = price, (at, i)
     assert seen == set(want)
     state = BucketedState(spark, f"{tmp_path}/state", KEYS, jobs.QUOTE_STATE, 4)
     assert {(r["selection_id"], r["bookmaker_id"]): r["price"] for r in state.read().collect()} == prior
 
 
+def test_quotes_that_come_late_are_ignored(spark, tmp_path):
+    stored = spark.createDataFrame([(1, 1, 1.5, None, BASE + timedelta(hours=2), 20)], jobs.QUOTE_STATE)
+    rows = [
+        (1, 1, 1.9, None, BASE + timedelta(hours=1), 10),
+        (1, 1, 1.5, None, BASE + timedelta(hours=3), 30),
+        (1, 1, 1.6, None, BASE + timedelta(hours=4), 40),
+        (1, 1, 1.5, None, BASE + timedelta(hours=5), 50),
+        (2, 1, 1.7, None, BASE, 5),
+    ]
+    got = movement.replay_onto(spark.createDataFrame(rows, jobs.QUOTE_STATE), stored).collect()
+    assert sorted((r["id"], r["changed"], r["is_opening"]) for r in got) == [(5, True, True), (30, False, False), (40, True, False), (50, True, False)]
+
+
+def test_trades_repeated_days_later_stay_out(spark, tmp_path):
+    schema = "venue string, external_id string, traded_at timestamp, event_id bigint"
+    batches = [[("a", str(i % 7), BASE + timedelta(days=5 * b, minutes=i), b * 100 + i) for i in range(12)] for b in range(3)]
+    stream = source(spark, str(tmp_path / "in"), batches, schema)
+    for _ in range(2):
+        jobs.stream_trade_tape(stream, f"{tmp_path}/tape", f"{tmp_path}/ckpt", buckets=3, **ONE_FILE).awaitTermination()
+    rows = spark.read.parquet(f"{tmp_path}/tape").collect()
+    assert sorted(r["external_id"] for r in rows) == [str(i) for i in range(7)] and len({r["event_id"] // 100 for r in rows}) == 1
+
+
 def test_state_replay_reads_older_generations(spark, tmp_path):
     schema = "k bigint, v double"
     state = BucketedState(spark, str(tmp_path / "s"), ["k"], schema, 4)

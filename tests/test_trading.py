@@ -70,16 +70,29 @@ def test_fills_are_booked_once(spark):
 
 def test_reconcile_rules(spark):
     old, new = NOW - timedelta(minutes=50), NOW - timedelta(minutes=5)
-    orders = [(i, i, "open", 0.0, at) for i, at in ((1, old), (2, old), (3, new), (4, new), (5, new))]
+    orders = [(i, i, "open", 0.0, at) for i, at in ((1, old), (2, old), (3, new), (4, new), (5, new), (6, old))]
     df = spark.createDataFrame(orders, "order_id bigint, decision_id bigint, status string, filled_size double, placed_at timestamp")
-    reports = [(1, 1, "open", 0.0, 0.0), (2, 1, "partial", 3.0, 0.5), (3, 1, "open", 0.0, 0.0), (4, 1, "open", 0.0, 0.0), (4, 2, "filled", 9.0, 0.4)]
+    reports = [(1, 1, "open", 0.0, 0.0), (2, 1, "partial", 3.0, 0.5), (3, 1, "open", 0.0, 0.0), (4, 1, "open", 0.0, 0.0), (4, 2, "filled", 9.0, 0.4), (5, 1, "open", 2.0, 0.4), (5, 2, "not_found", None, None)]
     rep = spark.createDataFrame(reports, "order_id bigint, report_seq bigint, status string, filled_size double, avg_fill_price double")
     got = {r["order_id"]: r for r in D.order_reconcile(df, rep, F.lit(NOW)).collect()}
     assert got[1]["new_status"] == "cancelled" and got[1]["expired"] and got[1]["decision_expired"]
     assert got[2]["new_status"] == "partial" and got[2]["expired"] and not got[2]["decision_expired"]
     assert not got[3]["changed"]
     assert got[4]["new_status"] == "filled" and got[4]["new_filled_size"] == 9
-    assert got[5]["new_status"] == "cancelled" and got[5]["note"]
+    assert got[5]["new_status"] == "cancelled" and got[5]["note"] and got[5]["new_filled_size"] == 0
+    assert 6 not in got  # nothing was heard of it
+    owned = df.withColumn("strategy_id", F.col("order_id") % 2)
+    accounts = spark.createDataFrame([(0, True), (1, False)], "strategy_id bigint, active boolean")
+    assert {r["order_id"] for r in D.order_reconcile(owned, rep, F.lit(NOW), accounts).collect()} == {2, 4}
+
+
+def test_fills_after_a_settlement_start_a_new_position(spark):
+    schema = "order_id bigint, report_seq bigint, strategy_id bigint, market_id bigint, side string, filled_size double, avg_fill_price double, reported_at timestamp"
+    rows = [(1, 1, 1, 1, "yes", 10.0, 0.5, NOW - timedelta(days=2)), (1, 2, 1, 1, "yes", 30.0, 0.6, NOW), (2, 1, 1, 1, "yes", 5.0, 0.4, NOW), (3, 1, 1, 2, "yes", 4.0, 0.5, NOW)]
+    settled = spark.createDataFrame([(1, NOW - timedelta(days=1))], "market_id bigint, settled_at timestamp")
+    got = positions.accrue_positions(spark.createDataFrame(rows, schema), ["strategy_id", "market_id", "side"], settled).collect()
+    sums = {(r["market_id"], r["after_settlement"]): (r["size"], round(r["cost_basis"], 6), r["orders"]) for r in got}
+    assert sums == {(1, False): (10.0, 5.0, 1), (1, True): (25.0, 15.0, 2), (2, False): (4.0, 2.0, 1)}
 
 
 def test_stake_is_capped(spark):
