@@ -6,6 +6,10 @@ arrays; a worker writes them to scratch files one order at a time, maps them int
 occurrences and removes the files. What depends on the last token alone (its continuation and plain counts) is summed by token and sent back to the
 buckets that asked. Discounts come from counts of counts over the whole corpus. Per document, a bucket returns one sum.
 
+A frequent token (one of at most ``HOT_WORDS``, estimated on an eighth of the documents, which affects balance only)
+would fill its bucket. What follows it is dealt by the whole context instead. Counts of its pairs, which then lie in many
+buckets, are summed in the lane of the pair's last token and sent back as well.
+
 The occurrences are shuffled once: counting and scoring read the same exchange.
 
 Texts are split at ASCII white space, A-Z in lower case, and end with one end token. Null texts count as empty: the end
@@ -36,6 +40,8 @@ BEGIN, END = mix(np.array([101, 102], np.uint64))
 NOTES = "bucket int, note binary"
 COUNTED = "lane int, source int, totals array<double>, note binary"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+#: Tokens whose followers are spread, at most, and one in how many documents tells which they are.
+HOT_WORDS, HOT_SAMPLE = 1024, 8
 #: Occurrences looked up at a time.
 CHUNK = 500_000
 #: Counts of counts kept per order: runs counted once, twice, three and four times, and three times or more.
@@ -58,16 +64,44 @@ def narrow(values: np.ndarray) -> np.ndarray:
 
 def planes(values: np.ndarray) -> np.ndarray:
     """The bytes of the values, all lowest ones first, which packs better than whole values."""
-    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T)
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T)
 
 
 def unplanes(bytes_of: np.ndarray) -> np.ndarray:
-    width, n = bytes_of.shape
-    return np.ascontiguousarray(bytes_of.T).reshape(-1).view(f"<u{width}") if n else np.zeros(0, np.uint8)
+    width = len(bytes_of)
+    return np.ascontiguousarray(bytes_of.T).reshape(-1).view(f"<u{width}")
+
+
+def hot_words(docs: DataFrame) -> np.ndarray:
+    """Hashes of the tokens that more than a fifth of a bucket's occurrences would follow, sorted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            tokens, doc = tokens_of(*text_buffer(batch.column("text")))
+            words, counts = np.unique(np.append(tokens, np.full(batch.num_rows, BEGIN)), return_counts=True)
+            many = counts * 2 * HOT_WORDS >= len(doc)
+            yield pa.RecordBatch.from_arrays([pa.array(words[many].view(np.int64)), pa.array(counts[many].astype(np.int64))], names=["word", "n"])
+
+    some = docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(HOT_SAMPLE)) == 0).select("text")
+    found = some.mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    found = found.filter(F.col("n") * HOT_SAMPLE >= BUCKET_BYTES // 32).orderBy(F.desc("n"), "word").limit(HOT_WORDS)
+    return np.sort(np.array([r["word"] for r in found.collect()], np.int64).view(np.uint64))
 
 
-def occurrence_notes(docs: DataFrame, buckets: int, order: int) -> DataFrame:
-    """(bucket, note): the occurrences of each batch of documents, dealt by the token before the last."""
+def places_in(hot: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """The place of each word among the hot ones, -1 for the others."""
+    if not len(hot):
+        return np.full(len(words), -1)
+    at = np.searchsorted(hot, words)
+    at[at == len(hot)] = 0
+    return np.where(hot[at] == words, at, -1)
+
+
+def occurrence_notes(docs: DataFrame, buckets: int, order: int, hot: np.ndarray) -> DataFrame:
+    """(bucket, note): the occurrences of each batch of documents, dealt by the token before the last.
+
+    If that token is hot they are dealt by it and the one before it (the last one, if runs have two tokens).
+    """
 
     def notes(parts: list[tuple]) -> pa.RecordBatch:
         docs_of = joined([p[0] for p in parts])
@@ -82,6 +116,9 @@ def occurrence_notes(docs: DataFrame, buckets: int, order: int) -> DataFrame:
             inside = doc[k:] == doc[:-k]
             number[k, k:][inside] = numbers[:-k][inside]
         bucket = (words % np.uint64(buckets)).astype(np.int64)[number[1]]
+        spread = np.flatnonzero((places_in(hot, words) >= 0)[number[1]])
+        other = words[number[2 if order > 2 else 0][spread]]
+        bucket[spread] = (mix(words[number[1][spread]] * MULTIPLIER + other) % np.uint64(buckets)).astype(np.int64)
         by_bucket = np.lexsort([number[1], bucket])
         cuts = np.searchsorted(bucket[by_bucket], np.arange(buckets + 1))
         out = []
@@ -164,7 +201,7 @@ class Shard:
         self.arrays = arrays
 
     @classmethod
-    def counted(cls, seen: Occurrences, order: int) -> Shard:
+    def counted(cls, seen: Occurrences, order: int, hot: np.ndarray) -> Shard:
         arrays: dict[str, np.ndarray] = {}
         at = np.flatnonzero(seen.train)
         weight = np.ones(len(at), np.int64)
@@ -180,10 +217,37 @@ class Shard:
                 arrays[f"kinds{k}{c}"] = narrow(np.bincount(back, counts == c if c < 3 else counts >= c, len(contexts)))
             weight = np.ones(len(at), np.int64)
         arrays["word"] = words = np.unique(seen.word)  # all that are asked for, also by documents held out
-        arrays["before"] = np.bincount(np.searchsorted(words, seen.word[at]), minlength=len(words))
+        # ``at`` now stands for the pairs, one occurrence each in the order of their hashes. Those of hot words are kept apart,
+        # with all that are asked for.
+        cool = places_in(hot, seen.tokens[1][at]) < 0
+        arrays["before"] = np.bincount(np.searchsorted(words, seen.word[at[cool]]), minlength=len(words))
+        place = places_in(hot, seen.tokens[1])
+        use = np.flatnonzero(place >= 0)
+        arrays["hot_pair"], first = np.unique(seen.run(2, use), return_index=True)
+        arrays["hot_place"], arrays["hot_word"] = place[use[first]], np.searchsorted(words, seen.word[use[first]])
+        found, have = cls(arrays).find("run2", arrays["hot_pair"])
+        arrays["hot_times"] = np.where(have, arrays["count2"][found], 0) if len(cool) else np.zeros(len(found), np.int64)
+        arrays["run2"], arrays["count2"] = arrays["run2"][cool], arrays["count2"][cool]
+        cool = ~np.isin(arrays["context2"], mix(hot))
+        for name in ("context2", "total2", "kinds21", "kinds22", "kinds23"):
+            arrays[name] = arrays[name][cool]
         arrays["plain"] = np.bincount(np.searchsorted(words, seen.word[seen.train]), minlength=len(words))
         return cls(arrays)
 
+    def spread(self, hot: np.ndarray, times: np.ndarray, totals: np.ndarray) -> None:
+        """Adds the pairs and contexts of hot tokens with their counts in all buckets."""
+        some = times > 0
+        new = {"run2": (self.arrays["hot_pair"][some], {"count2": times[some]})}
+        if len(hot):
+            some = totals[0] > 0
+            new["context2"] = mix(hot)[some], dict(zip(("total2", "kinds21", "kinds22", "kinds23"), totals.astype(np.int64)[:, some], strict=True))
+        for key, (keys, columns) in new.items():
+            keys = np.concatenate([self.arrays[key], keys])
+            order = np.argsort(keys, kind="stable")
+            self.arrays[key] = keys[order]
+            for name, values in columns.items():
+                self.arrays[name] = narrow(np.concatenate([self.arrays[name].astype(np.int64), values])[order])
+
     @contextmanager
     def mapped(self, folder: str, *names: str) -> Iterator[Shard]:
         """The named arrays out of memory, as files mapped into it; the files go when they have been used."""
@@ -246,19 +310,24 @@ def lane_of(hashes: np.ndarray, lanes: int) -> np.ndarray:
     return (mix(hashes) % np.uint64(lanes)).astype(np.int64)
 
 
-def counted_rows(found: DataFrame, order: int, lanes: int) -> DataFrame:
+def counted_rows(found: DataFrame, order: int, lanes: int, hot: np.ndarray) -> DataFrame:
     """Per bucket: its counts of counts, and for each lane of tokens their counts in this bucket."""
 
     def run(table: pa.Table) -> pa.Table:
         bucket = table.column("bucket")[0].as_py()
-        shard = Shard.counted(Occurrences(unpack(x.as_py() for x in table.column("note")), order), order)
+        shard = Shard.counted(Occurrences(unpack(x.as_py() for x in table.column("note")), order), order, hot)
+        hot_lane = lane_of(shard.arrays["word"], lanes)[shard.arrays["hot_word"]]
         totals = np.concatenate([classes(shard.arrays[f"count{k}"]) for k in range(2, order + 1)])
         rows = [(bucket % lanes, bucket, totals.tolist(), None)]
         words = shard.arrays["word"]
         lane = lane_of(words, lanes)
         for x in np.unique(lane).tolist():
-            use = lane == x
-            rows.append((x, bucket, None, pack(word=planes(words[use]), before=narrow(shard.arrays["before"][use]), plain=narrow(shard.arrays["plain"][use]))))
+            use, mine = lane == x, hot_lane == x
+            pairs = {
+                "pair": planes(shard.arrays["hot_pair"][mine]), "times": narrow(shard.arrays["hot_times"][mine]),
+                "place": narrow(shard.arrays["hot_place"][mine]), "of": narrow((np.cumsum(use) - 1)[shard.arrays["hot_word"][mine]]),
+            }
+            rows.append((x, bucket, None, pack(word=planes(words[use]), before=narrow(shard.arrays["before"][use]), plain=narrow(shard.arrays["plain"][use]), **pairs)))
         return counted_table(rows)
 
     return found.groupBy("bucket").applyInArrow(run, COUNTED)
@@ -269,7 +338,7 @@ def counted_table(rows: list[tuple]) -> pa.Table:
     return pa.table({n: pa.array([r[i] for r in rows], kind) for i, (n, kind) in enumerate(kinds.items())})
 
 
-def summed_rows(counted: DataFrame) -> DataFrame:
+def summed_rows(counted: DataFrame, hot: np.ndarray) -> DataFrame:
     """Per lane of tokens: its counts of counts, distinct and plain tokens, and for each bucket the sums it asked for, in the
     order in which it did.
 
@@ -287,13 +356,24 @@ def summed_rows(counted: DataFrame) -> DataFrame:
         words, back = np.unique(np.concatenate([unplanes(p["word"]) for p in parts]), return_inverse=True)
         before = np.bincount(back, np.concatenate([p["before"] for p in parts]), len(words)).astype(np.int64)
         plain = np.bincount(back, np.concatenate([p["plain"] for p in parts]), len(words)).astype(np.int64)
-        totals = [*classes(before).tolist(), float(before.sum()), float((plain > 0).sum()), float(plain.sum())]
+        starts = np.cumsum([0, *(len(p["before"]) for p in parts)])
+        of = np.concatenate([back[p["of"].astype(np.int64) + s] for p, s in zip(parts, starts, strict=False)])
+        _, first, pair = np.unique(np.concatenate([unplanes(p["pair"]) for p in parts]), return_index=True, return_inverse=True)
+        times = np.bincount(pair, np.concatenate([p["times"] for p in parts]), len(first)).astype(np.int64)
+        before += np.bincount(of[first], times > 0, len(words)).astype(np.int64)
+        place = np.concatenate([p["place"] for p in parts]).astype(np.int64)[first]
+        spread = [np.bincount(place, w, len(hot)) for w in (times, times == 1, times == 2, times > 2)] if len(hot) else []
+        totals = [*classes(before).tolist(), float(before.sum()), float((plain > 0).sum()), float(plain.sum()), *classes(times).tolist()]
+        totals += np.concatenate([np.zeros(0), *spread]).tolist()
+        done = 0
         rows.append((lane, -1, totals, None))
         at = 0
         for source, part in zip(sources, parts, strict=True):
             mine = back[at : at + len(part["before"])]
             at += len(mine)
-            rows.append((lane, source, None, pack(before=narrow(before[mine]), plain=narrow(plain[mine]))))
+            asked = pair[done : done + len(part["times"])]
+            done += len(asked)
+            rows.append((lane, source, None, pack(before=narrow(before[mine]), plain=narrow(plain[mine]), times=narrow(times[asked]))))
         return counted_table(rows)
 
     return counted.groupBy("lane").applyInArrow(run, COUNTED)
@@ -305,7 +385,7 @@ def totalled(rows: DataFrame, name: str) -> DataFrame:
     return places.agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias(name))
 
 
-def score_rows(found: DataFrame, answers: DataFrame, order: int, lanes: int) -> DataFrame:
+def score_rows(found: DataFrame, answers: DataFrame, order: int, lanes: int, hot: np.ndarray) -> DataFrame:
     """(lane, note): per bucket and lane of documents, each document's sums."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -315,15 +395,20 @@ def score_rows(found: DataFrame, answers: DataFrame, order: int, lanes: int) ->
             kinds = next(x for x in right.column("runs").to_pylist() if x is not None)
             tokens = next(x for x in right.column("tokens").to_pylist() if x is not None)
             kinds = np.array(kinds or [0.0] * CLASSES * (order - 1)).reshape(-1, CLASSES)
-            *single, before, distinct, plain = tokens or [0.0] * (CLASSES + 3)
+            tokens = tokens or [0.0] * (2 * CLASSES + 3 + 4 * len(hot))
+            single, (before, distinct, plain) = tokens[:CLASSES], tokens[CLASSES : CLASSES + 3]
+            kinds[0] += tokens[CLASSES + 3 : 2 * CLASSES + 3]
+            spread = np.array(tokens[2 * CLASSES + 3 :]).reshape(4, -1)
             discounts = {k: discounts_of(kinds[k - 2]) for k in range(2, order + 1)}
-            shard = Shard.counted(seen, order)
+            shard = Shard.counted(seen, order, hot)
             words = shard.arrays["word"]
+            hot_lane, times = lane_of(words, lanes)[shard.arrays["hot_word"]], np.zeros(len(shard.arrays["hot_word"]), np.int64)
             lane, before_of, plain_of = lane_of(words, lanes), np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
             for x, note in zip(right.column("lane").to_pylist(), right.column("note"), strict=True):
                 if note.is_valid:
                     answer = unpack([note.as_py()])[0]
-                    before_of[lane == x], plain_of[lane == x] = answer["before"], answer["plain"]
+                    before_of[lane == x], plain_of[lane == x], times[hot_lane == x] = answer["before"], answer["plain"], answer["times"]
+            shard.spread(hot, times, spread)
             with tempfile.TemporaryDirectory() as folder:
                 fixed, share = shard.mixture(seen, order, discounts, folder)
             at = np.searchsorted(words, seen.word)
@@ -379,9 +464,10 @@ def score(docs: DataFrame, parts: int = 7, left: int = 2, order: int = ORDER) ->
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     buckets, lanes = groups_for(total, BUCKET_BYTES), groups_for(total, LANE_BYTES)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), held_out(parts, left).alias("held_out"), text)
-    found = occurrence_notes(rows, buckets, order)
-    counted = counted_rows(found, order, lanes)
-    summed = summed_rows(counted)
+    hot = hot_words(rows)
+    found = occurrence_notes(rows, buckets, order, hot)
+    counted = counted_rows(found, order, lanes, hot)
+    summed = summed_rows(counted, hot)
     every = F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("bucket")
     none = F.lit(None).cast("array<double>")
     answers = summed.filter("note IS NOT NULL").select(F.col("source").alias("bucket"), "lane", "note", none.alias("runs"), none.alias("tokens"))
@@ -389,4 +475,4 @@ def score(docs: DataFrame, parts: int = 7, left: int = 2, order: int = ORDER) ->
         other = "tokens" if name == "runs" else "runs"
         shared = totalled(source, name).select(every, F.lit(-1).alias("lane"), F.lit(None).cast("binary").alias("note"), name, none.alias(other))
         answers = answers.unionByName(shared)
-    return document_sums(score_rows(found, answers, order, lanes))
+    return document_sums(score_rows(found, answers, order, lanes, hot))
