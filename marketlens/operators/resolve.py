@@ -61,36 +61,45 @@ def _how() -> Column:
 
 
 def _block(rows: DataFrame, rank: DataFrame, keep: list[str]) -> DataFrame:
-    """One row per (row, prefix token): the rarest tokens a match of Jaccard 0.5 must share one of."""
-    exploded = rows.select(*keep, "sport_id", "tokens", F.explode(F.array_distinct("tokens")).alias("token"))
+    """One row per (row, prefix token): the rarest tokens beside the last that a match of Jaccard 0.5 must share one of."""
+    exploded = rows.select(*keep, "sport_id", "tokens", "last", F.explode("others").alias("token"))
     ranked = exploded.join(rank, ["sport_id", "token"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     order = F.sort_array(F.collect_list(F.struct("n", "token")))
     size = F.size(order)
-    prefix = F.slice(order, 1, size - F.ceil(size / 2.0).cast("int") + 1)
-    grouped = ranked.groupBy(*keep, "sport_id", "tokens").agg(prefix.alias("prefix"))
-    return grouped.select(*keep, "sport_id", "tokens", F.explode("prefix.token").alias("token"))
+    # Of size + 1 tokens at least half are shared, the last one among them.
+    shared = F.greatest(F.ceil((size + 1) / 2.0).cast("int") - 1, F.lit(1))
+    grouped = ranked.groupBy(*keep, "sport_id", "tokens", "last").agg(F.slice(order, 1, size - shared + 1).alias("prefix"))
+    return grouped.select(*keep, "sport_id", "tokens", "last", F.explode("prefix.token").alias("token"))
 
 
 def fuzzy_matches(names: DataFrame, teams: DataFrame, threshold: float = FUZZY_THRESHOLD) -> DataFrame:
     """Best team of similarity at least 0.7.
 
-    Such a pair needs an equal last token and a token overlap of at least one half, so both sides are
-    blocked on (sport, last token, one of their rarest tokens): no pair outside a block can qualify, and a
-    common last word alone never pairs a whole league.
+    Such a pair needs an equal last token and a token overlap of at least one half. If it shares another token, both sides
+    meet in a block of (sport, last token, one of their rarest other tokens). If the last token is all it shares, one side
+    has just this token and the other two at most; all such pairs of a last token score alike, so only the team with
+    the lowest id is kept for each size. A common last word therefore never pairs a whole league.
     """
-    left = names.withColumn("tokens", tokens(F.col("name"))).filter(F.size("tokens") > 0)
-    right = teams.select("sport_id", "team_id", tokens(F.col("name")).alias("tokens")).filter(F.size("tokens") > 0)
+
+    def prepared(rows: DataFrame) -> DataFrame:
+        rows = rows.filter(F.size("tokens") > 0).withColumn("last", F.element_at("tokens", -1))
+        return rows.withColumn("others", F.array_except("tokens", F.array("last")))
+
+    left = prepared(names.withColumn("tokens", tokens(F.col("name"))))
+    right = prepared(teams.select("sport_id", "team_id", tokens(F.col("name")).alias("tokens")))
     rank = (
-        right.select("sport_id", F.explode(F.array_distinct("tokens")).alias("token"))
-        .groupBy("sport_id", "token")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    last = F.element_at("tokens", -1)
-    a = _block(left, rank, ["name", "key"]).withColumn("last", last)
-    b = _block(right, rank, ["team_id"]).withColumn("last", last).withColumnRenamed("tokens", "team_tokens")
-    scored = a.join(b, ["sport_id", "last", "token"]).select(
-        "sport_id", "name", "key", "team_id", token_similarity(F.col("tokens"), F.col("team_tokens")).alias("score")
+        right.select("sport_id", F.explode("others").alias("token")).groupBy("sport_id", "token").agg(F.count(F.lit(1)).alias("n"))
     )
+    a = _block(left, rank, ["name", "key"])
+    b = _block(right, rank, ["team_id"]).withColumnRenamed("tokens", "team_tokens")
+    columns = ["sport_id", "name", "key", "team_id", "score"]
+    score = token_similarity(F.col("tokens"), F.col("team_tokens")).alias("score")
+    shared = a.join(b, ["sport_id", "last", "token"]).select(*columns[:-1], score)
+    lowest = right.filter(F.size("others") < 2).withColumn("more", F.size("others"))
+    lowest = lowest.groupBy("sport_id", "last", "more").agg(F.min(F.struct("team_id", "tokens")).alias("t"))
+    lowest = lowest.select("sport_id", "last", "more", "t.team_id", F.col("t.tokens").alias("team_tokens"))
+    short = left.filter(F.size("others") < 2).join(lowest, ["sport_id", "last"]).filter(F.size("others") + F.col("more") < 2)
+    scored = shared.unionByName(short.select(*columns[:-1], score))
     # A pair may meet in several blocks; the aggregate keeps one best team either way.
     best = scored.filter(F.col("score") >= threshold).groupBy("sport_id", "name", "key").agg(
         F.max(F.struct("score", (-F.col("team_id")).alias("neg"))).alias("m")
@@ -129,34 +138,37 @@ def learn_aliases(teams: DataFrame, resolved: DataFrame) -> DataFrame:
 
 
 def contained_matches(names: DataFrame, teams: DataFrame) -> DataFrame:
-    """How many teams contain the name's words, or are contained in them, with the only candidate.
+    """How many teams contain the name's words, or are contained in them, with the lowest of their ids.
 
-    Each side is blocked on its rarest word, which the containing side must hold; candidate pairs are then
-    checked whole.
+    Names and teams of one word meet folded counts per word. Among the others each side is blocked on its rarest word,
+    which the containing side must hold, and candidate pairs are checked whole.
     """
+    columns = ["sport_id", "name", "key"]
     left = names.withColumn("w", F.array_distinct(words(F.col("name")))).filter(F.size("w") > 0)
     right = teams.select("sport_id", "team_id", F.array_distinct(words(F.col("name"))).alias("tw")).filter(F.size("tw") > 0)
-    freq = (
-        right.select("sport_id", F.explode("tw").alias("word")).groupBy("sport_id", "word").agg(F.count(F.lit(1)).alias("n"))
-    )
+    held = right.select("sport_id", "team_id", "tw", F.explode("tw").alias("word"))
+    counts = [F.count(F.lit(1)).alias("n"), F.min("team_id").alias("team_id")]
+    freq = held.groupBy("sport_id", "word").agg(*counts)
+    alone = held.filter(F.size("tw") == 1).groupBy("sport_id", "word").agg(*counts)
 
     def rarest(rows: DataFrame, arr: str, keep: list[str]) -> DataFrame:
-        ex = rows.select(*keep, "sport_id", arr, F.explode(arr).alias("word")).join(freq, ["sport_id", "word"], "left")
+        ex = rows.select(*keep, "sport_id", arr, F.explode(arr).alias("word")).join(freq.drop("team_id"), ["sport_id", "word"], "left")
         pick = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word"))["word"]
         return ex.groupBy(*keep, "sport_id", arr).agg(pick.alias("word"))
 
-    needle = rarest(left, "w", ["name", "key"]).join(right.select("*", F.explode("tw").alias("word")), ["sport_id", "word"])
+    one = left.filter(F.size("w") == 1).withColumn("word", F.col("w")[0]).join(freq, ["sport_id", "word"])
+    many, large = left.filter(F.size("w") > 1), right.filter(F.size("tw") > 1)
+    around_one = many.select(*columns, F.explode("w").alias("word")).join(alone, ["sport_id", "word"])
+    needle = rarest(many, "w", ["name", "key"]).join(large.select("*", F.explode("tw").alias("word")), ["sport_id", "word"])
     inside = needle.filter(F.size(F.array_except("w", "tw")) == 0)
-    hay = rarest(right, "tw", ["team_id"]).join(left.select("*", F.explode("w").alias("word")), ["sport_id", "word"])
+    hay = rarest(large, "tw", ["team_id"]).join(many.select("*", F.explode("w").alias("word")), ["sport_id", "word"])
     around = hay.filter(F.size(F.array_except("tw", "w")) == 0)
-    columns = ["sport_id", "name", "key", "team_id"]
-    pairs = inside.select(*columns).unionByName(around.select(*columns))
     # Equal word sets qualify on both sides, so distinct teams are counted.
-    return (
-        pairs.distinct()
-        .groupBy("sport_id", "name", "key")
-        .agg(F.count(F.lit(1)).alias("candidates"), F.min("team_id").alias("team_id"))
-    )
+    pairs = inside.select(*columns, "team_id").unionByName(around.select(*columns, "team_id")).distinct()
+    found = pairs.select(*columns, F.lit(1).cast("bigint").alias("n"), "team_id")
+    for folded in (one, around_one):
+        found = found.unionByName(folded.select(*columns, "n", "team_id"))
+    return found.groupBy(*columns).agg(F.sum("n").alias("candidates"), F.min("team_id").alias("team_id"))
 
 
 def match_existing_teams(names: DataFrame, teams: DataFrame) -> DataFrame:

@@ -95,3 +95,34 @@ def test_text_helpers(spark):
     assert (r["f"]["home"], r["f"]["away"]) == ("Arsenal", "Spurs")
     assert r["v"] == 1_200_000_000 and r["i"] == 0.8 and r["s"] == "my-big_list-x" and r["l"] == "Page Views Total"
     assert r["k"] == r["k2"] == "4.5" and r["k3"] == ""
+
+
+def joined_rows(df):
+    """The most rows that a join of the executed plan made."""
+    df.collect()
+    found, todo = [0], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+        elif name.endswith("QueryStageExec"):
+            todo.append(node.plan())
+        if "Join" in name and node.metrics().contains("numOutputRows"):
+            found.append(node.metrics().apply("numOutputRows").value())
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return max(found)
+
+
+def test_a_shared_last_word_pairs_no_league(spark):
+    names = spark.createDataFrame([(1, f"n{i} united", f"n{i}united") for i in range(200)] + [(1, "united", "united")], "sport_id bigint, name string, key string")
+    teams = spark.createDataFrame([(1, i, f"t{i} united", f"t{i}united") for i in range(200)] + [(1, 500, "united", "x")], "sport_id bigint, team_id bigint, name string, search_key string")
+    fuzzy = R.fuzzy_matches(names, teams)
+    rows = {r["name"]: (r["team_id"], round(r["score"], 6)) for r in fuzzy.collect()}
+    assert rows == {"united": (500, 1.0)} | {f"n{i} united": (500, 0.7) for i in range(200)}
+    assert joined_rows(fuzzy) <= 1000
+    contained = R.contained_matches(names, teams)
+    rows = {r["name"]: (r["candidates"], r["team_id"]) for r in contained.collect()}
+    assert rows == {"united": (201, 0)} | {f"n{i} united": (1, 500) for i in range(200)}
+    assert joined_rows(contained) <= 1000
