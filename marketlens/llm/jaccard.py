@@ -23,8 +23,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marketlens.llm import tables
 from marketlens.llm.components import components
-from marketlens.llm.tables import by_group, shingle_hashes, slices, text_buffer
+from marketlens.llm.tables import by_group, groups_for, laned, opened, shingle_hashes, slices, text_buffer
 from marketlens.session import cut
 
 SHINGLE = 5
@@ -32,7 +33,7 @@ THRESHOLD = 0.8
 ORDERS = 64
 RUNS = 12
 #: Parts of at most so many texts are compared; larger ones are split, at most ``DEPTH`` times, then compared in blocks.
-PART = 1024
+PART = 512
 DEPTH = 3
 #: Signature estimates from here on go to the exact check: four standard errors below the threshold.
 MAYBE = 0.6
@@ -241,22 +242,56 @@ def group_links(members: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return dealt.select("task", "key", "copies", "hashes", "mine", "same").mapInArrow(compare, schema)
 
 
-def with_hashes(rows: DataFrame) -> DataFrame:
-    """``rows`` with ``text`` replaced by the sorted distinct hashes of its set."""
+def lane_count(docs: DataFrame) -> int:
+    total = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    return groups_for(total, tables.LANE_BYTES)
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            hashes, owner = shingle_hashes(*text_buffer(batch.column("text")), SHINGLE)
-            order = np.lexsort([hashes, owner])
-            hashes, owner = hashes[order], owner[order]
-            first = np.ones(len(hashes), bool)
-            first[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
-            hashes, owner = hashes[first], owner[first]
-            cuts = np.searchsorted(owner, np.arange(batch.num_rows + 1))
-            sets = [hashes[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(sets, pa.binary())], names=["key", "hashes"])
 
-    return rows.select("key", "text").mapInArrow(hashed, "key binary, hashes binary")
+def lane_of(doc_id: str, lanes: int) -> Column:
+    return F.pmod(F.xxhash64(doc_id, "key"), F.lit(lanes)).cast("int")
+
+
+def in_lanes(docs: DataFrame, lanes: int) -> DataFrame:
+    """The rows in lanes by doc_id and text: all columns, named by their place but for ``text``, with _id and key."""
+    columns = [F.col(f"`{c}`").alias("text" if c == "text" else f"c{i}") for i, c in enumerate(docs.columns)]
+    rows = docs.select(*columns, F.col("doc_id").cast("long").alias("_id"), text_key(F.col("text")).alias("key"))
+    return laned(rows.withColumn("_lane", lane_of("_id", lanes)))
+
+
+def wanted_rows(table: pa.Table, asked: pa.Table) -> pa.Table:
+    """The first row for each (least, key) asked for."""
+    ask = set(zip(asked.column("least").to_pylist(), asked.column("key").to_pylist(), strict=True))
+    found = []
+    for i, row in enumerate(zip(table.column("_id").to_pylist(), table.column("key").to_pylist(), strict=True)):
+        if row in ask:
+            ask.remove(row)
+            found.append(i)
+    return table.take(pa.array(found, pa.int64()))
+
+
+def hashed_sets(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """(key, hashes): the sorted distinct hashes of the sets of the texts ``members`` (key, least) asks for."""
+    lanes = lane_count(docs)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        keys, sets = [], []
+        if left.num_rows and right.num_rows:
+            table = wanted_rows(opened(left), right)
+            for batch in slices(iter(table.to_batches()), "text"):
+                hashes, owner = shingle_hashes(*text_buffer(batch.column("text")), SHINGLE)
+                order = np.lexsort([hashes, owner])
+                hashes, owner = hashes[order], owner[order]
+                first = np.ones(len(hashes), bool)
+                first[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
+                hashes, owner = hashes[first], owner[first]
+                cuts = np.searchsorted(owner, np.arange(batch.num_rows + 1))
+                keys += batch.column("key").to_pylist()
+                sets += [hashes[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
+        return pa.table({"key": pa.array(keys, pa.binary()), "hashes": pa.array(sets, pa.binary())})
+
+    asked = members.select("key", "least", lane_of("least", lanes).alias("lane"))
+    texts = in_lanes(docs.select("doc_id", "text"), lanes)
+    return texts.groupBy("lane").cogroup(asked.groupBy("lane")).applyInArrow(run, "key binary, hashes binary")
 
 
 def text_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -266,9 +301,7 @@ def text_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     sizes = groups.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
     members = groups.withColumnRenamed("node", "key").join(sizes, "root").join(texts.select("key", "copies", "doc_id"), "key")
     members = cut(members.select("key", F.xxhash64("root").alias("group"), "n", "copies", F.col("doc_id").alias("least")))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("key"), F.col("text").cast("string").alias("text"))
-    own = rows.join(members.select("key", "least"), "key").filter(F.col("doc_id").eqNullSafe(F.col("least")))
-    sets = with_hashes(own).groupBy("key").agg(F.first("hashes").alias("hashes"))
+    sets = hashed_sets(docs, members)
     links = cut(group_links(members.join(sets, "key"), threshold))
     classes = components(links.select("a", "b")).withColumnRenamed("node", "key")
     counts = links.groupBy(F.col("a").alias("key")).agg(F.sum("texts").alias("text_links"), F.sum("documents").alias("document_links"))
@@ -299,8 +332,13 @@ def document_links(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 def one_per_class(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with one document of each class: the one of the least doc_id, of rows equal in it and in text the first met."""
     classes = text_classes(docs, threshold)
+    lanes = lane_count(docs)
     best = classes.filter("keeper").select("key", F.col("doc_id").alias("least"))
-    whole = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
-    rows = docs.select(whole.alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("key")).join(best, "key")
-    rows = rows.filter(F.col("doc_id").eqNullSafe(F.col("least"))).dropDuplicates(["key"])
-    return rows.select(*[F.col(f"doc.c{i}").alias(c) for i, c in enumerate(docs.columns)])
+    best = best.withColumn("lane", lane_of("least", lanes))
+    names, schema = docs.columns, docs.schema
+
+    def keep(left: pa.Table, right: pa.Table) -> pa.Table:
+        table = wanted_rows(opened(left), right)
+        return pa.table([table.column("text" if c == "text" else f"c{i}") for i, c in enumerate(names)], names=names)
+
+    return in_lanes(docs, lanes).groupBy("lane").cogroup(best.groupBy("lane")).applyInArrow(keep, schema)

@@ -151,7 +151,7 @@ class Profiles:
         known = rows[firsts]
         dots = np.stack([np.add.reduceat(self.products[:, k].astype(np.float64)[place], firsts) for k in range(len(self.names))], axis=1)
         width = len(self.products)
-        squares, step = np.zeros(n), max(1, (4 << 20) // width)
+        squares, step = np.zeros(n), max(1, (1 << 20) // width)
         for at in range(0, n, step):
             low, high = np.searchsorted(rows, [at, at + step])
             cells = np.bincount((rows[low:high] - at) * width + place[low:high], minlength=step * width).reshape(step, width)

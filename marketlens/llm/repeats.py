@@ -31,13 +31,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marketlens.llm.tables import BYTE_CODES, MULTIPLIER, by_group, groups_for, mix, slices, text_buffer
+from marketlens.llm import tables
+from marketlens.llm.tables import BYTE_CODES, MULTIPLIER, batches_of, by_group, groups_for, laned, mix, opened, slices, text_buffer
 from marketlens.session import cut
 
 LENGTH = 100
 ANCHOR = 40
-#: Text that makes a batch with a suffix array of its own, that a bucket's anchors stem from, and that a lane holds.
-BATCH_BYTES, BUCKET_BYTES, LANE_BYTES = 16 << 20, 24 << 20, 12 << 20
+#: Text that a bucket's anchors stem from.
+BUCKET_BYTES = 16 << 20
 STEP_BYTES = 1 << 20
 NULL_ID = np.iinfo(np.int64).min
 SPANS, ANCHORS = 0, 1
@@ -227,25 +228,11 @@ class Family:
         return {n: c[order[same]] for n, c in columns.items()}
 
 
-def batches_of(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.Table]:
-    """The rows in tables of about ``limit`` bytes of text."""
-    held: list[pa.RecordBatch] = []
-    size = 0
-    for batch in slices(batches, "text", limit):
-        held.append(batch)
-        size += int(text_buffer(batch.column("text"))[1][-1])
-        if size >= limit:
-            yield pa.Table.from_batches(held)
-            held, size = [], 0
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def anchor_notes(docs: DataFrame, buckets: int) -> DataFrame:
     """Notes for buckets (lane below ``buckets``) and, past them, of spans repeated within a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in batches_of(batches, BATCH_BYTES):
+        for table in batches_of(batches, tables.BATCH_BYTES):
             keys, found, first = [], [], 0
             for batch in slices(iter(table.to_batches()), "text", STEP_BYTES):
                 part = anchors(*text_buffer(batch.column("text")))
@@ -305,30 +292,6 @@ def indexed_notes(notes: DataFrame, buckets: int) -> DataFrame:
     return notes.repartition("lane").sortWithinPartitions("lane").mapInArrow(run, NOTES)
 
 
-def laned(docs: DataFrame) -> DataFrame:
-    """(lane, rows): the rows of each batch and lane, as compressed Arrow streams."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        options = pa.ipc.IpcWriteOptions(compression="zstd")
-        for table in batches_of(batches, BATCH_BYTES):
-            table = table.combine_chunks()
-            lanes = table.column("_lane").to_numpy()
-            out = []
-            for lane in np.unique(lanes).tolist():
-                part = table.take(pa.array(np.flatnonzero(lanes == lane)))
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, part.schema, options=options) as writer:
-                    writer.write_table(part)
-                out.append((lane, sink.getvalue().to_pybytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], names=["lane", "rows"])
-
-    return docs.mapInArrow(run, "lane int, rows binary")
-
-
-def opened(left: pa.Table) -> pa.Table:
-    return pa.concat_tables([pa.ipc.open_stream(x.as_py()).read_all() for x in left.column("rows")]).combine_chunks()
-
-
 def window_notes(lanes: DataFrame, notes: DataFrame, buckets: int) -> DataFrame:
     """(lane: a bucket, kind, note): the text around each anchor that has several spans."""
 
@@ -415,7 +378,7 @@ def found_repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The documents in lanes, columns but ``text`` named by their place, and the notes of the spans to delete."""
     text = F.coalesce(F.col("text"), F.lit("")).cast("string")
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    buckets, lane_count = groups_for(total, BUCKET_BYTES), groups_for(total, LANE_BYTES)
+    buckets, lane_count = groups_for(total, BUCKET_BYTES), groups_for(total, tables.LANE_BYTES)
     kept = [text.alias("text") if c == "text" else F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]
     keyed = docs.select(*kept, F.col("doc_id").cast("long").alias("_id"), F.xxhash64(text).alias("_hash"))
     keyed = keyed.withColumn("_lane", F.pmod(F.xxhash64("_id", "_hash"), F.lit(lane_count)).cast("int"))

@@ -10,7 +10,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that a task works on at a time, so that its arrays stay small whatever the batch size.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
+#: Bytes of text that are written as one compressed batch, and that the documents of one lane hold.
+BATCH_BYTES, LANE_BYTES = 8 << 20, 8 << 20
 #: Random odd multiplier and seed of the byte hashes.
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 #: ASCII white space.
@@ -129,3 +131,41 @@ def shingle_hashes(data: np.ndarray, offsets: np.ndarray, width: int = 5) -> tup
         total[first] = (words[first : first + size] * factors[:size]).sum(dtype=np.uint64) + np.uint64(size)
         full[first] = True
     return mix(total[full]), rows[full]
+
+
+def batches_of(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.Table]:
+    """The rows in tables of about ``limit`` bytes of text."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in slices(batches, "text", limit):
+        held.append(batch)
+        size += int(text_buffer(batch.column("text"))[1][-1])
+        if size >= limit:
+            yield pa.Table.from_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def laned(docs: DataFrame) -> DataFrame:
+    """(lane, rows): the rows of each batch and lane, as compressed Arrow streams."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        options = pa.ipc.IpcWriteOptions(compression="zstd")
+        for table in batches_of(batches, BATCH_BYTES):
+            table = table.combine_chunks()
+            lanes = table.column("_lane").to_numpy()
+            out = []
+            for lane in np.unique(lanes).tolist():
+                part = table.take(pa.array(np.flatnonzero(lanes == lane)))
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, part.schema, options=options) as writer:
+                    writer.write_table(part)
+                out.append((lane, sink.getvalue().to_pybytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], names=["lane", "rows"])
+
+    return docs.mapInArrow(run, "lane int, rows binary")
+
+
+def opened(left: pa.Table) -> pa.Table:
+    return pa.concat_tables([pa.ipc.open_stream(x.as_py()).read_all() for x in left.column("rows")]).combine_chunks()

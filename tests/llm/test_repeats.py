@@ -3,7 +3,7 @@ import hashlib
 import numpy as np
 import pytest
 
-from marketlens.llm import repeats
+from marketlens.llm import repeats, tables
 
 
 def brute(rows, length=repeats.LENGTH):
@@ -35,8 +35,8 @@ def test_odd_texts(unique):
 @pytest.mark.parametrize("seed", range(3))
 def test_pasted_texts(spark, monkeypatch, seed):
     """Texts pasted from shared and periodic pieces, over many batches, buckets and lanes."""
-    for name, size in (("BATCH_BYTES", 900), ("BUCKET_BYTES", 3000), ("LANE_BYTES", 2500), ("STEP_BYTES", 500)):
-        monkeypatch.setattr(repeats, name, size)
+    for where, name, size in ((tables, "BATCH_BYTES", 900), (repeats, "BUCKET_BYTES", 3000), (tables, "LANE_BYTES", 2500), (repeats, "STEP_BYTES", 500)):
+        monkeypatch.setattr(where, name, size)
     rng = np.random.default_rng(seed)
     pieces = ["".join(rng.choice(list("abcdé "), n)) for n in rng.integers(20, 260, 12)] + ["ab" * 90, "x" * 130, "y" * 99, "z" * 100]
     rows = [(int(i), "".join(pieces[k] for k in rng.integers(0, len(pieces), rng.integers(0, 7)))) for i in rng.permutation(60)]
