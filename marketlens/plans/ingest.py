@@ -111,14 +111,16 @@ def _flat_docs(t: Tables):
 
 @query(
     "normalise_flat_feed",
-    f"""WITH {FLAT_SQL} SELECT CAST(q.event_id AS VARCHAR) AS external_id, CAST(q.market_id AS VARCHAR) AS market_ref, q.market_type,
+    f"""WITH {FLAT_SQL}, r AS (SELECT CAST(q.event_id AS VARCHAR) AS external_id, CAST(q.market_id AS VARCHAR) AS market_ref, q.market_type,
        CASE WHEN q.market_type = 'totals' THEN CASE q.side WHEN 'home' THEN 'over' ELSE 'under' END ELSE q.side END AS side, q.price, s.n AS outcomes,
        max(CASE WHEN q.side = 'home' AND q.market_type <> 'h2h' THEN CAST(q.selection_id % 10 AS DOUBLE) END) OVER (PARTITION BY q.market_id) AS line
-    FROM q JOIN sized s ON s.market_id = q.market_id WHERE (q.side <> 'draw' OR q.market_type = 'h2h') AND s.n >= 2""",
+    FROM q JOIN sized s ON s.market_id = q.market_id WHERE (q.side <> 'draw' OR q.market_type = 'h2h') AND s.n >= 2)
+    SELECT * FROM r UNION ALL SELECT * FROM r""",
     dbl="price line",
 )
 def _(t: Tables):
-    rows = feeds.normalise_flat_feed(_flat_docs(t))
+    docs = _flat_docs(t)
+    rows = feeds.normalise_flat_feed(docs.unionAll(docs))  # two polls of every event
     return rows.select("external_id", "market_ref", "market_type", "side", "price", "outcomes", "line")
 
 
@@ -126,10 +128,11 @@ def _(t: Tables):
     "normalise_matchup_feed",
     """WITH q AS (SELECT *, CAST(CASE WHEN price >= 2 THEN floor((price - 1) * 100 + 0.5) ELSE floor(-100 / (price - 1) + 0.5) END AS DOUBLE) AS am FROM (SELECT event_id, market_id * 8 + bookmaker_id AS market_id, market_type, side, price FROM fx_quotes WHERE event_id % 9 <> 0) z),
     d AS (SELECT *, CASE WHEN am >= 100 THEN 1 + am / 100 WHEN am <= -100 THEN 1 + 100 / abs(am) ELSE 0 END AS dec FROM q),
-    n AS (SELECT market_id, count(*) AS outcomes FROM d WHERE dec > 1 GROUP BY 1)
+    n AS (SELECT market_id, count(*) AS outcomes FROM d WHERE dec > 1 GROUP BY 1), r AS (
     SELECT d.event_id AS matchup_id, d.market_type, d.side, d.dec AS price, n.outcomes, CASE WHEN d.event_id % 4 = 0 THEN 'full_game' WHEN d.event_id % 4 = 1 THEN 'first_half' ELSE concat('period_', CAST(d.event_id % 4 AS VARCHAR)) END AS period,
        CASE WHEN d.market_id % 3 = 0 THEN NULL ELSE CAST(250 + d.market_id % 5 AS DOUBLE) END AS limit_amount
-    FROM d JOIN n ON n.market_id = d.market_id WHERE d.dec > 1 AND n.outcomes >= 2""",
+    FROM d JOIN n ON n.market_id = d.market_id WHERE d.dec > 1 AND n.outcomes >= 2)
+    SELECT * FROM r UNION ALL SELECT * FROM r""",
     dbl="price limit_amount",
 )
 def _(t: Tables):
@@ -149,7 +152,8 @@ def _(t: Tables):
     parent = F.when(F.col("event_id") % 9 == 0, F.lit(1)).cast("bigint")
     matchup = F.array(F.struct(F.col("event_id").alias("id"), parent.alias("parentId"), F.lit("2024-02-01T18:00:00Z").alias("startTime"), people.alias("participants")))
     docs = m.groupBy("event_id").agg(F.collect_list(market).alias("markets")).select(F.lit("epl").alias("sport"), matchup.alias("matchups"), "markets")
-    rows = feeds.normalise_matchup_feed(_as_json(docs, feeds.MATCHUP_SCHEMA))
+    docs = _as_json(docs, feeds.MATCHUP_SCHEMA)
+    rows = feeds.normalise_matchup_feed(docs.unionAll(docs))  # two polls of every event
     return rows.select("matchup_id", "market_type", "side", "price", "outcomes", "period", "limit_amount")
 
 

@@ -90,44 +90,51 @@ def _participant(parts: Column, field: str, role: str) -> Column:
     return F.get(F.filter(parts, lambda p: F.lower(p[field]) == role), F.lit(0))["name"]
 
 
-def _with_lines(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Keeps markets of two or more outcomes and adds the line: the home or over point."""
-    line = F.max(F.when(F.col("side").isin("home", "over"), F.col("point")))
-    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("outcomes"), line.alias("line"))
-    return rows.join(sizes.filter(F.col("outcomes") >= 2), keys)
+def _quoted(rows: DataFrame) -> DataFrame:
+    """Markets with ``quotes`` (side, label, point, price, sid) of two or more outcomes, one row per quote, with the line."""
+    lead = F.filter("quotes", lambda q: q["side"].isin("home", "over"))
+    sized = rows.withColumn("outcomes", F.size("quotes").cast("bigint")).filter(F.col("outcomes") >= 2)
+    lined = sized.withColumn("line", F.array_max(F.transform(lead, lambda q: q["point"])))
+    kept = [c for c in lined.columns if c != "quotes"]
+    return lined.select(*kept, F.explode("quotes").alias("q")).select(*kept, "q.*")
+
+
+def _usable(external_id: str) -> Column:
+    named = [F.coalesce(F.col(c), F.lit("")) != "" for c in ("home_team", "away_team")]
+    return F.col(external_id).isNotNull() & (F.col(external_id).cast("string") != "") & F.col("commence_at").isNotNull() & named[0] & named[1]
 
 
 def normalise_flat_feed(feed: DataFrame) -> DataFrame:
-    """Three flat arrays (events, markets, selections) joined on their ids."""
-    events = feed.select("sport", F.explode("events").alias("e")).select(
-        F.col("sport").alias("sport_slug"),
-        F.col("e.id").alias("external_id"),
-        to_instant(F.col("e.startEventDate")).alias("commence_at"),
-        _participant(F.col("e.participants"), "venueRole", "home").alias("home_team"),
-        _participant(F.col("e.participants"), "venueRole", "away").alias("away_team"),
-    )
-    usable = events.filter(
-        (F.coalesce("external_id", F.lit("")) != "")
-        & F.col("commence_at").isNotNull()
-        & (F.coalesce("home_team", F.lit("")) != "")
-        & (F.coalesce("away_team", F.lit("")) != "")
-    )
-    markets = feed.select(F.explode("markets").alias("m")).select(
-        F.col("m.id").alias("market_ref"),
-        F.col("m.eventId").alias("external_id"),
-        _lookup(F.col("m.marketType.id"), FLAT_MARKETS).alias("market_type"),
-    )
-    selections = feed.select(F.explode("selections").alias("s")).select(
-        F.col("s.marketId").alias("market_ref"),
-        _lookup(F.col("s.outcomeType"), FLAT_SIDES).alias("side"),
-        F.col("s.label").alias("label"),
-        F.col("s.points").alias("point"),
-        F.col("s.trueOdds").alias("price"),
-        F.col("s.id").alias("sid"),
+    """Three flat arrays (events, markets, selections) put together on their ids, inside each document and so without a shuffle."""
+
+    def market(m: Column) -> Column:
+        own = F.filter("selections", lambda s: (s["marketId"] == m["id"]) & (s["trueOdds"] > 1))
+        quotes = F.transform(
+            own,
+            lambda s: F.struct(
+                _lookup(s["outcomeType"], FLAT_SIDES).alias("side"), s["label"].alias("label"), s["points"].alias("point"), s["trueOdds"].alias("price"), s["id"].alias("sid")
+            ),
+        )
+        return F.struct(
+            m["id"].alias("market_ref"),
+            m["eventId"].alias("external_id"),
+            _lookup(m["marketType"]["id"], FLAT_MARKETS).alias("market_type"),
+            F.get(F.filter("events", lambda e: e["id"] == m["eventId"]), F.lit(0)).alias("event"),
+            F.filter(quotes, lambda q: q["side"].isNotNull()).alias("quotes"),
+        )
+
+    rows = feed.select(F.col("sport").alias("sport_slug"), F.explode(F.transform("markets", market)).alias("m")).select("sport_slug", "m.*")
+    rows = rows.filter(F.col("market_type").isNotNull()).select(
+        "external_id",
+        "market_ref",
+        "market_type",
+        "sport_slug",
+        to_instant(F.col("event.startEventDate")).alias("commence_at"),
+        _participant(F.col("event.participants"), "venueRole", "home").alias("home_team"),
+        _participant(F.col("event.participants"), "venueRole", "away").alias("away_team"),
+        "quotes",
     )
-    quotes = selections.filter(F.col("side").isNotNull() & (F.col("price") > 1))
-    rows = quotes.join(markets.filter(F.col("market_type").isNotNull()), "market_ref").join(usable, "external_id")
-    return _with_lines(rows, ["external_id", "market_ref"]).withColumn("period", F.lit("full_game"))
+    return _quoted(rows.filter(_usable("external_id"))).withColumn("period", F.lit("full_game"))
 
 
 MATCHUP_SCHEMA = (
@@ -149,45 +156,41 @@ def period_name(period: Column, sport: Column) -> Column:
 
 
 def normalise_matchup_feed(feed: DataFrame) -> DataFrame:
-    """Matchups joined to their open markets, American prices to decimal, best stake limit kept."""
-    matchups = feed.select("sport", F.explode("matchups").alias("m")).select(
-        F.col("sport").alias("sport_slug"),
-        F.col("m.id").alias("matchup_id"),
-        F.col("m.parentId").alias("parent_id"),
-        to_instant(F.col("m.startTime")).alias("commence_at"),
-        _participant(F.col("m.participants"), "alignment", "home").alias("home_team"),
-        _participant(F.col("m.participants"), "alignment", "away").alias("away_team"),
-    )
-    usable = matchups.filter(
-        F.col("parent_id").isNull()
-        & F.col("matchup_id").isNotNull()
-        & F.col("commence_at").isNotNull()
-        & (F.coalesce("home_team", F.lit("")) != "")
-        & (F.coalesce("away_team", F.lit("")) != "")
-    ).drop("parent_id")
-    amounts = F.filter(F.transform("k.limits", lambda x: x["amount"]), lambda a: a > 0)
-    markets = feed.select(F.posexplode("markets").alias("market_no", "k")).select(
-        F.col("k.matchupId").alias("matchup_id"),
-        "market_no",
-        _lookup(F.col("k.type"), MATCHUP_MARKETS).alias("market_type"),
-        F.col("k.period").alias("period_no"),
-        F.coalesce(F.array_max(amounts), F.lit(0.0)).alias("limit_amount"),
-        F.explode("k.prices").alias("p"),
-        F.coalesce("k.status", F.lit("open")).alias("status"),
-    )
-    quotes = markets.filter(F.col("market_type").isNotNull() & F.col("status").isin("open", "")).select(
+    """Matchups put together with their open markets inside each document, American prices to decimal, best stake limit kept."""
+
+    def market(k: Column, number: Column) -> Column:
+        own = F.filter("matchups", lambda m: (m["id"] == k["matchupId"]) & m["parentId"].isNull())
+        prices = F.transform(
+            k["prices"],
+            lambda p: F.struct(p["designation"].alias("side"), p["points"].alias("point"), american_to_decimal(p["price"]).alias("price")),
+        )
+        amounts = F.filter(F.transform(k["limits"], lambda x: x["amount"]), lambda a: a > 0)
+        return F.struct(
+            k["matchupId"].alias("matchup_id"),
+            number.alias("market_no"),
+            _lookup(k["type"], MATCHUP_MARKETS).alias("market_type"),
+            k["period"].alias("period_no"),
+            F.array_max(amounts).alias("limit_amount"),
+            F.coalesce(k["status"], F.lit("open")).alias("status"),
+            F.get(own, F.lit(0)).alias("event"),
+            F.filter(prices, lambda q: q["side"].isin(SIDES) & (q["price"] > 1)).alias("quotes"),
+        )
+
+    rows = feed.select(F.col("sport").alias("sport_slug"), F.explode(F.transform("markets", market)).alias("k")).select("sport_slug", "k.*")
+    rows = rows.filter(F.col("market_type").isNotNull() & F.col("status").isin("open", "")).select(
         "matchup_id",
         "market_no",
         "market_type",
         "period_no",
-        F.when(F.col("limit_amount") > 0, F.col("limit_amount")).alias("limit_amount"),
-        F.col("p.designation").alias("side"),
-        F.col("p.points").alias("point"),
-        american_to_decimal(F.col("p.price")).alias("price"),
+        "limit_amount",
+        "sport_slug",
+        to_instant(F.col("event.startTime")).alias("commence_at"),
+        _participant(F.col("event.participants"), "alignment", "home").alias("home_team"),
+        _participant(F.col("event.participants"), "alignment", "away").alias("away_team"),
+        "quotes",
     )
-    rows = quotes.filter(F.col("side").isin(SIDES) & (F.col("price") > 1)).join(usable, "matchup_id")
     label = F.when(F.col("side") == "home", F.col("home_team")).when(F.col("side") == "away", F.col("away_team"))
-    return _with_lines(rows, ["matchup_id", "market_no"]).select(
+    return _quoted(rows.filter(_usable("matchup_id"))).select(
         "*",
         F.coalesce(label, F.col("side")).alias("label"),
         period_name(F.col("period_no"), F.col("sport_slug")).alias("period"),
