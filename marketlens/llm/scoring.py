@@ -23,6 +23,7 @@ import os
 import tempfile
 from collections.abc import Iterator
 from contextlib import contextmanager
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,7 @@ from pyspark.sql import functions as F
 from marketlens.llm.language import held_out
 from marketlens.llm.repeats import joined, pack, unpack
 from marketlens.llm.tables import LOWER, MULTIPLIER, groups_for, mix, slices, text_buffer, word_hashes
+from marketlens.session import cut
 
 ORDER = 3
 #: Text whose occurrences make a batch, a bucket, and whose documents' sums and tokens' counts make a lane.
@@ -40,8 +42,8 @@ BEGIN, END = mix(np.array([101, 102], np.uint64))
 NOTES = "bucket int, note binary"
 COUNTED = "lane int, source int, totals array<double>, note binary"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-#: Tokens whose followers are spread, at most, and one in how many documents tells which they are.
-HOT_WORDS, HOT_SAMPLE = 1024, 8
+#: Tokens that notes name by number and tokens whose followers are spread, at most; one document in so many tells which.
+NUMBERED, HOT_WORDS, HOT_SAMPLE = 32768, 1024, 8
 #: Occurrences looked up at a time.
 CHUNK = 500_000
 #: Counts of counts kept per order: runs counted once, twice, three and four times, and three times or more.
@@ -72,20 +74,36 @@ def unplanes(bytes_of: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(bytes_of.T).reshape(-1).view(f"<u{width}")
 
 
-def hot_words(docs: DataFrame) -> np.ndarray:
-    """Hashes of the tokens that more than a fifth of a bucket's occurrences would follow, sorted."""
+class Frequent(NamedTuple):
+    """The most frequent tokens by rank, which notes name by number, and sorted those whose followers are spread."""
+
+    words: np.ndarray
+    hot: np.ndarray
+
+
+def frequent_words(docs: DataFrame) -> Frequent:
+    """At most ``NUMBERED`` tokens of the sample; hot ones precede more than a fifth of a bucket's occurrences."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            tokens, doc = tokens_of(*text_buffer(batch.column("text")))
+            tokens, _ = tokens_of(*text_buffer(batch.column("text")))
             words, counts = np.unique(np.append(tokens, np.full(batch.num_rows, BEGIN)), return_counts=True)
-            many = counts * 2 * HOT_WORDS >= len(doc)
+            many = counts > 1
             yield pa.RecordBatch.from_arrays([pa.array(words[many].view(np.int64)), pa.array(counts[many].astype(np.int64))], names=["word", "n"])
 
     some = docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(HOT_SAMPLE)) == 0).select("text")
-    found = some.mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    found = found.filter(F.col("n") * HOT_SAMPLE >= BUCKET_BYTES // 32).orderBy(F.desc("n"), "word").limit(HOT_WORDS)
-    return np.sort(np.array([r["word"] for r in found.collect()], np.int64).view(np.uint64))
+    step = F.floor(F.log2("n") * 4).cast("int").alias("step")
+    counts = cut(some.mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).select("word", "n", step))
+    total, least = 0, 1 << 30
+    for row in sorted(counts.groupBy("step").count().collect(), reverse=True):
+        total += row["count"]
+        if total > NUMBERED:
+            break
+        least = row["step"]
+    found = sorted((-r["n"], r["word"]) for r in counts.filter(F.col("step") >= least).collect())
+    words = np.array([w for _, w in found], np.int64).view(np.uint64)
+    hot = [n for n, _ in found if -n * HOT_SAMPLE >= BUCKET_BYTES // 32][:HOT_WORDS]
+    return Frequent(words, np.sort(words[: len(hot)]))
 
 
 def places_in(hot: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -97,7 +115,7 @@ def places_in(hot: np.ndarray, words: np.ndarray) -> np.ndarray:
     return np.where(hot[at] == words, at, -1)
 
 
-def occurrence_notes(docs: DataFrame, buckets: int, order: int, hot: np.ndarray) -> DataFrame:
+def occurrence_notes(docs: DataFrame, buckets: int, order: int, frequent: Frequent) -> DataFrame:
     """(bucket, note): the occurrences of each batch of documents, dealt by the token before the last.
 
     If that token is hot they are dealt by it and the one before it (the last one, if runs have two tokens).
@@ -115,8 +133,11 @@ def occurrence_notes(docs: DataFrame, buckets: int, order: int, hot: np.ndarray)
         for k in range(1, order):
             inside = doc[k:] == doc[:-k]
             number[k, k:][inside] = numbers[:-k][inside]
+        by_word = np.argsort(frequent.words)
+        rank = places_in(frequent.words[by_word], words)
+        rank = np.where(rank >= 0, by_word[rank], -1) if len(by_word) else rank
         bucket = (words % np.uint64(buckets)).astype(np.int64)[number[1]]
-        spread = np.flatnonzero((places_in(hot, words) >= 0)[number[1]])
+        spread = np.flatnonzero((places_in(frequent.hot, words) >= 0)[number[1]])
         other = words[number[2 if order > 2 else 0][spread]]
         bucket[spread] = (mix(words[number[1][spread]] * MULTIPLIER + other) % np.uint64(buckets)).astype(np.int64)
         by_bucket = np.lexsort([number[1], bucket])
@@ -125,11 +146,11 @@ def occurrence_notes(docs: DataFrame, buckets: int, order: int, hot: np.ndarray)
         for b in range(buckets):
             use = by_bucket[cuts[b] : cuts[b + 1]]
             if len(use):
-                times = sum(np.bincount(number[k, use], minlength=len(words)) for k in range(order))
-                present = np.flatnonzero(times)
-                present = present[np.argsort(-times[present], kind="stable")]  # frequent ones get small numbers
-                place = np.zeros(len(words), np.int32)
-                place[present] = np.arange(len(present))
+                present = np.zeros(len(words), bool)
+                for k in range(order):
+                    present[number[k, use]] = True
+                present &= rank < 0
+                place = np.where(rank >= 0, rank, len(by_word) + np.cumsum(present) - 1)
                 tokens = {f"t{k}": planes(narrow(place[number[k, use]])) for k in range(order)}
                 there = np.zeros(len(docs_of["row"]), bool)
                 there[doc[use]] = True
@@ -165,12 +186,13 @@ def occurrence_notes(docs: DataFrame, buckets: int, order: int, hot: np.ndarray)
 class Occurrences:
     """A bucket's occurrences: tokens, document and training flag; hashes of runs and contexts are made when asked for."""
 
-    def __init__(self, parts: list[dict[str, np.ndarray]], order: int):
+    def __init__(self, parts: list[dict[str, np.ndarray]], order: int, frequent: Frequent):
         self.docs = joined([{n: p[n] for n in ("row", "id", "null", "held")} for p in parts])
         shift = np.cumsum([0, *(len(p["row"]) for p in parts)])
         docs = [np.cumsum(unplanes(p["doc"]).astype(np.int64)) % len(p["row"]) for p in parts]
         self.doc = np.concatenate([(d + s).astype(np.int32) for d, s in zip(docs, shift, strict=False)])
-        self.tokens = [np.concatenate([unplanes(p["words"])[unplanes(p[f"t{k}"])] for p in parts]) for k in range(order)]
+        words = [np.concatenate([frequent.words, unplanes(p["words"])]) for p in parts]
+        self.tokens = [np.concatenate([w[unplanes(p[f"t{k}"])] for w, p in zip(words, parts, strict=True)]) for k in range(order)]
         self.word = self.tokens[0]
         self.train = ~self.docs["held"][self.doc]
 
@@ -310,12 +332,12 @@ def lane_of(hashes: np.ndarray, lanes: int) -> np.ndarray:
     return (mix(hashes) % np.uint64(lanes)).astype(np.int64)
 
 
-def counted_rows(found: DataFrame, order: int, lanes: int, hot: np.ndarray) -> DataFrame:
+def counted_rows(found: DataFrame, order: int, lanes: int, frequent: Frequent) -> DataFrame:
     """Per bucket: its counts of counts, and for each lane of tokens their counts in this bucket."""
 
     def run(table: pa.Table) -> pa.Table:
         bucket = table.column("bucket")[0].as_py()
-        shard = Shard.counted(Occurrences(unpack(x.as_py() for x in table.column("note")), order), order, hot)
+        shard = Shard.counted(Occurrences(unpack(x.as_py() for x in table.column("note")), order, frequent), order, frequent.hot)
         hot_lane = lane_of(shard.arrays["word"], lanes)[shard.arrays["hot_word"]]
         totals = np.concatenate([classes(shard.arrays[f"count{k}"]) for k in range(2, order + 1)])
         rows = [(bucket % lanes, bucket, totals.tolist(), None)]
@@ -324,7 +346,7 @@ def counted_rows(found: DataFrame, order: int, lanes: int, hot: np.ndarray) -> D
         for x in np.unique(lane).tolist():
             use, mine = lane == x, hot_lane == x
             pairs = {
-                "pair": planes(shard.arrays["hot_pair"][mine]), "times": narrow(shard.arrays["hot_times"][mine]),
+                "times": narrow(shard.arrays["hot_times"][mine]),
                 "place": narrow(shard.arrays["hot_place"][mine]), "of": narrow((np.cumsum(use) - 1)[shard.arrays["hot_word"][mine]]),
             }
             rows.append((x, bucket, None, pack(word=planes(words[use]), before=narrow(shard.arrays["before"][use]), plain=narrow(shard.arrays["plain"][use]), **pairs)))
@@ -358,10 +380,11 @@ def summed_rows(counted: DataFrame, hot: np.ndarray) -> DataFrame:
         plain = np.bincount(back, np.concatenate([p["plain"] for p in parts]), len(words)).astype(np.int64)
         starts = np.cumsum([0, *(len(p["before"]) for p in parts)])
         of = np.concatenate([back[p["of"].astype(np.int64) + s] for p, s in zip(parts, starts, strict=False)])
-        _, first, pair = np.unique(np.concatenate([unplanes(p["pair"]) for p in parts]), return_index=True, return_inverse=True)
+        place = np.concatenate([p["place"] for p in parts]).astype(np.int64)
+        _, first, pair = np.unique(of * (HOT_WORDS + 1) + place, return_index=True, return_inverse=True)
         times = np.bincount(pair, np.concatenate([p["times"] for p in parts]), len(first)).astype(np.int64)
         before += np.bincount(of[first], times > 0, len(words)).astype(np.int64)
-        place = np.concatenate([p["place"] for p in parts]).astype(np.int64)[first]
+        place = place[first]
         spread = [np.bincount(place, w, len(hot)) for w in (times, times == 1, times == 2, times > 2)] if len(hot) else []
         totals = [*classes(before).tolist(), float(before.sum()), float((plain > 0).sum()), float(plain.sum()), *classes(times).tolist()]
         totals += np.concatenate([np.zeros(0), *spread]).tolist()
@@ -385,13 +408,14 @@ def totalled(rows: DataFrame, name: str) -> DataFrame:
     return places.agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias(name))
 
 
-def score_rows(found: DataFrame, answers: DataFrame, order: int, lanes: int, hot: np.ndarray) -> DataFrame:
+def score_rows(found: DataFrame, answers: DataFrame, order: int, lanes: int, frequent: Frequent) -> DataFrame:
     """(lane, note): per bucket and lane of documents, each document's sums."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[tuple] = []
         if left.num_rows:
-            seen = Occurrences(unpack(x.as_py() for x in left.column("note")), order)
+            hot = frequent.hot
+            seen = Occurrences(unpack(x.as_py() for x in left.column("note")), order, frequent)
             kinds = next(x for x in right.column("runs").to_pylist() if x is not None)
             tokens = next(x for x in right.column("tokens").to_pylist() if x is not None)
             kinds = np.array(kinds or [0.0] * CLASSES * (order - 1)).reshape(-1, CLASSES)
@@ -428,15 +452,37 @@ def score_rows(found: DataFrame, answers: DataFrame, order: int, lanes: int, hot
             }
             lane = lane_of(sums["row"].astype(np.uint64), lanes)
             for x in np.unique(lane).tolist():
-                out.append((x, pack(**{name: narrow(c[lane == x]) if name in ("tokens", "known") else c[lane == x] for name, c in sums.items()})))
+                out.append((x, pack(**{name: packed_column(name, c[lane == x]) for name, c in sums.items()})))
         return pa.table({"bucket": pa.array([x for x, _ in out], pa.int32()), "note": pa.array([x for _, x in out], pa.binary())})
 
     return found.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(run, NOTES)
 
 
+#: Low bits of a bucket's sums that are dropped, which leaves 40 and 32 binary places.
+DROPPED = {"base": 12, "score": 20}
+
+
+def packed_column(name: str, values: np.ndarray) -> np.ndarray:
+    """A column of sums in the form that compresses best: numbers as steps, sums rounded, the bytes of all in planes."""
+    if name in ("tokens", "known"):
+        return narrow(values)
+    if name in ("row", "id"):
+        return planes(np.diff(values, prepend=0))
+    if name in DROPPED:
+        low = np.uint64(DROPPED[name])
+        bits = values.view(np.uint64) + (np.uint64(1) << (low - np.uint64(1)))
+        return planes(bits >> low << low)
+    return values
+
+
+def unpacked_columns(note: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    out = note | {n: np.cumsum(unplanes(note[n]).view(np.int64)) for n in ("row", "id")}
+    return out | {n: unplanes(note[n]).view(np.float64) for n in DROPPED}
+
+
 def document_sums(rows: DataFrame) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
-        a = joined(unpack(x.as_py() for x in table.column("note")))
+        a = joined([unpacked_columns(note) for note in unpack(x.as_py() for x in table.column("note"))])
         _, first, back = np.unique(a["row"], return_index=True, return_inverse=True)
         total = lambda name: np.bincount(back, a[name], len(first))
         return pa.table({
@@ -464,10 +510,10 @@ def score(docs: DataFrame, parts: int = 7, left: int = 2, order: int = ORDER) ->
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     buckets, lanes = groups_for(total, BUCKET_BYTES), groups_for(total, LANE_BYTES)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), held_out(parts, left).alias("held_out"), text)
-    hot = hot_words(rows)
-    found = occurrence_notes(rows, buckets, order, hot)
-    counted = counted_rows(found, order, lanes, hot)
-    summed = summed_rows(counted, hot)
+    frequent = frequent_words(rows)
+    found = occurrence_notes(rows, buckets, order, frequent)
+    counted = counted_rows(found, order, lanes, frequent)
+    summed = summed_rows(counted, frequent.hot)
     every = F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("bucket")
     none = F.lit(None).cast("array<double>")
     answers = summed.filter("note IS NOT NULL").select(F.col("source").alias("bucket"), "lane", "note", none.alias("runs"), none.alias("tokens"))
@@ -475,4 +521,4 @@ def score(docs: DataFrame, parts: int = 7, left: int = 2, order: int = ORDER) ->
         other = "tokens" if name == "runs" else "runs"
         shared = totalled(source, name).select(every, F.lit(-1).alias("lane"), F.lit(None).cast("binary").alias("note"), name, none.alias(other))
         answers = answers.unionByName(shared)
-    return document_sums(score_rows(found, answers, order, lanes, hot))
+    return document_sums(score_rows(found, answers, order, lanes, frequent))

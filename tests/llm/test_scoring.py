@@ -64,7 +64,7 @@ def test_brute_force(spark, unique, monkeypatch, order, sample):
     for name, size in (("BATCH_BYTES", 3000), ("BUCKET_BYTES", 20000), ("LANE_BYTES", 40000), ("HOT_SAMPLE", sample)):
         monkeypatch.setattr(scoring, name, size)
     if sample == 1:
-        assert len(scoring.hot_words(unique.select("doc_id", "text"))) > 5
+        assert len(scoring.frequent_words(unique.select("doc_id", "text")).hot) > 5
     texts = {r["doc_id"]: tokens(r["text"]) for r in unique.collect()}
     model = Model([t for i, t in texts.items() if not held(i)], order)
     n, v = sum(model.plain.values()), len(model.plain)
