@@ -202,7 +202,18 @@ def _(t: Tables):
     return t.spark.read.parquet(f"{root}/out")
 
 
-@query("stream_alerts")
+@query(
+    "stream_alerts",
+    """WITH RECURSIVE a AS (SELECT event_id AS alert_id, CASE WHEN user_id % 2 = 0 THEN 'edge' ELSE 'whale' END AS kind, concat('L', CAST(user_id % 5 AS VARCHAR)) AS league,
+         CASE event_id % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'b' ELSE '' END AS venue, value, ts AS raised_at FROM events),
+    s AS (SELECT *, list_filter([lower(trim(x)) FOR x IN string_split(leagues, ',')], lambda x: x <> '') AS ls FROM fx_alert_subscriptions WHERE active),
+    m AS (SELECT s.subscription_id, epoch_us(a.raised_at) AS t, min(a.alert_id) AS alert_id, max(epoch_us(s.last_sent_at)) AS seed FROM a JOIN s ON s.kind = a.kind AND a.value >= s.min_value
+      AND (lower(s.venue) = 'both' OR a.venue = '' OR lower(s.venue) = lower(a.venue)) AND (len(s.ls) = 0 OR list_contains(s.ls, lower(a.league))) GROUP BY 1, 2),
+    p AS (SELECT *, min(t) OVER (PARTITION BY subscription_id ORDER BY t RANGE BETWEEN 900000000 FOLLOWING AND UNBOUNDED FOLLOWING) AS following FROM m),
+    walk AS (SELECT subscription_id, min(t) AS t FROM p WHERE seed IS NULL OR t - seed >= 900000000 GROUP BY 1
+      UNION ALL SELECT p.subscription_id, p.following FROM walk w JOIN p ON p.subscription_id = w.subscription_id AND p.t = w.t WHERE p.following IS NOT NULL)
+    SELECT w.subscription_id, p.alert_id, make_timestamp(w.t) AS sent_at FROM walk w JOIN p ON p.subscription_id = w.subscription_id AND p.t = w.t""",
+)
 def _(t: Tables):
     rows = _stream(t, "events")
     alerts = rows.select(

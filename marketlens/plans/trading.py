@@ -235,7 +235,19 @@ def _(t: Tables):
     return D.decision_status(_sized(t)).select("strategy_id", "market_id", "status", "status_reason")
 
 
-@query("risk_admission")
+@query(
+    "risk_admission",
+    f"""WITH RECURSIVE {EXPOSURE_SQL},
+    q AS (SELECT d.decision_id, d.strategy_id, d.size * d.limit_price AS notional, s.max_open_positions - e.open_positions AS slots, s.bankroll - e.committed AS budget, d.confidence, d.edge
+          FROM fx_decisions d JOIN fx_strategies s ON s.strategy_id = d.strategy_id JOIN exposure e ON e.strategy_id = d.strategy_id),
+    r AS (SELECT *, row_number() OVER (PARTITION BY strategy_id ORDER BY confidence DESC, edge DESC, decision_id) AS rk FROM q WHERE notional <= budget),
+    walk AS (SELECT strategy_id, CAST(0 AS BIGINT) AS rk, CAST(NULL AS BIGINT) AS decision_id, false AS admitted, slots, budget AS remains FROM r WHERE rk = 1
+      UNION ALL SELECT r.strategy_id, r.rk, r.decision_id, w.slots > 0 AND r.notional <= w.remains, CASE WHEN w.slots > 0 AND r.notional <= w.remains THEN w.slots - 1 ELSE w.slots END,
+             CASE WHEN w.slots > 0 AND r.notional <= w.remains THEN w.remains - r.notional ELSE w.remains END
+      FROM walk w JOIN r ON r.strategy_id = w.strategy_id AND r.rk = w.rk + 1)
+    SELECT d.decision_id, d.strategy_id, d.size * d.limit_price AS notional, coalesce(w.admitted, false) AS admitted FROM fx_decisions d LEFT JOIN walk w ON w.decision_id = d.decision_id""",
+    dbl="notional",
+)
 def _(t: Tables):
     decisions = t("fx_decisions").withColumn("notional", F.col("size") * F.col("limit_price"))
     return D.risk_admission(decisions, t("fx_strategies"), _exposure(t)).select(
