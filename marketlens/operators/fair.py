@@ -163,6 +163,16 @@ def _prob(p: Column) -> Column:
     return clamp(F.coalesce(p, F.lit(0.0)), 0.0, PROB_CEILING)
 
 
+def upcoming(selections: DataFrame, events: DataFrame, as_of: Column, until: Column | None = None) -> DataFrame:
+    """Selections of scheduled events that start after ``as_of`` (up to ``until``): what has to be priced for them.
+
+    A market belongs to one event, so whole markets stay and their margins can be removed.
+    """
+    future = (F.col("status") == "scheduled") & (F.col("commence_at") >= as_of)
+    future = future if until is None else future & (F.col("commence_at") <= until)
+    return selections.join(events.filter(future).select("event_id"), "event_id", "left_semi")
+
+
 def edges(
     fair: DataFrame,
     selections: DataFrame,

@@ -17,8 +17,8 @@ def quotes_as_of(t: Tables):
     return t.scalar(QUOTES_AS_OF)
 
 
-def _fair(t: Tables):
-    return fair.fair_prices(t("fx_odds"), t("fx_selections"), t("fx_books"))
+def _fair(t: Tables, selections=None):
+    return fair.fair_prices(t("fx_odds"), t("fx_selections") if selections is None else selections, t("fx_books"))
 
 
 def _best(t: Tables):
@@ -167,7 +167,8 @@ def _(t: Tables):
 )
 def _(t: Tables):
     start = t.scalar("SELECT min(l_shipdate) AS t FROM lineitem")
-    rows = fair.edges(_fair(t), t("fx_selections"), t("fx_events"), start, min_edge=1.0, min_books=3)
+    sides = fair.upcoming(t("fx_selections"), t("fx_events"), start)
+    rows = fair.edges(_fair(t, sides), sides, t("fx_events"), start, min_edge=1.0, min_books=3)
     return rows.select(
         "selection_id", "market_id", "event_id", "sport_slug", "market_type", "side", "edge_pct", "prob_consensus",
         "best_price", "best_bookmaker_id", "kelly_fraction", "book_count",
@@ -185,7 +186,8 @@ def _(t: Tables):
 )
 def _(t: Tables):
     start = t.scalar("SELECT min(l_shipdate) AS t FROM lineitem")
-    rows = fair.insight_candidates(_fair(t), t("fx_selections"), t("fx_events"), start)
+    sides = fair.upcoming(t("fx_selections"), t("fx_events"), start)
+    rows = fair.insight_candidates(_fair(t, sides), sides, t("fx_events"), start)
     return rows.select("selection_id", "edge_pct", "book_count", "hours_to_start")
 
 

@@ -59,11 +59,15 @@ def _(t: Tables):
     return _graded(t)
 
 
-def _closing(t: Tables):
-    devigged = fair.devig(fair.open_quotes(t("fx_odds"), t("fx_selections")))
+def _closing(t: Tables, graded):
+    """Closing quotes of the graded selections; margins are solved for the markets these are in."""
+    markets = t("fx_selections").join(graded.select("selection_id"), "selection_id", "left_semi").select("market_id").distinct()
+    sides = t("fx_selections").join(markets, "market_id", "left_semi")
+    devigged = fair.devig(fair.open_quotes(t("fx_odds"), sides))
     probs = devigged.select("selection_id", "bookmaker_id", F.col("shin").alias("fair_prob"))
     return (
         t("fx_odds")
+        .join(graded.select("selection_id"), "selection_id", "left_semi")
         .select("selection_id", "bookmaker_id", "price")
         .join(probs, ["selection_id", "bookmaker_id"], "left")
         .na.fill(0.0, ["fair_prob"])
@@ -83,7 +87,8 @@ def _closing(t: Tables):
 )
 def _(t: Tables):
     pending = t("fx_open_snapshots").withColumn("label", F.lit(None).cast("int"))
-    return settle.label_snapshots(pending, _graded(t), _closing(t))
+    graded = _graded(t)
+    return settle.label_snapshots(pending, graded, _closing(t, graded))
 
 
 @query(
@@ -99,8 +104,9 @@ def _(t: Tables):
 def _(t: Tables):
     past = t("fx_open_snapshots").filter(F.col("captured_at") < _at("1998-01-31 00:00:00"))
     moves = movement.movement_features(t("fx_snapshots"), quotes_as_of(t))
+    sides = fair.upcoming(t("fx_selections"), t("fx_events"), _at(), _at() + F.expr(f"interval {WIDE_HOURS} hours"))
     rows = settle.snapshot_candidates(
-        _fair(t), t("fx_selections"), t("fx_events"), moves, past, _at(), horizon_hours=WIDE_HOURS
+        _fair(t, sides), sides, t("fx_events"), moves, past, _at(), horizon_hours=WIDE_HOURS
     )
     return rows.select(
         "selection_id", "hours_to_start", "best_price", "fair_prob", "edge_pct", "sport_slug", "market_type", "side"
