@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that a task works on at a time, so that its arrays stay small whatever the batch size.
 SLICE_BYTES = 1 << 20
+#: Rows that Spark hands to Python at a time.
+BATCH_KEY, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 #: Bytes of text that are written as one compressed batch, and that the documents of one lane hold.
 BATCH_BYTES, LANE_BYTES = 8 << 20, 8 << 20
 #: Random odd multiplier and seed of the byte hashes.
@@ -21,7 +23,14 @@ SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lets Spark hand rows to Python in batches that stay small with long texts, unless the session's are smaller yet."""
+    if int(spark.conf.get(BATCH_KEY)) > BATCH_ROWS:
+        spark.conf.set(BATCH_KEY, str(BATCH_ROWS))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
