@@ -172,17 +172,10 @@ def _(t: Tables):
     SELECT provider, kind, status FROM l WHERE ok_at IS NULL OR floor((epoch_us((SELECT max(ts) FROM events)) - epoch_us(ok_at)) / 6e7 + 0.5) > lim""",
 )
 def _(t: Tables):
-    rows = _stream(t, "events")
-    user = F.col("user_id")
-    runs = rows.select(
-        F.col("event_id").alias("id"),
-        F.concat(F.lit("p"), (user % 3).cast("string")).alias("provider"),
-        F.when(user % 4 == 0, "odds").when(user % 4 == 1, "schedule").when(user % 4 == 2, "fundamentals").otherwise("other").alias("kind"),
-        F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "signup", "partial").otherwise("success").alias("status"),
-        F.col("ts").alias("finished_at"),
-    )
     root = _folder(t, "stalls")
-    _finish(jobs.stream_stalls(runs, f"{root}/runs", f"{root}/out", f"{root}/ckpt", **ONCE))
+    at = t.scalar("SELECT max(ts) AS t FROM events")
+    ticks = _stream(t, "region")
+    _finish(jobs.stream_stalls(ticks, lambda: t("fx_runs"), f"{root}/state", f"{root}/out", f"{root}/ckpt", lambda batch: at, **ONCE))
     return t.spark.read.parquet(f"{root}/out").select("provider", "kind", "status")
 
 

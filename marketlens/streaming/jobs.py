@@ -7,7 +7,9 @@ that only aggregate use watermarked windows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -28,6 +30,8 @@ CLOSING_STATE = (
 )
 ORDER_STATE = "order_id bigint, strategy_id bigint, market_id bigint, side string, size double, cost double"
 ALERT_STATE = "subscription_id bigint, last_sent_at timestamp"
+STALL_STATE = "provider string, kind string, announced_at timestamp"
+STALL_REPEAT_MINUTES = 60
 
 
 def _start(stream: DataFrame, handle, checkpoint: str, trigger: dict) -> StreamingQuery:
@@ -278,15 +282,37 @@ def stream_active_visitors(requests: DataFrame, path: str, checkpoint: str, **tr
     return stream_traffic(requests, path, checkpoint, "5 minutes", **trigger)
 
 
-def stream_stalls(run_events: DataFrame, runs_path: str, out_path: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Re-checks all loops on every trigger; the check itself is the batch query and holds no state."""
-    spark = run_events.sparkSession
-    schema = run_events.schema
+def timer(spark: SparkSession) -> DataFrame:
+    """A stream that always has input, for jobs that watch the clock."""
+    return spark.readStream.format("rate").option("rowsPerSecond", 1).load()
 
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{runs_path}/batch={batch_id}")
-        runs = spark.read.schema(schema).parquet(runs_path)
-        as_of = runs.agg(F.max("finished_at").alias("t")).scalar()
-        ops.stalled_loops(runs, as_of).write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
 
-    return _start(run_events, handle, checkpoint, trigger or {"processingTime": "5 minutes"})
+def stream_stalls(
+    ticks: DataFrame,
+    read_runs: Callable[[], DataFrame],
+    state_root: str,
+    out_path: str,
+    checkpoint: str,
+    clock: Callable[[int], Column] = lambda batch: F.current_timestamp(),
+    repeat_minutes: float = STALL_REPEAT_MINUTES,
+    **trigger,
+) -> StreamingQuery:
+    """Announces stalled loops on every tick, each at most once per ``repeat_minutes``.
+
+    The ticks (``timer``) only wake the check, so that it also speaks when every loop is dead; ages are taken by the wall
+    clock from the runs read anew. State: when each loop was last announced.
+    """
+    keys = ["provider", "kind"]
+    state = BucketedState(ticks.sparkSession, state_root, keys, STALL_STATE, buckets=1)
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        now = clock(batch_id)
+        told = state.read(batch_id)
+        stalled = ops.stalled_loops(read_runs(), now).join(told, keys, "left")
+        due = F.col("announced_at").isNull() | (F.unix_micros(now) - F.unix_micros("announced_at") >= F.lit(repeat_minutes * 6e7))
+        fresh = stalled.filter(due).withColumn("announced_at", now.cast("timestamp")).persist()
+        fresh.write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
+        state.write(keyed_upsert(told, fresh.select(*keys, "announced_at"), keys), batch_id)
+        fresh.unpersist()
+
+    return _start(ticks, handle, checkpoint, trigger or {"processingTime": "5 minutes"})

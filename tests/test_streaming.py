@@ -75,6 +75,17 @@ def test_trades_repeated_days_later_stay_out(spark, tmp_path):
     assert sorted(r["external_id"] for r in rows) == [str(i) for i in range(7)] and len({r["event_id"] // 100 for r in rows}) == 1
 
 
+def test_stalls_are_told_without_new_runs_and_once_an_hour(spark, tmp_path):
+    runs = [(1, "p", "odds", "success", BASE), (2, "q", "odds", "success", BASE + timedelta(minutes=80)), (3, "r", "odds", "failed", BASE)]
+    stored = spark.createDataFrame(runs, "id bigint, provider string, kind string, status string, finished_at timestamp")
+    ticks = source(spark, str(tmp_path / "in"), [[(b,)] for b in range(4)], "tick bigint")
+    clock = lambda batch: F.lit(BASE + timedelta(minutes=30 * (batch + 1)))
+    jobs.stream_stalls(ticks, lambda: stored, f"{tmp_path}/s", f"{tmp_path}/o", f"{tmp_path}/c", clock, **ONE_FILE).awaitTermination()
+    told = sorted((r["batch"], r["provider"]) for r in spark.read.parquet(f"{tmp_path}/o").collect())
+    assert told == [(0, "p"), (0, "r"), (2, "p"), (2, "r"), (3, "q")]
+    assert jobs.timer(spark).isStreaming
+
+
 def test_state_replay_reads_older_generations(spark, tmp_path):
     schema = "k bigint, v double"
     state = BucketedState(spark, str(tmp_path / "s"), ["k"], schema, 4)
