@@ -37,7 +37,7 @@ from marketlens.session import cut
 
 ORDER = 3
 #: Text whose occurrences make a batch, a bucket, and whose documents' sums and tokens' counts make a lane.
-BATCH_BYTES, BUCKET_BYTES, LANE_BYTES = 32 << 20, 20 << 20, 32 << 20
+BATCH_BYTES, BUCKET_BYTES, LANE_BYTES = 12 << 20, 20 << 20, 32 << 20
 BEGIN, END = mix(np.array([101, 102], np.uint64))
 NOTES = "bucket int, note binary"
 COUNTED = "lane int, source int, totals array<double>, note binary"
@@ -140,6 +140,7 @@ def occurrence_notes(docs: DataFrame, buckets: int, order: int, frequent: Freque
         spread = np.flatnonzero((places_in(frequent.hot, words) >= 0)[number[1]])
         other = words[number[2 if order > 2 else 0][spread]]
         bucket[spread] = (mix(words[number[1][spread]] * MULTIPLIER + other) % np.uint64(buckets)).astype(np.int64)
+        del numbers, spread, other
         by_bucket = np.lexsort([number[1], bucket])
         cuts = np.searchsorted(bucket[by_bucket], np.arange(buckets + 1))
         out = []
