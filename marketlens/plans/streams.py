@@ -12,6 +12,7 @@ from marketlens.session import shared_path
 from marketlens.streaming import jobs
 
 ONCE = {"availableNow": True}
+CLOSE_AT = "timestamp '1998-01-01 00:00:00'"
 
 
 def _stream(t: Tables, table: str):
@@ -145,25 +146,23 @@ def _(t: Tables):
 
 @query(
     "stream_closing_lines",
-    """WITH q AS (SELECT l_partkey AS selection_id, l_suppkey % 8 AS bookmaker_id, arg_max(CAST(105 + 8 * CAST(l_quantity AS BIGINT) AS DOUBLE) / 100, (l_shipdate, l_orderkey * 100 + l_linenumber, CAST(105 + 8 * CAST(l_quantity AS BIGINT) AS DOUBLE) / 100)) AS price FROM lineitem GROUP BY 1, 2)
-    SELECT q.selection_id, q.bookmaker_id, q.price, 1 / q.price AS implied_prob, CAST(floor((epoch_us(e.commence_at) - epoch_us(timestamp '1998-01-01 00:00:00')) / 1e6 + 0.5) AS BIGINT) AS seconds_before_start
-    FROM q JOIN fx_selections s ON s.selection_id = q.selection_id JOIN fx_events e ON e.event_id = s.event_id WHERE e.status IN ('scheduled', 'live')
-      AND e.commence_at BETWEEN timestamp '1998-01-01 00:00:00' - INTERVAL 8760 HOUR AND timestamp '1998-01-01 00:00:00' + INTERVAL 8760 HOUR""",
-    dbl="price implied_prob",
+    f"""SELECT o.selection_id, o.bookmaker_id, o.price, 1 / o.price AS implied_prob, coalesce(d.shin, 0) AS fair_prob,
+       CAST(floor((epoch_us(e.commence_at) - epoch_us({CLOSE_AT})) / 1e6 + 0.5) AS BIGINT) AS seconds_before_start
+    FROM fx_odds o JOIN fx_selections s ON s.selection_id = o.selection_id JOIN fx_events e ON e.event_id = s.event_id
+      LEFT JOIN ref_devig d ON d.selection_id = o.selection_id AND d.bookmaker_id = o.bookmaker_id
+    WHERE o.price > 1 AND e.status IN ('scheduled', 'live') AND e.commence_at BETWEEN {CLOSE_AT} - INTERVAL 8760 HOUR AND {CLOSE_AT} + INTERVAL 8760 HOUR""",
+    dbl="price implied_prob fair_prob",
 )
 def _(t: Tables):
     root = _folder(t, "closing")
     at = F.lit("1998-01-01 00:00:00").cast("timestamp")
     _finish(
         jobs.stream_closing_lines(
-            _quotes(t), t("fx_selections"), t("fx_events"), f"{root}/state", f"{root}/ckpt", at, 8760, 8760 * 60, buckets=8, **ONCE
+            _stream(t, "region"), lambda: t("fx_odds"), lambda: t("fx_events"), t("fx_selections"), f"{root}/state", f"{root}/ckpt",
+            lambda batch: at, 8760, 8760 * 60, buckets=8, **ONCE,
         )
-    )
-    from marketlens.operators.movement import KEYS
-    from marketlens.sources.tables import BucketedState
-
-    state = BucketedState(t.spark, f"{root}/state", KEYS, jobs.CLOSING_STATE, 8)
-    return state.read().drop("fair_prob")
+    )
+    return jobs.closing_state(t.spark, f"{root}/state", 8).read()
 
 
 @query(

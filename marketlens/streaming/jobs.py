@@ -19,7 +19,7 @@ from marketlens.functions.text import page_path
 from marketlens.operators import movement, ops, positions, settle
 from marketlens.operators.evidence import MIN_FILLS
 from marketlens.operators.web import is_page
-from marketlens.sources.tables import BucketedState, insert_ignore, keyed_upsert, last_per_key
+from marketlens.sources.tables import BucketedState, keyed_upsert, last_per_key
 
 QUOTE_DELAY = "10 minutes"
 TRADE_DELAY = "24 hours"
@@ -28,6 +28,7 @@ QUOTE_STATE = "selection_id bigint, bookmaker_id bigint, price double, point dou
 CLOSING_STATE = (
     "selection_id bigint, bookmaker_id bigint, price double, implied_prob double, fair_prob double, seconds_before_start bigint"
 )
+CLOSED_STATE = "event_id bigint, closing_captured_at timestamp"
 ORDER_STATE = "order_id bigint, strategy_id bigint, market_id bigint, side string, size double, cost double"
 ALERT_STATE = "subscription_id bigint, last_sent_at timestamp"
 STALL_STATE = "provider string, kind string, announced_at timestamp"
@@ -164,29 +165,47 @@ def stream_steam(quotes: DataFrame, path: str, checkpoint: str, **trigger) -> St
 
 
 def stream_closing_lines(
-    quotes: DataFrame,
+    ticks: DataFrame,
+    read_prices: Callable[[], DataFrame],
+    read_events: Callable[[], DataFrame],
     selections: DataFrame,
-    events: DataFrame,
     state_root: str,
     checkpoint: str,
-    as_of: Column,
+    clock: Callable[[int], Column] = lambda batch: F.current_timestamp(),
     lookback_hours: float = settle.CLOSING_LOOKBACK_HOURS,
     ahead_minutes: float = settle.CLOSING_MINUTES,
     buckets: int = 64,
     **trigger,
 ) -> StreamingQuery:
-    """Freezes each (selection, book) once when its event is near kickoff."""
-    state = BucketedState(quotes.sparkSession, state_root, movement.KEYS, CLOSING_STATE, buckets)
+    """Freezes the current prices of each event once when it is near kickoff.
+
+    The ticks (``timer``) only wake the capture. Whole markets are taken from the current prices (``read_prices``, such as
+    the state of ``stream_quote_changes``), so books whose price has not moved for days close too. The event is marked with
+    its capture, and a book that starts later gets no line.
+    """
+    spark = ticks.sparkSession
+    lines, marks = closing_state(spark, state_root, buckets), BucketedState(spark, f"{state_root}/events", ["event_id"], CLOSED_STATE, buckets)
+    columns = [c.split()[0] for c in CLOSING_STATE.split(", ")]
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        latest = movement.latest_batch(batch, ["captured_at", "id"])
-        stored = state.read(batch_id, state.touched(batch))
-        rows = settle.closing_lines(events, selections, latest, as_of, None, lookback_hours, ahead_minutes)
-        columns = [c.split()[0] for c in CLOSING_STATE.split(", ")]
-        fresh = insert_ignore(stored, rows.select(*columns), movement.KEYS)
-        state.write(stored.unionByName(fresh.select(*columns)), batch_id)
-
-    return _start(quotes, handle, checkpoint, trigger or {"processingTime": "1 minute"})
+        now = clock(batch_id)
+        open_events = read_events().join(marks.read(batch_id).select("event_id"), "event_id", "left_anti")
+        rows = settle.closing_lines(open_events, selections, read_prices(), now, None, lookback_hours, ahead_minutes).select(*columns).persist()
+        stored = lines.read(batch_id, lines.touched(rows))
+        lines.write(stored.select(*columns).unionByName(rows), batch_id)
+        closed = selections.join(rows.select("selection_id").distinct(), "selection_id").select("event_id").distinct()
+        closed = closed.withColumn("closing_captured_at", now.cast("timestamp")).persist()
+        known = marks.read(batch_id, marks.touched(closed)).select("event_id", "closing_captured_at")
+        marks.write(known.unionByName(closed), batch_id)
+        closed.unpersist()
+        rows.unpersist()
+
+    return _start(ticks, handle, checkpoint, trigger or {"processingTime": "1 minute"})
+
+
+def closing_state(spark: SparkSession, state_root: str, buckets: int = 64) -> BucketedState:
+    """The closing lines that ``stream_closing_lines`` has written."""
+    return BucketedState(spark, f"{state_root}/lines", movement.KEYS, CLOSING_STATE, buckets)
 
 
 def stream_order_reconcile(

@@ -86,6 +86,26 @@ def test_stalls_are_told_without_new_runs_and_once_an_hour(spark, tmp_path):
     assert jobs.timer(spark).isStreaming
 
 
+def test_quiet_books_close_and_late_books_do_not(spark, tmp_path):
+    events = spark.createDataFrame([(1, BASE + timedelta(minutes=40), "scheduled"), (2, BASE + timedelta(days=9), "scheduled")], "event_id bigint, commence_at timestamp, status string")
+    selections = spark.createDataFrame([(10, 100, 1), (11, 100, 1), (20, 200, 2)], "selection_id bigint, market_id bigint, event_id bigint")
+    schema = "selection_id bigint, bookmaker_id bigint, price double"
+    quotes = [(10, 1, 1.8), (11, 1, 2.2), (20, 1, 2.0)]
+    ticks = source(spark, str(tmp_path / "in"), [[(b,)] for b in range(3)], "tick bigint")
+    seen = []
+
+    def prices():
+        seen.append(len(seen))
+        late = [(10, 2, 9.0), (11, 2, 1.1)] if len(seen) == 3 else []
+        return spark.createDataFrame(quotes + late, schema)
+
+    clock = lambda batch: F.lit(BASE + timedelta(minutes=30 * batch))
+    jobs.stream_closing_lines(ticks, prices, lambda: events, selections, f"{tmp_path}/s", f"{tmp_path}/c", clock, buckets=2, **ONE_FILE).awaitTermination()
+    rows = {(r["selection_id"], r["bookmaker_id"]): r for r in jobs.closing_state(spark, f"{tmp_path}/s", 2).read().collect()}
+    assert set(rows) == {(10, 1), (11, 1)} and all(r["seconds_before_start"] <= 1200 for r in rows.values())
+    assert abs(sum(r["fair_prob"] for r in rows.values()) - 1) < 1e-9
+
+
 def test_state_replay_reads_older_generations(spark, tmp_path):
     schema = "k bigint, v double"
     state = BucketedState(spark, str(tmp_path / "s"), ["k"], schema, 4)
