@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,6 +53,14 @@ def mix(values: np.ndarray) -> np.ndarray:
 BYTE_CODES = mix(np.arange(1, 257, dtype=np.uint64) * MULTIPLIER)
 
 
+def release() -> None:
+    """Gives memory that a Python worker has freed back to the machine, since workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column, null as empty, and where each row starts; one more offset ends the last."""
     if not len(column):
@@ -74,6 +83,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
             stop = max(start + 1, int(np.searchsorted(ends, done + limit, "right")))
             yield batch.slice(start, stop - start)
             start, done = stop, int(ends[stop - 1])
+    release()
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray, fold: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -116,6 +126,8 @@ def by_group(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Tabl
             last = values[start]
     if held:
         yield pa.Table.from_batches(held)
+    del held
+    release()
 
 
 def shingle_hashes(data: np.ndarray, offsets: np.ndarray, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -177,4 +189,5 @@ def laned(docs: DataFrame) -> DataFrame:
 
 
 def opened(left: pa.Table) -> pa.Table:
+    release()
     return pa.concat_tables([pa.ipc.open_stream(x.as_py()).read_all() for x in left.column("rows")]).combine_chunks()
