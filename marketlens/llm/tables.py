@@ -15,7 +15,7 @@ SLICE_BYTES = 1 << 20
 #: Rows that Spark hands to Python at a time.
 BATCH_KEY, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 #: Bytes of text that are written as one compressed batch, and that the documents of one lane hold.
-BATCH_BYTES, LANE_BYTES = 8 << 20, 8 << 20
+BATCH_BYTES, LANE_BYTES = 8 << 20, 4 << 20
 #: Random odd multiplier and seed of the byte hashes.
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 #: ASCII white space.
