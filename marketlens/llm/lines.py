@@ -6,6 +6,10 @@ every ``window`` grams in a row the smallest hash is selected (the rightmost of
 is extended to the lines left and right of it that make up the run. A run that starts later than its first occurrence
 (smaller doc_id, ties by text hash, then position) is deleted; overlapping runs add up.
 
+With ``alone``, a line of more than so many bytes is a run by itself too, and so is the only line of a document, which is
+compared with the only lines of other documents, or with all lines if it is long enough. Without it, as in ``ORACLE_SQL``,
+a single repeated line between different neighbours stays, however long.
+
 Hot lines are safe: first occurrences are found with partial aggregation, and the join back can be split by skew.
 Null texts count as empty; an empty text is kept; rows equal in doc_id and text count as one document and all get its
 result; other columns stay. Everything is a column expression.
@@ -18,14 +22,19 @@ from pyspark.sql import functions as F
 
 GRAM = 1
 WINDOW = 2
+#: A line of over so many bytes is worth deleting by itself; one of over 50 words always has more.
+ALONE = 100
 SOLID = r"[^ \t-\r]"
 KEYS = ("_id", "_hash")
 
 
-def runs(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
-    """One row per run of the guaranteed length: document, start, its lines, fingerprint, place of it, and extension."""
+def runs(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, alone: int | None = None) -> DataFrame:
+    """One row per run of the guaranteed length: document, start, its lines, fingerprint, place of it, and extension.
+
+    With ``alone``, also one per line that is a run by itself.
+    """
     length = gram + window - 1
-    numbered = F.transform(F.split("text", "\n"), lambda line, i: F.struct(i.alias("n"), F.xxhash64(line).alias("h"), line.rlike(SOLID).alias("solid")))
+    numbered = F.transform(F.split("text", "\n"), lambda line, i: F.struct(i.alias("n"), F.xxhash64(line).alias("h"), line.rlike(SOLID).alias("solid"), F.octet_length(line).alias("bytes")))
     lines = docs.select(*KEYS, F.filter(numbered, lambda line: line["solid"]).alias("_lines"))
     starts = F.greatest(F.size("_lines") - (length - 1), F.lit(0))
     zipped = F.arrays_zip(*[F.slice("_lines", k + 1, starts).alias(f"l{k}") for k in range(length)])
@@ -41,33 +50,50 @@ def runs(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
             F.xxhash64(*hashes, F.lit(length)).alias("extension"),
         )
 
-    found = lines.select(*KEYS, F.explode(F.transform(zipped, described)).alias("r"))
+    found = F.transform(zipped, described)
+    if alone is not None:
+
+        def by_itself(line, start):
+            long = line["bytes"] > alone
+            return F.struct(
+                start.alias("start"),
+                F.array(line["n"]).alias("lines"),
+                F.struct(line["h"].alias("h"), F.lit(0).alias("k")).alias("least"),
+                F.xxhash64(line["h"], F.lit(1), long).alias("extension"),
+                (long | (F.size("_lines") == 1)).alias("counts"),
+            )
+
+        singles = F.filter(F.transform("_lines", by_itself), lambda run: run["counts"])
+        found = F.concat(found, F.transform(singles, lambda run: F.struct(*[run[c].alias(c) for c in ("start", "lines", "least", "extension")])))
+    found = lines.select(*KEYS, F.explode(found).alias("r"))
     return found.select(*KEYS, "r.start", "r.lines", F.col("r.least.h").alias("fingerprint"), F.col("r.least.k").alias("at"), "r.extension")
 
 
-def repeated(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
+def repeated(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, alone: int | None = None) -> DataFrame:
     """The runs that occurred before."""
-    found = runs(docs, gram, window)
+    found = runs(docs, gram, window, alone)
     match = ["fingerprint", "at", "extension"]
     place = F.struct(F.col("_id"), F.col("_hash"), F.col("start"))
     first = found.groupBy(*match).agg(F.min(place).alias("_first"), F.max(place).alias("_last")).filter("_first < _last")
     return found.join(first.drop("_last"), match).filter(place > F.col("_first")).select(*KEYS, "start", "lines")
 
 
-def dedup(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, report: bool = True) -> DataFrame:
+def dedup(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, report: bool = True, alone: int | None = None) -> DataFrame:
     """``docs`` with later repeated runs deleted from ``text``, and, with ``report``, n_lines, n_removed, n_runs.
 
+    A run that counts in n_runs is one of deleted lines that follow each other, blank lines aside.
+
     Columns of ``docs`` that bear one of these names are replaced.
     """
     names = [c for c in docs.columns if not report or c.lower() not in ("n_lines", "n_removed", "n_runs")]
     text = F.coalesce(F.col("text"), F.lit("")).cast("string")
     others = F.struct(F.lit(0), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names) if c != "text"])
     keyed = docs.select(others.alias("others"), text.alias("text"), F.col("doc_id").alias("_id"), F.xxhash64(text).alias("_hash"))
-    later = repeated(keyed.select(*KEYS, "text"), gram, window)
-    length = gram + window - 1
+    later = repeated(keyed.select(*KEYS, "text"), gram, window, alone)
+    places = F.sequence("start", F.col("start") + F.size("lines") - 1)
     covered = later.groupBy(F.col("_id").alias("_l_id"), F.col("_hash").alias("_l_hash")).agg(
         F.sort_array(F.array_distinct(F.flatten(F.collect_list("lines")))).alias("_gone"),
-        F.sort_array(F.collect_set("start")).alias("_starts"),
+        F.sort_array(F.array_distinct(F.flatten(F.collect_list(places)))).alias("_places"),
     )
     joined = keyed.join(covered, F.col("_id").eqNullSafe(F.col("_l_id")) & (F.col("_hash") == F.col("_l_hash")), "left")
     kinds = "array<struct<n:int,gone:int,line:string>>"
@@ -78,8 +104,8 @@ def dedup(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, report: bool
     after = F.slice("_both", 2, F.size("_both"))
     stay = F.filter(F.arrays_zip(F.col("_both").alias("a"), after.alias("b")), lambda z: (z["a"]["gone"] == 0) & (F.coalesce(z["b"]["gone"], F.lit(0)) == 0))
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda z: z["a"]["line"]), "\n"))
-    steps = F.arrays_zip(F.slice("_starts", 2, F.size("_starts")).alias("b"), F.slice("_starts", 1, F.size("_starts") - 1).alias("a"))
-    n_runs = F.when(F.col("_gone").isNull(), 0).otherwise(1 + F.size(F.filter(steps, lambda z: z["b"] - z["a"] > length)))
+    steps = F.arrays_zip(F.slice("_places", 2, F.size("_places")).alias("b"), F.slice("_places", 1, F.size("_places") - 1).alias("a"))
+    n_runs = F.when(F.col("_gone").isNull(), 0).otherwise(1 + F.size(F.filter(steps, lambda z: z["b"] - z["a"] > 1)))
     columns = [text.alias("text") if c == "text" else F.col(f"others.c{i}").alias(c) for i, c in enumerate(names)]
     if not report:
         return joined.select(*columns)

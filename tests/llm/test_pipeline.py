@@ -39,3 +39,9 @@ def test_run(spark, tmp_path):
 def test_registered():
     assert [name.split("_")[0] for name in queries.QUERIES] == [f"op{n}" for n in range(1, 11)]
     assert set(queries.ORACLES) <= set(queries.QUERIES)
+
+
+def test_line_dedup_takes_long_and_only_lines(spark):
+    long = " ".join(f"word{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, f"a\n{long}"), (2, f"b\n{long}\nc"), (3, "one"), (4, "one")], "doc_id long, text string")
+    assert {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(spark, docs, "").collect()} == {1: f"a\n{long}", 2: "b\nc", 3: "one", 4: ""}
