@@ -1,10 +1,11 @@
-"""Line dedup by winnowing: delete runs of lines that occurred before.
-
-Lines that hold more than white space are hashed; blank lines take no part and stay. A gram is ``gram`` lines in a row. Of
-every ``window`` grams in a row the smallest hash is selected (the rightmost of equals), so that two equal runs of
-``gram + window - 1`` lines select the same gram as their fingerprint. Positions are joined on the fingerprint, and a match
-is extended to the lines left and right of it that make up the run. A run that starts later than its first occurrence
-(smaller doc_id, ties by text hash, then position) is deleted; overlapping runs add up.
+"""Line dedup: delete runs of lines that occurred before.
+
+Lines that hold more than white space are hashed; blank lines take no part and stay. A gram is ``gram`` lines in a row. Every
+run of ``gram + window - 1`` lines is kept, so this is no winnowing, which would keep selected grams only, join them and
+extend the matches: with grams of one line that join pairs all places of a common line. Runs are grouped by the hash of all
+their lines (``extension``); the smallest hash of the run's ``window`` grams (``fingerprint``, the rightmost of equals) and
+its place follow from it. A run that starts later than its first occurrence (smaller doc_id, ties by text hash, then
+position) is deleted; overlapping runs add up.
 
 With ``alone``, a line of more than so many bytes is a run by itself too, and so is the only line of a document, which is
 compared with the only lines of other documents, or with all lines if it is long enough. Without it, as in ``ORACLE_SQL``,
