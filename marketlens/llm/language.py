@@ -183,10 +183,12 @@ def identify(docs: DataFrame, parts: int = 4, left: int = 2) -> DataFrame:
 
 
 def filter_languages(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose language is unknown: no letter, or no text."""
-    known = F.coalesce(F.col("text"), F.lit("")).rlike(r"\p{L}")
-    prototypes = learn(docs.filter(known).filter(~held_out(4, 2)).select("text", "lang"))
-    return recognized(docs.filter(known), prototypes)
+    """``docs`` without the rows that have no letter, or no text. Only these go: a text with letters always has a language
+    that is nearest, however small its cosine. Learns from all labelled rows; without any, all rows with letters stay.
+    """
+    known = docs.filter(F.coalesce(F.col("text"), F.lit("")).rlike(r"\p{L}"))
+    prototypes = learn(known.select("text", "lang"))
+    return recognized(known, prototypes) if prototypes else known
 
 
 def recognized(docs: DataFrame, prototypes: dict[str, np.ndarray]) -> DataFrame:

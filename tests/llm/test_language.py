@@ -55,3 +55,13 @@ def test_filter(odd, empty):
     want = Counter(str(r) for r in odd.collect() if any(c.isalpha() for c in r["text"] or ""))
     assert Counter(str(r) for r in kept.collect()) == want
     assert language.filter_languages(empty).count() == 0
+
+
+def test_filter_without_usable_labels(odd):
+    """Texts with letters stay if no row has a language, or only rows that identify() would hold out."""
+    want = sorted(str(r["text"]) for r in odd.collect() if any(c.isalpha() for c in r["text"] or ""))
+    nothing = F.lit(None).cast("string")
+    for lang in (nothing, F.when(language.held_out(4, 2), F.col("lang")).otherwise(nothing)):
+        kept = language.filter_languages(odd.withColumn("lang", lang))
+        assert kept.columns == odd.columns
+        assert sorted(str(r["text"]) for r in kept.collect()) == want
