@@ -1,3 +1,4 @@
+import math
 from collections import Counter
 
 import numpy as np
@@ -90,3 +91,22 @@ def test_components(spark):
         for a, b in edges:
             root[a] = root[b] = min(root[a], root[b])
     assert got == {x: r for x, r in root.items() if any(x in e and e[0] != e[1] for e in edges)}
+
+
+def test_signatures_lose_few_pairs():
+    """Of pairs at the threshold, whose signature bytes agree with its probability, fewer than 1e-6 fall below MAYBE."""
+    orders, p = jaccard.ORDERS, jaccard.THRESHOLD
+    least = next(k for k in range(orders + 1) if k >= jaccard.MAYBE * orders)
+    assert sum(math.comb(orders, k) * p**k * (1 - p) ** (orders - k) for k in range(least)) < 1e-6
+
+
+def test_unlucky_signatures_are_compared(spark):
+    """Signatures of a pair at the threshold that agree in 34 of 64 places still make an edge."""
+    a = np.arange(64, dtype=np.uint8)
+    b = a.copy()
+    b[34:] += 100
+    for texts in ([a, b], [a, b, a + 128]):
+        rows = [(7, len(texts), bytes([i]), t.tobytes()) for i, t in enumerate(texts)]
+        parts = spark.createDataFrame([(p, n, bytearray(k), bytearray(s)) for p, n, k, s in rows], "part long, n long, key binary, sketch binary")
+        edges = [{bytes(r["a"]), bytes(r["b"])} for r in jaccard.candidate_edges(parts).collect()]
+        assert edges == [{b"\0", b"\1"}]
