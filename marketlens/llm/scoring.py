@@ -459,26 +459,24 @@ def score_rows(found: DataFrame, answers: DataFrame, order: int, lanes: int, fre
     return found.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(run, NOTES)
 
 
-#: Low bits of a bucket's sums that are dropped, which leaves 40 and 32 binary places.
-DROPPED = {"base": 12, "score": 20}
+#: A bucket's sums that travel as whole doubles.
+SUMS = ("base", "score")
 
 
 def packed_column(name: str, values: np.ndarray) -> np.ndarray:
-    """A column of sums in the form that compresses best: numbers as steps, sums rounded, the bytes of all in planes."""
+    """A column of sums in the form that compresses best, without loss: numbers as steps, the bytes of all in planes."""
     if name in ("tokens", "known"):
         return narrow(values)
     if name in ("row", "id"):
         return planes(np.diff(values, prepend=0))
-    if name in DROPPED:
-        low = np.uint64(DROPPED[name])
-        bits = values.view(np.uint64) + (np.uint64(1) << (low - np.uint64(1)))
-        return planes(bits >> low << low)
+    if name in SUMS:
+        return planes(values)
     return values
 
 
 def unpacked_columns(note: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     out = note | {n: np.cumsum(unplanes(note[n]).view(np.int64)) for n in ("row", "id")}
-    return out | {n: unplanes(note[n]).view(np.float64) for n in DROPPED}
+    return out | {n: unplanes(note[n]).view(np.float64) for n in SUMS}
 
 
 def document_sums(rows: DataFrame) -> DataFrame:

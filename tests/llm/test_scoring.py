@@ -3,6 +3,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from marketlens.llm import scoring
@@ -96,3 +97,12 @@ def test_odd_cases(odd, empty, spark):
     lone = next(i for i in range(100) if held(i))
     got = scoring.score(spark.createDataFrame([(lone, "a b")], "doc_id long, text string")).first()
     assert (got["n_tokens"], got["n_known"], got["train_tokens"], got["score"], got["base_score"]) == (3, 0, 0, 0.0, 0.0)
+
+
+def test_sums_travel_whole():
+    """Sums of a bucket come out of their packed form to the last bit."""
+    n = 1000
+    rng = np.random.default_rng(4)
+    sums = {"row": np.arange(n), "id": rng.integers(0, 10**6, n), "base": -rng.random(n) * 900, "score": -rng.random(n) * 900}
+    found = scoring.unpacked_columns(scoring.unpack([scoring.pack(**{k: scoring.packed_column(k, v) for k, v in sums.items()})])[0])
+    assert all(np.array_equal(found[k], v) for k, v in sums.items())
