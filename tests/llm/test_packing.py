@@ -67,3 +67,15 @@ def test_odd_cases(odd, empty):
     rows = packing.pack_documents(odd)
     assert rows.groupBy().sum("length").first()[0] == sum(len(ids_of(r["text"])) for r in odd.collect())
     assert packing.pack_documents(empty).count() == 0
+
+
+def test_groups_are_sized_by_pieces(spark, monkeypatch):
+    """A few long documents make as many groups as their pieces need."""
+    texts = [" ".join(f"word{(i * 7 + k) % 500}" for k in range(9000)) for i in range(6)] + ["short"] * 4
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    count = sum(len(packing.cut(len(ids_of(t)), 64)) for t in texts)
+    assert count / 2 < packing.estimated_pieces(docs, 64) < 2 * count
+    asked = []
+    monkeypatch.setattr(packing, "groups_for", lambda rows, per_group: asked.append(rows) or -(-rows // 100))
+    rows = packing.pack_documents(docs, capacity=64).collect()
+    assert len(rows) == count and asked[0] > count / 2
