@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marketlens.llm import bpe, fingerprints, jaccard, language, lines, neighbours, packing, repeats, scoring, sharding
+from marketlens.llm import bpe, fingerprints, jaccard, language, lines, mining, neighbours, packing, periods, repeats, scoring, sharding, simhash
 from marketlens.llm.tables import read_table
 
 SHARDS = 40
@@ -55,9 +55,35 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.document_links(read_table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mining.hard_negatives(read_table(spark, sf_dir, "embeddings"))
+
+
+def op12_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.digests(periods.find(periods.looped(read_table(spark, sf_dir, "documents"))))
+
+
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_copies(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_sharding, op2_line_dedup, op3_packing, op4_suffix_dedup, op5_lm_scoring, op6_neighbours, op7_language, op8_fingerprints, op9_bpe, op10_jaccard_join)
+    for f in (
+        op1_sharding,
+        op2_line_dedup,
+        op3_packing,
+        op4_suffix_dedup,
+        op5_lm_scoring,
+        op6_neighbours,
+        op7_language,
+        op8_fingerprints,
+        op9_bpe,
+        op10_jaccard_join,
+        op11_hard_negatives,
+        op12_periods,
+        op13_simhash,
+    )
 }
 #: SQL for the queries that it can express within reason; the tests compare the others with brute force.
 ORACLES: dict[str, str] = {"op2_line_dedup": lines.ORACLE_SQL}
