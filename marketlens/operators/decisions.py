@@ -2,21 +2,20 @@
 
 from __future__ import annotations
 
-import heapq
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketlens.functions.common import count_if, hours_between, js_round
+from marketlens.operators import ordered
 from marketlens.operators.positions import WORKING
+from marketlens.session import cut
 
 KELLY_FRACTION = 0.25
 SLIPPAGE = 0.01
 MAX_QUOTE_AGE_MINUTES = 10
 MAX_QUOTE_DRIFT = 0.03
 RESTING_MINUTES = 45
+MONEY = "decimal(28,8)"
 SETTLED_DECISIONS = ["executed", "failed", "expired"]
 
 
@@ -78,34 +77,14 @@ def decision_status(sized: DataFrame) -> DataFrame:
     return sized.select("*", status.alias("status"), reason.alias("status_reason"))
 
 
-def _prune_admission(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Drops decisions that can never be admitted, from rows sorted by strategy and priority.
-
-    An earlier decision that costs no more than this one is always admitted first, so a decision with as
-    many such predecessors as there are free slots is out. The heap keeps the smallest costs seen.
-    """
-    strategy, heap = None, []
-    for pdf in batches:
-        keep = []
-        for key, cost, slots in zip(pdf["strategy_id"], pdf["notional"], pdf["slots"]):
-            if key != strategy:
-                strategy, heap = key, []
-            if slots <= 0 or (len(heap) >= slots and -heap[0] <= cost):
-                keep.append(False)
-                continue
-            keep.append(True)
-            heapq.heappush(heap, -cost)
-            if len(heap) > slots:
-                heapq.heappop(heap)
-        yield pdf[keep]
-
-
 def risk_admission(decisions: DataFrame, strategies: DataFrame, exposure: DataFrame) -> DataFrame:
     """Admits decisions in priority order while the position cap and the bankroll allow.
 
-    Skipped decisions use no budget. Rows that can never be admitted are dropped inside each input
-    partition, before the shuffle, so the per-strategy fold sees little more than the free slots even when
-    one strategy holds most decisions. Gives every decision with ``admitted`` and a reason.
+    Skipped decisions use no budget. Each round sums, over the earlier decisions of the strategy, the costs of those
+    admitted so far and of all that are still in line: what fits even if the whole line before it is admitted is admitted,
+    what doesn't fit beside those already admitted is out. The first one in line is always decided, so there are at most as
+    many rounds as free slots, and few as a rule. The queue is dealt by ranges of its order, so that one strategy's
+    decisions spread over tasks. Money is compared as decimals. Gives every decision with ``admitted``.
     """
     budget = strategies.select("strategy_id", "max_open_positions", "bankroll").join(
         exposure.select("strategy_id", "open_positions", "committed"), "strategy_id"
@@ -113,33 +92,27 @@ def risk_admission(decisions: DataFrame, strategies: DataFrame, exposure: DataFr
     limits = budget.select(
         "strategy_id",
         (F.col("max_open_positions") - F.col("open_positions")).alias("slots"),
-        (F.col("bankroll") - F.col("committed")).alias("budget"),
+        (F.col("bankroll") - F.col("committed")).cast(MONEY).alias("budget"),
     )
-    queue = decisions.select("strategy_id", "decision_id", "confidence", "edge", "notional").join(limits, "strategy_id")
+    queue = decisions.select("strategy_id", "decision_id", "confidence", "edge", F.col("notional").cast(MONEY).alias("cost"))
+    queue = queue.join(limits, "strategy_id").filter("cost <= budget AND slots > 0")
     order = [F.desc("confidence"), F.desc("edge"), F.col("decision_id")]
-    fits = queue.filter(F.col("notional") <= F.col("budget"))
-    kept = fits.sortWithinPartitions("strategy_id", *order).mapInPandas(_prune_admission, fits.schema)
-    item = F.struct(
-        (-F.col("confidence")).alias("c"), (-F.col("edge")).alias("e"), F.col("decision_id").alias("id"),
-        F.col("notional").alias("cost"),
-    )
-    lines = kept.groupBy("strategy_id").agg(
-        F.first("slots").alias("slots"), F.first("budget").alias("budget"), F.sort_array(F.collect_list(item)).alias("line")
-    )
-
-    def admit(state: Column, d: Column) -> Column:
-        ok = (state["slots"] > 0) & (d["cost"] <= state["left"])
-        return F.struct(
-            F.when(ok, state["slots"] - 1).otherwise(state["slots"]).alias("slots"),
-            F.when(ok, state["left"] - d["cost"]).otherwise(state["left"]).alias("left"),
-            F.when(ok, F.concat(state["ids"], F.array(d["id"]))).otherwise(state["ids"]).alias("ids"),
-        )
-
-    seed = F.struct(
-        F.col("slots").alias("slots"), F.col("budget").alias("left"), F.array().cast("array<bigint>").alias("ids")
-    )
-    admitted = lines.select(F.explode(F.aggregate("line", seed, admit, lambda s: s["ids"])).alias("decision_id"))
-    rows = decisions.join(admitted.withColumn("admitted", F.lit(True)), "decision_id", "left")
+    line = ordered.dealt(queue, ["strategy_id"], order).withColumn("admitted", F.lit(False))
+    sure = F.col("admitted")
+    sums = {
+        "sure_cost": F.when(sure, F.col("cost")).otherwise(0),
+        "sure_rows": F.when(sure, 1).otherwise(0),
+        "line_cost": F.col("cost"),
+        "line_rows": F.lit(1),
+    }
+    while True:
+        seen = ordered.running(line, ["strategy_id"], order, sums)
+        fits = (F.col("line_cost") + F.col("cost") <= F.col("budget")) & (F.col("line_rows") < F.col("slots"))
+        out = (F.col("sure_cost") + F.col("cost") > F.col("budget")) | (F.col("sure_rows") >= F.col("slots"))
+        line = cut(seen.withColumn("admitted", sure | fits).filter(sure | ~out).drop(*sums))
+        if line.filter(~sure).isEmpty():
+            break
+    rows = decisions.join(line.select("decision_id", "admitted"), "decision_id", "left")
     return rows.withColumn("admitted", F.coalesce("admitted", F.lit(False)))
 
 

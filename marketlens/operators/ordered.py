@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from marketlens.session import cut
+
 DAY_MICROS = 86_400_000_000
 SEGMENT = "__segment"
 CARRY = "__carry"
@@ -60,3 +62,18 @@ def lagged(
         "*", *[F.lag(v).over(window).alias(f"prev_{v}") for v in values]
     )
     return drop_carry(scanned)
+
+
+def dealt(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """Rows dealt by ranges of (keys, order) and checkpointed, with their range as segment: for keys with no natural one."""
+    return cut(df.repartitionByRange(*keys, *order).withColumn(SEGMENT, F.spark_partition_id()))
+
+
+def running(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], values: dict[str, Column]) -> DataFrame:
+    """Adds the sum of each value over all earlier rows of the key; ``rows`` carry their segment."""
+    inside = W.partitionBy(*keys, SEGMENT).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    before = W.partitionBy(*keys).orderBy(SEGMENT).rowsBetween(W.unboundedPreceding, -1)
+    totals = rows.groupBy(*keys, SEGMENT).agg(*[F.sum(v).alias(c) for c, v in values.items()])
+    carried = totals.select(*keys, SEGMENT, *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"__{c}") for c in values])
+    sums = [(F.coalesce(F.sum(v).over(inside), F.lit(0)) + F.col(f"__{c}")).alias(c) for c, v in values.items()]
+    return rows.join(carried, [*keys, SEGMENT]).select("*", *sums).drop(*[f"__{c}" for c in values])

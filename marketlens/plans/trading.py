@@ -238,7 +238,7 @@ def _(t: Tables):
 @query(
     "risk_admission",
     f"""WITH RECURSIVE {EXPOSURE_SQL},
-    q AS (SELECT d.decision_id, d.strategy_id, d.size * d.limit_price AS notional, s.max_open_positions - e.open_positions AS slots, s.bankroll - e.committed AS budget, d.confidence, d.edge
+    q AS (SELECT d.decision_id, d.strategy_id, CAST(d.size * d.limit_price AS DECIMAL(28,8)) AS notional, s.max_open_positions - e.open_positions AS slots, CAST(s.bankroll - e.committed AS DECIMAL(28,8)) AS budget, d.confidence, d.edge
           FROM fx_decisions d JOIN fx_strategies s ON s.strategy_id = d.strategy_id JOIN exposure e ON e.strategy_id = d.strategy_id),
     r AS (SELECT *, row_number() OVER (PARTITION BY strategy_id ORDER BY confidence DESC, edge DESC, decision_id) AS rk FROM q WHERE notional <= budget),
     walk AS (SELECT strategy_id, CAST(0 AS BIGINT) AS rk, CAST(NULL AS BIGINT) AS decision_id, false AS admitted, slots, budget AS remains FROM r WHERE rk = 1

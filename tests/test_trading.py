@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from marketlens.operators import decisions as D
 from marketlens.operators import positions, settle, tape
+from marketlens.session import cut
 from marketlens.sources import tapes
 
 NOW = datetime(2024, 5, 1, 12)
@@ -58,6 +59,22 @@ def test_risk_admission_matches_replay(spark, seed):
     assert got == want
 
 
+def test_risk_admission_of_falling_costs(spark, monkeypatch):
+    """One strategy's long line, where each admitted cost makes room for the next smaller one only."""
+    rounds = []
+    monkeypatch.setattr(D, "cut", lambda df: rounds.append(1) or cut(df))
+    rows = [(1, i, 0.5, 0.0, (4000 - i) / 4) for i in range(4000)] + [(2, 5000 + i, 0.1 * i, 0.0, 0.1) for i in range(9)]
+    queue = spark.createDataFrame(rows, "strategy_id bigint, decision_id bigint, confidence double, edge double, notional double").repartition(5)
+    strategies = spark.createDataFrame([(1, 40, 1700.0), (2, 9, 0.3)], "strategy_id bigint, max_open_positions bigint, bankroll double")
+    exposure = spark.createDataFrame([(1, 0, 0.0), (2, 0, 0.0)], "strategy_id bigint, open_positions bigint, committed double")
+    out = D.risk_admission(queue, strategies, exposure)
+    assert "Python" not in out._jdf.queryExecution().toString()
+    got = {r["decision_id"] for r in out.filter("admitted").collect()}
+    cents = [(s, i, c, e, round(n * 100)) for s, i, c, e, n in rows]
+    assert got == admit([r for r in cents if r[0] == 1], 40, 170000) | admit([r for r in cents if r[0] == 2], 9, 30)
+    assert len(rounds) <= 12
+
+
 def test_fills_are_booked_once(spark):
     schema = "order_id bigint, report_seq bigint, strategy_id bigint, market_id bigint, side string, filled_size double, avg_fill_price double"
     rows = [(1, 1, 1, 1, "yes", 10.0, 0.5), (1, 2, 1, 1, "yes", 10.0, 0.9), (1, 3, 1, 1, "yes", 30.0, 0.6), (1, 4, 1, 1, "yes", 20.0, 0.1), (2, 1, 1, 1, "yes", 5.0, 0.4)]
