@@ -401,9 +401,21 @@ SELECT CAST(substr(p_brand, 7) AS BIGINT) AS sport_id, p_partkey, p_name AS club
             WHEN 3 THEN concat(substr(p_name, 1 + position(' ' IN p_name)), ' ', substr(p_name, 1, position(' ' IN p_name) - 1)) WHEN 4 THEN concat('Nick', CAST(p_partkey AS VARCHAR(20))) ELSE concat(p_name, ' united') END AS name
 FROM part
 """
-PROJECTIONS["fx_incoming_events"] = """
-SELECT concat('p', CAST(o_orderkey % 3 AS VARCHAR(9))) AS provider, concat('x', CAST(o_orderkey AS VARCHAR(20))) AS external_id, CAST(o_custkey % 2 AS BIGINT) AS sport_id,
-       o_custkey % 25 AS home_team_id, (o_custkey * 7 + o_orderkey) % 25 AS away_team_id, o_orderdate AS commence_at, o_orderkey FROM orders
+# Records of few team pairs, many within hours of each other; some without a team, and some heard twice with another time.
+PROJECTIONS["fx_feed_records"] = """
+SELECT o_orderkey + 1000000000 * again AS position, concat('p', CAST(o_orderkey % 3 AS VARCHAR(9))) AS provider, concat('x', CAST(o_orderkey AS VARCHAR(20))) AS external_id,
+       CAST(o_custkey % 2 AS BIGINT) AS sport_id, CASE WHEN o_custkey % 37 = 0 THEN NULL ELSE CAST(o_custkey % 3 AS BIGINT) END AS home_team_id, CAST((o_custkey * 7 + o_orderkey) % 3 AS BIGINT) AS away_team_id,
+       CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) + INTERVAL 1 HOUR * CAST((o_custkey + o_orderkey) % 40 + 3 * again AS INT) AS commence_at
+FROM orders, (SELECT 0 AS again UNION ALL SELECT 1) r WHERE again = 0 OR o_orderkey % 13 = 0
+"""
+PROJECTIONS["fx_known_events"] = """
+SELECT o_orderkey AS event_id, CAST(o_custkey % 2 AS BIGINT) AS sport_id, CAST(o_custkey % 3 AS BIGINT) AS home_team_id, CAST((o_custkey * 7 + o_orderkey) % 3 AS BIGINT) AS away_team_id,
+       CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) + INTERVAL 1 HOUR * CAST(o_custkey % 40 AS INT) AS commence_at
+FROM orders WHERE o_orderkey % 5 = 0
+"""
+PROJECTIONS["fx_known_links"] = """
+SELECT concat('p', CAST(o_orderkey % 3 AS VARCHAR(9))) AS provider, concat('x', CAST(o_orderkey AS VARCHAR(20))) AS external_id, o_orderkey AS event_id FROM orders WHERE o_orderkey % 20 = 0
+UNION ALL SELECT concat('p', CAST((o_orderkey + 1) % 3 AS VARCHAR(9))), concat('y', CAST(o_orderkey AS VARCHAR(20))), o_orderkey FROM orders WHERE o_orderkey % 15 = 0
 """
 PROJECTIONS["fx_ticker_rows"] = """
 SELECT p_partkey AS id, concat(CASE p_partkey % 4 WHEN 0 THEN 'kxmlbtotal' WHEN 1 THEN 'KXMLBSPREAD' WHEN 2 THEN 'KXEPLGAME' ELSE 'SOLO' END, CASE WHEN p_partkey % 4 = 3 THEN '' ELSE concat('-26AUG', CAST(p_size AS VARCHAR(9)), 'SDAZ-', CASE p_partkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'DET' ELSE 'TIE' END,

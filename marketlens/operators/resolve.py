@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
+from collections.abc import Iterator
+
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -196,80 +201,241 @@ def match_existing_teams(names: DataFrame, teams: DataFrame) -> DataFrame:
     )
 
 
+class Fixtures:
+    """The events of one group of records, in order of id and then of creation, found by start time."""
+
+    def __init__(self) -> None:
+        self.names: list[tuple[int | None, str | None]] = []
+        self.starts: list[int | None] = []
+        self.paired: list[bool] = []
+        self.claims: list[set[str]] = []
+        self.links: dict[tuple[str, str], int] = {}
+        self.times: list[int] = []
+        self.at: dict[int, list[int]] = {}
+        self.passed: dict[int, dict[str, int]] = {}
+
+    def add(self, event_id: int | None, name: str | None, start: int | None, paired: bool, claims: set[str]) -> int:
+        self.names.append((event_id, name))
+        self.starts.append(None)
+        self.paired.append(False)
+        self.claims.append(claims)
+        self.update(len(self.names) - 1, start, paired)
+        return len(self.names) - 1
+
+    def update(self, event: int, start: int | None, paired: bool) -> None:
+        """Moves an event to a known start time; once both teams are known it can be matched."""
+        start = self.starts[event] if start is None else start
+        paired = paired or self.paired[event]
+        if paired and start is not None and (start != self.starts[event] or not self.paired[event]):
+            if start not in self.at:
+                insort(self.times, start)
+                self.at[start] = []
+            held = self.at[start]
+            if held and held[-1] > event:
+                insort(held, event)
+                self.passed.pop(start, None)
+            else:
+                held.append(event)
+        self.starts[event], self.paired[event] = start, paired
+
+    def free(self, start: int, provider: str) -> int | None:
+        """The first event at a time that the provider has not claimed. Claims and moves are for good, so the place is kept."""
+        held, passed = self.at[start], self.passed.setdefault(start, {})
+        k = passed.get(provider, 0)
+        while k < len(held) and (self.starts[held[k]] != start or provider in self.claims[held[k]]):
+            k += 1
+        passed[provider] = k
+        return held[k] if k < len(held) else None
+
+    def nearest(self, start: int, provider: str) -> int | None:
+        """The free event nearest in time within the window; of two equally near the earlier."""
+        after = bisect_left(self.times, start)
+        before = after - 1
+        while True:
+            left = start - self.times[before] if before >= 0 else EVENT_WINDOW_MICROS + 1
+            right = self.times[after] - start if after < len(self.times) else EVENT_WINDOW_MICROS + 1
+            if min(left, right) > EVENT_WINDOW_MICROS:
+                return None
+            found = self.free(self.times[before] if left <= right else self.times[after], provider)
+            if found is not None:
+                return found
+            before, after = (before - 1, after) if left <= right else (before, after + 1)
+
+    def record(self, provider: str, external_id: str, linked: int | None, start: int | None, paired: bool) -> tuple[int, str]:
+        """The event of one record and how it was found."""
+        event = linked if linked is not None else self.links.get((provider, external_id))
+        how = "external_id"
+        if event is None:
+            event = self.nearest(start, provider) if paired and start is not None else None
+            how = "new" if event is None else "team_pair"
+        if event is None:
+            event = self.add(None, f"{provider}:{external_id}", start, paired, set())
+        else:
+            self.update(event, start, paired)
+        self.claims[event].add(provider)
+        self.links[provider, external_id] = event
+        return event, how
+
+
+REPLAYED = ("grp", "is_record", "position", "provider", "external_id", "event_id", "start", "paired", "claims")
+RESOLVED = {"provider": pa.string(), "external_id": pa.string(), "position": pa.int64(), "event_id": pa.int64(), "new_event": pa.string(), "matched_by": pa.string(), "confidence": pa.float64()}
+
+
+def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records in feed order onto the events of their group; rows come sorted by group, stored events first."""
+    group, fixtures, places = None, Fixtures(), {}
+    for batch in batches:
+        out = []
+        for row in zip(*(batch.column(c).to_pylist() for c in REPLAYED)):
+            key, is_record, position, provider, external_id, event_id, start, paired, claims = row
+            if key != group:
+                group, fixtures, places = key, Fixtures(), {}
+            if not is_record:
+                places[event_id] = fixtures.add(event_id, None, start, paired, set(claims))
+                continue
+            event, how = fixtures.record(provider, external_id, places.get(event_id), start, paired)
+            out.append((provider, external_id, position, *fixtures.names[event], how, 0.9 if how == "team_pair" else 1.0))
+        columns = [pa.array(values, kind) for values, kind in zip(zip(*out), RESOLVED.values())] if out else [pa.array([], kind) for kind in RESOLVED.values()]
+        yield pa.RecordBatch.from_arrays(columns, names=list(RESOLVED))
+
+
+def time_groups(spans: DataFrame, keys: list[str], low: str, high: str) -> DataFrame:
+    """keys, ``bin``, ``since``: spans of time that follow each other within six hours form one group, known by its start.
+
+    Spans are first folded to one per six-hour bin of their start, so the window holds no more than the bins of a key.
+    """
+    bins = spans.groupBy(*keys, F.floor(F.col(low) / EVENT_WINDOW_MICROS).alias("bin")).agg(F.min(low).alias("low"), F.max(high).alias("high"))
+    earlier = W.partitionBy(*keys).orderBy("bin").rowsBetween(W.unboundedPreceding, -1)
+    up_to = W.partitionBy(*keys).orderBy("bin").rowsBetween(W.unboundedPreceding, 0)
+    reach = F.max("high").over(earlier)
+    starts = bins.withColumn("head", F.when(reach.isNull() | (F.col("low") > reach + EVENT_WINDOW_MICROS), F.col("low")))
+    return starts.select(*keys, "bin", F.max("head").over(up_to).alias("since"))
+
+
 def resolve_events(incoming: DataFrame, events: DataFrame, sources: DataFrame) -> DataFrame:
-    """Event of every provider record: stored link, else same teams within six hours, else new.
+    """Event of every provider record, as if the records came one by one in the order of ``position``.
+
+    A record takes its stored link, or that of an earlier record with its id; else the nearest event of the same sport
+    and teams within six hours that its provider has not claimed; else it makes a new event, known by ``new_event``, which
+    later records of other providers may match. Every record moves its event to its own start time and fills in teams.
 
-    Time is cut into six-hour bins and each record probes its own and both neighbouring bins, so the join
-    is on equality. When two records of one provider want the same event the nearer one gets it.
+    What happens to an event depends only on records of its teams, and only on those that a chain of start times less than
+    six hours apart leads to. Records are dealt by these groups and replayed in order, a group's rows streaming by; no group
+    is gathered. Records and events without teams or times, and links to events that are not there, meet only their own id.
     """
+    pair = ["sport_id", "home_team_id", "away_team_id"]
     links = sources.select("provider", "external_id", F.col("event_id").alias("linked"))
-    rows = incoming.join(links, ["provider", "external_id"], "left")
-    direct = rows.filter(F.col("linked").isNotNull()).select(
-        "provider", "external_id", F.col("linked").alias("event_id"), F.lit("external_id").alias("matched_by"), F.lit(1.0).alias("confidence")
-    )
-    loose = rows.filter(F.col("linked").isNull()).drop("linked")
-    usable = loose.filter(
-        F.col("home_team_id").isNotNull() & F.col("away_team_id").isNotNull() & F.col("commence_at").isNotNull()
-    ).withColumn("t", F.unix_micros("commence_at"))
-    bin_of = lambda c: F.floor(c / EVENT_WINDOW_MICROS)
-    probes = usable.withColumn("bin", F.explode(F.array(*[bin_of(F.col("t")) + F.lit(d) for d in (-1, 0, 1)])))
-    stored = events.select(
-        "sport_id", "home_team_id", "away_team_id", "event_id", F.unix_micros("commence_at").alias("et")
-    ).withColumn("bin", bin_of(F.col("et")))
-    near = probes.join(stored, ["sport_id", "home_team_id", "away_team_id", "bin"]).withColumn(
-        "gap", F.abs(F.col("et") - F.col("t"))
-    )
-    claimed = sources.select("provider", "event_id").distinct()
-    free = near.filter(F.col("gap") <= EVENT_WINDOW_MICROS).join(claimed, ["provider", "event_id"], "left_anti")
-    wanted = free.groupBy("provider", "external_id").agg(F.min(F.struct("gap", "et", "event_id")).alias("m"))
-    won = wanted.groupBy("provider", F.col("m.event_id").alias("event_id")).agg(
-        F.min_by("external_id", F.struct(F.col("m.gap").alias("gap"), F.col("external_id"))).alias("external_id")
-    )
-    paired = won.select(
-        "provider", "external_id", "event_id", F.lit("team_pair").alias("matched_by"), F.lit(0.9).alias("confidence")
-    )
-    new = loose.join(paired, ["provider", "external_id"], "left_anti").select(
-        "provider", "external_id", F.lit(None).cast("bigint").alias("event_id"), F.lit("new").alias("matched_by"), F.lit(1.0).alias("confidence")
-    )
-    return direct.unionByName(paired).unionByName(new)
+    rows = incoming.join(links, ["provider", "external_id"], "left").withColumn("start", F.unix_micros("commence_at"))
+    # One entity per linked event, and per id that is not linked; its teams are the first that are known.
+    entity = F.coalesce(F.concat(F.lit("="), F.col("linked").cast("string")), F.concat_ws(":", "provider", "external_id"))
+    rows = cut(rows.select("provider", "external_id", "position", *pair, "start", "linked", entity.alias("entity")))
+    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("position")))
+    heard = rows.groupBy("entity").agg(*[first(c).alias(c) for c in pair], F.min("start").alias("low"), F.max("start").alias("high"), F.min("linked").alias("linked"))
+    claims = sources.groupBy("event_id").agg(F.collect_set("provider").alias("claims"))
+    known = events.withColumn("entity", F.concat(F.lit("="), F.col("event_id").cast("string"))).withColumn("start", F.unix_micros("commence_at"))
+    known = known.join(claims, "event_id", "left").select("event_id", "entity", *pair, "start", "claims")
+    ours = heard.select("entity", *[F.col(c).alias(f"_{c}") for c in pair], "low", "high", "linked", F.lit(True).alias("heard"))
+    both = known.join(ours, "entity", "full")
+    both = both.select(
+        "entity", F.coalesce("event_id", "linked").alias("event_id"), "start", "claims", F.coalesce("heard", F.lit(False)).alias("heard"),
+        (F.col("home_team_id").isNotNull() & F.col("away_team_id").isNotNull()).alias("paired"),
+        (F.col("event_id").isNull() & F.col("linked").isNotNull()).alias("lost"),
+        *[F.coalesce(c, f"_{c}").alias(c) for c in pair],
+        F.least("start", "low").alias("low"), F.greatest("start", "high").alias("high"),
+    )
+    together = F.col("low").isNotNull() & ~F.col("lost")
+    for c in pair:
+        together = together & F.col(c).isNotNull()
+    spans = time_groups(both.filter(together), pair, "low", "high")
+    grouped = both.withColumn("bin", F.when(together, F.floor(F.col("low") / EVENT_WINDOW_MICROS))).join(spans, [*pair, "bin"], "left")
+    name = F.when(F.col("since").isNotNull(), F.concat_ws("|", *pair, "since")).otherwise(F.col("entity"))
+    grouped = cut(grouped.select("entity", "event_id", "start", "claims", "paired", "heard", name.alias("grp")))
+    stored = grouped.filter(F.col("event_id").isNotNull()).join(grouped.filter("heard").select("grp").distinct(), "grp", "left_semi")
+    none = F.lit(None).cast("string")
+    stored = stored.select(
+        "grp", F.lit(False).alias("is_record"), F.col("event_id").alias("position"), none.alias("provider"), none.alias("external_id"),
+        "event_id", "start", "paired", F.coalesce("claims", F.array().cast("array<string>")).alias("claims"),
+    )
+    asked = rows.join(grouped.select("entity", "grp", "event_id"), "entity").select(
+        "grp", F.lit(True).alias("is_record"), "position", "provider", "external_id", "event_id", "start",
+        (F.col("home_team_id").isNotNull() & F.col("away_team_id").isNotNull()).alias("paired"), F.array().cast("array<string>").alias("claims"),
+    )
+    line = stored.unionByName(asked).repartition("grp").sortWithinPartitions("grp", "is_record", "position")
+    return line.mapInArrow(replay, "provider string, external_id string, position bigint, event_id bigint, new_event string, matched_by string, confidence double")
 
 
 def pair_key(home: Column, away: Column) -> Column:
     return F.array_sort(F.array(search_key(home), search_key(away)))
 
 
+UNDECIDED, ANCHOR, COVERED = 0, 1, 2
+#: Six-hour bins of one block in the first round, and how much wider blocks grow from round to round.
+BLOCK_BINS, WIDER = 1024, 8
+
+
+def decide_starts(starts: pd.DataFrame) -> pd.DataFrame:
+    """What can be told about the start times of one block, taken in feed order.
+
+    A start near an earlier anchor is covered; one near an earlier start that is open yet stays open, as do the starts lent
+    by neighbouring blocks; any other is an anchor. A six-hour bin holds at most one anchor.
+    """
+    anchors: dict[int, int] = {}
+    lowest: dict[int, int] = {}
+    highest: dict[int, int] = {}
+    starts = starts.sort_values("first", kind="stable")
+    found = []
+    for t, state, lent in zip(starts["t"].tolist(), starts["state"].tolist(), starts["lent"].tolist()):
+        b = t // EVENT_WINDOW_MICROS
+        if state == UNDECIDED:
+            if any(abs(anchors[k] - t) <= EVENT_WINDOW_MICROS for k in (b - 1, b, b + 1) if k in anchors):
+                state = COVERED
+            elif not (lent or b in lowest or highest.get(b - 1, t - EVENT_WINDOW_MICROS - 1) >= t - EVENT_WINDOW_MICROS or lowest.get(b + 1, t + EVENT_WINDOW_MICROS + 1) <= t + EVENT_WINDOW_MICROS):
+                state = ANCHOR
+            else:
+                lowest[b], highest[b] = min(t, lowest.get(b, t)), max(t, highest.get(b, t))
+        if state == ANCHOR:
+            anchors[b] = t
+        found.append(state)
+    starts["state"] = found
+    return starts[~starts["lent"]]
+
+
+def feed_anchors(starts: DataFrame, keys: list[str], width: int = BLOCK_BINS) -> DataFrame:
+    """The start times (keys, t, first) that begin a cluster: in order of ``first``, those with no anchor within six hours.
+
+    Time is cut into blocks; each lends its outer starts to its neighbours and decides what doesn't depend on an open one
+    of these. A round widens the blocks for what is left, so that even starts in order of time take few rounds, and a
+    usual feed takes one.
+    """
+    state = cut(starts.withColumn("state", F.lit(UNDECIDED)).withColumn("bin", F.floor(F.col("t") / EVENT_WINDOW_MICROS)))
+    schema = state.withColumn("block", F.lit(0).cast("bigint")).withColumn("lent", F.lit(False)).schema
+    while True:
+        block, place = F.floor(F.col("bin") / width), F.pmod(F.col("bin"), F.lit(width))
+        own = state.withColumn("block", block).withColumn("lent", F.lit(False))
+        lent = state.filter(place == width - 1).withColumn("block", block + 1).unionByName(state.filter(place == 0).withColumn("block", block - 1))
+        rows = own.unionByName(lent.withColumn("lent", F.lit(True)))
+        state = cut(rows.groupBy(*keys, "block").applyInPandas(decide_starts, schema).drop("block", "lent").filter(F.col("state") != COVERED))
+        if state.filter(F.col("state") == UNDECIDED).isEmpty():
+            return state.select(*keys, "t", "first", "bin")
+        width *= WIDER
+
+
 def cluster_feed_events(feed: DataFrame) -> DataFrame:
     """Records of one fixture from several books: same league and team pair within six hours of the first.
 
-    ``position`` is the feed order. A cluster depends only on the distinct start times of a pair in order
-    of first appearance. Start times with a gap of more than six hours between them can never share a
-    cluster, so each run of close start times is folded on its own; every record then looks up its start
-    time, and the records themselves are never gathered.
+    ``position`` is the feed order. Only the distinct start times of a pair matter, in order of first appearance: those that
+    begin a cluster are found in rounds over blocks of time, every start time looks up the earliest of these within
+    reach in three bins, and every record its start time. Neither the records nor the starts of a pair are gathered.
     """
     rows = feed.filter(F.col("commence_at").isNotNull()).withColumn("pair", pair_key(F.col("home_team"), F.col("away_team")))
     keys = ["sport_slug", "pair"]
-    starts = rows.groupBy(*keys, "commence_at").agg(F.min("position").alias("first"))
-    by_time = W.partitionBy(*keys).orderBy("t")
-    timed = starts.select(*keys, "first", F.unix_micros("commence_at").alias("t"))
-    gap = F.when(F.col("t") - F.lag("t").over(by_time) > EVENT_WINDOW_MICROS, 1).otherwise(0)
-    runs = timed.withColumn("gap", gap).withColumn("run", F.sum("gap").over(by_time))
-    lists = runs.groupBy(*keys, "run").agg(F.sort_array(F.collect_list(F.struct("first", "t"))).alias("starts"))
-
-    def place(state: Column, s: Column) -> Column:
-        hit = F.get(F.filter(state["anchors"], lambda a: F.abs(a - s["t"]) <= EVENT_WINDOW_MICROS), F.lit(0))
-        anchor = F.coalesce(hit, s["t"])
-        return F.struct(
-            F.when(hit.isNull(), F.concat(state["anchors"], F.array(s["t"]))).otherwise(state["anchors"]).alias("anchors"),
-            F.concat(state["placed"], F.array(F.struct(s["t"].alias("t"), anchor.alias("anchor")))).alias("placed"),
-        )
-
-    empty = F.struct(
-        F.array().cast("array<bigint>").alias("anchors"), F.array().cast("array<struct<t:bigint,anchor:bigint>>").alias("placed")
-    )
-    placed = F.aggregate("starts", empty, place, lambda s: s["placed"])
-    lookup = lists.select(*keys, F.explode(placed).alias("p")).select(
-        *keys, F.timestamp_micros("p.t").alias("commence_at"), F.timestamp_micros("p.anchor").alias("anchor_at")
-    )
+    starts = rows.groupBy(*keys, F.unix_micros("commence_at").alias("t")).agg(F.min("position").alias("first"))
+    starts = cut(starts)
+    anchors = feed_anchors(starts, keys).select(*keys, "bin", F.col("t").alias("anchor"), F.col("first").alias("rank"))
+    near = F.explode(F.array(*[F.floor(F.col("t") / EVENT_WINDOW_MICROS) + F.lit(d) for d in (-1, 0, 1)]))
+    reach = starts.withColumn("bin", near).join(anchors, [*keys, "bin"]).filter(F.abs(F.col("anchor") - F.col("t")) <= EVENT_WINDOW_MICROS)
+    lookup = reach.groupBy(*keys, "t").agg(F.min_by("anchor", "rank").alias("anchor"))
+    lookup = lookup.select(*keys, F.timestamp_micros("t").alias("commence_at"), F.timestamp_micros("anchor").alias("anchor_at"))
     day = F.date_format("anchor_at", "yyyy-MM-dd")
     return rows.join(lookup, [*keys, "commence_at"]).withColumn(
         "merged_id", F.concat_ws(":", "sport_slug", F.array_join("pair", "-"), day)

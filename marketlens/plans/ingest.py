@@ -638,24 +638,34 @@ def _(t: Tables):
 
 @query(
     "resolve_events",
-    """WITH stored AS (SELECT o_orderkey AS event_id, sport_id, home_team_id, away_team_id, commence_at FROM fx_incoming_events WHERE o_orderkey % 2 = 0),
-    src AS (SELECT provider, external_id, o_orderkey AS event_id FROM fx_incoming_events WHERE o_orderkey % 4 = 0),
-    inc AS (SELECT * FROM fx_incoming_events),
-    direct AS (SELECT i.provider, i.external_id, s.event_id FROM inc i JOIN src s ON s.provider = i.provider AND s.external_id = i.external_id),
-    cand AS (SELECT i.provider, i.external_id, e.event_id, abs(epoch_us(e.commence_at) - epoch_us(i.commence_at)) AS gap, e.commence_at AS et FROM inc i JOIN stored e ON e.sport_id = i.sport_id AND e.home_team_id = i.home_team_id AND e.away_team_id = i.away_team_id
-             WHERE abs(epoch_us(e.commence_at) - epoch_us(i.commence_at)) <= 21600000000 AND (i.provider, i.external_id) NOT IN (SELECT provider, external_id FROM direct) AND (i.provider, e.event_id) NOT IN (SELECT provider, event_id FROM src)),
-    want AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY provider, external_id ORDER BY gap, et, event_id) AS rn FROM cand) c WHERE rn = 1),
-    won AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY provider, event_id ORDER BY gap, external_id) AS rk FROM want) w WHERE rk = 1)
-    SELECT provider, external_id, event_id, 'external_id' AS matched_by, 1.0 AS confidence FROM direct UNION ALL SELECT provider, external_id, event_id, 'team_pair', 0.9 FROM won
-    UNION ALL SELECT provider, external_id, NULL, 'new', 1.0 FROM inc WHERE (provider, external_id) NOT IN (SELECT provider, external_id FROM direct) AND (provider, external_id) NOT IN (SELECT provider, external_id FROM won)""",
+    """WITH RECURSIVE inc AS (
+      SELECT r.position, r.provider, r.external_id, concat(r.provider, ':', r.external_id) AS name, epoch_us(r.commence_at) AS t, r.home_team_id IS NOT NULL AS paired, coalesce(e.sport_id, r.sport_id) AS sport_id,
+             coalesce(e.home_team_id, r.home_team_id) AS home, coalesce(e.away_team_id, r.away_team_id) AS away
+      FROM fx_feed_records r LEFT JOIN fx_known_links l ON l.provider = r.provider AND l.external_id = r.external_id LEFT JOIN fx_known_events e ON e.event_id = l.event_id),
+    seq AS (SELECT *, row_number() OVER (PARTITION BY sport_id, home, away ORDER BY position) AS n FROM inc WHERE home IS NOT NULL),
+    lk AS (SELECT event_id, list(concat(provider, ':', external_id)) AS links, list(provider) AS claims FROM fx_known_links GROUP BY 1),
+    st AS (SELECT e.sport_id, e.home_team_id AS home, e.away_team_id AS away,
+                  list({'id': e.event_id, 'name': CAST(NULL AS VARCHAR), 't': epoch_us(e.commence_at), 'links': coalesce(lk.links, CAST([] AS VARCHAR[])), 'claims': coalesce(lk.claims, CAST([] AS VARCHAR[]))} ORDER BY e.event_id) AS evs
+           FROM fx_known_events e LEFT JOIN lk ON lk.event_id = e.event_id GROUP BY 1, 2, 3),
+    walk AS (
+      SELECT k.sport_id, k.home, k.away, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS position, CAST(NULL AS VARCHAR) AS provider, CAST(NULL AS VARCHAR) AS external_id,
+             coalesce(st.evs, CAST([] AS STRUCT(id BIGINT, name VARCHAR, t BIGINT, links VARCHAR[], claims VARCHAR[])[])) AS evs, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS VARCHAR) AS new_event, CAST(NULL AS VARCHAR) AS matched_by
+      FROM (SELECT DISTINCT sport_id, home, away FROM seq) k LEFT JOIN st ON st.sport_id = k.sport_id AND st.home = k.home AND st.away = k.away
+      UNION ALL
+      SELECT sport_id, home, away, n, position, provider, external_id,
+             CASE WHEN hit IS NULL THEN list_append(evs, {'id': CAST(NULL AS BIGINT), 'name': name, 't': t, 'links': [name], 'claims': [provider]})
+                  ELSE list_concat(list_concat(evs[1:hit - 1], [{'id': evs[hit].id, 'name': evs[hit].name, 't': t, 'links': list_append(evs[hit].links, name), 'claims': list_append(evs[hit].claims, provider)}]), evs[hit + 1:]) END,
+             evs[hit].id, CASE WHEN hit IS NULL THEN name ELSE evs[hit].name END, CASE WHEN own IS NOT NULL THEN 'external_id' WHEN hit IS NULL THEN 'new' ELSE 'team_pair' END
+      FROM (SELECT *, coalesce(own, near) AS hit FROM (
+        SELECT i.*, w.evs, [k FOR k IN range(1, len(w.evs) + 1) IF list_contains(w.evs[k].links, i.name)][1] AS own,
+               list_sort([{'gap': abs(w.evs[k].t - i.t), 'at': w.evs[k].t, 'k': k} FOR k IN range(1, len(w.evs) + 1) IF i.paired AND abs(w.evs[k].t - i.t) <= 21600000000 AND NOT list_contains(w.evs[k].claims, i.provider)])[1].k AS near
+        FROM walk w JOIN seq i ON i.sport_id = w.sport_id AND i.home = w.home AND i.away = w.away AND i.n = w.n + 1) c) d)
+    SELECT provider, external_id, position, event_id, new_event, matched_by, CASE matched_by WHEN 'team_pair' THEN 0.9 ELSE 1.0 END AS confidence FROM walk WHERE n > 0
+    UNION ALL SELECT provider, external_id, position, NULL, name, CASE row_number() OVER (PARTITION BY name ORDER BY position) WHEN 1 THEN 'new' ELSE 'external_id' END, 1.0 FROM inc WHERE home IS NULL""",
     dbl="confidence",
 )
 def _(t: Tables):
-    rows = t("fx_incoming_events")
-    key = F.col("o_orderkey")
-    stored = rows.filter(key % 2 == 0).select(key.alias("event_id"), "sport_id", "home_team_id", "away_team_id", "commence_at")
-    sources = rows.filter(key % 4 == 0).select("provider", "external_id", key.alias("event_id"))
-    return R.resolve_events(rows.drop("o_orderkey"), stored, sources)
+    return R.resolve_events(t("fx_feed_records"), t("fx_known_events"), t("fx_known_links"))
 
 
 def _book_records(t: Tables):

@@ -1,5 +1,6 @@
 """Name, event and feed resolution cases."""
 
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 
 from marketlens.functions import text as X
 from marketlens.operators import resolve as R
+from marketlens.session import cut
 
 TEAMS = [
     (1, 1, "Los Angeles Lakers", []), (1, 2, "Los Angeles Clippers", []), (1, 3, "Crawley Town", ["redsfc"]), (1, 4, "Manchester United", []),
@@ -43,24 +45,97 @@ def test_match_existing_never_guesses(spark):
     assert got["Nobody"] == (None, "none")
 
 
+FEED = "provider string, external_id string, sport_id bigint, home_team_id bigint, away_team_id bigint, commence_at timestamp, position bigint"
+EVENTS = "event_id bigint, sport_id bigint, home_team_id bigint, away_team_id bigint, commence_at timestamp"
+LINKS = "provider string, external_id string, event_id bigint"
+
+
+def resolved(spark, incoming, events, sources):
+    out = R.resolve_events(spark.createDataFrame(incoming, FEED).repartition(5), spark.createDataFrame(events, EVENTS), spark.createDataFrame(sources, LINKS))
+    return {r["position"]: (r["event_id"], r["new_event"], r["matched_by"], r["confidence"]) for r in out.collect()}
+
+
+def one_by_one(incoming, events, sources):
+    """The records in order, each against all events."""
+    state = [{"id": e, "new": None, "sport": s, "home": h, "away": a, "at": t} for e, s, h, a, t in sorted(events, key=lambda e: e[0])]
+    links = {}
+    for p, x, e in sources:
+        found = next((s for s in state if s["id"] == e), None)
+        if found is None:
+            found = {"id": e, "new": None, "sport": None, "home": None, "away": None, "at": None}
+            state.append(found)
+        links[p, x] = found
+    out = {}
+    for p, x, sport, home, away, at, position in sorted(incoming, key=lambda r: r[-1]):
+        event, how = links.get((p, x)), "external_id"
+        if event is None and home is not None and away is not None and at is not None:
+            mine = [id(e) for (q, _), e in links.items() if q == p]
+            near = [e for e in state if (e["sport"], e["home"], e["away"]) == (sport, home, away) and e["at"] is not None and abs(e["at"] - at) <= timedelta(hours=6) and id(e) not in mine]
+            event = min(near, key=lambda e: (abs(e["at"] - at), e["at"]), default=None)
+            how = "team_pair"
+        if event is None:
+            event, how = {"id": None, "new": f"{p}:{x}", "sport": sport, "home": home, "away": away, "at": at}, "new"
+            state.append(event)
+        else:
+            event["at"] = at or event["at"]
+            event["home"] = home if event["home"] is None else event["home"]
+            event["away"] = away if event["away"] is None else event["away"]
+        links[p, x] = event
+        out[position] = (event["id"], event["new"], how, 0.9 if how == "team_pair" else 1.0)
+    return out
+
+
 def test_resolve_events(spark):
     t = datetime(2024, 3, 1, 18)
-    schema = "provider string, external_id string, sport_id bigint, home_team_id bigint, away_team_id bigint, commence_at timestamp"
     incoming = [
-        ("p", "known", 1, 1, 2, t), ("p", "near", 1, 1, 2, t + timedelta(hours=5)), ("p", "nearer", 1, 1, 2, t + timedelta(hours=1)),
-        ("p", "far", 1, 1, 2, t + timedelta(hours=24)), ("q", "claimed", 1, 3, 4, t), ("p", "swap", 1, 2, 1, t),
+        ("p", "known", 1, 1, 2, t, 0), ("p", "nearer", 1, 1, 2, t + timedelta(hours=1), 1), ("p", "near", 1, 1, 2, t + timedelta(hours=5), 2),
+        ("p", "far", 1, 1, 2, t + timedelta(hours=24), 3), ("q", "claimed", 1, 3, 4, t, 4), ("p", "swap", 1, 2, 1, t, 5),
     ]
     events = [(10, 1, 1, 2, t), (11, 1, 3, 4, t), (12, 1, 1, 2, t + timedelta(hours=30, minutes=1))]
-    sources = [("p", "known", 99), ("q", "other", 11)]
-    out = R.resolve_events(
-        spark.createDataFrame(incoming, schema),
-        spark.createDataFrame(events, "event_id bigint, sport_id bigint, home_team_id bigint, away_team_id bigint, commence_at timestamp"),
-        spark.createDataFrame(sources, "provider string, external_id string, event_id bigint"),
-    )
-    got = {r["external_id"]: (r["event_id"], r["matched_by"]) for r in out.collect()}
-    assert got["known"] == (99, "external_id")
-    assert got["nearer"] == (10, "team_pair") and got["near"] == (None, "new")
-    assert got["far"] == (None, "new") and got["claimed"] == (None, "new") and got["swap"] == (None, "new")
+    got = resolved(spark, incoming, events, [("p", "known", 99), ("q", "other", 11)])
+    assert got[0] == (99, None, "external_id", 1.0) and got[1] == (10, None, "team_pair", 0.9)
+    assert [got[k][1:3] for k in (2, 3, 4, 5)] == [("p:near", "new"), ("p:far", "new"), ("q:claimed", "new"), ("p:swap", "new")]
+
+
+def test_the_loser_of_a_contest_takes_the_other_event(spark):
+    t = datetime(2024, 3, 1, 18)
+    events = [(10, 1, 1, 2, t), (11, 1, 1, 2, t + timedelta(hours=3))]
+    incoming = [("p", "a", 1, 1, 2, t + timedelta(hours=1), 0), ("p", "b", 1, 1, 2, t, 1), ("p", "c", 1, 1, 2, t, 2)]
+    got = resolved(spark, incoming, events, [])
+    assert [got[k][:3] for k in range(3)] == [(10, None, "team_pair"), (11, None, "team_pair"), (None, "p:c", "new")]
+
+
+def test_records_of_one_batch_share_a_new_event(spark):
+    t = datetime(2024, 3, 1, 18)
+    incoming = [("p", "a", 1, 1, 2, t, 0), ("q", "b", 1, 1, 2, t + timedelta(hours=5), 1), ("r", "c", 1, 1, 2, t + timedelta(hours=10), 2), ("q", "d", 1, 1, 2, t, 3), ("s", "e", 1, 1, 2, t - timedelta(hours=5), 4)]
+    got = resolved(spark, incoming, [], [])
+    # The event moves with its records, so the third is in reach, and the last meets only the event of "d".
+    assert [got[k][1:3] for k in range(5)] == [("p:a", "new"), ("p:a", "team_pair"), ("p:a", "team_pair"), ("q:d", "new"), ("q:d", "team_pair")]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_events_as_one_by_one(spark, seed):
+    rng = random.Random(seed)
+    t = datetime(2024, 3, 1)
+    when = lambda: None if rng.random() < 0.05 else t + timedelta(hours=rng.choice([1, 1, 30]) * rng.randrange(40), minutes=30 * rng.randrange(2))
+    team = lambda: None if rng.random() < 0.08 else rng.randrange(2)
+    events = [(i, rng.randrange(2), team(), team(), when()) for i in range(60)]
+    sources, seen = [], set()
+    for i in range(40):
+        key = (rng.choice("pqr"), f"x{rng.randrange(120)}")
+        if key not in seen:
+            seen.add(key)
+            sources.append((*key, rng.choice([rng.randrange(60), 1000 + i])))
+    incoming = [(rng.choice("pqr"), f"x{rng.randrange(220)}", rng.randrange(2), team(), team(), when(), k) for k in range(300)]
+    assert resolved(spark, incoming, events, sources) == one_by_one(incoming, events, sources)
+
+
+def test_a_placeholder_pair_streams_by(spark):
+    """Many records of one pair at a few times: each is placed without looking at all others."""
+    t = datetime(2024, 3, 1)
+    incoming = [("pq"[k % 2], f"x{k}", 1, 1, 2, t + timedelta(minutes=k % 50), k) for k in range(20000)]
+    got = resolved(spark, incoming, [], [])
+    assert len(got) == 20000 and len({v[1] for v in got.values()}) == 10000
 
 
 def test_cluster_anchor_is_first_seen(spark):
@@ -74,6 +149,39 @@ def test_cluster_anchor_is_first_seen(spark):
     assert got == {("a", "b", "c", "e"), ("d",)}
 
 
+def anchors_in_order(starts):
+    """Indices of the starts that begin a cluster, by the sequential fold."""
+    found = []
+    for k in sorted(range(len(starts)), key=lambda k: starts[k][1]):
+        if all(abs(starts[k][0] - starts[a][0]) > R.EVENT_WINDOW_MICROS for a in found):
+            found.append(k)
+    return set(found)
+
+
+@pytest.mark.parametrize("order", ["mixed", "forwards", "backwards", "zigzag"])
+def test_anchors_over_many_blocks(spark, order, monkeypatch):
+    rounds = []
+    monkeypatch.setattr(R, "cut", lambda df: rounds.append(1) or cut(df))
+    rng = random.Random(1)
+    times = sorted({rng.randrange(600 * R.EVENT_WINDOW_MICROS) for _ in range(1500)})
+    rank = {"mixed": lambda k: rng.random(), "forwards": lambda k: k, "backwards": lambda k: -k, "zigzag": lambda k: (k % 7, k)}[order]
+    ranks = {k: n for n, k in enumerate(sorted(range(len(times)), key=rank))}
+    starts = [(t, ranks[k]) for k, t in enumerate(times)]
+    frame = spark.createDataFrame([("x", *s) for s in starts], "pair string, t bigint, first bigint").repartition(4)
+    got = {r["t"] for r in R.feed_anchors(frame, ["pair"], width=8).collect()}
+    assert got == {starts[k][0] for k in anchors_in_order(starts)}
+    assert len(rounds) <= 5
+
+
+def test_a_long_run_of_starts_takes_few_rounds(spark, monkeypatch):
+    rounds = []
+    monkeypatch.setattr(R, "cut", lambda df: rounds.append(1) or cut(df))
+    hour = 3_600_000_000
+    frame = spark.range(100_000).select(F.lit("tbd").alias("pair"), (F.col("id") * hour).alias("t"), F.col("id").alias("first"))
+    got = sorted(r["t"] // hour for r in R.feed_anchors(frame, ["pair"]).collect())
+    assert got == list(range(0, 100_000, 7)) and len(rounds) <= 4
+
+
 @pytest.mark.parametrize(
     "ticker, home, away, sub, want",
     [
