@@ -68,7 +68,7 @@ def _trades(t: Tables):
 def _(t: Tables):
     root = _folder(t, "quotes")
     quotes = _quotes(t)
-    _finish(jobs.stream_quote_changes(quotes, f"{root}/state", f"{root}/log", f"{root}/ckpt", buckets=8, **ONCE))
+    _finish(jobs.stream_quote_changes(quotes, f"{root}/log", f"{root}/ckpt", **ONCE))
     log = t.spark.read.parquet(f"{root}/log")
     return log.select("selection_id", "bookmaker_id", "captured_at", "id", "price", "is_opening")
 
@@ -80,7 +80,7 @@ def _(t: Tables):
 )
 def _(t: Tables):
     root = _folder(t, "trades")
-    _finish(jobs.stream_trade_tape(_trades(t), f"{root}/out", f"{root}/ckpt", buckets=8, **ONCE))
+    _finish(jobs.stream_trade_tape(_trades(t), f"{root}/out", f"{root}/ckpt", **ONCE))
     return t.spark.read.parquet(f"{root}/out").select("venue", "external_id", "event_id")
 
 
@@ -140,8 +140,8 @@ def _(t: Tables):
         ((F.lit(10) + key % 80).cast("double") / 100).alias("avg_fill_price"),
     )
     root = _folder(t, "orders")
-    _finish(jobs.stream_order_reconcile(reports, f"{root}/state", f"{root}/out", f"{root}/ckpt", buckets=8, **ONCE))
-    return t.spark.read.parquet(f"{root}/out").drop("batch")
+    _finish(jobs.stream_order_reconcile(reports, f"{root}/out", f"{root}/ckpt", **ONCE))
+    return t.spark.read.parquet(f"{root}/out")
 
 
 @query(
@@ -217,5 +217,5 @@ def _(t: Tables):
         F.col("ts").alias("raised_at"),
     )
     root = _folder(t, "alerts")
-    _finish(jobs.stream_alerts(alerts, t("fx_alert_subscriptions"), f"{root}/state", f"{root}/out", f"{root}/ckpt", buckets=8, **ONCE))
-    return t.spark.read.parquet(f"{root}/out").drop("batch")
+    _finish(jobs.stream_alerts(alerts, t("fx_alert_subscriptions"), f"{root}/out", f"{root}/ckpt", **ONCE))
+    return t.spark.read.parquet(f"{root}/out")

@@ -168,7 +168,8 @@ class BucketedState:
 
     Layout: ``root/gen=<batch>/bucket=<n>``. A batch reads the newest older generation of the buckets it
     touches and writes those buckets as its own generation, so a replayed batch reads the same input and
-    overwrites its own output.
+    overwrites its own output. A write removes what no batch can read any more: of each bucket, the generations
+    older than the newest before it. A batch that changes nothing should not write.
     """
 
     def __init__(self, spark: SparkSession, root: str, keys: list[str], schema: str, buckets: int = 64):
@@ -195,6 +196,18 @@ class BucketedState:
                     newest[bucket] = gen
         return newest
 
+    def _remove_old(self, before: int) -> None:
+        """Removes the generations of each bucket that are older than its newest before a batch, and empty folders."""
+        newest = self._newest(before)
+        for gen in self._list(self.root, "gen="):
+            if gen >= before:
+                continue
+            held = self._list(f"{self.root}/gen={gen}", "bucket=")
+            old = [bucket for bucket in held if newest[bucket] > gen]
+            for path in [f"{self.root}/gen={gen}"] if len(old) == len(held) else [f"{self.root}/gen={gen}/bucket={bucket}" for bucket in old]:
+                hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+                hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
     def read(self, before: int = 1 << 60, touched: list[int] | None = None) -> DataFrame:
         paths = [
             f"{self.root}/gen={gen}/bucket={bucket}"
@@ -210,6 +223,7 @@ class BucketedState:
         return [r["b"] for r in batch.select(self.bucket().alias("b")).distinct().collect()]
 
     def write(self, rows: DataFrame, batch_id: int) -> None:
+        self._remove_old(batch_id)
         rows.withColumn("bucket", self.bucket()).write.mode("overwrite").partitionBy("bucket").parquet(
             f"{self.root}/gen={batch_id}"
         )

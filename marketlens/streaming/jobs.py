@@ -1,26 +1,30 @@
 """Structured Streaming jobs, each with a batch twin in ``marketlens.operators``.
 
-Jobs with keyed state that must be written once use ``foreachBatch`` over a ``BucketedState``: a replayed
-batch reads the same older generation and overwrites its own output, so nothing is booked twice. Jobs
-that only aggregate use watermarked windows.
+Jobs with keyed state keep it in Spark's state store, in RocksDB with a change log: a batch writes what it changed, a batch
+that is run again starts from the same state, and what it appends is committed once. Jobs that watch the clock read whole
+tables on each tick and keep a few marks in a ``BucketedState``. Jobs that only aggregate use watermarked windows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from marketlens.functions.common import count_if
+from marketlens.functions.prices import american_number, implied_prob
 from marketlens.functions.text import page_path
-from marketlens.operators import movement, ops, positions, settle
+from marketlens.operators import movement, ops, settle
 from marketlens.operators.evidence import MIN_FILLS
 from marketlens.operators.web import is_page
-from marketlens.sources.tables import BucketedState, keyed_upsert, last_per_key
+from marketlens.sources.tables import BucketedState, keyed_upsert
 
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 QUOTE_DELAY = "10 minutes"
 TRADE_DELAY = "24 hours"
 ALERT_COOLDOWN_MICROS = 15 * 60_000_000
@@ -29,10 +33,14 @@ CLOSING_STATE = (
     "selection_id bigint, bookmaker_id bigint, price double, implied_prob double, fair_prob double, seconds_before_start bigint"
 )
 CLOSED_STATE = "event_id bigint, closing_captured_at timestamp"
-ORDER_STATE = "order_id bigint, strategy_id bigint, market_id bigint, side string, size double, cost double"
-ALERT_STATE = "subscription_id bigint, last_sent_at timestamp"
 STALL_STATE = "provider string, kind string, announced_at timestamp"
 STALL_REPEAT_MINUTES = 60
+#: Buckets of the jobs that keep many small keys; more keys want more of them.
+BUCKETS = 2048
+QUOTE = np.dtype([("selection_id", "<i8"), ("bookmaker_id", "<i8"), ("at", "<i8"), ("id", "<i8"), ("price", "<f8"), ("point", "<f8")])
+REPORT = np.dtype([(c, "<i8") for c in ("row", "order_id", "report_seq")] + [("filled_size", "<f8"), ("price", "<f8")])
+ORDER = np.dtype([("order_id", "<i8"), ("size", "<f8"), ("cost", "<f8")])
+NO_OWNER = -(1 << 63)
 
 
 def _start(stream: DataFrame, handle, checkpoint: str, trigger: dict) -> StreamingQuery:
@@ -50,46 +58,115 @@ def _append(stream: DataFrame, path: str, checkpoint: str, trigger: dict) -> Str
     )
 
 
-def stream_quote_changes(
-    quotes: DataFrame, state_root: str, log_path: str, checkpoint: str, buckets: int = 64, **trigger
-) -> StreamingQuery:
+def keyed_state(spark: SparkSession) -> None:
+    """State that lives on in RocksDB with a change log, so that a batch writes what its keys changed and no more."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+
+
+def bucket_of(keys: list[str], buckets: int) -> Column:
+    """Keys share the state of their bucket: a group costs more than its rows, and a batch writes the buckets it touches."""
+    return F.pmod(F.xxhash64(*keys), F.lit(buckets)).alias("bucket")
+
+
+def kept_rows(state: GroupState, kind: np.dtype) -> np.ndarray:
+    return np.frombuffer(state.get[0], kind) if state.exists else np.zeros(0, kind)
+
+
+def new_rows(chunks: Iterator[pd.DataFrame], kind: np.dtype) -> np.ndarray:
+    parts = []
+    for chunk in chunks:
+        part = np.zeros(len(chunk), kind)
+        for c in kind.names:
+            part[c] = chunk[c].to_numpy()
+        parts.append(part)
+    return np.concatenate(parts)
+
+
+def replay_quotes(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """The quotes of one bucket that moved, each against the one before it of its (selection, book), the stored one first.
+
+    Quotes that are not newer than the stored one are ignored.
+    """
+    old, new = kept_rows(state, QUOTE), new_rows(chunks, QUOTE)
+    rows, fresh = np.concatenate([old, new]), np.arange(len(old) + len(new)) >= len(old)
+    order = np.lexsort([rows["price"], rows["id"], rows["at"], fresh, rows["bookmaker_id"], rows["selection_id"]])
+    rows, fresh = rows[order], fresh[order]
+    heads = key_starts(rows)
+    place = np.cumsum(heads) - 1
+    head, stored = rows[heads][place], ~fresh[heads][place]
+    late = (rows["at"] < head["at"]) | ((rows["at"] == head["at"]) & (rows["id"] <= head["id"]))
+    keep = ~(fresh & stored & late)
+    rows, fresh = rows[keep], fresh[keep]
+    heads = key_starts(rows)
+    moved = heads.copy()
+    for c in ("price", "point"):
+        same = (rows[c][1:] == rows[c][:-1]) | (np.isnan(rows[c][1:]) & np.isnan(rows[c][:-1]))
+        moved[1:] |= ~same
+    state.update((rows[np.append(heads[1:], True)].tobytes(),))
+    moved &= fresh
+    if moved.any():
+        yield pd.DataFrame({c: rows[c][moved] for c in QUOTE.names} | {"is_opening": heads[moved]})
+
+
+def key_starts(rows: np.ndarray) -> np.ndarray:
+    out = np.ones(len(rows), bool)
+    out[1:] = (rows["selection_id"][1:] != rows["selection_id"][:-1]) | (rows["bookmaker_id"][1:] != rows["bookmaker_id"][:-1])
+    return out
+
+
+def quote_changes(quotes: DataFrame, buckets: int) -> DataFrame:
+    """The moves of a stream of quotes: each quote against the one before it of its key, whichever batch that came in."""
+    rows = quotes.filter(F.col("price") > 1).select(
+        bucket_of(movement.KEYS, buckets), *movement.KEYS, F.unix_micros("captured_at").alias("at"), "id", "price", "point"
+    )
+    shape = "selection_id bigint, bookmaker_id bigint, at bigint, id bigint, price double, point double, is_opening boolean"
+    moves = rows.groupBy("bucket").applyInPandasWithState(replay_quotes, shape, "rows binary", "append", GroupStateTimeout.NoTimeout)
+    return moves.select(
+        *movement.KEYS, "price", F.nanvl("point", F.lit(None)).alias("point"), F.timestamp_micros("at").alias("captured_at"), "id",
+        american_number(F.col("price")).alias("american"), implied_prob(F.col("price")).alias("implied_prob"), "is_opening",
+    )
+
+
+def stream_quote_changes(quotes: DataFrame, log_path: str, checkpoint: str, buckets: int = BUCKETS, **trigger) -> StreamingQuery:
     """Appends only quotes that moved, also within a batch; quotes older than the last one of their key are ignored."""
-    state = BucketedState(quotes.sparkSession, state_root, movement.KEYS, QUOTE_STATE, buckets)
+    keyed_state(quotes.sparkSession)
+    return _append(quote_changes(quotes, buckets), log_path, checkpoint, trigger or {"processingTime": "1 second"})
 
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        columns = [c.split()[0] for c in QUOTE_STATE.split(", ")]
-        prior = state.read(batch_id, state.touched(batch))
-        rows = movement.replay_onto(batch.select(*columns), prior).persist()
-        rows.filter("changed").write.mode("overwrite").parquet(f"{log_path}/batch={batch_id}")
-        state.write(keyed_upsert(prior, rows.select(*columns), movement.KEYS, order=["captured_at", "id"], blanks=True), batch_id)
-        rows.unpersist()
 
-    return _start(quotes, handle, checkpoint, trigger or {"processingTime": "1 second"})
+def current_quotes(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The newest quote of every key that ``stream_quote_changes`` has seen, as of its last finished batch."""
+
+    def opened(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for rows in batch["rows"]:
+                yield pd.DataFrame({c: np.frombuffer(rows, QUOTE)[c] for c in QUOTE.names})
 
+    stored = spark.read.format("statestore").load(checkpoint).select("value.groupState.rows")
+    rows = stored.mapInPandas(opened, "selection_id bigint, bookmaker_id bigint, at bigint, id bigint, price double, point double")
+    point = F.nanvl("point", F.lit(None)).alias("point")
+    return rows.select(*movement.KEYS, "price", point, F.timestamp_micros("at").alias("captured_at"), "id")
 
-def stream_trade_tape(trades: DataFrame, path: str, checkpoint: str, buckets: int = 64, **trigger) -> StreamingQuery:
-    """Appends the first fill of each (venue, external id), however late a repetition comes.
 
-    The tape is partitioned by a hash of that key and by batch. A batch looks up its keys in the buckets it touches,
-    in older batches only, so that a replayed batch writes the same rows again.
+def stream_trade_tape(trades: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Appends the first fill of each (venue, external id), however late a repetition comes; of one batch the earliest.
+
+    An aggregate keeps the first fill of a key with the time of its batch, which stays the same if the batch is run again.
+    A batch touches the state of its own keys, and passes on the fills that came first in it.
     """
-    spark, schema = trades.sparkSession, trades.schema
+    keyed_state(trades.sparkSession)
     keys = ["venue", "external_id"]
-    stored = T.StructType([*schema.fields, T.StructField("bucket", T.IntegerType()), T.StructField("batch", T.LongType())])
+    order = [c for c in ("traded_at", "event_id") if c in trades.columns]
+    rest = [c for c in trades.columns if c not in (*keys, *order)]
+    stamped = trades.withColumn("batch_at", F.current_timestamp())
+    first = stamped.groupBy(*keys).agg(F.min(F.struct("batch_at", *order, *rest)).alias("fill")).filter(F.col("fill.batch_at") == F.current_timestamp())
+    rows = first.select(*[c if c in keys else F.col(f"fill.{c}").alias(c) for c in trades.columns])
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")).persist()
-        touched = [r["bucket"] for r in rows.select("bucket").distinct().collect()]
-        fresh = rows
-        if batch_id and touched:
-            tape = spark.read.schema(stored).parquet(path)
-            known = tape.filter(F.col("bucket").isin(touched) & (F.col("batch") < batch_id)).select(*keys)
-            fresh = rows.join(known, keys, "left_anti")
-        first = last_per_key(fresh, [*keys, "bucket"], ["traded_at", "event_id"] if "event_id" in batch.columns else ["traded_at"], first=True)
-        first.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(path)
-        rows.unpersist()
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-    return _start(trades, handle, checkpoint, trigger or {"processingTime": "5 minutes"})
+    writer = rows.writeStream.outputMode("update").foreachBatch(handle).option("checkpointLocation", checkpoint)
+    return writer.trigger(**(trigger or {"processingTime": "5 minutes"})).start()
 
 
 def rolling_market_flow(fills: DataFrame, delay: str = TRADE_DELAY) -> DataFrame:
@@ -191,6 +268,9 @@ def stream_closing_lines(
         now = clock(batch_id)
         open_events = read_events().join(marks.read(batch_id).select("event_id"), "event_id", "left_anti")
         rows = settle.closing_lines(open_events, selections, read_prices(), now, None, lookback_hours, ahead_minutes).select(*columns).persist()
+        if rows.isEmpty():
+            rows.unpersist()
+            return
         stored = lines.read(batch_id, lines.touched(rows))
         lines.write(stored.select(*columns).unionByName(rows), batch_id)
         closed = selections.join(rows.select("selection_id").distinct(), "selection_id").select("event_id").distinct()
@@ -208,77 +288,84 @@ def closing_state(spark: SparkSession, state_root: str, buckets: int = 64) -> Bu
     return BucketedState(spark, f"{state_root}/lines", movement.KEYS, CLOSING_STATE, buckets)
 
 
-def stream_order_reconcile(
-    reports: DataFrame, state_root: str, out_path: str, checkpoint: str, buckets: int = 64, **trigger
-) -> StreamingQuery:
+def book_fills(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """What the largest cumulative report of each order adds to what is booked; of equal sizes the one heard first stays."""
+    reports = pd.concat(list(chunks), ignore_index=True)
+    old, new = kept_rows(state, ORDER), new_rows(iter([reports.assign(row=reports.index)]), REPORT)
+    new = new[np.lexsort([new["report_seq"], -new["filled_size"], new["order_id"]])]
+    new = new[np.diff(new["order_id"], prepend=new["order_id"][0] - 1) != 0]
+    done = np.zeros(len(new), ORDER)
+    at = np.minimum(np.searchsorted(old["order_id"], new["order_id"]), max(0, len(old) - 1))
+    known = old["order_id"][at] == new["order_id"] if len(old) else np.zeros(len(new), bool)
+    done[known] = old[at[known]]
+    more = new["filled_size"] > done["size"]
+    new, done, known, at = new[more], done[more], known[more], at[more]
+    if not len(new):
+        return
+    booked = np.zeros(len(new), ORDER)
+    booked["order_id"], booked["size"], booked["cost"] = new["order_id"], new["filled_size"], new["filled_size"] * new["price"]
+    kept = np.concatenate([np.delete(old, at[known]), booked])
+    state.update((kept[np.argsort(kept["order_id"])].tobytes(),))
+    owner = reports.loc[new["row"], ["order_id", "strategy_id", "market_id", "side"]]
+    yield owner.assign(delta_size=booked["size"] - done["size"], delta_cost=booked["cost"] - done["cost"])
+
+
+def stream_order_reconcile(reports: DataFrame, out_path: str, checkpoint: str, buckets: int = BUCKETS, **trigger) -> StreamingQuery:
     """Turns cumulative order reports into increments, each booked once."""
-    state = BucketedState(reports.sparkSession, state_root, ["order_id"], ORDER_STATE, buckets)
-    keys = ["strategy_id", "market_id", "side"]
-
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        booked = state.read(batch_id, state.touched(batch))
-        rows = batch.select("order_id", *keys, "report_seq", "filled_size", "avg_fill_price").persist()
-        positions.fill_increments(rows, booked).write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
-        best = positions.booked_orders(rows, keys).select("order_id", *keys, "size", "cost")
-        # The larger cumulative size wins; at a tie the stored cost stays.
-        merged = booked.withColumn("old", F.lit(1)).unionByName(best.withColumn("old", F.lit(0)))
-        top = merged.groupBy("order_id", *keys).agg(F.max(F.struct("size", "old", "cost")).alias("m"))
-        state.write(top.select("order_id", *keys, "m.size", "m.cost"), batch_id)
-        rows.unpersist()
-
-    return _start(reports, handle, checkpoint, trigger or {"processingTime": "1 minute"})
-
-
-def cooled_deliveries(matches: DataFrame, last_sent: DataFrame, cooldown_micros: int = ALERT_COOLDOWN_MICROS) -> DataFrame:
-    """Alerts that pass the cooldown of their subscription, in order of time.
-
-    Alerts of one instant are folded to the lowest id first; the ordered fold per subscription then runs
-    over the distinct instants of one micro-batch.
+    keyed_state(reports.sparkSession)
+    rows = reports.filter("order_id IS NOT NULL AND filled_size > 0").select(
+        bucket_of(["order_id"], buckets), "order_id", *[F.coalesce(c, F.lit(NO_OWNER)).alias(c) for c in ("strategy_id", "market_id")],
+        "side", F.coalesce("report_seq", F.lit(0)).alias("report_seq"), "filled_size", F.coalesce("avg_fill_price", F.lit(0.0)).alias("price"),
+    )
+    shape = "order_id bigint, strategy_id bigint, market_id bigint, side string, delta_size double, delta_cost double"
+    booked = rows.groupBy("bucket").applyInPandasWithState(book_fills, shape, "rows binary", "append", GroupStateTimeout.NoTimeout)
+    owner = [F.nullif(c, F.lit(NO_OWNER)).alias(c) for c in ("strategy_id", "market_id")]
+    return _append(booked.select("order_id", *owner, "side", "delta_size", "delta_cost"), out_path, checkpoint, trigger or {"processingTime": "1 minute"})
+
+
+def cool(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """The alerts of one subscription that come a cooldown after the last one sent, in order of time; lowest id of an instant."""
+    seed, lines = None, []
+    for chunk in chunks:
+        lines.append(chunk[["t", "alert_id"]].to_numpy(np.int64))
+        seed = chunk["seed"].iloc[0]
+    last = state.get[0] if state.exists else None if seed is None or seed != seed else int(seed)
+    line = np.concatenate(lines)
+    line = line[np.lexsort([line[:, 1], line[:, 0]])]
+    sent, at = [], 0
+    while at < len(line):
+        if last is not None:
+            at = int(np.searchsorted(line[:, 0], last + ALERT_COOLDOWN_MICROS, "left"))
+            if at == len(line):
+                break
+        last = int(line[at, 0])
+        sent.append((key[0], int(line[at, 1]), last))
+        at += 1
+    if last is not None:
+        state.update((last,))
+    if sent:
+        yield pd.DataFrame(sent, columns=["subscription_id", "alert_id", "t"])
+
+
+def cooled_deliveries(matches: DataFrame) -> DataFrame:
+    """Alerts (alert_id, raised_at) that pass the cooldown of their subscription, whose last delivery before all is ``seed_at``."""
+    rows = matches.select("subscription_id", F.unix_micros("raised_at").alias("t"), "alert_id", F.unix_micros("seed_at").alias("seed"))
+    shape = "subscription_id bigint, alert_id bigint, t bigint"
+    sent = rows.groupBy("subscription_id").applyInPandasWithState(cool, shape, "last bigint", "append", GroupStateTimeout.NoTimeout)
+    return sent.select("subscription_id", "alert_id", F.timestamp_micros("t").alias("sent_at"))
+
+
+def stream_alerts(alerts: DataFrame, subscriptions: DataFrame, out_path: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Delivers alerts to matching subscriptions, at most one per 15 minutes each.
+
+    Alerts that match a subscription in several ways count once, as only the first of an instant can pass.
     """
-    times = matches.groupBy("subscription_id", F.unix_micros("raised_at").alias("t")).agg(F.min("alert_id").alias("alert_id"))
-    lines = times.groupBy("subscription_id").agg(F.sort_array(F.collect_list(F.struct("t", "alert_id"))).alias("line"))
-    rows = lines.join(last_sent, "subscription_id", "left")
-
-    def step(state: Column, a: Column) -> Column:
-        due = state["last"].isNull() | (a["t"] - state["last"] >= cooldown_micros)
-        return F.struct(
-            F.when(due, a["t"]).otherwise(state["last"]).alias("last"),
-            F.when(due, F.concat(state["sent"], F.array(a))).otherwise(state["sent"]).alias("sent"),
-        )
-
-    seed = F.struct(
-        F.unix_micros("last_sent_at").alias("last"), F.array().cast("array<struct<t:bigint,alert_id:bigint>>").alias("sent")
-    )
-    sent = F.aggregate("line", seed, step, lambda s: s["sent"])
-    return rows.select("subscription_id", F.explode(sent).alias("s")).select(
-        "subscription_id", "s.alert_id", F.timestamp_micros("s.t").alias("sent_at")
-    )
-
-
-def stream_alerts(
-    alerts: DataFrame, subscriptions: DataFrame, state_root: str, out_path: str, checkpoint: str, buckets: int = 64, **trigger
-) -> StreamingQuery:
-    """Delivers alerts to matching subscriptions, at most one per 15 minutes each."""
-    state = BucketedState(alerts.sparkSession, state_root, ["subscription_id"], ALERT_STATE, buckets)
-    open_subscriptions = subscriptions.withColumn("last_sent_at", F.lit(None).cast("timestamp"))
-
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        pairs = ops.alert_matches(batch, open_subscriptions, F.current_timestamp()).select("alert_id", "subscription_id")
-        matches = pairs.distinct().join(batch.select("alert_id", "raised_at"), "alert_id").persist()
-        stored = state.read(batch_id, state.touched(matches))
-        seeds = subscriptions.select("subscription_id", F.col("last_sent_at").alias("seed_at"))
-        known = matches.select("subscription_id").distinct().join(stored, "subscription_id", "left").join(
-            seeds, "subscription_id", "left"
-        )
-        last = known.select("subscription_id", F.coalesce("last_sent_at", "seed_at").alias("last_sent_at"))
-        sent = cooled_deliveries(matches, last).persist()
-        sent.write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
-        newest = sent.groupBy("subscription_id").agg(F.max("sent_at").alias("last_sent_at"))
-        state.write(keyed_upsert(stored, newest, ["subscription_id"]), batch_id)
-        sent.unpersist()
-        matches.unpersist()
-
-    return _start(alerts, handle, checkpoint, trigger or {"processingTime": "1 minute"})
+    keyed_state(alerts.sparkSession)
+    whole = alerts.withColumn("alert_id", F.struct("alert_id", "raised_at"))
+    ready = subscriptions.withColumn("last_sent_at", F.lit(None).cast("timestamp"))
+    pairs = ops.alert_matches(whole, ready, F.current_timestamp()).select("alert_id.*", "subscription_id")
+    seeds = subscriptions.select("subscription_id", F.col("last_sent_at").alias("seed_at"))
+    return _append(cooled_deliveries(pairs.join(seeds, "subscription_id")), out_path, checkpoint, trigger or {"processingTime": "1 minute"})
 
 
 def traffic_windows(requests: DataFrame, bucket: str = "1 hour", delay: str = QUOTE_DELAY) -> DataFrame:
@@ -330,6 +417,9 @@ def stream_stalls(
         stalled = ops.stalled_loops(read_runs(), now).join(told, keys, "left")
         due = F.col("announced_at").isNull() | (F.unix_micros(now) - F.unix_micros("announced_at") >= F.lit(repeat_minutes * 6e7))
         fresh = stalled.filter(due).withColumn("announced_at", now.cast("timestamp")).persist()
+        if fresh.isEmpty():
+            fresh.unpersist()
+            return
         fresh.write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
         state.write(keyed_upsert(told, fresh.select(*keys, "announced_at"), keys), batch_id)
         fresh.unpersist()

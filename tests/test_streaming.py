@@ -6,7 +6,6 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from marketlens.operators import movement
-from marketlens.operators.movement import KEYS
 from marketlens.sources.tables import BucketedState, insert_ignore, keyed_upsert, write_csv
 from marketlens.streaming import jobs
 
@@ -14,42 +13,54 @@ BASE = datetime(2024, 1, 1)
 ONE_FILE = {"availableNow": True}
 
 
+def deliver(spark, path, batches, schema, first=0):
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("overwrite").parquet(f"{path}/part{first + i}")
+
+
 def source(spark, path, batches, schema):
     """A file stream that delivers one file per micro-batch, oldest first."""
-    for i, rows in enumerate(batches):
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("overwrite").parquet(f"{path}/part{i}")
+    deliver(spark, path, batches, schema)
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(path)
 
 
 def test_quote_changes_over_batches(spark, tmp_path):
     rng = random.Random(1)
     batches = [
-        [(1 + rng.randint(0, 3), 1, rng.choice([1.5, 1.6, 1.0]), None, BASE + timedelta(hours=b, minutes=i), b * 100 + i) for i in range(12)] for b in range(3)
+        [(1 + rng.randint(0, 3), 1, rng.choice([1.5, 1.6, 1.0]), rng.choice([None, 2.5]), BASE + timedelta(hours=b, minutes=i), b * 100 + i) for i in range(12)] for b in range(4)
     ]
-    src = str(tmp_path / "in")
-    stream = source(spark, src, batches, jobs.QUOTE_STATE)
-    args = (f"{tmp_path}/state", f"{tmp_path}/log", f"{tmp_path}/ckpt")
-    jobs.stream_quote_changes(stream, *args, buckets=4, **ONE_FILE).awaitTermination()
-    # A second start has nothing new to do.
-    jobs.stream_quote_changes(stream, *args, buckets=4, **ONE_FILE).awaitTermination()
-    log = spark.read.parquet(f"{tmp_path}/log")
-    order = [r["batch"] for r in log.select("batch").distinct().orderBy("batch").collect()]
+    batches[3].append((1, 1, 9.0, None, BASE - timedelta(days=1), 7))  # older than what is stored
+    src, args = str(tmp_path / "in"), (f"{tmp_path}/log", f"{tmp_path}/ckpt")
+    stream = source(spark, src, batches[:2], jobs.QUOTE_STATE)
+    jobs.stream_quote_changes(stream, *args, **ONE_FILE).awaitTermination()
+    # Two more files come while the job is down; a third start has nothing new to do.
+    deliver(spark, src, batches[2:], jobs.QUOTE_STATE, 2)
+    for _ in range(2):
+        jobs.stream_quote_changes(stream, *args, **ONE_FILE).awaitTermination()
     prior, want = {}, []
-    # Files may arrive in any order, so the replay below follows the recorded batches.
-    seen = {r["id"] for r in log.collect()}
-    by_batch = {b: {r["id"] // 100 for r in log.filter(F.col("batch") == b).collect()} for b in order}
-    sequence = [next(iter(v)) for v in by_batch.values()]
-    mark = {}
-    for b in sequence:
-        for s, k, price, _, at, i in sorted(batches[b], key=lambda r: (r[4], r[5])):
-            if price <= 1 or (at, i) <= mark.get((s, k), (BASE - timedelta(1), 0)):
-                continue
-            if prior.get((s, k)) != price:
-                want.append(i)
-            prior[s, k], mark[s, k] = price, (at, i)
-    assert seen == set(want)
-    state = BucketedState(spark, f"{tmp_path}/state", KEYS, jobs.QUOTE_STATE, 4)
-    assert {(r["selection_id"], r["bookmaker_id"]): r["price"] for r in state.read().collect()} == prior
+    for s, k, price, point, at, i in (r for batch in batches for r in sorted(batch, key=lambda r: (r[4], r[5]))):
+        if price <= 1 or at < BASE:
+            continue
+        if prior.get((s, k)) != (price, point):
+            want.append((i, s, price, point, (s, k) not in prior))
+        prior[s, k] = price, point
+    log = spark.read.parquet(f"{tmp_path}/log").collect()
+    assert sorted((r["id"], r["selection_id"], r["price"], r["point"], r["is_opening"]) for r in log) == sorted(want)
+    current = jobs.current_quotes(spark, f"{tmp_path}/ckpt").collect()
+    assert {(r["selection_id"], r["bookmaker_id"]): (r["price"], r["point"]) for r in current} == prior
+
+
+def test_a_batch_writes_what_it_changed(spark, tmp_path):
+    """Many keys, then batches of one key: what a batch adds to the state stays small, and old versions go."""
+    batches = [[(k, 1, 1.5, None, BASE, k) for k in range(20000)]] + [[(3, 1, 1.5 + b / 10, None, BASE + timedelta(hours=b), 10**6 + b)] for b in range(1, 6)]
+    stream = source(spark, str(tmp_path / "in"), batches, jobs.QUOTE_STATE)
+    jobs.stream_quote_changes(stream, f"{tmp_path}/log", f"{tmp_path}/ckpt", **ONE_FILE).awaitTermination()
+    sizes = {}
+    for file in (tmp_path / "ckpt" / "state").rglob("*.changelog"):
+        sizes[file.name] = sizes.get(file.name, 0) + file.stat().st_size
+    versions = sorted(sizes, key=lambda name: int(name.split(".")[0].split("_")[0]))
+    assert len(versions) == 6 and all(sizes[v] * 20 < sizes[versions[0]] for v in versions[1:])
+    assert spark.read.parquet(f"{tmp_path}/log").count() == 20005
 
 
 def test_quotes_that_come_late_are_ignored(spark, tmp_path):
@@ -70,9 +81,9 @@ def test_trades_repeated_days_later_stay_out(spark, tmp_path):
     batches = [[("a", str(i % 7), BASE + timedelta(days=5 * b, minutes=i), b * 100 + i) for i in range(12)] for b in range(3)]
     stream = source(spark, str(tmp_path / "in"), batches, schema)
     for _ in range(2):
-        jobs.stream_trade_tape(stream, f"{tmp_path}/tape", f"{tmp_path}/ckpt", buckets=3, **ONE_FILE).awaitTermination()
+        jobs.stream_trade_tape(stream, f"{tmp_path}/tape", f"{tmp_path}/ckpt", **ONE_FILE).awaitTermination()
     rows = spark.read.parquet(f"{tmp_path}/tape").collect()
-    assert sorted(r["external_id"] for r in rows) == [str(i) for i in range(7)] and len({r["event_id"] // 100 for r in rows}) == 1
+    assert sorted((r["external_id"], r["event_id"], r["batch"]) for r in rows) == [(str(i), i, 0) for i in range(7)]
 
 
 def test_stalls_are_told_without_new_runs_and_once_an_hour(spark, tmp_path):
@@ -83,6 +94,7 @@ def test_stalls_are_told_without_new_runs_and_once_an_hour(spark, tmp_path):
     jobs.stream_stalls(ticks, lambda: stored, f"{tmp_path}/s", f"{tmp_path}/o", f"{tmp_path}/c", clock, **ONE_FILE).awaitTermination()
     told = sorted((r["batch"], r["provider"]) for r in spark.read.parquet(f"{tmp_path}/o").collect())
     assert told == [(0, "p"), (0, "r"), (2, "p"), (2, "r"), (3, "q")]
+    assert not (tmp_path / "s" / "gen=1").exists() and not (tmp_path / "o" / "batch=1").exists()
     assert jobs.timer(spark).isStreaming
 
 
@@ -121,21 +133,44 @@ def test_state_replay_reads_older_generations(spark, tmp_path):
     assert len(first) == 20 and (3, 2.0) in first
 
 
-def test_orders_book_once(spark, tmp_path):
-    schema = "order_id bigint, strategy_id bigint, market_id bigint, side string, report_seq bigint, filled_size double, avg_fill_price double"
-    batches = [[(1, 1, 1, "yes", b, 10.0 * (b + 1), 0.5), (2, 1, 1, "yes", b, 5.0, 0.4)] for b in range(3)]
-    stream = source(spark, str(tmp_path / "in"), batches, schema)
-    jobs.stream_order_reconcile(stream, f"{tmp_path}/s", f"{tmp_path}/o", f"{tmp_path}/c", buckets=2, **ONE_FILE).awaitTermination()
-    sums = {r["order_id"]: (r["s"], r["c"]) for r in spark.read.parquet(f"{tmp_path}/o").groupBy("order_id").agg(F.sum("delta_size").alias("s"), F.sum("delta_cost").alias("c")).collect()}
-    assert sums == {1: (30.0, 15.0), 2: (5.0, 2.0)}
+def test_old_generations_go(spark, tmp_path):
+    state = BucketedState(spark, str(tmp_path / "s"), ["k"], "k bigint, v double", 4)
+    for batch in range(12):
+        change = spark.createDataFrame([(batch % 3, float(batch))], "k bigint, v double")
+        prior = state.read(batch, state.touched(change))
+        state.write(keyed_upsert(prior, change, ["k"]), batch)
+    assert sorted(map(tuple, state.read().collect())) == [(0, 9.0), (1, 10.0), (2, 11.0)]
+    assert sorted(map(tuple, state.read(11).collect())) == [(0, 9.0), (1, 10.0), (2, 8.0)]
+    assert len(list((tmp_path / "s").glob("gen=*"))) <= 5
 
 
-def test_cooldown(spark):
-    at = [0, 5, 14, 15, 16, 29, 31, 45]
-    matches = spark.createDataFrame([(i, 1, BASE + timedelta(minutes=m)) for i, m in enumerate(at)] + [(90, 2, BASE)], "alert_id bigint, subscription_id bigint, raised_at timestamp")
-    last = spark.createDataFrame([(2, BASE - timedelta(minutes=3))], jobs.ALERT_STATE)
-    got = sorted((r["subscription_id"], r["alert_id"]) for r in jobs.cooled_deliveries(matches, last).collect())
-    assert got == [(1, 0), (1, 3), (1, 6)]
+def test_orders_book_once(spark, tmp_path):
+    schema = "order_id bigint, strategy_id bigint, market_id bigint, side string, report_seq bigint, filled_size double, avg_fill_price double"
+    batches = [[(1, 1, 1, "yes", b, 10.0 * (b + 1), 0.5), (2, 1, 1, "yes", 2 * b, 5.0, 0.4), (2, 1, 1, "yes", 2 * b + 1, 5.0, 0.9), (3, 1, 1, "no", b, 0.0, None)] for b in range(3)]
+    src, args = str(tmp_path / "in"), (f"{tmp_path}/o", f"{tmp_path}/c")
+    stream = source(spark, src, batches[:1], schema)
+    jobs.stream_order_reconcile(stream, *args, **ONE_FILE).awaitTermination()
+    deliver(spark, src, batches[1:], schema, 1)
+    jobs.stream_order_reconcile(stream, *args, **ONE_FILE).awaitTermination()
+    rows = sorted((r["order_id"], r["delta_size"], r["delta_cost"]) for r in spark.read.parquet(f"{tmp_path}/o").collect())
+    assert rows == [(1, 10.0, 5.0)] * 3 + [(2, 5.0, 2.0)]
+
+
+def test_cooldown_over_batches(spark, tmp_path):
+    at = [[0, 5, 14], [15, 16, 2, 29], [31, 45, 45]]
+    schema = "alert_id bigint, kind string, league string, venue string, value double, raised_at timestamp"
+    batches = [[(b * 10 + i, "edge", "L", "", 9.0, BASE + timedelta(minutes=m)) for i, m in enumerate(minutes)] for b, minutes in enumerate(at)]
+    subscriptions = spark.createDataFrame(
+        [(1, 1, "edge", 1.0, "", "l,L", "both", True, None), (2, 1, "edge", 1.0, "", "", "a", True, BASE + timedelta(minutes=20)), (3, 1, "edge", 99.0, "", "", "", True, None)],
+        "subscription_id bigint, user_id bigint, kind string, min_value double, channels string, leagues string, venue string, active boolean, last_sent_at timestamp",
+    )
+    src, args = str(tmp_path / "in"), (f"{tmp_path}/o", f"{tmp_path}/c")
+    stream = source(spark, src, batches[:2], schema)
+    jobs.stream_alerts(stream, subscriptions, *args, **ONE_FILE).awaitTermination()
+    deliver(spark, src, batches[2:], schema, 2)
+    jobs.stream_alerts(stream, subscriptions, *args, **ONE_FILE).awaitTermination()
+    got = sorted((r["subscription_id"], r["alert_id"]) for r in spark.read.parquet(f"{tmp_path}/o").collect())
+    assert got == [(1, 0), (1, 10), (1, 20), (2, 21)]
 
 
 def test_steam_window(spark, tmp_path):
