@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from marketlens.functions.common import count_if, js_round
 from marketlens.functions.prices import american_text, implied_prob
-from marketlens.session import cut
 
 HISTORY_POINTS = 30
 
@@ -39,11 +38,8 @@ def filter_events(
 
 
 def page_of_events(events: DataFrame, limit: int = 50, offset: int = 0) -> DataFrame:
-    """One page of events by start time.
-
-    The page is checkpointed: it is read once, and the bulk reads of a board all start from the same rows.
-    """
-    return cut(events.orderBy("commence_at", "event_id").offset(max(0, offset)).limit(max(1, limit)))
+    """One page of events by start time; the order is total, so every read of the page gives the same rows."""
+    return events.orderBy("commence_at", "event_id").offset(max(0, offset)).limit(max(1, limit))
 
 
 def page_envelope(rows: DataFrame, limit: int, offset: int = 0) -> DataFrame:
@@ -66,8 +62,8 @@ def odds_board(
 ) -> DataFrame:
     """One page of events with markets, selections and quotes nested inside.
 
-    ``page`` comes from ``page_of_events`` (at most 200 events) and every other input is joined to it, so
-    the nested arrays only ever hold one page of the board.
+    ``page`` comes from ``page_of_events`` and every other input is joined to it, so the nested arrays only ever hold one
+    event's markets and one selection's quotes.
     """
     sides = selections if market_type is None else selections.filter(F.col("market_type") == market_type)
     wanted = sides.join(page.select("event_id"), "event_id", "left_semi")
@@ -200,18 +196,19 @@ def board_summary(
         F.coalesce(F.avg(F.coalesce("edge_vs_average_pct", F.lit(0.0))), F.lit(0.0)).alias("avg_edge_pct"),
         F.coalesce(F.avg("edge_pct"), F.lit(0.0)).alias("avg_true_edge_pct"),
     )
-    markets = shown.select("market_id").distinct()
-    arbs = holds.filter("is_arbitrage").join(markets, "market_id", "left_semi")
-    return totals.select(
-        "*",
-        events.agg(F.count(F.lit(1))).scalar().alias("event_count"),
-        events.agg(F.count_distinct("sport_slug")).scalar().alias("category_count"),
-        books.agg(F.count(F.lit(1))).scalar().alias("bookmaker_count"),
-        books.agg(count_if(F.col("kind") != "prediction")).scalar().alias("sportsbook_count"),
-        books.agg(count_if(F.col("kind") == "prediction")).scalar().alias("prediction_count"),
-        markets.agg(F.count(F.lit(1))).scalar().alias("market_count"),
-        arbs.agg(F.count(F.lit(1))).scalar().alias("arbitrage_count"),
+    # One aggregate per table, each a struct of its totals.
+    marked = shown.select("market_id").distinct().join(holds.filter("is_arbitrage").select("market_id", "is_arbitrage"), "market_id", "left")
+    of_events = events.agg(F.struct(F.count(F.lit(1)).alias("event_count"), F.count_distinct("sport_slug").alias("category_count")))
+    of_books = books.agg(
+        F.struct(
+            F.count(F.lit(1)).alias("bookmaker_count"),
+            count_if(F.col("kind") != "prediction").alias("sportsbook_count"),
+            count_if(F.col("kind") == "prediction").alias("prediction_count"),
+        )
     )
+    of_markets = marked.agg(F.struct(F.count(F.lit(1)).alias("market_count"), F.count("is_arbitrage").alias("arbitrage_count")))
+    whole = totals.select("*", of_events.scalar().alias("e"), of_books.scalar().alias("b"), of_markets.scalar().alias("m"))
+    return whole.select(*totals.columns, "e.*", "b.*", "m.*")
 
 
 def book_quotes(odds: DataFrame, best: DataFrame, selections: DataFrame, books: DataFrame, slug: str) -> DataFrame:

@@ -238,8 +238,7 @@ def reference_integrity(orders: DataFrame, items: DataFrame, products: DataFrame
     """Broken references: orders without customer, items without order or product."""
 
     def missing(rows: DataFrame, key: str, parent: DataFrame, problem: str) -> DataFrame:
-        known = parent.select(key).distinct()
-        bad = rows.filter(F.col(key).isNotNull()).join(known, key, "left_anti")
+        bad = rows.filter(F.col(key).isNotNull()).join(parent.select(key), key, "left_anti")
         return bad.groupBy(F.lit(problem).alias("problem"), F.col(key).cast("string").alias("reference")).agg(
             _count().alias("rows")
         )

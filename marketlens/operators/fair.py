@@ -159,6 +159,13 @@ def fair_prices(
     )
 
 
+def priced_selections(odds: DataFrame, selections: DataFrame, books: DataFrame) -> DataFrame:
+    """The selections that ``fair_prices`` prices, told without solving: known books with enough quotes of the market."""
+    quotes = open_quotes(odds, selections).join(books.select("bookmaker_id"), "bookmaker_id", "left_semi")
+    sets = quotes.groupBy("market_id", "bookmaker_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= MIN_QUOTES)
+    return quotes.join(sets, ["market_id", "bookmaker_id"], "left_semi").select("selection_id").distinct()
+
+
 def _prob(p: Column) -> Column:
     return clamp(F.coalesce(p, F.lit(0.0)), 0.0, PROB_CEILING)
 

@@ -155,14 +155,15 @@ def ops_insights(requests: DataFrame, logs: DataFrame, errors: DataFrame) -> Dat
         F.avg("duration").alias("average"),
         F.max("duration").alias("maximum"),
     )
-    return r.select(
-        "*",
+    whole = r.select("*", q.select(F.struct("*")).scalar().alias("q"), errors.agg(_n()).scalar().alias("errors"))
+    return whole.select(
+        *r.columns,
         percentage(F.col("successful_requests"), F.col("requests")).alias("request_success_rate"),
-        *[q.select(c).scalar().alias(f"{c}_queries") for c in ("completed", "slow", "failed")],
-        q.select("queries").scalar().alias("queries"),
-        q.select("average").scalar().alias("average_query_ms"),
-        q.select("maximum").scalar().alias("maximum_query_ms"),
-        errors.agg(_n()).scalar().alias("errors"),
+        *[F.col(f"q.{c}").alias(f"{c}_queries") for c in ("completed", "slow", "failed")],
+        "q.queries",
+        F.col("q.average").alias("average_query_ms"),
+        F.col("q.maximum").alias("maximum_query_ms"),
+        "errors",
     )
 
 

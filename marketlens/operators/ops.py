@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -98,11 +100,11 @@ def ingest_health(runs: DataFrame, as_of: Column) -> DataFrame:
     )
 
 
-def health_rollup(checks: DataFrame) -> DataFrame:
-    """down when a required check is down, degraded when any check is not ok."""
+def health_rollup(checks: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Of all checks, or of those of each key: down when a required check is down, degraded when any check is not ok."""
     down = count_if(F.col("required") & (F.col("status") == "down")) > 0
     shaky = count_if(F.col("status") != "ok") > 0
-    return checks.agg(F.when(down, "down").when(shaky, "degraded").otherwise("ok").alias("status"))
+    return checks.groupBy(*keys).agg(F.when(down, "down").when(shaky, "degraded").otherwise("ok").alias("status"))
 
 
 def status_counts(tables: dict[str, DataFrame]) -> DataFrame:

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from marketlens.fixtures import Tables
 from marketlens.operators import logs as L
+from marketlens.operators.search import TrigramIndex
 from marketlens.plans.shop import SHOP_AS_OF
 from marketlens.plans.tape import TAPE_AS_OF, tape_as_of
 from marketlens.registry import query
+from marketlens.session import shared_path
+from marketlens.sources import daytables
 
 NOW = f"({TAPE_AS_OF})"
 HOUR = "'%Y-%m-%d %H:00'"
@@ -301,6 +306,24 @@ def _(t: Tables):
     return L.retention_prune(t("fx_query_rows"), "executed_at", tape_as_of(t)).select("id", "executed_at")
 
 
+@query("retention_rewrite", f"SELECT id, executed_at FROM fx_query_rows WHERE executed_at >= {NOW} - INTERVAL 7 DAY - INTERVAL 5 HOUR OR executed_at IS NULL")
+def _(t: Tables):
+    """The rows that are left in a stored table once old days are removed from it."""
+    path = shared_path(t.spark, f"query-log-{uuid.uuid4().hex}")
+    daytables.write_days(t("fx_query_rows").select("id", "executed_at"), path, "executed_at")
+    cutoff = F.timestamp_micros(F.unix_micros(tape_as_of(t)) - (7 * 24 + 5) * 3_600_000_000)
+    daytables.prune_days(t.spark, path, "executed_at", cutoff)
+    return t.spark.read.parquet(path).select("id", "executed_at")
+
+
+@query("indexed_search", "SELECT page_id, url FROM pages WHERE contains(lower(url), 'able') OR contains(lower(html), 'able')")
+def _(t: Tables):
+    """Pages with a text in them, by way of the trigrams of their addresses and contents."""
+    index = TrigramIndex(t.spark, shared_path(t.spark, f"pages-{uuid.uuid4().hex}"), "page_id", ["url", "html"], parts=16, shards=16)
+    index.build(t("pages"))
+    return index.search("ABLE").select("page_id", "url")
+
+
 @query(
     "pressure_samples",
     f"""SELECT * FROM (SELECT org, id, pressure, sampled_at, row_number() OVER (PARTITION BY org ORDER BY sampled_at DESC, id DESC) AS back FROM fx_samples WHERE sampled_at >= {NOW} - INTERVAL 72 HOUR) s WHERE back <= 60""",

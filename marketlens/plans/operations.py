@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from marketlens.fixtures import Tables
 from marketlens.functions import times
-from marketlens.operators import ops
-from marketlens.plans.quotes import _fair, quotes_as_of
+from marketlens.operators import fair, ops
+from marketlens.plans.quotes import quotes_as_of
 from marketlens.plans.tape import TAPE_AS_OF, tape_as_of
 from marketlens.registry import query
 
@@ -74,6 +74,20 @@ def _(t: Tables):
     return ops.ingest_health(t("fx_runs"), _late())
 
 
+@query(
+    "health_rollup",
+    """WITH c AS (SELECT kind = 'odds' AS required, CASE arg_max(status, id) WHEN 'success' THEN 'ok' WHEN 'partial' THEN 'degraded' ELSE 'down' END AS status, provider FROM fx_runs GROUP BY provider, kind),
+    p AS (SELECT provider, bool_or(required AND status = 'down') AS down, bool_or(status <> 'ok') AS shaky FROM c GROUP BY 1 UNION ALL SELECT 'all', bool_or(required AND status = 'down'), bool_or(status <> 'ok') FROM c)
+    SELECT provider, CASE WHEN down THEN 'down' WHEN shaky THEN 'degraded' ELSE 'ok' END AS status FROM p""",
+)
+def _(t: Tables):
+    kinds = t("fx_runs").groupBy("provider", "kind").agg(F.max_by("status", "id").alias("status"))
+    told = F.when(F.col("status") == "success", "ok").when(F.col("status") == "partial", "degraded").otherwise("down")
+    checks = kinds.select("provider", (F.col("kind") == "odds").alias("required"), told.alias("status"))
+    whole = ops.health_rollup(checks).select(F.lit("all").alias("provider"), "status")
+    return ops.health_rollup(checks, ["provider"]).select("provider", "status").unionByName(whole)
+
+
 @query(
     "status_counts",
     """SELECT (SELECT count(*) FROM fx_books) AS bookmakers, (SELECT count(*) FROM fx_teams) AS teams, (SELECT count(*) FROM fx_events) AS events,
@@ -93,7 +107,7 @@ def _(t: Tables):
             "selections": t("fx_selections"),
             "odds": t("fx_odds"),
             "price_history": t("fx_snapshots"),
-            "fair_prices": _fair(t),
+            "fair_prices": fair.priced_selections(t("fx_odds"), t("fx_selections"), t("fx_books")),
             "results": t("fx_results"),
             "feature_snapshots": t("fx_feature_snapshots"),
             "labelled_snapshots": t("fx_feature_snapshots").filter(F.col("label").isNotNull()),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from marketlens.fixtures import Tables
@@ -9,6 +11,8 @@ from marketlens.functions import prices as P
 from marketlens.functions.times import to_instant
 from marketlens.operators import board, fair, movement
 from marketlens.registry import query
+from marketlens.session import shared_path
+from marketlens.sources import daytables
 
 QUOTES_AS_OF = "SELECT max(l_shipdate) AS t FROM lineitem"
 
@@ -269,14 +273,7 @@ def _(t: Tables):
     big="selections quotes",
 )
 def _(t: Tables):
-    # The page is cut first, and every other input only for it.
-    shown = board.page_of_events(board.filter_events(t("fx_events")), limit=200)
-    sides = t("fx_selections").join(shown.select("event_id"), "event_id", "left_semi")
-    ids = sides.select("selection_id")
-    odds = t("fx_odds").join(ids, "selection_id", "left_semi")
-    history = board.history_arrays(board.price_history(t("fx_snapshots").join(ids, "selection_id", "left_semi"), board.HISTORY_POINTS))
-    prices = fair.fair_prices(odds, sides, t("fx_books"))
-    page = board.odds_board(shown, sides, odds, fair.selection_best(odds), prices, history)
+    page = _board_page(t)
     flat = F.flatten(F.transform("markets", lambda m: m["selections"]))
 
     def total(items, value):
@@ -295,6 +292,71 @@ def _(t: Tables):
     )
 
 
+def _board_page(t: Tables):
+    # The page is taken first, and every other input only for it.
+    shown = board.page_of_events(board.filter_events(t("fx_events")), limit=200)
+    sides = t("fx_selections").join(shown.select("event_id"), "event_id", "left_semi")
+    ids = sides.select("selection_id")
+    odds = t("fx_odds").join(ids, "selection_id", "left_semi")
+    history = board.history_arrays(board.price_history(t("fx_snapshots").join(ids, "selection_id", "left_semi"), board.HISTORY_POINTS))
+    prices = fair.fair_prices(odds, sides, t("fx_books"))
+    return board.odds_board(shown, sides, odds, fair.selection_best(odds), prices, history)
+
+
+CELLS_SQL = f"""
+  past AS (SELECT selection_id, count(*) AS points, sum(price * (31 - back)) AS mark FROM (
+    SELECT *, row_number() OVER (PARTITION BY selection_id ORDER BY captured_at DESC, id DESC) AS back FROM fx_snapshots) h WHERE back <= 30 GROUP BY 1),
+  page AS (SELECT event_id FROM fx_events WHERE status IN ('scheduled', 'live') ORDER BY commence_at, event_id LIMIT 200),
+  sums AS (SELECT s.market_id, CASE WHEN count(*) >= 2 THEN coalesce(sum(CASE WHEN b.best_price > 1 THEN 1 / b.best_price END), 0) END AS best_book_sum FROM fx_selections s LEFT JOIN best b ON b.selection_id = s.selection_id GROUP BY 1)
+"""
+
+
+@query(
+    "odds_board_cells",
+    f"""WITH {BEST_SQL}, {CELLS_SQL}
+    SELECT s.event_id, s.market_id, s.market_type, m.best_book_sum, s.selection_id, s.label, s.side, b.best_price, b.best_bookmaker_id, b.average_price, b.edge_vs_average_pct, f.prob_consensus, f.prob_sharp, f.edge_pct, f.kelly_fraction,
+       p.points, p.mark, o.bookmaker_id, o.price, o.bookmaker_id = b.best_bookmaker_id AS is_best,
+       CASE WHEN o.price >= 2 THEN concat('+', CAST(CAST(floor((o.price - 1) * 100 + 0.5) AS BIGINT) AS VARCHAR)) ELSE CAST(CAST(floor(-100 / (o.price - 1) + 0.5) AS BIGINT) AS VARCHAR) END AS american
+    FROM page g JOIN fx_selections s ON s.event_id = g.event_id JOIN sums m ON m.market_id = s.market_id LEFT JOIN best_book b ON b.selection_id = s.selection_id LEFT JOIN ref_fair f ON f.selection_id = s.selection_id
+      LEFT JOIN past p ON p.selection_id = s.selection_id LEFT JOIN fx_odds o ON o.selection_id = s.selection_id""",
+    dbl="best_book_sum best_price average_price edge_vs_average_pct prob_consensus prob_sharp edge_pct kelly_fraction mark price",
+    big="points",
+)
+def _(t: Tables):
+    """Everything that is nested in the board, one row per quote."""
+    page = _board_page(t)
+    markets = page.select("event_id", F.explode("markets").alias("m"))
+    sides = markets.select("event_id", "m.market_id", "m.market_type", "m.best_book_sum", F.explode("m.selections").alias("s"))
+    history = F.coalesce("s.prices", F.array().cast("array<double>"))
+    short = F.lit(board.HISTORY_POINTS) - F.size(history)
+    marks = F.zip_with(history, F.sequence(F.lit(1), F.size(history)), lambda price, k: price * (k + short))
+    cells = sides.select(
+        "*", F.when(F.size(history) > 0, F.size(history)).alias("points"),
+        F.when(F.size(history) > 0, F.aggregate(marks, F.lit(0.0), lambda total, x: total + x)).alias("mark"), F.explode_outer("s.quotes").alias("q"),
+    )
+    chosen = ["selection_id", "label", "side", "best_price", "best_bookmaker_id", "average_price", "edge_vs_average_pct", "prob_consensus", "prob_sharp", "edge_pct", "kelly_fraction"]
+    return cells.select("event_id", "market_id", "market_type", "best_book_sum", *[f"s.{c}" for c in chosen], "points", "mark", "q.bookmaker_id", "q.price", "q.is_best", "q.american")
+
+
+@query(
+    "board_as_of_snapshot",
+    """WITH cut AS (SELECT timestamp '1997-06-11 00:00:00' AS at),
+    seen AS (SELECT s.*, row_number() OVER (PARTITION BY selection_id, bookmaker_id ORDER BY captured_at DESC, id DESC) AS rn FROM fx_snapshots s, cut WHERE captured_at <= cut.at)
+    SELECT e.event_id, e.sport_slug, s.market_id, s.selection_id, b.slug AS bookmaker, x.price, 1 / x.price AS implied_prob, x.captured_at
+    FROM seen x JOIN fx_selections s ON s.selection_id = x.selection_id JOIN fx_events e ON e.event_id = s.event_id
+      JOIN fx_books b ON b.bookmaker_id = x.bookmaker_id WHERE x.rn = 1""",
+    dbl="price implied_prob",
+)
+def _(t: Tables):
+    """The board from a history with snapshots: one snapshot and the log's months since are read."""
+    at = F.lit("1997-06-11 00:00:00").cast("timestamp")
+    history = daytables.History(t.spark, shared_path(t.spark, f"history-{uuid.uuid4().hex}"), movement.KEYS, ["captured_at", "id"], "month")
+    history.append(t("fx_snapshots"))
+    history.snapshot_every(12)
+    rows = board.board_as_of(history.as_of(at), t("fx_selections"), t("fx_events"), t("fx_books"), at)
+    return rows.select("event_id", "sport_slug", "market_id", "selection_id", "bookmaker", "price", "implied_prob", "captured_at")
+
+
 @query(
     "board_as_of",
     """WITH cut AS (SELECT timestamp '1998-01-01 00:00:00' AS at),
@@ -348,7 +410,8 @@ def _(t: Tables):
 )
 def _(t: Tables):
     results = t("fx_events").select("event_id", (F.col("status") == "final").alias("completed"))
-    return board.pending_predictions(_fair(t), t("fx_selections"), t("fx_events"), results)
+    priced = fair.priced_selections(t("fx_odds"), t("fx_selections"), t("fx_books"))
+    return board.pending_predictions(priced, t("fx_selections"), t("fx_events"), results)
 
 
 @query(
@@ -417,15 +480,18 @@ steam AS (SELECT selection_id, coalesce(stddev_samp(current_price), 0) AS price_
 """
 
 
-@query(
-    "movement_features",
-    f"""WITH {MOVE_SQL} SELECT m.selection_id, m.bookmaker_id AS reference_book, m.open_price, m.current_price,
+MOVEMENT_SQL = f"""WITH {MOVE_SQL} SELECT m.selection_id, m.bookmaker_id AS reference_book, m.open_price, m.current_price,
        (m.current_price / m.open_price - 1) * 100 AS move_from_open_pct,
        CASE WHEN m.rn >= 2 AND (epoch_us(r1) - epoch_us(r0)) / 3.6e9 > 0.01 THEN (p1 / p0 - 1) * 100 / ((epoch_us(r1) - epoch_us(r0)) / 3.6e9) ELSE 0 END AS velocity_pct_per_hour,
        CASE WHEN s.w > 0 AND greatest(s.up, s.dn) / s.w >= 0.6 THEN (greatest(s.up, s.dn) / s.w - 0.6) / 0.4 ELSE 0 END AS steam_score,
        coalesce(f.direction_changes, 0) AS direction_changes, s.price_std_dev
     FROM main m JOIN steam s ON s.selection_id = m.selection_id
-      LEFT JOIN flips f ON f.selection_id = m.selection_id AND f.bookmaker_id = m.bookmaker_id""",
+      LEFT JOIN flips f ON f.selection_id = m.selection_id AND f.bookmaker_id = m.bookmaker_id"""
+
+
+@query(
+    "movement_features",
+    MOVEMENT_SQL,
     dbl="open_price current_price move_from_open_pct velocity_pct_per_hour steam_score price_std_dev",
 )
 def _(t: Tables):

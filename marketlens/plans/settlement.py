@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from marketlens.fixtures import Tables
 from marketlens.operators import evidence, fair, movement, schedule, settle
-from marketlens.plans.quotes import _fair, quotes_as_of
+from marketlens.plans.quotes import MOVEMENT_SQL, _fair, quotes_as_of
 from marketlens.plans.tape import flow_rows
 from marketlens.registry import query
 
@@ -94,23 +94,25 @@ def _(t: Tables):
 @query(
     "snapshot_candidates",
     f"""SELECT f.selection_id, (epoch_us(e.commence_at) - epoch_us({CLOSE_AT})) / 3.6e9 AS hours_to_start, f.best_price, f.prob_consensus AS fair_prob,
-       f.edge_pct, e.sport_slug, s.market_type, s.side
-    FROM ref_fair f JOIN fx_selections s ON s.selection_id = f.selection_id JOIN fx_events e ON e.event_id = s.event_id
+       f.edge_pct, e.sport_slug, s.market_type, s.side, f.prob_sharp AS sharp_prob, f.overround_pct, f.book_count, coalesce(v.price_std_dev, 0) AS price_std_dev, coalesce(v.open_price, 0) AS open_price,
+       coalesce(v.move_from_open_pct, 0) AS move_from_open_pct, coalesce(v.velocity_pct_per_hour, 0) AS velocity_pct_per_hour, coalesce(v.steam_score, 0) AS steam_score
+    FROM ref_fair f JOIN fx_selections s ON s.selection_id = f.selection_id JOIN fx_events e ON e.event_id = s.event_id LEFT JOIN ({MOVEMENT_SQL}) v ON v.selection_id = f.selection_id
     WHERE e.status = 'scheduled' AND e.commence_at BETWEEN {CLOSE_AT} AND {CLOSE_AT} + INTERVAL {WIDE_HOURS} HOUR
       AND NOT EXISTS (SELECT 1 FROM fx_open_snapshots n WHERE n.selection_id = f.selection_id AND n.captured_at > {CLOSE_AT} - INTERVAL 30 MINUTE
                       AND n.captured_at < {CLOSE_AT} + INTERVAL 30 DAY)""",
-    dbl="hours_to_start best_price fair_prob edge_pct",
+    dbl="hours_to_start best_price fair_prob edge_pct sharp_prob overround_pct price_std_dev open_price move_from_open_pct velocity_pct_per_hour steam_score",
 )
 def _(t: Tables):
     past = t("fx_open_snapshots").filter(F.col("captured_at") < _at("1998-01-31 00:00:00"))
-    moves = movement.movement_features(t("fx_snapshots"), quotes_as_of(t))
+    moves = movement.movement_features(t("fx_snapshots"), quotes_as_of(t), window_hours=4320)
     sides = fair.upcoming(t("fx_selections"), t("fx_events"), _at(), _at() + F.expr(f"interval {WIDE_HOURS} hours"))
     rows = settle.snapshot_candidates(
         _fair(t, sides), sides, t("fx_events"), moves, past, _at(), horizon_hours=WIDE_HOURS
     )
     return rows.select(
-        "selection_id", "hours_to_start", "best_price", "fair_prob", "edge_pct", "sport_slug", "market_type", "side"
-    )
+        "selection_id", "hours_to_start", "best_price", "fair_prob", "edge_pct", "sport_slug", "market_type", "side", "sharp_prob", "overround_pct", "book_count",
+        "price_std_dev", "open_price", "move_from_open_pct", "velocity_pct_per_hour", "steam_score",
+    )
 
 
 CURVES_SQL = """

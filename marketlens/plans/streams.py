@@ -101,24 +101,43 @@ def _(t: Tables):
     return t.spark.read.parquet(f"{root}/out")
 
 
-@query(
-    "stream_traffic",
-    """SELECT date_trunc('hour', ts) AS bucket, count(*) AS page_views FROM events WHERE event_type IN ('view', 'purchase') GROUP BY 1
-    HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events WHERE event_type IN ('view', 'purchase')) - INTERVAL 10 MINUTE""",
-)
-def _(t: Tables):
-    rows = _stream(t, "events")
+def _requests(rows):
     kind = F.col("event_type")
-    requests = rows.select(
+    return rows.select(
         F.when(kind == "signup", "POST").otherwise("GET").alias("method"),
         F.when(kind == "click", "/app.js").when(kind == "error", "/api/x").otherwise(F.concat(F.lit("/"), kind)).alias("path"),
         F.lit(200).alias("status_code"),
         F.col("user_id").cast("string").alias("ip_address"),
         F.col("ts").alias("created_at"),
     )
+
+
+def _against_exact(t: Tables, told, size: str):
+    """The stream's buckets, and whether its visitors are within three standard errors (5 %) of the exact distinct count."""
+    pages = _requests(t("events")).filter(F.col("path").isin("/view", "/purchase"))
+    exact = pages.groupBy(F.window("created_at", size).alias("w")).agg(F.count_distinct("ip_address").alias("exact"))
+    rows = told.join(exact.select(F.col("w.start").alias("bucket"), "exact"), "bucket", "left")
+    near = F.abs(F.col("visitors") - F.col("exact")) <= 0.05 * F.col("exact")
+    return rows.select("bucket", "page_views", "exact", near.alias("near"))
+
+
+def _traffic_sql(size: str) -> str:
+    return f"""SELECT time_bucket(INTERVAL {size}, ts) AS bucket, count(*) AS page_views, count(DISTINCT user_id) AS exact, true AS near FROM events WHERE event_type IN ('view', 'purchase') GROUP BY 1
+    HAVING time_bucket(INTERVAL {size}, ts) + INTERVAL {size} <= (SELECT max(ts) FROM events WHERE event_type IN ('view', 'purchase')) - INTERVAL 10 MINUTE"""
+
+
+@query("stream_traffic", _traffic_sql("1 HOUR"))
+def _(t: Tables):
     root = _folder(t, "traffic")
-    _finish(jobs.stream_traffic(requests, f"{root}/out", f"{root}/ckpt", **ONCE))
-    return t.spark.read.parquet(f"{root}/out").select("bucket", "page_views")
+    _finish(jobs.stream_traffic(_requests(_stream(t, "events")), f"{root}/out", f"{root}/ckpt", **ONCE))
+    return _against_exact(t, t.spark.read.parquet(f"{root}/out"), "1 hour")
+
+
+@query("stream_active_visitors", _traffic_sql("5 MINUTE"))
+def _(t: Tables):
+    root = _folder(t, "active")
+    _finish(jobs.stream_active_visitors(_requests(_stream(t, "events")), f"{root}/out", f"{root}/ckpt", **ONCE))
+    return _against_exact(t, t.spark.read.parquet(f"{root}/out"), "5 minutes")
 
 
 @query(
@@ -180,17 +199,20 @@ def _(t: Tables):
 
 @query(
     "stream_steam",
-    # Every observation of the table is taken at midnight, so a six-hour window holds one instant.
-    """WITH q AS (SELECT l_partkey AS s, l_suppkey % 8 AS b, l_shipdate AS t, l_orderkey * 100 + l_linenumber AS id, CAST(105 + 8 * CAST(l_quantity AS BIGINT) AS DOUBLE) / 100 AS p FROM lineitem),
-    m AS (SELECT s, b, t, arg_max(p, (id, p)) - arg_min(p, (id, p)) AS d FROM q GROUP BY 1, 2, 3 HAVING count(*) >= 2),
-    g AS (SELECT s, t, count(*) AS books, greatest(count(*) FILTER (WHERE d > 0), count(*) FILTER (WHERE d < 0)) / count(*) AS share FROM m GROUP BY 1, 2)
-    SELECT t + k * INTERVAL 1 HOUR AS window_end, s AS selection_id, books, CASE WHEN share >= 0.6 THEN (share - 0.6) / 0.4 ELSE 0 END AS steam_score FROM g, range(1, 7) r(k)
-    WHERE t + k * INTERVAL 1 HOUR <= (SELECT max(l_shipdate) FROM lineitem) - INTERVAL 10 MINUTE""",
+    # The observations of a day are spread over its hours, so that windows hold several instants.
+    """WITH q AS (SELECT l_partkey AS s, l_suppkey % 8 AS b, l_shipdate + INTERVAL 17 MINUTE * CAST(l_orderkey % 60 AS INT) AS t, l_orderkey * 100 + l_linenumber AS id, CAST(105 + 8 * CAST(l_quantity AS BIGINT) AS DOUBLE) / 100 AS p FROM lineitem),
+    v AS (SELECT *, date_trunc('hour', t) + k * INTERVAL 1 HOUR AS e FROM q, range(1, 7) r(k)),
+    m AS (SELECT s, b, e, arg_max(p, (t, id, p)) - arg_min(p, (t, id, p)) AS d FROM v GROUP BY 1, 2, 3 HAVING count(*) >= 2),
+    g AS (SELECT s, e, count(*) AS books, greatest(count(*) FILTER (WHERE d > 0), count(*) FILTER (WHERE d < 0)) / count(*) AS share FROM m GROUP BY 1, 2)
+    SELECT e AS window_end, s AS selection_id, books, CASE WHEN share >= 0.6 THEN (share - 0.6) / 0.4 ELSE 0 END AS steam_score FROM g
+    WHERE e <= (SELECT max(t) FROM q) - INTERVAL 10 MINUTE""",
     dbl="steam_score",
 )
 def _(t: Tables):
     root = _folder(t, "steam")
-    _finish(jobs.stream_steam(_quotes(t), f"{root}/out", f"{root}/ckpt", **ONCE))
+    hours = F.make_dt_interval(mins=F.lit(17) * ((F.col("id") / 100).cast("bigint") % 60).cast("int"))
+    quotes = _quotes(t).withColumn("captured_at", F.col("captured_at") + hours)
+    _finish(jobs.stream_steam(quotes, f"{root}/out", f"{root}/ckpt", **ONCE))
     return t.spark.read.parquet(f"{root}/out")
 
 

@@ -35,6 +35,8 @@ CLOSING_STATE = (
 CLOSED_STATE = "event_id bigint, closing_captured_at timestamp"
 STALL_STATE = "provider string, kind string, announced_at timestamp"
 STALL_REPEAT_MINUTES = 60
+#: Logarithm of the registers of a visitor sketch: 4,096 give a standard error of 1.04 / 64.
+VISITOR_SKETCH = 12
 #: Buckets of the jobs that keep many small keys; more keys want more of them.
 BUCKETS = 2048
 QUOTE = np.dtype([("selection_id", "<i8"), ("bookmaker_id", "<i8"), ("at", "<i8"), ("id", "<i8"), ("price", "<f8"), ("point", "<f8")])
@@ -369,13 +371,21 @@ def stream_alerts(alerts: DataFrame, subscriptions: DataFrame, out_path: str, ch
 
 
 def traffic_windows(requests: DataFrame, bucket: str = "1 hour", delay: str = QUOTE_DELAY) -> DataFrame:
-    """Page views and approximate visitors per bucket (exact distinct counts exist only in batch)."""
+    """Page views and visitors per bucket, a whole number of minutes.
+
+    Each minute keeps a mergeable sketch of its visitors, and a bucket is the union of its minutes. The estimate has a
+    standard error of about 1.6 % (``VISITOR_SKETCH``); exact distinct counts exist only in batch.
+    """
     pages = requests.withColumn("page_path", page_path(F.col("path"))).filter(is_page(F.col("page_path")))
-    return (
+    minutes = (
         pages.withWatermark("created_at", delay)
-        .groupBy(F.window("created_at", bucket))
-        .agg(F.count(F.lit(1)).alias("page_views"), F.approx_count_distinct("ip_address").alias("visitors"))
-        .select(F.col("window.start").alias("bucket"), "page_views", "visitors")
+        .groupBy(F.window("created_at", "1 minute"))
+        .agg(F.count(F.lit(1)).alias("page_views"), F.hll_sketch_agg("ip_address", F.lit(VISITOR_SKETCH)).alias("sketch"))
+    )
+    return (
+        minutes.groupBy(F.window(F.window_time("window"), bucket).alias("w"))
+        .agg(F.sum("page_views").alias("page_views"), F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("visitors"))
+        .select(F.col("w.start").alias("bucket"), "page_views", "visitors")
     )
 
 
