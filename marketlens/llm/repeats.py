@@ -14,7 +14,7 @@ equality of long prefixes isn't needed here.
 
 Order is doc_id (null first), then the hash of the text, then position. Matches never cross documents. Rows equal in doc_id
 and text count as one document; all but one of them are deleted wholly if they have 100 bytes. Null texts are empty. An
-empty table gives an empty result. Span and window equality is that of 128 and 64-bit hashes, each within one anchor.
+empty table gives an empty result. Equality of spans and of windows is that of 64-bit hashes, which include their anchor's.
 """
 
 from __future__ import annotations
@@ -40,6 +40,8 @@ ANCHOR = 40
 #: Text that a bucket's anchors stem from.
 BUCKET_BYTES = 16 << 20
 STEP_BYTES = 1 << 20
+#: Text, and windows, that are compared at a time.
+COMPARED_BYTES = 1 << 20
 NULL_ID = np.iinfo(np.int64).min
 SPANS, ANCHORS = 0, 1
 NOTES = "lane int, kind int, note binary"
@@ -320,29 +322,69 @@ def window_notes(lanes: DataFrame, notes: DataFrame, buckets: int) -> DataFrame:
     return lanes.groupBy("lane").cogroup(asked.groupBy("lane")).applyInArrow(run, NOTES)
 
 
+def run_slices(sizes: np.ndarray, heads: np.ndarray, limit: int) -> Iterator[slice]:
+    """Cuts runs of rows into slices of about ``limit`` bytes; with ``heads``, only before rows that may begin one."""
+    ends, start = np.cumsum(sizes), 0
+    starts = np.append(np.flatnonzero(heads), len(sizes))
+    while start < len(sizes):
+        done = ends[start - 1] if start else 0
+        stop = int(np.searchsorted(ends, done + limit, "right"))
+        fits = starts[(starts > start) & (starts <= stop)]
+        stop = int(fits[-1]) if len(fits) else int(starts[starts > start][0])
+        yield slice(start, stop)
+        start = stop
+
+
+def windows_of(a: dict[str, np.ndarray], first: np.ndarray, use: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """key, owner and step of every window of the runs ``use``; ``first`` tells where the text of each run begins."""
+    sizes = a["size"][use]
+    windows = sizes - LENGTH + 1
+    heads = np.cumsum(sizes) - sizes
+    text = a["text"][np.repeat(first[use] - heads, sizes) + np.arange(int(sizes.sum()))]
+    step = np.arange(int(windows.sum())) - np.repeat(np.cumsum(windows) - windows, windows)
+    hashes = strings(doubled(text), LENGTH, np.repeat(heads, windows) + step)
+    ahead = (np.repeat(a["back"][use], windows) - step).astype(np.uint64)
+    return mix(hashes + mix(np.repeat(a["anchor"][use], windows) + ahead * MULTIPLIER)), np.repeat(use.astype(np.uint32), windows), step.astype(np.uint32)
+
+
+def later_windows(a: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """owner, start and stop of what is covered by windows that start earlier beside an equal anchor.
+
+    The runs are taken a few anchors at a time; the windows of an anchor with many surroundings are hashed piece by piece
+    and compared in parts by their hash, so that memory beside the texts themselves stays small.
+    """
+    rank, first = ranked(a), np.cumsum(a["size"]) - a["size"]
+    by_anchor = np.argsort(a["anchor"], kind="stable")
+    new_anchor = np.diff(a["anchor"][by_anchor], prepend=a["anchor"][by_anchor[:1]] ^ np.uint64(1)) != 0
+    sizes, spans = a["size"][by_anchor], []
+    for group in run_slices(sizes, new_anchor, COMPARED_BYTES):
+        pieces = [windows_of(a, first, by_anchor[group][part]) for part in run_slices(sizes[group], np.ones(group.stop - group.start, bool), COMPARED_BYTES)]
+        key, owner, step = (np.concatenate(x) for x in zip(*pieces))
+        del pieces
+        parts = groups_for(len(key), COMPARED_BYTES)
+        for part in range(parts):
+            use = slice(None) if parts == 1 else np.flatnonzero(key % np.uint64(parts) == part)
+            k, o, t = key[use], owner[use].astype(np.int64), step[use].astype(np.int64)
+            start = a["at"][o] - a["back"][o] + t
+            order = (rank[o] << 34) + start
+            by_key = np.lexsort([order, k])
+            same = np.append(False, k[by_key][1:] == k[by_key][:-1])
+            head = np.maximum.accumulate(np.where(same, 0, np.arange(len(k))))
+            later = by_key[order[by_key] > order[by_key][head]]
+            spans.append(merged_spans(o[later], start[later], start[later] + LENGTH))
+    return tuple(np.concatenate(x) for x in zip(*spans))
+
+
 def compared_notes(notes: DataFrame) -> DataFrame:
     """Notes for lanes: windows that start earlier beside an equal anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in by_group(batches, "lane"):
-            parts = unpack(x.as_py() for x in group.column("note"))
-            a = {n: np.concatenate([p[n] for p in parts]) for n in parts[0]}
-            windows = a["size"] - LENGTH + 1
-            heads = np.cumsum(a["size"]) - a["size"]
-            owner = np.repeat(np.arange(len(windows)), windows)
-            step = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
-            text = strings(doubled(a["text"]), LENGTH, heads[owner] + step)
-            ahead = (a["back"][owner] - step).astype(np.uint64)
-            key = mix(text + mix(a["anchor"][owner] + ahead * MULTIPLIER))
-            rank = ranked(a)
-            order = (rank[owner] << 34) + a["at"][owner] - a["back"][owner] + step
-            by_key = np.lexsort([order, key])
-            sorted_key = key[by_key]
-            new = np.append(True, sorted_key[1:] != sorted_key[:-1])
-            first = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
-            later = by_key[order[by_key] > order[by_key][first]]
-            start = a["at"][owner[later]] - a["back"][owner[later]] + step[later]
-            yield note_batch(list(span_notes(a, owner[later], start, start + LENGTH, 0)))
+            a = joined(unpack(x.as_py() for x in group.column("note")))
+            if len(a["size"]):
+                yield note_batch(list(span_notes(a, *later_windows(a), 0)))
+            del a
+            tables.release()
 
     return notes.select("lane", "note").repartition("lane").sortWithinPartitions("lane").mapInArrow(run, NOTES)
 

@@ -70,3 +70,37 @@ def test_family_keeps_the_first():
     for (a, s), orders in seen.items():
         mine = lost["order"][(lost["anchor"] == a) & (lost["span"] == s)]
         assert sorted(mine.tolist()) == sorted(orders)[1:]
+
+
+def surroundings(n, rng):
+    """One line, and so one anchor, between different texts; some of these come again."""
+    line = "this very line of the footer stands in each and every document of all"
+    texts = ["".join(rng.choice(list("abcdefgh "), 70)) for _ in range(n)]
+    return [(i, texts[i] + line + texts[(i * 7) % (n // 2)]) for i in range(n)]
+
+
+def test_one_anchor_in_many_surroundings(spark):
+    rows = surroundings(10_000, np.random.default_rng(3))
+    compare(spark.createDataFrame(rows, "doc_id long, text string").repartition(6))
+
+
+def test_slices_do_not_matter(monkeypatch):
+    """The windows of an anchor give the same spans however few are compared at a time."""
+    rng = np.random.default_rng(5)
+    rows = [t.encode() for _, t in surroundings(200, rng)]
+    runs = []
+    for doc, text in enumerate(rows):
+        found = repeats.anchors(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+        runs += [(found["anchor"][k], doc, found["at"][k], found["back"][k], found["fore"][k], text) for k in range(len(found["at"]))]
+    a = {n: np.array([r[k] for r in runs], np.uint64 if n == "anchor" else np.int64) for k, n in enumerate(("anchor", "id", "at", "back", "fore"))}
+    a["hash"], a["size"] = a["id"], a["back"] - a["fore"] + repeats.LENGTH
+    parts = [np.frombuffer(r[5], np.uint8)[b : b + z] for r, b, z in zip(runs, a["at"] - a["back"], a["size"])]
+    a["text"] = np.concatenate(parts)
+    want = None
+    for limit in (300, 5000, 1 << 20):
+        monkeypatch.setattr(repeats, "COMPARED_BYTES", limit)
+        owner, start, stop = repeats.later_windows(a)
+        spans = repeats.merged_spans(a["id"][owner], start, stop)
+        got = sorted(zip(*(x.tolist() for x in spans)))
+        want = want or got
+        assert got == want and len(got) > 50
