@@ -1,14 +1,15 @@
 """Approximate nearest neighbours by a block matrix join with proven bounds, so that the result is exact.
 
 Vectors are dealt into blocks of bounded size. Each block of queries meets each block of vectors in one task, where int8
-copies are multiplied as tiles. A vector is its scale times its copy plus a rest; with the length of the rests, the true
+copies are multiplied as tiles, in pieces whose sums single precision holds exactly. Each vector is first divided by a power
+of two, so that no size overflows. A vector is its scale times its copy plus a rest; with the length of the rests, the true
 product lies within a known distance of the tile's. Pairs whose upper bound falls below the k-th largest lower bound are
 out; the others are multiplied again in double precision, and the k best of a block are merged with those of other blocks
 by heaps, a bounded number of blocks at a time.
 
 Vectors that are null, zero, empty or hold null or non-finite components take no part; only vectors of equal length meet.
 Ties go to the smaller vec_id. Equal rows count once; different vectors under one vec_id are candidates each, but not of a
-query with that id, and as queries their lists are merged. A table without queries gives an empty result; other columns
+query with that id, and as queries their lists are merged. Products beyond the range of doubles are infinite. A table without queries gives an empty result; other columns
 are not read.
 """
 
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -30,6 +32,8 @@ QUERY_BLOCK = 2048
 FAN_IN = 64
 #: Rows of queries in one tile.
 TILE = 256
+#: Components whose int8 products add up to less than 2^24, which single precision holds exactly.
+EXACT_SUM = 1024
 FOUND = "query_id long, part int, ids array<long>, scores array<double>"
 
 
@@ -50,15 +54,33 @@ def quantized(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return copies.astype(np.int8).astype(np.float32), scale, np.linalg.norm(near, axis=1), np.linalg.norm(vectors - near, axis=1)
 
 
+def to_unit(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The vectors divided by powers of two so that their largest components lie from 0.5 to 1, and the exponents."""
+    exponents = np.frexp(np.abs(vectors).max(axis=1))[1]
+    return np.ldexp(vectors, -exponents[:, None]), exponents
+
+
+def tile_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The whole-number products of int8 copies, exact for any number of components."""
+    out = np.zeros((len(a), len(b)))
+    for at in range(0, a.shape[1], EXACT_SUM):
+        out += a[:, at : at + EXACT_SUM] @ b[:, at : at + EXACT_SUM].T
+    return out
+
+
 def best_of_block(queries: np.ndarray, query_ids: np.ndarray, base: np.ndarray, base_ids: np.ndarray, k: int) -> Iterator[tuple[int, list, list]]:
     """The k best of ``base`` for each query: (query id, ids, scores), best first."""
-    q, q_scale, q_near, q_rest = quantized(queries)
-    b, b_scale, b_near, b_rest = quantized(base)
-    b_length = np.linalg.norm(base, axis=1)
-    q_length = np.linalg.norm(queries, axis=1)
+    unit_queries, _ = to_unit(queries)
+    unit_base, exponents = to_unit(base)
+    weight = np.ldexp(1.0, exponents - exponents.max())
+    q, q_scale, q_near, q_rest = quantized(unit_queries)
+    b, b_scale, b_near, b_rest = quantized(unit_base)
+    b_length = np.linalg.norm(unit_base, axis=1)
+    q_length = np.linalg.norm(unit_queries, axis=1)
+    b_scale, b_near, b_rest, b_length = b_scale * weight, b_near * weight, b_rest * weight, b_length * weight
     for at in range(0, len(q), TILE):
         rows = slice(at, at + TILE)
-        near = (q[rows] @ b.T).astype(np.float64) * q_scale[rows, None] * b_scale
+        near = tile_products(q[rows], b) * q_scale[rows, None] * b_scale
         bound = q_rest[rows, None] * b_length + q_near[rows, None] * b_rest + 1e-9 * (q_length[rows, None] * b_length)
         own = query_ids[rows, None] == base_ids
         low = np.where(own, -np.inf, near - bound)
@@ -74,7 +96,7 @@ def best_of_block(queries: np.ndarray, query_ids: np.ndarray, base: np.ndarray,
 def merged(parts: list[tuple[list, list]], k: int) -> tuple[list, list]:
     """The k best of lists that are each sorted best first."""
     lists = [[(-score, i) for i, score in zip(ids, scores, strict=True)] for ids, scores in parts]
-    best = heapq.nsmallest(k, heapq.merge(*lists))
+    best = list(islice(heapq.merge(*lists), k))
     return [i for _, i in best], [-s for s, _ in best]
 
 
@@ -104,9 +126,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, column: str = "embed
         return found_frame([(q, int(key[1]), ids, scores) for q, ids, scores in found])
 
     rows = left.groupBy(*tile).cogroup(right.groupBy(*tile)).applyInPandas(search, FOUND)
-    while blocks > 1:
+    while True:  # also with one block, as several rows may ask under one id
         blocks = groups_for(blocks, FAN_IN)
         rows = merge_parts(rows, k)
+        if blocks == 1:
+            break
     rows = rows.select("query_id", F.posexplode(F.arrays_zip("ids", "scores")).alias("rank", "hit"))
     return rows.select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("hit.ids").alias("vec_id"), F.col("hit.scores").alias("score"))
 
