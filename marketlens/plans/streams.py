@@ -91,14 +91,14 @@ def _(t: Tables):
     c AS (SELECT market_id, side, b, count(*) AS fills, sum(notional) AS notional, sum(price) AS ps FROM f GROUP BY 1, 2, 3),
     w AS (SELECT market_id, side, b + 1 + k AS e, sum(fills) AS fills, sum(notional) AS notional, sum(ps) / sum(fills) AS mean_price FROM c, range(0, 96) r(k) GROUP BY 1, 2, 3)
     SELECT make_timestamp(e * 900000000) AS window_end, market_id, side, fills, notional, mean_price, fills >= 8 AS enough_fills FROM w
-    WHERE e * 900000000 <= (SELECT epoch_us(max(ts)) FROM events) - 86400000000""",
+    WHERE e <= (SELECT max(b) + 1 FROM f WHERE (b + 1) * 900000000 <= (SELECT epoch_us(max(ts)) FROM events) - 86400000000)""",
     dbl="notional mean_price",
     big="fills",
 )
 def _(t: Tables):
     root = _folder(t, "flow")
-    _finish(jobs.stream_market_flow(_trades(t), f"{root}/out", f"{root}/ckpt", **ONCE))
-    return t.spark.read.parquet(f"{root}/out")
+    _finish(jobs.stream_market_flow(_trades(t), f"{root}/out", f"{root}/cells", f"{root}/ckpt", **ONCE))
+    return t.spark.read.parquet(f"{root}/out").drop("batch")
 
 
 def _requests(rows):

@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -22,6 +23,7 @@ from marketlens.functions.text import page_path
 from marketlens.operators import movement, ops, settle
 from marketlens.operators.evidence import MIN_FILLS
 from marketlens.operators.web import is_page
+from marketlens.sources.daytables import days_of
 from marketlens.sources.tables import BucketedState, keyed_upsert
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -35,6 +37,7 @@ CLOSING_STATE = (
 CLOSED_STATE = "event_id bigint, closing_captured_at timestamp"
 STALL_STATE = "provider string, kind string, announced_at timestamp"
 STALL_REPEAT_MINUTES = 60
+FLOW_SPAN, FLOW_STEP = 24 * 3_600_000_000, 900_000_000
 #: Logarithm of the registers of a visitor sketch: 4,096 give a standard error of 1.04 / 64.
 VISITOR_SKETCH = 12
 #: Buckets of the jobs that keep many small keys; more keys want more of them.
@@ -171,32 +174,65 @@ def stream_trade_tape(trades: DataFrame, path: str, checkpoint: str, **trigger)
     return writer.trigger(**(trigger or {"processingTime": "5 minutes"})).start()
 
 
-def rolling_market_flow(fills: DataFrame, delay: str = TRADE_DELAY) -> DataFrame:
-    """24-hour flow per (market, side) every 15 minutes.
-
-    Fills are folded to 15-minute cells first, so the 96 overlapping windows copy cells and not fills.
-    """
+def flow_cells(fills: DataFrame, delay: str = TRADE_DELAY) -> DataFrame:
+    """Sums of each quarter of an hour per (market, side), given once when no fill of it can come any more."""
     cells = (
         fills.withWatermark("traded_at", delay)
         .groupBy(F.window("traded_at", "15 minutes"), "market_id", "side")
         .agg(F.count(F.lit(1)).alias("fills"), F.sum("notional").alias("notional"), F.sum("price").alias("price_sum"))
     )
-    rolled = cells.groupBy(F.window(F.window_time("window"), "24 hours", "15 minutes").alias("w"), "market_id", "side").agg(
-        F.sum("fills").alias("fills"), F.sum("notional").alias("notional"), F.sum("price_sum").alias("price_sum")
-    )
-    return rolled.select(
-        F.col("w.end").alias("window_end"),
-        "market_id",
-        "side",
-        "fills",
-        "notional",
-        (F.col("price_sum") / F.col("fills")).alias("mean_price"),
-        (F.col("fills") >= MIN_FILLS).alias("enough_fills"),
-    )
+    return cells.select("market_id", "side", F.unix_micros("window.end").alias("at"), "fills", "notional", "price_sum")
+
+
+def rolled_flow(cells: DataFrame, after: int | None, until: int, span: int = FLOW_SPAN, step: int = FLOW_STEP) -> DataFrame:
+    """24-hour flow per (market, side) at every quarter of an hour after ``after`` up to ``until``, where there is any.
+
+    A cell counts from its end until a day later, so it adds its sums at one time and takes them off at another; running
+    sums of these changes hold until the next one. ``cells`` reach back one day before ``after``.
+    """
+    values = ["fills", "notional", "price_sum"]
+    off = cells.select("market_id", "side", (F.col("at") + span).alias("at"), *[(-F.col(c)).alias(c) for c in values])
+    changes = cells.select(*off.columns).unionByName(off).filter(F.col("at") <= until)
+    changes = changes.groupBy("market_id", "side", "at").agg(*[F.sum(c).alias(c) for c in values])
+    by_time = W.partitionBy("market_id", "side").orderBy("at")
+    sums = [F.sum(c).over(by_time.rowsBetween(W.unboundedPreceding, 0)).alias(c) for c in values]
+    held = changes.select("market_id", "side", "at", *sums, (F.coalesce(F.lead("at").over(by_time), F.lit(until + step)) - step).alias("last"))
+    held = held.filter(F.col("fills") > 0)
+    if after is not None:
+        held = held.withColumn("at", F.greatest("at", F.lit(after + step))).filter(F.col("at") <= F.col("last"))
+    marks = held.withColumn("at", F.explode(F.sequence("at", "last", F.lit(step).cast("bigint"))))
+    return marks.select(
+        F.timestamp_micros("at").alias("window_end"), "market_id", "side", "fills", "notional",
+        (F.col("price_sum") / F.col("fills")).alias("mean_price"), (F.col("fills") >= MIN_FILLS).alias("enough_fills"),
+    )
+
+
+def stream_market_flow(fills: DataFrame, path: str, cells_path: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Appends the 24-hour flow of every quarter of an hour, once all its fills are in.
 
+    The state is one row per cell, in folders by day: a batch adds its cells and reads those of the day before. Cells come
+    in order of time, all of one end together, so the windows up to the newest cell are complete.
+    """
+    spark = fills.sparkSession
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        rows = batch.withColumn("day", F.to_date(F.timestamp_micros("at"))).withColumn("batch", F.lit(batch_id)).persist()
+        first, until = rows.agg(F.min("at"), F.max("at")).first()
+        if until is not None:
+            rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch").parquet(cells_path)
+            cells = spark.read.parquet(cells_path).filter(F.col("batch") <= batch_id)
+            older, after = cells.filter(F.col("batch") < batch_id), None
+            for day in reversed(days_of(spark, cells_path)):  # ends at the newest day of an older batch
+                after = older.filter(F.col("day") == F.lit(day)).agg(F.max("at")).first()[0]
+                if after is not None:
+                    break
+            since = first if after is None else min(first, after - FLOW_SPAN)
+            kept = cells.filter((F.col("day") >= F.to_date(F.timestamp_micros(F.lit(since)))) & (F.col("at") >= since))
+            kept = kept if after is None else kept.filter(F.col("at") > after - FLOW_SPAN)
+            rolled_flow(kept, after, until).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        rows.unpersist()
 
-def stream_market_flow(fills: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
-    return _append(rolling_market_flow(fills), path, checkpoint, trigger or {"processingTime": "15 minutes"})
+    return _start(flow_cells(fills), handle, checkpoint, trigger or {"processingTime": "15 minutes"})
 
 
 def rolling_steam(quotes: DataFrame, delay: str = QUOTE_DELAY, span: str = "6 hours", step: str = "1 hour") -> DataFrame:

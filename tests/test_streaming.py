@@ -183,6 +183,31 @@ def test_steam_window(spark, tmp_path):
     assert row["books"] == 3 and row["steam_score"] == 1.0
 
 
+def test_flow_over_batches(spark, tmp_path):
+    """Windows of several micro-batches and a restart, with gaps of more than a day, against sums by definition."""
+    rng = random.Random(4)
+    schema = "market_id bigint, side string, price double, notional double, traded_at timestamp"
+    hours = [0, 5, 20, 60, 61, 90, 200, 260]
+    batches = [[(rng.randrange(2), rng.choice(["yes", "no"]), rng.random(), 10.0 * rng.random(), BASE + timedelta(hours=h, minutes=rng.randrange(300))) for _ in range(9)] for h in hours]
+    src, args = str(tmp_path / "in"), (f"{tmp_path}/o", f"{tmp_path}/cells", f"{tmp_path}/c")
+    stream = source(spark, src, batches[:5], schema)
+    jobs.stream_market_flow(stream, *args, **ONE_FILE).awaitTermination()
+    deliver(spark, src, batches[5:], schema, 5)
+    jobs.stream_market_flow(stream, *args, **ONE_FILE).awaitTermination()
+    step = timedelta(minutes=15)
+    fills = [(m, s, p, n, BASE + step * ((t - BASE) // step + 1)) for batch in batches for m, s, p, n, t in batch]
+    final = max(t for *_, t in fills if t <= max(r[4] for batch in batches for r in batch) - timedelta(hours=24))
+    want = {}
+    for m, s, p, n, end in fills:
+        for k in range(96):
+            if end + k * step <= final:
+                cell = want.setdefault((end + k * step, m, s), [0, 0.0, 0.0])
+                cell[0], cell[1], cell[2] = cell[0] + 1, cell[1] + n, cell[2] + p
+    rows = spark.read.parquet(f"{tmp_path}/o").collect()
+    got = {(r["window_end"], r["market_id"], r["side"]): (r["fills"], round(r["notional"], 6), round(r["mean_price"], 6)) for r in rows}
+    assert len(rows) == len(got) and got == {k: (c, round(n, 6), round(p / c, 6)) for k, (c, n, p) in want.items()}
+
+
 def test_table_writes(spark, tmp_path):
     old = spark.createDataFrame([(1, "a", True), (2, "b", False)], "k bigint, v string, keep boolean")
     new = spark.createDataFrame([(2, "c", True), (3, "d", True), (3, "d", True)], "k bigint, v string, keep boolean")
