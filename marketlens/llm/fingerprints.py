@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 SHINGLE = 5
 SKETCH = 128
 #: Documents of one ordered window, on average.
+MOST_RANGES = 4096
 WINDOW_ROWS = 2000
 BLANKS = r"[ \t-\r]+"
 
@@ -75,15 +76,36 @@ def sketched(df: DataFrame, text: str, to: str, width: int = SHINGLE, k: int = S
     return out.select(*[F.col(f"`{c}`") for c in names], bottom(F.col("_shingles"), k).alias(to))
 
 
-def with_next(docs: DataFrame, columns: list[str], rows_per_window: int = WINDOW_ROWS) -> DataFrame:
-    """``docs`` with ``next_<column>`` of the row that follows by doc_id (nulls first, ties by text), the first after the last.
+def ranges_of(docs: DataFrame, rows_per_window: int) -> Column:
+    """A number that rises with (doc_id, nulls first, hash of the text) and that about ``rows_per_window`` rows share.
+
+    Ids are cut at quantiles, so clumps of ids are spread as well. An id that is such a cut, or null, has a range of its own,
+    split by the hash of the text in case many rows bear it.
+    """
+    rows = docs.count()
+    count = min(MOST_RANGES, rows // max(1, rows_per_window))
+    parts = [(k + 1) / (count + 1) for k in range(count)]
+    found = docs.agg(F.percentile_approx("doc_id", parts, F.lit(8 * MOST_RANGES))).first()[0] if count else None
+    cuts = sorted(set(found or []))
+    where = F.lit(0)
+    if cuts:
+        array = F.split(F.lit(",".join(map(str, cuts))), ",").cast("array<bigint>")
+        steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(cuts).bit_length()))])
+        below = F.aggregate(  # a binary search for the number of cuts below the id
+            steps, F.lit(0), lambda at, step: F.when((at + step <= len(cuts)) & (F.try_element_at(array, at + step) < F.col("doc_id")), at + step).otherwise(at)
+        )
+        where = 2 * below + F.coalesce(F.try_element_at(array, below + 1) == F.col("doc_id"), F.lit(False)).cast("int")
+    piece = F.shiftright(F.xxhash64("text"), 58) + 32
+    own = F.col("doc_id").isNull() | (where % 2 == 1)
+    return (F.when(F.col("doc_id").isNull(), -1).otherwise(where) * 64 + F.when(own, piece).otherwise(0)).cast("long")
 
-    Ids are cut into ranges of about ``rows_per_window`` rows; the last row of a range looks up the first of the next.
+
+def with_next(docs: DataFrame, columns: list[str], rows_per_window: int = WINDOW_ROWS) -> DataFrame:
+    """``docs`` with ``next_<column>`` of the row that follows by doc_id (nulls first, ties by hash of the text), the first
+    after the last. Inside a range that is a window; the last row of a range looks up the first of the next.
     """
-    low, high, rows = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1))).first()
-    width = max(1, ((high or 0) - (low or 0) + 1) * rows_per_window // max(1, rows))
-    place = F.coalesce(F.floor((F.col("doc_id") - F.lit(low or 0)) / width), F.lit(-1)).cast("long")
-    inside = Window.partitionBy("_range").orderBy(F.asc_nulls_first("doc_id"), "text")
+    place = ranges_of(docs, rows_per_window)
+    inside = Window.partitionBy("_range").orderBy(F.asc_nulls_first("doc_id"), F.xxhash64("text"), "text")
     follow = F.lead(F.struct(*columns)).over(inside)
     dealt = docs.withColumn("_range", place)
     ranked = dealt.select("*", F.row_number().over(inside).alias("_rank"), follow.alias("_next"))

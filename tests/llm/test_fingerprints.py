@@ -63,3 +63,21 @@ def test_odd_cases(odd, empty):
     assert fp.document_fingerprints(empty).count() == 0
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_clumped_and_null_ids_are_spread(spark):
+    """Ids in clumps with one far away, ids that many rows bear, and null ids: no range takes more than its share."""
+    ids = [*range(2000), *range(10**9, 10**9 + 500), 10**15, *[77] * 800, *[None] * 1200]
+    rows = [(i, f"text {k}") for k, i in enumerate(ids)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    sizes = sorted(r["count"] for r in docs.groupBy(fp.ranges_of(docs, 100).alias("r")).count().collect())
+    assert len(sizes) > 60 and sizes[-1] <= 400
+    found = fp.with_next(docs, ["doc_id", "text"], rows_per_window=100).collect()
+    follow = {r["text"]: r["next_text"] for r in found}
+    assert len(found) == len(rows) and len(set(follow.values())) == len(rows)
+    by_text = {t: i for i, t in rows}
+    order, at = [], next(t for i, t in rows if i == 10**15)
+    for _ in rows:
+        at = follow[at]
+        order.append(by_text[at])
+    assert order == sorted(ids, key=lambda i: (i is not None, i or 0))
