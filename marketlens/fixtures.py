@@ -537,8 +537,8 @@ FROM tot t JOIN lead l ON l.market_id = t.market_id JOIN u ON u.market_id = t.ma
 """
 PROJECTIONS["ref_pairs"] = """
 WITH live AS (SELECT * FROM fx_prediction_markets WHERE status = 'open' AND last_price > 0)
-SELECT market_id, other_price FROM (
-  SELECT m.market_id, o.last_price AS other_price, row_number() OVER (PARTITION BY m.market_id ORDER BY o.market_id) AS rn
+SELECT market_id, other_price, other_venue FROM (
+  SELECT m.market_id, o.last_price AS other_price, o.venue AS other_venue, row_number() OVER (PARTITION BY m.market_id ORDER BY o.market_id) AS rn
   FROM fx_prediction_markets m JOIN live o ON o.question = m.question AND o.venue <> m.venue) t WHERE rn = 1
 """
 PROJECTIONS["ref_evidence"] = """

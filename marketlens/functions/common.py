@@ -31,6 +31,12 @@ def pct_text(x: Column) -> Column:
     return F.format_string("%.1f%%", x * 100.0)
 
 
+def number_text(x: Column, places: int = 2) -> Column:
+    """A number of up to so many decimal places, without zeros at its end."""
+    text = F.format_string(f"%.{places}f", x)
+    return F.regexp_replace(F.regexp_replace(text, "0+$", ""), r"\.$", "")
+
+
 def count_if(cond: Column) -> Column:
     """Number of rows where ``cond`` holds (0 on an empty group)."""
     return F.count(F.when(cond, F.lit(1)))

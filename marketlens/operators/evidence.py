@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from marketlens.functions.common import clamp, count_if, first_rows, js_round, minus_hours, pct_text
+from marketlens.functions.common import clamp, count_if, first_rows, js_round, minus_hours, number_text, pct_text
 from marketlens.operators.ordered import lagged
 
 WINDOW_HOURS = 24
@@ -131,7 +131,7 @@ def _toward_leader(x: Column) -> Column:
 def flow_imbalance() -> Column:
     share = F.col("side_notional") / F.col("total_notional")
     text = F.concat(
-        pct_text(share), F.lit(" of $"), js_round(F.col("total_notional"), 2).cast("string"),
+        pct_text(share), F.lit(" of $"), number_text(js_round(F.col("total_notional"), 2)),
         F.lit(" traded in 24h bought "), F.col("side"),
     )
     return _item(
@@ -168,7 +168,7 @@ def price_trend() -> Column:
 
 def liquidity() -> Column:
     value = F.col("liquidity")
-    text = F.concat(F.lit("$"), js_round(value, 2).cast("string"), F.lit(" resting liquidity"))
+    text = F.concat(F.lit("$"), number_text(js_round(value, 2)), F.lit(" resting liquidity"))
     return _item("liquidity", value, F.lit(0.0), F.lit(1), 24, text, places=2)
 
 
@@ -199,7 +199,7 @@ def ladder_signal() -> Column:
     gap = F.col("ladder_gap")
     text = F.concat(
         F.lit("priced "), pct_text(F.col("ladder_price")), F.lit(" against "), pct_text(F.col("versus_price")),
-        F.lit(" for the easier "), F.col("versus_strike").cast("string"),
+        F.lit(" for the easier "), number_text(F.col("versus_strike").cast("double"), 6),
     )
     return F.when(gap.isNotNull(), _item("ladder_incoherence", gap, _signal(-_toward_leader(gap)), F.lit(2), 0, text))
 
@@ -219,12 +219,13 @@ def schedule_signal() -> Column:
     return F.when(fired, item)
 
 
-def steam_signal() -> Column:
-    """Needs ``steam_score`` and ``move_from_open_pct`` of the outcome's own selection."""
+def steam_signal(team: Column | None = None) -> Column:
+    """Needs ``steam_score`` and ``move_from_open_pct`` of the outcome's own selection; ``team`` names the outcome."""
+    team = F.col("outcome") if team is None else team
     score, move = F.col("steam_score"), F.col("move_from_open_pct")
     toward = _toward_leader(F.when(move < 0, F.lit(1.0)).otherwise(F.lit(-1.0)))
     text = F.concat(
-        F.lit("books moved together "), F.when(move > 0, "against").otherwise("toward"), F.lit(" "), F.col("outcome"),
+        F.lit("books moved together "), F.when(move > 0, "against").otherwise("toward"), F.lit(" "), team,
         F.lit(" ("), pct_text(score), F.lit(" consensus)"),
     )
     fired = (score > 0) & (F.abs(move) > 0.1) & F.col("outcome").isin("home", "away")
@@ -237,7 +238,7 @@ def mismatch_signal() -> Column:
     fired = (confidence > 0) & (F.abs(edge) > 0.01) & F.col("outcome").isin("home", "away")
     item = _item(
         "squad_mismatch", edge, _signal(_toward_outcome(edge) * confidence * 0.06), F.size("mismatch_reasons"), 0,
-        F.array_join("mismatch_reasons", "; "),
+        F.coalesce(F.nullif(F.array_join("mismatch_reasons", "; "), F.lit("")), F.lit("Fundamentals favour one side")),
     )
     return F.when(fired, item)
 
@@ -271,7 +272,7 @@ def with_cross_venue(flow: DataFrame, pairs: DataFrame) -> DataFrame:
 def with_ladder(flow: DataFrame, violations: DataFrame) -> DataFrame:
     """Adds the widest violation in which this market is the rung priced too high."""
     worst = violations.groupBy("market_id").agg(
-        F.max_by(F.struct("gap", "price", "versus_price", "versus_strike"), "gap").alias("v")
+        F.max(F.struct("gap", "versus_strike", "price", "versus_price")).alias("v")
     )
     return flow.join(
         worst.select(

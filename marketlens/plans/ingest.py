@@ -219,11 +219,17 @@ def _(t: Tables):
     return tapes.normalise_trades_b(raw).drop("venue")
 
 
-@query("trade_tape", "SELECT count(DISTINCT trade_id) AS trades, count(DISTINCT ticker) AS markets FROM fx_raw_trades WHERE count_fp <> 'n/a'")
+@query(
+    "trade_tape",
+    """SELECT external_id, market_external_id, side, price, size, traded_at FROM (SELECT *, row_number() OVER (PARTITION BY external_id ORDER BY traded_at, market_external_id, side, price, size) AS rn FROM (
+      SELECT trade_id AS external_id, ticker AS market_external_id, taker_side AS side, CAST(CASE WHEN taker_side = 'no' THEN no_price_dollars ELSE yes_price_dollars END AS DOUBLE) AS price, CAST(count_fp AS DOUBLE) AS size,
+             make_timestamp(epoch_us(created_at) // 1000000 * 1000000) AS traded_at FROM fx_raw_trades WHERE count_fp <> 'n/a') r) k WHERE rn = 1""",
+    dbl="price size",
+)
 def _(t: Tables):
     raw = t("fx_raw_trades").withColumn("created_time", F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
     rows = tapes.deduplicate_trades(tapes.normalise_trades_a(raw))
-    return rows.agg(F.count(F.lit(1)).alias("trades"), F.count_distinct("market_external_id").alias("markets"))
+    return rows.select("external_id", "market_external_id", "side", "price", "size", "traded_at")
 
 
 @query(
@@ -444,6 +450,13 @@ def _(t: Tables):
     return tables.verified_copy(source, target, ["c_custkey"])[1]
 
 
+@query("verified_copy_rows", "SELECT c_custkey, c_name FROM customer WHERE c_custkey % 3 <> 0")
+def _(t: Tables):
+    source = t("customer")
+    target = source.filter(F.col("c_custkey") % 3 == 0).select("c_custkey", "c_name", F.lit(1).alias("extra"))
+    return tables.verified_copy(source, target, ["c_custkey"])[0].select("c_custkey", "c_name")
+
+
 @query(
     "merge_named_identity",
     """WITH k AS (SELECT sport_id, search_key, min(team_id) AS id FROM fx_clubs GROUP BY 1, 2),

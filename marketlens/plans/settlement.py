@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from marketlens.fixtures import Tables
 from marketlens.operators import evidence, fair, movement, schedule, settle
 from marketlens.plans.quotes import MOVEMENT_SQL, _fair, quotes_as_of
-from marketlens.plans.tape import flow_rows
+from marketlens.plans.tape import _number, _pct, flow_rows
 from marketlens.registry import query
 
 CLOSE_AT = "timestamp '1998-01-01 00:00:00'"
@@ -329,7 +329,8 @@ STEAM_WINDOW = 4320
     steam AS (SELECT m.selection_id, m.move, CASE WHEN s.share >= 0.6 THEN (s.share - 0.6) / 0.4 ELSE 0 END AS score FROM main m JOIN share s ON s.selection_id = m.selection_id),
     pick AS (SELECT event_id, side, min(selection_id) AS selection_id FROM fx_selections WHERE market_type = 'h2h' GROUP BY 1, 2)
     SELECT f.market_id, 'steam' AS kind, floor(s.score * 10000 + 0.5) / 10000 AS value,
-       {_signal4("CASE WHEN f.side = 'yes' THEN 1 ELSE -1 END * CASE WHEN s.move < 0 THEN 1 ELSE -1 END * s.score * 0.05")} AS contribution
+       {_signal4("CASE WHEN f.side = 'yes' THEN 1 ELSE -1 END * CASE WHEN s.move < 0 THEN 1 ELSE -1 END * s.score * 0.05")} AS contribution,
+       concat('books moved together ', CASE WHEN s.move > 0 THEN 'against' ELSE 'toward' END, ' ', CASE WHEN f.market_id % 2 = 0 THEN concat('Team ', f.market_id) ELSE x.outcome END, ' (', {_pct('s.score')}, ' consensus)') AS summary
     FROM ref_flow f JOIN fx_market_fixtures x ON x.market_id = f.market_id JOIN pick p ON p.event_id = x.event_id AND p.side = x.outcome
       JOIN steam s ON s.selection_id = p.selection_id WHERE s.score > 0 AND abs(s.move) > 0.1 AND x.outcome IN ('home', 'away')""",
     dbl="value contribution",
@@ -345,16 +346,19 @@ def _(t: Tables):
     log = t("fx_snapshots").join(chosen.select("selection_id"), "selection_id", "left_semi")
     moves = movement.movement_features(log, quotes_as_of(t), window_hours=STEAM_WINDOW)
     rows = chosen.join(moves.select("selection_id", "steam_score", "move_from_open_pct"), "selection_id")
-    return evidence.signal_rows(rows, evidence.steam_signal()).select("market_id", "kind", "value", "contribution")
+    team = F.when(F.col("market_id") % 2 == 0, F.concat(F.lit("Team "), F.col("market_id").cast("string")))
+    rows = rows.withColumn("outcome_team", team)
+    return evidence.signal_rows(rows, evidence.steam_signal(F.coalesce("outcome_team", "outcome"))).select("market_id", "kind", "value", "contribution", "summary")
 
 
 @query(
     "sig_ladder",
-    """WITH m AS (SELECT event_id % 25 AS market_id, max(event_id) AS event_id FROM fx_events GROUP BY 1),
-    r AS (SELECT *, price - lag(price) OVER (PARTITION BY series, fixture ORDER BY strike, ticker_id) AS gap FROM fx_ladder),
-    w AS (SELECT ticker_id % 25 AS market_id, max(gap) AS gap FROM r WHERE gap >= 0.01 GROUP BY 1)
+    f"""WITH m AS (SELECT event_id % 25 AS market_id, max(event_id) AS event_id FROM fx_events GROUP BY 1),
+    r AS (SELECT *, price - lag(price) OVER k AS gap, lag(price) OVER k AS price0, lag(strike) OVER k AS strike0 FROM fx_ladder WINDOW k AS (PARTITION BY series, fixture ORDER BY strike, ticker_id)),
+    w AS (SELECT ticker_id % 25 AS market_id, max(gap) AS gap, arg_max(strike0, (gap, strike0, price, price0)) AS strike0, arg_max(price, (gap, strike0, price, price0)) AS price, arg_max(price0, (gap, strike0, price, price0)) AS price0 FROM r WHERE gap >= 0.01 GROUP BY 1)
     SELECT f.market_id, 'ladder_incoherence' AS kind, floor(w.gap * 10000 + 0.5) / 10000 AS value,
-       floor(greatest(-0.08, least(0.08, CASE WHEN f.side = 'yes' THEN -w.gap ELSE w.gap END)) * 10000 + 0.5) / 10000 AS contribution
+       floor(greatest(-0.08, least(0.08, CASE WHEN f.side = 'yes' THEN -w.gap ELSE w.gap END)) * 10000 + 0.5) / 10000 AS contribution,
+       concat('priced ', {_pct('w.price')}, ' against ', {_pct('w.price0')}, ' for the easier ', {_number('w.strike0')}) AS summary
     FROM ref_flow f JOIN w ON w.market_id = f.market_id""",
     dbl="value contribution",
 )
@@ -363,4 +367,4 @@ def _(t: Tables):
     found = evidence.ladder_incoherence(rungs, ["series", "fixture"])
     per_market = found.withColumn("market_id", F.col("market_id") % 25)
     rows = evidence.with_ladder(flow_rows(t), per_market)
-    return evidence.signal_rows(rows, evidence.ladder_signal()).select("market_id", "kind", "value", "contribution")
+    return evidence.signal_rows(rows, evidence.ladder_signal()).select("market_id", "kind", "value", "contribution", "summary")

@@ -123,29 +123,53 @@ def _(t: Tables):
     return flow_rows(t)
 
 
-def _register_signal(name: str, kind: str, make, prepare=None, known: bool = False):
-    fills, rows = ("fx_known_fills", "ref_known_evidence") if known else ("fx_trades", "ref_evidence")
-    sql = f"SELECT * FROM {rows} WHERE kind = '{kind}'"
+def _pct(expr: str) -> str:
+    return f"printf('%.1f%%', floor(({expr}) * 1000 + 0.5) / 10)"
+
+
+def _number(expr: str) -> str:
+    return f"regexp_replace(regexp_replace(printf('%.2f', floor(({expr}) * 100 + 0.5) / 100), '0+$', ''), '\\.$', '')"
+
+
+def _register_signal(name: str, kind: str, make, summary: str, prepare=None, known: bool = False):
+    fills, mark = ("fx_known_fills", "ref_known_") if known else ("fx_trades", "ref_")
+    sql = f"""SELECT e.*, concat({summary}) AS summary FROM {mark}evidence e JOIN {mark}flow f ON f.market_id = e.market_id
+    LEFT JOIN {mark}pairs p ON p.market_id = e.market_id WHERE e.kind = '{kind}'"""
 
     @query(name, sql, dbl="value contribution")
     def _(t: Tables):
         flow = flow_rows(t, fills)
         if prepare is not None:
             flow = prepare(flow, t)
-        return evidence.signal_rows(flow, make()).drop("summary")
+        return evidence.signal_rows(flow, make())
 
 
 def _with_pairs(flow, t: Tables):
     return evidence.with_cross_venue(flow, tape.cross_venue_pairs(t("fx_prediction_markets")))
 
 
-_register_signal("sig_flow_imbalance", "flow_imbalance", evidence.flow_imbalance)
-_register_signal("sig_smart_money", "smart_money", evidence.smart_money)
-_register_signal("sig_trader_accuracy", "trader_accuracy", evidence.trader_accuracy, known=True)
-_register_signal("sig_price_trend", "price_trend", evidence.price_trend)
-_register_signal("sig_liquidity", "liquidity", evidence.liquidity)
-_register_signal("sig_reverse_line", "reverse_line_move", evidence.reverse_line)
-_register_signal("sig_cross_venue", "cross_venue", evidence.cross_venue, _with_pairs)
+SHARE = _pct("f.side_notional / f.total_notional")
+OTHER = _pct("CASE WHEN f.side = 'yes' THEN p.other_price ELSE 1 - p.other_price END")
+SHRUNK = _pct("(f.side_wins + 3.0) / (f.side_resolved + 6.0)")
+_register_signal("sig_flow_imbalance", "flow_imbalance", evidence.flow_imbalance, f"{SHARE}, ' of $', {_number('f.total_notional')}, ' traded in 24h bought ', f.side")
+_register_signal("sig_smart_money", "smart_money", evidence.smart_money, f"'accuracy-weighted flow puts ', {_pct('f.side_smart / f.smart_total')}, ' behind ', f.side")
+_register_signal(
+    "sig_trader_accuracy", "trader_accuracy", evidence.trader_accuracy,
+    f"'buyers of ', f.side, ' are ', f.side_wins, '/', f.side_resolved, ' on settled markets (', {SHRUNK}, ' shrunk)'", known=True,
+)
+_register_signal(
+    "sig_price_trend", "price_trend", evidence.price_trend,
+    f"f.side, ' traded at ', {_pct('f.side_price_recent')}, ' in the last 4h vs ', {_pct('f.side_price_mean')}, ' over 24h'",
+)
+_register_signal("sig_liquidity", "liquidity", evidence.liquidity, f"'$', {_number('f.liquidity')}, ' resting liquidity'")
+_register_signal(
+    "sig_reverse_line", "reverse_line_move", evidence.reverse_line,
+    f"{SHARE}, ' of flow bought ', f.side, ' while its price fell ', {_pct('abs(f.late_price - f.early_price)')}",
+)
+_register_signal(
+    "sig_cross_venue", "cross_venue", evidence.cross_venue,
+    f"p.other_venue, ' prices ', f.side, ' at ', {OTHER}, ' vs ', {_pct('f.market_price')}, ' here'", _with_pairs,
+)
 
 
 @query(

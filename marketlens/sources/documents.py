@@ -237,6 +237,7 @@ def game_summary(documents: DataFrame) -> DataFrame:
     )
 
 
+# What pages say that ask for proof of a person.
 CHALLENGE = r"(?i)captcha|access denied|unusual traffic|automated (access|requests)|cf-chl-"
 
 

@@ -59,8 +59,11 @@ def normalise_trades_b(raw: DataFrame, venue: str = "b") -> DataFrame:
 
 
 def deduplicate_trades(trades: DataFrame) -> DataFrame:
-    """Insert-or-ignore on (venue, external id)."""
-    return trades.dropDuplicates(["venue", "external_id"])
+    """Insert-or-ignore on (venue, external id): the earliest fill of each stays, ties by the other columns."""
+    keys = ["venue", "external_id"]
+    rest = sorted((c for c in trades.columns if c not in keys), key=lambda c: c != "traded_at")
+    first = trades.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("fill"))
+    return first.select(*[c if c in keys else F.col(f"fill.{c}").alias(c) for c in trades.columns])
 
 
 MARKET_A_SCHEMA = (
