@@ -324,6 +324,18 @@ def _(t: Tables):
     return index.search("ABLE").select("page_id", "url")
 
 
+@query(
+    "indexed_log_search",
+    """SELECT id, status, executed_at FROM fx_query_rows WHERE status = 'slow' AND contains(lower(query || model || method || affected_tables), 'from t3')""",
+)
+def _(t: Tables):
+    """Log rows by text and status: the text by way of the trigram index."""
+    fields = ["query", "model", "method", "affected_tables"]
+    index = TrigramIndex(t.spark, shared_path(t.spark, f"log-index-{uuid.uuid4().hex}"), "id", fields, parts=16, shards=16)
+    index.build(t("fx_query_rows"))
+    return L.query_log_search(index.search("From T3"), status="slow").select("id", "status", "executed_at")
+
+
 @query(
     "pressure_samples",
     f"""SELECT * FROM (SELECT org, id, pressure, sampled_at, row_number() OVER (PARTITION BY org ORDER BY sampled_at DESC, id DESC) AS back FROM fx_samples WHERE sampled_at >= {NOW} - INTERVAL 72 HOUR) s WHERE back <= 60""",
