@@ -25,10 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from marketlens.llm.tables import slices
+
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 #: Entries of each cache before it is emptied.
 CACHED_PIECES, CACHED_PAIRS = 400_000, 1_000_000
+#: Longer words are encoded anew each time, so that the cache stays small in bytes too.
+CACHED_LETTERS = 64
 #: Texts whose characters all lie below this one are split here; the library splits the others, whose character classes
 #: depend on the version of Unicode.
 SETTLED = "\u0530"
@@ -150,9 +154,10 @@ class Vocabulary:
         plain = word if word.isascii() and word.isalpha() else "".join([self.letters[b] for b in word.encode()])
         ids = self.encode_piece(plain)
         found = len(ids), " ".join(map(str, ids)), " ".join([self.names[i] for i in ids])
-        if len(self.pieces) >= CACHED_PIECES:
-            self.pieces.clear()
-        self.pieces[word] = found
+        if len(word) <= CACHED_LETTERS:
+            if len(self.pieces) >= CACHED_PIECES:
+                self.pieces.clear()
+            self.pieces[word] = found
         return found
 
     def split(self, text: str) -> list[str]:
@@ -198,7 +203,7 @@ def digests(docs: DataFrame, path: str = TOKENIZER) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = vocabulary(path)
         sha = hashlib.sha256
-        for batch in batches:
+        for batch in slices(batches, "text"):
             counts, ids, decoded = [], [], []
             for text in batch.column("text"):
                 found = coder.parts_of(text.as_py() or "")
@@ -215,7 +220,7 @@ def encoded(docs: DataFrame, path: str = TOKENIZER) -> DataFrame:
     """doc_id, ids and decoded text of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "text"):
             ids = [encode(text.as_py(), path) for text in batch.column("text")]
             arrays = [batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32())), pa.array([decode(x, path) for x in ids], pa.string())]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "ids", "decoded"])

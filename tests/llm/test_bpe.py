@@ -39,6 +39,8 @@ def test_caches_are_bounded(monkeypatch):
     for i in range(50):
         words.parts_of(f"word{'x' * i} other")
     assert len(words.pieces) <= 11
+    blob = "q" * 5000
+    assert words.parts_of(blob)[0][0] == len(LIBRARY.encode(blob, add_special_tokens=False).ids) and blob not in words.pieces
 
 
 def test_digests(odd, empty):
