@@ -86,4 +86,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 #: SQL for the queries that it can express within reason; the tests compare the others with brute force.
-ORACLES: dict[str, str] = {"op2_line_dedup": lines.ORACLE_SQL}
+ORACLES: dict[str, str] = {"op2_line_dedup": lines.ORACLE_SQL, "op11_hard_negatives": mining.ORACLE_SQL}

@@ -1,5 +1,6 @@
 import math
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
@@ -107,3 +108,11 @@ def test_query(spark):
     rows = [(r["vec_id"], r["embedding"], r["label"]) for r in spark.read.parquet(f"{path}/embeddings.parquet").collect()]
     got = sorted(tuple(r) for r in op11_hard_negatives(spark, path).collect())
     assert got and got == brute(rows)
+
+
+def test_sql_gives_the_same_rows(spark):
+    path = "/root/testdata/sf0.1"
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{path}/embeddings.parquet'")
+        want = sorted(db.execute(mining.ORACLE_SQL).fetchall())
+    assert want and sorted(tuple(r) for r in op11_hard_negatives(spark, path).collect()) == want
