@@ -5,8 +5,8 @@ from __future__ import annotations
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -373,31 +373,35 @@ UNDECIDED, ANCHOR, COVERED = 0, 1, 2
 BLOCK_BINS, WIDER = 1024, 8
 
 
-def decide_starts(starts: pd.DataFrame) -> pd.DataFrame:
-    """What can be told about the start times of one block, taken in feed order.
+def decide_starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What can be told about the start times of each block, which come sorted by block and feed order.
 
     A start near an earlier anchor is covered; one near an earlier start that is open yet stays open, as do the starts lent
     by neighbouring blocks; any other is an anchor. A six-hour bin holds at most one anchor.
     """
+    reach, block = EVENT_WINDOW_MICROS, None
     anchors: dict[int, int] = {}
     lowest: dict[int, int] = {}
     highest: dict[int, int] = {}
-    starts = starts.sort_values("first", kind="stable")
-    found = []
-    for t, state, lent in zip(starts["t"].tolist(), starts["state"].tolist(), starts["lent"].tolist()):
-        b = t // EVENT_WINDOW_MICROS
-        if state == UNDECIDED:
-            if any(abs(anchors[k] - t) <= EVENT_WINDOW_MICROS for k in (b - 1, b, b + 1) if k in anchors):
-                state = COVERED
-            elif not (lent or b in lowest or highest.get(b - 1, t - EVENT_WINDOW_MICROS - 1) >= t - EVENT_WINDOW_MICROS or lowest.get(b + 1, t + EVENT_WINDOW_MICROS + 1) <= t + EVENT_WINDOW_MICROS):
-                state = ANCHOR
-            else:
-                lowest[b], highest[b] = min(t, lowest.get(b, t)), max(t, highest.get(b, t))
-        if state == ANCHOR:
-            anchors[b] = t
-        found.append(state)
-    starts["state"] = found
-    return starts[~starts["lent"]]
+    for batch in batches:
+        found = []
+        for key, t, state, lent in zip(*(batch.column(c).to_pylist() for c in ("grp", "t", "state", "lent"))):
+            if key != block:
+                block, anchors, lowest, highest = key, {}, {}, {}
+            b = t // reach
+            if state == UNDECIDED:
+                if any(abs(anchors[k] - t) <= reach for k in (b - 1, b, b + 1) if k in anchors):
+                    state = COVERED
+                elif lent or b in lowest or highest.get(b - 1, t - reach - 1) >= t - reach or lowest.get(b + 1, t + reach + 1) <= t + reach:
+                    lowest[b], highest[b] = min(t, lowest.get(b, t)), max(t, highest.get(b, t))
+                else:
+                    state = ANCHOR
+            if state == ANCHOR:
+                anchors[b] = t
+            found.append(state)
+        place = batch.schema.get_field_index("state")
+        told = batch.set_column(place, batch.schema.field(place), pa.array(found, pa.int32()))
+        yield told.filter(pc.and_(pc.invert(told.column("lent")), pc.not_equal(told.column("state"), COVERED)))
 
 
 def feed_anchors(starts: DataFrame, keys: list[str], width: int = BLOCK_BINS) -> DataFrame:
@@ -408,13 +412,13 @@ def feed_anchors(starts: DataFrame, keys: list[str], width: int = BLOCK_BINS) ->
     usual feed takes one.
     """
     state = cut(starts.withColumn("state", F.lit(UNDECIDED)).withColumn("bin", F.floor(F.col("t") / EVENT_WINDOW_MICROS)))
-    schema = state.withColumn("block", F.lit(0).cast("bigint")).withColumn("lent", F.lit(False)).schema
     while True:
         block, place = F.floor(F.col("bin") / width), F.pmod(F.col("bin"), F.lit(width))
         own = state.withColumn("block", block).withColumn("lent", F.lit(False))
         lent = state.filter(place == width - 1).withColumn("block", block + 1).unionByName(state.filter(place == 0).withColumn("block", block - 1))
-        rows = own.unionByName(lent.withColumn("lent", F.lit(True)))
-        state = cut(rows.groupBy(*keys, "block").applyInPandas(decide_starts, schema).drop("block", "lent").filter(F.col("state") != COVERED))
+        rows = own.unionByName(lent.withColumn("lent", F.lit(True))).withColumn("grp", F.struct(*keys, "block"))
+        rows = rows.repartition("grp").sortWithinPartitions("grp", "first")
+        state = cut(rows.mapInArrow(decide_starts, rows.schema).drop("block", "lent", "grp"))
         if state.filter(F.col("state") == UNDECIDED).isEmpty():
             return state.select(*keys, "t", "first", "bin")
         width *= WIDER
