@@ -43,6 +43,7 @@ SELECT selection_id, bookmaker_id, price, captured_at AS updated_at FROM (
   FROM fx_snapshots s) t WHERE rn = 1
 """
 
+# A team does not play itself.
 PROJECTIONS["fx_events"] = """
 SELECT o_orderkey AS event_id, o_custkey % 25 AS home_team_id, (o_custkey * 7 + o_orderkey) % 25 AS away_team_id, o_orderdate AS commence_at,
        CASE o_orderstatus WHEN 'F' THEN 'final' WHEN 'O' THEN 'scheduled' ELSE 'live' END AS status,
@@ -206,10 +207,12 @@ PROJECTIONS["fx_venue_answers"] = """
 SELECT order_id, report_seq, CASE WHEN order_id % 9 = 4 THEN 'not_found' ELSE status END AS status, filled_size, avg_fill_price
 FROM fx_order_reports WHERE order_id % 8 <> 5
 """
+# Three teams have no standing.
 PROJECTIONS["fx_standings"] = """
 SELECT o_orderkey AS id, o_custkey % 25 AS team_id, o_orderdate AS captured_at, CAST(o_custkey % 100 AS DOUBLE) / 100 AS win_percent,
        CAST(o_orderkey % 301 - 150 AS DOUBLE) AS point_differential, o_custkey % 40 AS games_played FROM orders WHERE o_custkey % 25 < 22
 """
+# One team has no valuation.
 PROJECTIONS["fx_valuations"] = """
 SELECT o_orderkey AS id, o_custkey % 25 AS team_id, o_orderdate AS captured_at, o_totalprice * 1000 AS squad_value_eur,
        o_orderkey % 4 AS league_tier FROM orders WHERE o_custkey % 25 <> 3
@@ -275,6 +278,7 @@ SELECT p_partkey AS product_id, p_name AS name, CAST(p_size % 7 AS BIGINT) AS ca
 PROJECTIONS["fx_categories"] = """
 SELECT CAST(r_regionkey AS BIGINT) AS category_id, r_name AS name FROM region
 """
+# Some customers are left out, so that orders refer to unknown ones.
 PROJECTIONS["fx_customers"] = """
 SELECT c_custkey AS customer_id, c_name AS name, CASE WHEN c_custkey % 5 = 0 THEN 'Inactive' ELSE 'Active' END AS status, c_acctbal AS total_spent FROM customer WHERE c_custkey % 97 <> 0
 """
@@ -333,6 +337,7 @@ PROJECTIONS["fx_members"] = """
 SELECT c_custkey AS member_id, c_custkey % 60 AS list_id, CASE c_custkey % 5 WHEN 0 THEN 'pending' WHEN 1 THEN 'unsubscribed' WHEN 2 THEN 'bounced' ELSE 'subscribed' END AS status,
        CAST(make_date(2024, 1, CAST(1 + c_custkey % 28 AS INT)) AS TIMESTAMP) AS created_at FROM customer
 """
+# A third of the campaigns have sent nothing.
 PROJECTIONS["fx_sends"] = """
 SELECT l_partkey AS campaign_id, CASE l_linenumber WHEN 1 THEN 'queued' WHEN 2 THEN 'failed' WHEN 3 THEN 'bounced' WHEN 4 THEN 'complained' ELSE 'sent' END AS status, l_discount > 0.05 AS opened, l_tax > 0.05 AS clicked, l_shipdate AS sent_at
 FROM lineitem WHERE l_partkey % 3 <> 0
@@ -345,6 +350,7 @@ SELECT doc_id AS post_id, concat('Post ', CAST(doc_id AS VARCHAR(20))) AS title,
 PROJECTIONS["fx_site_pages"] = """
 SELECT page_id, CAST(length(url) AS BIGINT) AS views, CAST(make_date(2023, CAST(1 + page_id % 12 AS INT), 3) AS TIMESTAMP) AS created_at FROM pages
 """
+# A fifth of the posts have no category, some have two.
 PROJECTIONS["fx_post_categories"] = """
 SELECT doc_id AS post_id, doc_id % 7 AS category_id FROM documents WHERE doc_id % 5 <> 0 UNION ALL SELECT doc_id, (doc_id + 3) % 7 FROM documents WHERE doc_id % 10 = 1
 """

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from marketlens.functions.common import number_text
 from marketlens.operators import evidence as E
 
 COLUMNS = (
@@ -56,3 +57,8 @@ def test_candidate_sums_its_evidence(flow):
     assert one["edge"] == pytest.approx(total, abs=1e-4)
     assert one["confidence"] == pytest.approx(round(4 / 5 * 0.5 + 100 / 190 * 0.3 + 0.2, 3), abs=1e-3)
     assert [r["market_id"] for r in E.build_candidates(flow, min_edge=0.05).collect()] == [1]
+
+
+def test_numbers_in_text(spark):
+    rows = spark.createDataFrame([(101.0,), (12345678.5,), (0.0,), (2.25,), (-3.1,)], "x double")
+    assert [r[0] for r in rows.select(number_text(F.col("x"))).collect()] == ["101", "12345678.5", "0", "2.25", "-3.1"]
