@@ -25,7 +25,10 @@ LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lets Spark hand rows to Python in batches that stay small with long texts, unless the session's are smaller yet."""
+    """Lets Spark hand rows to Python in batches that stay small with long texts, unless the session's are smaller yet.
+
+    The session keeps the setting, as queries run after they are built.
+    """
     if int(spark.conf.get(BATCH_KEY)) > BATCH_ROWS:
         spark.conf.set(BATCH_KEY, str(BATCH_ROWS))
 
