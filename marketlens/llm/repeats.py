@@ -10,6 +10,8 @@ equality of long prefixes isn't needed here.
    against the levels, of each match the later suffix is found repeated and the earlier stays, and levels of like size
    are merged. A repeated span is deleted whole.
 3. Where an anchor is left with several different spans, their windows are compared one by one.
+   An anchor with very many spans (as a sample of the texts tells) is dealt by anchor and span in step 2; here its lanes
+   settle the windows that they hold twice and deal the others by their hash. The sample steers balance, not results.
 4. The documents of a lane meet what was found for them and lose those bytes.
 
 Order is doc_id (null first), then the hash of the text, then position. Matches never cross documents. Rows equal in doc_id
@@ -43,7 +45,12 @@ STEP_BYTES = 1 << 20
 #: Text, and windows, that are compared at a time.
 COMPARED_BYTES = 1 << 20
 NULL_ID = np.iinfo(np.int64).min
-SPANS, ANCHORS = 0, 1
+SPANS, ANCHORS, WINDOWS = 0, 1, 2
+#: An anchor with so many spans, counted in the texts whose hash is divisible by ``SAMPLE``, is dealt by span and by window.
+HOT_SPANS = 4096
+SAMPLE = 16
+#: Of these anchors, at most so many (512 kB), the most frequent first; the others are dealt whole.
+MOST_HOT = 1 << 16
 NOTES = "lane int, kind int, note binary"
 
 
@@ -220,17 +227,42 @@ class Family:
             last = self.levels.pop()
             self.levels[-1] = self.levels[-1].merge(last)
 
-    def several(self) -> dict[str, np.ndarray]:
-        """The suffixes left whose anchor has several spans."""
+    def several(self, hot: np.ndarray) -> dict[str, np.ndarray]:
+        """The suffixes left whose anchor has several spans, or is hot and may have more elsewhere."""
         columns = {n: np.concatenate([level.columns[n] for level in self.levels]) for n in SuffixArray.COLUMNS}
         order = np.argsort(columns["anchor"], kind="stable")
         anchor = columns["anchor"][order]
         same = np.append(False, anchor[1:] == anchor[:-1])
         same[:-1] |= same[1:]
+        same |= among(anchor, hot)
         return {n: c[order[same]] for n, c in columns.items()}
 
 
-def anchor_notes(docs: DataFrame, buckets: int) -> DataFrame:
+def among(values: np.ndarray, sorted_set: np.ndarray) -> np.ndarray:
+    if not len(sorted_set):
+        return np.zeros(len(values), bool)
+    return sorted_set[np.minimum(np.searchsorted(sorted_set, values), len(sorted_set) - 1)] == values
+
+
+def hot_anchors(docs: DataFrame) -> np.ndarray:
+    """The anchors with very many spans in a sample of the texts, sorted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", STEP_BYTES):
+            found = anchors(*text_buffer(batch.column("text")))
+            order = np.lexsort([found["span"], found["anchor"]])
+            anchor, span = found["anchor"][order], found["span"][order]
+            new = np.append(True, (anchor[1:] != anchor[:-1]) | (span[1:] != span[:-1])) if len(anchor) else np.zeros(0, bool)
+            anchor, spans = np.unique(anchor[new], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(spans, pa.int64())], names=["anchor", "spans"])
+
+    sample = docs.filter(F.pmod(F.col("_hash"), F.lit(SAMPLE)) == 0).select("text")
+    counts = sample.mapInArrow(run, "anchor long, spans long").groupBy("anchor").agg(F.sum("spans").alias("spans"))
+    most = counts.filter(F.col("spans") * SAMPLE >= HOT_SPANS).orderBy(F.desc("spans"), "anchor").limit(MOST_HOT)
+    return np.sort(np.array([r["anchor"] for r in most.select("anchor").collect()], np.int64).view(np.uint64))
+
+
+def anchor_notes(docs: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
     """Notes for buckets (lane below ``buckets``) and, past them, of spans repeated within a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,7 +279,7 @@ def anchor_notes(docs: DataFrame, buckets: int) -> DataFrame:
             columns["order"] = (ranked(docs_of)[columns["doc"]] << 34) + columns["at"]
             array, later = SuffixArray.built(columns)
             rows = list(span_notes(docs_of, later["doc"], later["at"] - later["back"], later["at"] - later["fore"] + LENGTH, buckets))
-            bucket = (array.columns["anchor"] % np.uint64(buckets)).astype(np.int64)
+            bucket = (np.where(among(array.columns["anchor"], hot), array.key, array.columns["anchor"]) % np.uint64(buckets)).astype(np.int64)
             by_bucket = np.argsort(bucket, kind="stable")
             cuts = np.searchsorted(bucket[by_bucket], np.arange(buckets + 1))
             for b in range(buckets):
@@ -262,7 +294,7 @@ def anchor_notes(docs: DataFrame, buckets: int) -> DataFrame:
     return docs.select("_id", "_hash", "_lane", "text").mapInArrow(run, NOTES)
 
 
-def indexed_notes(notes: DataFrame, buckets: int) -> DataFrame:
+def indexed_notes(notes: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
     """Notes for lanes: repeated spans, and anchors whose windows must be compared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,7 +313,7 @@ def indexed_notes(notes: DataFrame, buckets: int) -> DataFrame:
                 first += len(a["id"])
                 at = a["at"].astype(np.int64)
                 family.add({"anchor": a["anchor"], "span": a["span"], "order": (rank[doc] << 34) + at, "doc": doc, "at": at, "back": a["back"].astype(np.int64), "fore": a["fore"].astype(np.int64)})
-            later, several = joined(family.repeated), family.several()
+            later, several = joined(family.repeated), family.several(hot)
             rows = list(span_notes(docs, later["doc"], later["at"] - later["back"], later["at"] - later["fore"] + LENGTH, 0))
             lanes = docs["lane"][several["doc"]]
             for lane in np.unique(lanes).tolist():
@@ -294,8 +326,9 @@ def indexed_notes(notes: DataFrame, buckets: int) -> DataFrame:
     return notes.repartition("lane").sortWithinPartitions("lane").mapInArrow(run, NOTES)
 
 
-def window_notes(lanes: DataFrame, notes: DataFrame, buckets: int) -> DataFrame:
-    """(lane: a bucket, kind, note): the text around each anchor that has several spans."""
+def window_notes(lanes: DataFrame, notes: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
+    """(lane: a bucket, kind, note): the text around each anchor that has several spans, the windows around hot ones, and,
+    past the buckets, spans of windows that the lane holds twice."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         rows: list[tuple] = []
@@ -310,8 +343,13 @@ def window_notes(lanes: DataFrame, notes: DataFrame, buckets: int) -> DataFrame:
             size = want["back"] - want["fore"] + LENGTH
             bucket = (want["anchor"] % np.uint64(buckets)).astype(np.int64)
             lane = keys["lane"][row]
-            for b in np.unique(bucket).tolist():
-                use = np.flatnonzero(bucket == b)
+            shared = among(want["anchor"], hot)
+            if shared.any():
+                index = np.flatnonzero(shared)
+                runs = {n: want[n][index] for n in ("anchor", "back", "at")} | {"size": size[index]}
+                rows += hot_rows(data, start[index], runs, row[index], keys, buckets)
+            for b in np.unique(bucket[~shared]).tolist():
+                use = np.flatnonzero((bucket == b) & ~shared)
                 sizes = size[use]
                 index = np.repeat(start[use] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
                 note = pack(text=data[index], size=sizes, lane=lane[use], **{n: want[n][use] for n in ("anchor", "id", "hash", "at", "back")})
@@ -347,6 +385,51 @@ def windows_of(a: dict[str, np.ndarray], first: np.ndarray, use: np.ndarray) ->
     return mix(hashes + mix(np.repeat(a["anchor"][use], windows) + ahead * MULTIPLIER)), np.repeat(use.astype(np.uint32), windows), step.astype(np.uint32)
 
 
+def settled(key: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of the first window of each key, and of the later ones."""
+    by_key = np.lexsort([order, key])
+    same = np.append(False, key[by_key][1:] == key[by_key][:-1]) if len(key) else np.zeros(0, bool)
+    head = np.maximum.accumulate(np.where(same, 0, np.arange(len(key))))
+    return by_key[~same], by_key[order[by_key] > order[by_key][head]]
+
+
+def hot_rows(data: np.ndarray, first: np.ndarray, runs: dict[str, np.ndarray], row: np.ndarray, docs: dict[str, np.ndarray], buckets: int) -> list[tuple]:
+    """Notes of the windows around hot anchors of a lane: those that come first in it for buckets, spans of the others."""
+    runs["text"] = data
+    everything = np.arange(len(row))
+    parts = [windows_of(runs, first, everything[part]) for part in run_slices(runs["size"], np.ones(len(row), bool), COMPARED_BYTES)]
+    key, owner, step = (np.concatenate(x) for x in zip(*parts))
+    start = (runs["at"] - runs["back"])[owner] + step
+    doc = row[owner]
+    once, later = settled(key, (ranked(docs)[doc] << 34) + start)
+    rows = list(span_notes(docs, doc[later], start[later], start[later] + LENGTH, buckets))
+    bucket = (key[once] % np.uint64(buckets)).astype(np.int64)
+    once = once[np.lexsort([start[once], doc[once], bucket])]
+    cuts = np.searchsorted(np.sort(bucket), np.arange(buckets + 1))
+    for b in np.unique(bucket).tolist():
+        use = once[cuts[b] : cuts[b + 1]]
+        used, place = np.unique(doc[use], return_inverse=True)
+        note = {n: docs[n][used] for n in ("id", "hash", "lane")}
+        rows.append((b, WINDOWS, pack(key=key[use], doc=place.astype(np.uint32), start=start[use].astype(np.uint32), **note)))
+    return rows
+
+
+def later_hot_windows(arrays: list[dict[str, np.ndarray]]) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+    """The documents, and the document and start of each window that starts earlier with an equal hash."""
+    docs = joined([{n: a[n] for n in ("id", "hash", "lane")} for a in arrays])
+    shifts = np.cumsum([0, *(len(a["id"]) for a in arrays[:-1])])
+    windows = joined([{"key": a["key"], "doc": a["doc"] + shift, "start": a["start"].astype(np.int64)} for a, shift in zip(arrays, shifts, strict=True)])
+    rank, found = ranked(docs), []
+    parts = groups_for(len(windows["key"]), COMPARED_BYTES)
+    part_of = mix(windows["key"]) % np.uint64(parts)
+    for part in range(parts):
+        use = np.flatnonzero(part_of == part)
+        doc, start = windows["doc"][use], windows["start"][use]
+        found.append(use[settled(windows["key"][use], (rank[doc] << 34) + start)[1]])
+    later = np.concatenate(found)
+    return docs, windows["doc"][later], windows["start"][later]
+
+
 def later_windows(a: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """owner, start and stop of what is covered by windows that start earlier beside an equal anchor.
 
@@ -367,26 +450,32 @@ def later_windows(a: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.
             k, o, t = key[use], owner[use].astype(np.int64), step[use].astype(np.int64)
             start = a["at"][o] - a["back"][o] + t
             order = (rank[o] << 34) + start
-            by_key = np.lexsort([order, k])
-            same = np.append(False, k[by_key][1:] == k[by_key][:-1])
-            head = np.maximum.accumulate(np.where(same, 0, np.arange(len(k))))
-            later = by_key[order[by_key] > order[by_key][head]]
+            later = settled(k, order)[1]
             spans.append(merged_spans(o[later], start[later], start[later] + LENGTH))
     return tuple(np.concatenate(x) for x in zip(*spans))
 
 
-def compared_notes(notes: DataFrame) -> DataFrame:
+def compared_notes(notes: DataFrame, buckets: int) -> DataFrame:
     """Notes for lanes: windows that start earlier beside an equal anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in by_group(batches, "lane"):
-            a = joined(unpack(x.as_py() for x in group.column("note")))
-            if len(a["size"]):
+            lane, kinds = group.column("lane")[0].as_py(), group.column("kind").to_numpy()
+            if lane >= buckets:
+                for note in group.column("note"):
+                    yield note_batch([(lane - buckets, SPANS, note.as_py())])
+                continue
+            if (kinds == WINDOWS).any():
+                docs, doc, start = later_hot_windows(unpack(x.as_py() for x in group.filter(pa.array(kinds == WINDOWS)).column("note")))
+                yield note_batch(list(span_notes(docs, doc, start, start + LENGTH, 0)))
+                del docs, doc, start
+            if (kinds == ANCHORS).any():
+                a = joined(unpack(x.as_py() for x in group.filter(pa.array(kinds == ANCHORS)).column("note")))
                 yield note_batch(list(span_notes(a, *later_windows(a), 0)))
-            del a
+                del a
             tables.release()
 
-    return notes.select("lane", "note").repartition("lane").sortWithinPartitions("lane").mapInArrow(run, NOTES)
+    return notes.repartition("lane").sortWithinPartitions("lane").mapInArrow(run, NOTES)
 
 
 def deleted(table: pa.Table, notes: list[dict[str, np.ndarray]]) -> list[tuple[int, int, int, bytes]]:
@@ -424,9 +513,10 @@ def found_repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     kept = [text.alias("text") if c == "text" else F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]
     keyed = docs.select(*kept, F.col("doc_id").cast("long").alias("_id"), F.xxhash64(text).alias("_hash"))
     keyed = keyed.withColumn("_lane", F.pmod(F.xxhash64("_id", "_hash"), F.lit(lane_count)).cast("int"))
-    notes = cut(indexed_notes(anchor_notes(keyed, buckets), buckets))
+    hot = hot_anchors(keyed)
+    notes = cut(indexed_notes(anchor_notes(keyed, buckets, hot), buckets, hot))
     lanes = laned(keyed)
-    windows = compared_notes(window_notes(lanes, notes, buckets))
+    windows = compared_notes(window_notes(lanes, notes, buckets, hot), buckets)
     return lanes, notes.filter(F.col("kind") == SPANS).unionByName(windows)
 
 

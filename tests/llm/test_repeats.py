@@ -2,6 +2,7 @@ import hashlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from marketlens.llm import repeats, tables
 
@@ -32,9 +33,13 @@ def test_odd_texts(unique):
     compare(unique)
 
 
+@pytest.mark.parametrize("hot", [None, 2, 6])
 @pytest.mark.parametrize("seed", range(3))
-def test_pasted_texts(spark, monkeypatch, seed):
-    """Texts pasted from shared and periodic pieces, over many batches, buckets and lanes."""
+def test_pasted_texts(spark, monkeypatch, seed, hot):
+    """Texts pasted from shared and periodic pieces, over many batches, buckets and lanes, without and with hot anchors."""
+    if hot:
+        monkeypatch.setattr(repeats, "SAMPLE", 1)
+        monkeypatch.setattr(repeats, "HOT_SPANS", hot)
     for where, name, size in ((tables, "BATCH_BYTES", 900), (repeats, "BUCKET_BYTES", 3000), (tables, "LANE_BYTES", 2500), (repeats, "STEP_BYTES", 500)):
         monkeypatch.setattr(where, name, size)
     rng = np.random.default_rng(seed)
@@ -79,9 +84,32 @@ def surroundings(n, rng):
     return [(i, texts[i] + line + texts[(i * 7) % (n // 2)]) for i in range(n)]
 
 
-def test_one_anchor_in_many_surroundings(spark):
+def test_one_anchor_in_many_surroundings(spark, monkeypatch):
+    """The windows beside a hot anchor are dealt to all buckets, in like shares."""
+    monkeypatch.setattr(repeats, "BUCKET_BYTES", 1 << 18)
+    monkeypatch.setattr(tables, "LANE_BYTES", 1 << 18)
     rows = surroundings(10_000, np.random.default_rng(3))
-    compare(spark.createDataFrame(rows, "doc_id long, text string").repartition(6))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    compare(docs)
+    keyed = docs.withColumn("_hash", F.xxhash64("text"))
+    assert len(repeats.hot_anchors(keyed)) > 0
+    dealt = []
+    monkeypatch.setattr(repeats, "compared_notes", lambda notes, buckets, inner=repeats.compared_notes: dealt.append(notes) or inner(notes, buckets))
+    repeats.dedup(docs)
+    kinds = [r for r in dealt[0].collect() if r["kind"] == repeats.WINDOWS]
+    sizes = np.bincount([r["lane"] for r in kinds], [len(repeats.unpack([r["note"]])[0]["key"]) for r in kinds])
+    assert len(sizes) > 5 and sizes.min() > 0.9 * sizes.mean() and sizes.max() < 1.1 * sizes.mean()
+
+
+def test_hot_anchors_are_in_the_sample_by_their_spans(empty, spark, monkeypatch):
+    line = "this very line of the footer stands in each and every document of all"
+    rows = [(i, "w" * 40 + line + str(i) * 40) for i in range(40)] + [(100 + i, "copy" * 60) for i in range(40)]
+    monkeypatch.setattr(repeats, "SAMPLE", 1)
+    monkeypatch.setattr(repeats, "HOT_SPANS", 20)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert len(repeats.hot_anchors(docs.filter("doc_id < 100").withColumn("_hash", F.xxhash64("text")))) > 0
+    assert len(repeats.hot_anchors(docs.filter("doc_id >= 100").withColumn("_hash", F.xxhash64("text")))) <= 8
+    assert len(repeats.hot_anchors(empty.withColumn("_hash", F.xxhash64("text").cast("long")))) == 0
 
 
 def test_slices_do_not_matter(monkeypatch):
