@@ -8,16 +8,26 @@ from pyspark.sql import functions as F
 from marketlens.session import cut
 
 MOST_TURNS = 60
+#: Tasks that the edges of one node can spread over.
+SALTS = 64
+
+
+def _asked(edges: DataFrame, key: str, least: DataFrame) -> DataFrame:
+    """``edges`` with ``m``, the least smaller neighbour of their node ``key``, null where it has none.
+
+    Each node is asked for once per salt and the edges meet the answers by node and salt, so that the edges of a hub spread.
+    """
+    salted = edges.withColumn("salt", F.pmod(F.xxhash64("a", "b"), F.lit(SALTS)))
+    answers = salted.select(key, "salt").distinct().join(least.withColumnRenamed("a", key), key)
+    return salted.join(answers, [key, "salt"], "left")
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
-    """Each node's larger (or no larger) neighbours linked to the least of its neighbourhood."""
-    both = edges if not large else edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    linked = both.join(least, "a")
+    """Each node's larger (or no larger) neighbours linked to the least of its neighbourhood; in ``edges`` a is larger."""
+    least = edges.groupBy("a").agg(F.min("b").alias("m"))
     if large:
-        return linked.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-    others = linked.select(F.col("b").alias("a"), F.col("m").alias("b"))
+        return _asked(edges, "b", least).select("a", F.coalesce("m", "b").alias("b")).distinct()
+    others = _asked(edges, "a", least).select(F.col("b").alias("a"), F.col("m").alias("b"))
     return others.unionByName(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
 
 

@@ -110,3 +110,25 @@ def test_unlucky_signatures_are_compared(spark):
         parts = spark.createDataFrame([(p, n, bytearray(k), bytearray(s)) for p, n, k, s in rows], "part long, n long, key binary, sketch binary")
         edges = [{bytes(r["a"]), bytes(r["b"])} for r in jaccard.candidate_edges(parts).collect()]
         assert edges == [{b"\0", b"\1"}]
+
+
+def test_components_of_random_graphs(spark):
+    """Classes are those of a union-find; hubs of the least, a middle and the largest number, paths and loops are there."""
+    rng = np.random.default_rng(8)
+    edges = [(0, i) for i in range(1, 300)] + [(900, i) for i in range(301, 600)] + [(700, i) for i in range(650, 750)]
+    edges += [(i, i + 1) for i in range(1000, 1100)] + [(int(a), int(b)) for a, b in rng.integers(2000, 2300, (140, 2))] + [(5, 5), (3000, 3001), (3001, 3000)]
+    root = {n: n for e in edges for n in e if e[0] != e[1]}
+
+    def find(n):
+        while root[n] != n:
+            n = root[n]
+        return n
+
+    for a, b in edges:
+        if a != b:
+            low, high = sorted((find(a), find(b)))
+            root[high] = low
+    order = rng.permutation(len(edges))
+    found = components.components(spark.createDataFrame([edges[i] for i in order], "a long, b long")).collect()
+    assert len(found) == len(root) and {r["node"]: r["root"] for r in found} == {n: find(n) for n in root}
+    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
