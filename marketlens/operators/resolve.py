@@ -429,7 +429,8 @@ def cluster_feed_events(feed: DataFrame) -> DataFrame:
 
     ``position`` is the feed order. Only the distinct start times of a pair matter, in order of first appearance: those that
     begin a cluster are found in rounds over blocks of time, every start time looks up the earliest of these within
-    reach in three bins, and every record its start time. Neither the records nor the starts of a pair are gathered.
+    reach in three bins, and every record its start time. Neither the records nor the starts of a pair are gathered. Both
+    lookups grow with the feed, though size estimates from its files are small, so they are merged, not broadcast.
     """
     rows = feed.filter(F.col("commence_at").isNotNull()).withColumn("pair", pair_key(F.col("home_team"), F.col("away_team")))
     keys = ["sport_slug", "pair"]
@@ -437,11 +438,11 @@ def cluster_feed_events(feed: DataFrame) -> DataFrame:
     starts = cut(starts)
     anchors = feed_anchors(starts, keys).select(*keys, "bin", F.col("t").alias("anchor"), F.col("first").alias("rank"))
     near = F.explode(F.array(*[F.floor(F.col("t") / EVENT_WINDOW_MICROS) + F.lit(d) for d in (-1, 0, 1)]))
-    reach = starts.withColumn("bin", near).join(anchors, [*keys, "bin"]).filter(F.abs(F.col("anchor") - F.col("t")) <= EVENT_WINDOW_MICROS)
+    reach = starts.withColumn("bin", near).join(anchors.hint("merge"), [*keys, "bin"]).filter(F.abs(F.col("anchor") - F.col("t")) <= EVENT_WINDOW_MICROS)
     lookup = reach.groupBy(*keys, "t").agg(F.min_by("anchor", "rank").alias("anchor"))
     lookup = lookup.select(*keys, F.timestamp_micros("t").alias("commence_at"), F.timestamp_micros("anchor").alias("anchor_at"))
     day = F.date_format("anchor_at", "yyyy-MM-dd")
-    return rows.join(lookup, [*keys, "commence_at"]).withColumn(
+    return rows.join(lookup.hint("merge"), [*keys, "commence_at"]).withColumn(
         "merged_id", F.concat_ws(":", "sport_slug", F.array_join("pair", "-"), day)
     )
 

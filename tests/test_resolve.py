@@ -149,6 +149,14 @@ def test_cluster_anchor_is_first_seen(spark):
     assert got == {("a", "b", "c", "e"), ("d",)}
 
 
+def test_clusters_are_looked_up_without_a_broadcast(spark):
+    """File sizes tell little of the starts: the lookups must not reach the driver, however small they are thought to be."""
+    rows = [("nfl", "A", "B", datetime(2024, 3, 1), 0, "a")]
+    df = spark.createDataFrame(rows, "sport_slug string, home_team string, away_team string, commence_at timestamp, position bigint, book_key string")
+    plan = R.cluster_feed_events(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 2 and "Broadcast" not in plan
+
+
 def anchors_in_order(starts):
     """Indices of the starts that begin a cluster, by the sequential fold."""
     found = []
