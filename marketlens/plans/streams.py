@@ -213,7 +213,7 @@ def _(t: Tables):
     hours = F.make_dt_interval(mins=F.lit(17) * ((F.col("id") / 100).cast("bigint") % 60).cast("int"))
     quotes = _quotes(t).withColumn("captured_at", F.col("captured_at") + hours)
     _finish(jobs.stream_steam(quotes, f"{root}/out", f"{root}/ckpt", **ONCE))
-    return t.spark.read.parquet(f"{root}/out")
+    return t.spark.read.parquet(f"{root}/out").select("window_end", "selection_id", "books", "steam_score")
 
 
 @query(

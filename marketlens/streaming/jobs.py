@@ -28,6 +28,7 @@ from marketlens.sources.tables import BucketedState, keyed_upsert
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 QUOTE_DELAY = "10 minutes"
+QUOTE_DELAY_MICROS = 10 * 60_000_000
 TRADE_DELAY = "24 hours"
 ALERT_COOLDOWN_MICROS = 15 * 60_000_000
 QUOTE_STATE = "selection_id bigint, bookmaker_id bigint, price double, point double, captured_at timestamp, id bigint"
@@ -35,6 +36,9 @@ CLOSING_STATE = (
     "selection_id bigint, bookmaker_id bigint, price double, implied_prob double, fair_prob double, seconds_before_start bigint"
 )
 CLOSED_STATE = "event_id bigint, closing_captured_at timestamp"
+STEAM_QUOTE = "selection_id bigint, bookmaker_id bigint, captured_at timestamp, id bigint, price double"
+#: Hours of a steam window and of the blocks that windows are found in.
+STEAM_HOURS, STEAM_STEP, STEAM_BLOCK = 6, 3_600_000_000, 48
 STALL_STATE = "provider string, kind string, announced_at timestamp"
 STALL_REPEAT_MINUTES = 60
 FLOW_SPAN, FLOW_STEP = 24 * 3_600_000_000, 900_000_000
@@ -235,30 +239,41 @@ def stream_market_flow(fills: DataFrame, path: str, cells_path: str, checkpoint:
     return _start(flow_cells(fills), handle, checkpoint, trigger or {"processingTime": "15 minutes"})
 
 
-def rolling_steam(quotes: DataFrame, delay: str = QUOTE_DELAY, span: str = "6 hours", step: str = "1 hour") -> DataFrame:
-    """Share of books that moved one way per selection over a sliding window.
+def steam_windows(quotes: DataFrame, since: int, until: int) -> DataFrame:
+    """Share of books that moved one way per selection over sliding windows that end after hour ``since``, up to ``until``.
 
-    Series are folded to hourly first and last prices, then per window to one move per book, then per
-    selection to the share.
+    Quotes are dealt by selection and block of hours; those near a block's end go to the next one too, so each window finds
+    its quotes in its own block and nothing is shuffled again. Quotes with no other of their book within a span are left
+    out, as no window takes one alone. The others are folded to hourly first and last prices, then per window to one move
+    per book, then per selection to the share.
     """
+    hour = F.floor(F.unix_micros("captured_at") / STEAM_STEP)
+    blocks = F.array_distinct(F.array(F.floor((hour + 1) / STEAM_BLOCK), F.floor((hour + STEAM_HOURS) / STEAM_BLOCK)))
+    dealt = quotes.select(*movement.KEYS, "captured_at", "id", "price", F.explode(blocks).alias("block")).repartition("selection_id", "block")
+    line = W.partitionBy("selection_id", "block", "bookmaker_id").orderBy("captured_at", "id")
+    t = F.unix_micros("captured_at")
+    span = STEAM_HOURS * STEAM_STEP
+    near = F.coalesce(t - F.lag(t).over(line) < span, F.lit(False)) | F.coalesce(F.lead(t).over(line) - t < span, F.lit(False))
+    keys = ["selection_id", "block", "bookmaker_id"]
     at = F.struct("captured_at", "id")
     hourly = (
-        quotes.withWatermark("captured_at", delay)
-        .groupBy(F.window("captured_at", step), *movement.KEYS)
+        dealt.withColumn("near", near)
+        .filter("near")
+        .groupBy(*keys, hour.alias("hour"))
         .agg(
             F.count(F.lit(1)).alias("n"),
             F.min(F.struct(at.alias("at"), F.col("price"))).alias("first"),
             F.max(F.struct(at.alias("at"), F.col("price"))).alias("last"),
         )
     )
-    windows = hourly.groupBy(F.window(F.window_time("window"), span, step).alias("w"), *movement.KEYS).agg(
-        F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last")
-    )
+    ends = hourly.withColumn("w", F.explode(F.sequence(F.col("hour") + 1, F.col("hour") + STEAM_HOURS)))
+    ends = ends.filter((F.floor(F.col("w") / STEAM_BLOCK) == F.col("block")) & (F.col("w") > since) & (F.col("w") <= until))
+    windows = ends.groupBy(*keys, "w").agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last"))
     move = F.signum(F.col("last.price") - F.col("first.price"))
     shares = (
         windows.filter(F.col("n") >= 2)
         .withColumn("move", move)
-        .groupBy("w", "selection_id")
+        .groupBy("w", "selection_id", "block")
         .agg(
             F.count(F.lit(1)).alias("books"),
             count_if(F.col("move") > 0).alias("up"),
@@ -268,15 +283,47 @@ def rolling_steam(quotes: DataFrame, delay: str = QUOTE_DELAY, span: str = "6 ho
     share = F.greatest("up", "down") / F.col("books")
     limit = movement.STEAM_CONSENSUS
     return shares.select(
-        F.col("w.end").alias("window_end"),
+        F.timestamp_micros(F.col("w") * STEAM_STEP).alias("window_end"),
         "selection_id",
         "books",
         F.when(share >= limit, (share - limit) / (1 - limit)).otherwise(F.lit(0.0)).alias("steam_score"),
     )
 
 
-def stream_steam(quotes: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
-    return _append(rolling_steam(quotes), path, checkpoint, trigger or {"processingTime": "1 minute"})
+def hourly_ends(quotes: DataFrame) -> DataFrame:
+    """The first and the last quote of each hour, selection and book; all that later windows need of them."""
+    quote = F.struct("captured_at", "id", "price")
+    hourly = quotes.groupBy(*movement.KEYS, F.floor(F.unix_micros("captured_at") / STEAM_STEP).alias("hour")).agg(
+        F.count(F.lit(1)).alias("n"), F.min(quote).alias("first"), F.max(quote).alias("last")
+    )
+    ends = F.when(F.col("n") > 1, F.array("first", "last")).otherwise(F.array("first"))
+    return hourly.select(*movement.KEYS, F.explode(ends).alias("q")).select(*movement.KEYS, "q.*")
+
+
+def stream_steam(quotes: DataFrame, path: str, checkpoint: str, buckets: int = 16, **trigger) -> StreamingQuery:
+    """Appends the windows that have closed, those that end ten minutes or more before the newest quote; later quotes of
+    closed hours are dropped.
+
+    State, beside the checkpoint's own: up to which hour windows are told, and the quotes of hours whose windows are still
+    open. Quotes whose windows a batch closes are never stored.
+    """
+    spark = quotes.sparkSession
+    marks = BucketedState(spark, f"{checkpoint}/told", ["job"], "job string, until bigint", 1)
+    waiting = BucketedState(spark, f"{checkpoint}/open", movement.KEYS, STEAM_QUOTE, buckets)
+    columns = [c.split()[0] for c in STEAM_QUOTE.split(", ")]
+    hour = F.floor(F.unix_micros("captured_at") / STEAM_STEP)
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        mark = marks.read(batch_id).first()
+        since = mark["until"] if mark else 0
+        newest = batch.agg(F.max(F.unix_micros("captured_at"))).first()[0]
+        until = since if newest is None else max(since, (newest - QUOTE_DELAY_MICROS) // STEAM_STEP)
+        rows = batch.select(*columns).filter(hour >= since).unionByName(waiting.read(batch_id).filter(hour > since - STEAM_HOURS))
+        steam_windows(rows, since, until).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        waiting.write(hourly_ends(rows.filter(hour > until - STEAM_HOURS)), batch_id)
+        marks.write(spark.createDataFrame([("steam", until)], "job string, until bigint"), batch_id)
+
+    return _start(quotes, handle, checkpoint, trigger or {"processingTime": "1 minute"})
 
 
 def stream_closing_lines(

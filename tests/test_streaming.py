@@ -183,6 +183,36 @@ def test_steam_window(spark, tmp_path):
     assert row["books"] == 3 and row["steam_score"] == 1.0
 
 
+def test_steam_over_batches(spark, tmp_path):
+    """Windows of several micro-batches and a restart against sums by definition; only quotes of open hours are stored."""
+    rng = random.Random(5)
+    quote = lambda h, k: (rng.randrange(2), rng.randrange(2), float(rng.randrange(2, 6)), None, BASE + timedelta(hours=h, minutes=rng.randrange(170)), k)
+    batches = [[quote(h, 100 * h + k) for k in range(14)] for h in (0, 3, 45, 48, 90, 140)]
+    src, args = str(tmp_path / "in"), (f"{tmp_path}/o", f"{tmp_path}/c")
+    stream = source(spark, src, batches[:4], jobs.QUOTE_STATE)
+    jobs.stream_steam(stream, *args, **ONE_FILE).awaitTermination()
+    deliver(spark, src, batches[4:], jobs.QUOTE_STATE, 4)
+    jobs.stream_steam(stream, *args, **ONE_FILE).awaitTermination()
+    hour, told, kept = timedelta(hours=1), datetime.min, []
+    for batch in batches:
+        kept += [q for q in batch if q[4] - (q[4] - BASE) % hour + hour > told]
+        told = max(told, max(q[4] for q in batch) - timedelta(minutes=10))
+    want = {}
+    for k in range(200):
+        end = BASE + k * hour
+        for s in range(2):
+            lines = [sorted((q[4], q[5], q[2]) for q in kept if q[:2] == (s, b) and end - 6 * hour <= q[4] < end) for b in range(2)]
+            moves = [line[-1][2] - line[0][2] for line in lines if len(line) > 1]
+            if moves and end <= told:
+                share = max(sum(m > 0 for m in moves), sum(m < 0 for m in moves)) / len(moves)
+                want[end, s] = (len(moves), round(max(0, (share - 0.6) / 0.4), 6))
+    rows = spark.read.parquet(f"{tmp_path}/o").collect()
+    got = {(r["window_end"], r["selection_id"]): (r["books"], round(r["steam_score"], 6)) for r in rows}
+    assert len(rows) == len(got) and got == want
+    stored = spark.read.parquet(*[str(p) for p in (tmp_path / "c" / "open").glob("gen=5/bucket=*")])
+    assert stored.filter(F.col("captured_at") < F.lit(BASE + timedelta(hours=132))).isEmpty() and not (tmp_path / "c" / "state").exists()
+
+
 def test_flow_over_batches(spark, tmp_path):
     """Windows of several micro-batches and a restart, with gaps of more than a day, against sums by definition."""
     rng = random.Random(4)
