@@ -194,7 +194,7 @@ def _(t: Tables):
     at = t.scalar("SELECT max(ts) AS t FROM events")
     ticks = _stream(t, "region")
     _finish(jobs.stream_stalls(ticks, lambda: t("fx_runs"), f"{root}/state", f"{root}/out", f"{root}/ckpt", lambda batch: at, **ONCE))
-    return t.spark.read.parquet(f"{root}/out").select("provider", "kind", "status")
+    return jobs.told_stalls(t.spark, f"{root}/out").select("provider", "kind", "status")
 
 
 @query(

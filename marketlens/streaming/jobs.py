@@ -40,6 +40,7 @@ STEAM_QUOTE = "selection_id bigint, bookmaker_id bigint, captured_at timestamp,
 #: Hours of a steam window and of the blocks that windows are found in.
 STEAM_HOURS, STEAM_STEP, STEAM_BLOCK = 6, 3_600_000_000, 48
 STALL_STATE = "provider string, kind string, announced_at timestamp"
+STALL_COLUMNS = "provider string, kind string, status string, age_minutes bigint, reason string, announced_at timestamp"
 STALL_REPEAT_MINUTES = 60
 FLOW_SPAN, FLOW_STEP = 24 * 3_600_000_000, 900_000_000
 #: Logarithm of the registers of a visitor sketch: 4,096 give a standard error of 1.04 / 64.
@@ -518,3 +519,11 @@ def stream_stalls(
         fresh.unpersist()
 
     return _start(ticks, handle, checkpoint, trigger or {"processingTime": "5 minutes"})
+
+
+def told_stalls(spark: SparkSession, out_path: str) -> DataFrame:
+    """What ``stream_stalls`` has announced; no rows while no loop has stalled, as a quiet job writes nothing."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(out_path)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return spark.createDataFrame([], STALL_COLUMNS)
+    return spark.read.parquet(out_path).select(*[c.split()[0] for c in STALL_COLUMNS.split(", ")])

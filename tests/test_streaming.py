@@ -98,6 +98,14 @@ def test_stalls_are_told_without_new_runs_and_once_an_hour(spark, tmp_path):
     assert jobs.timer(spark).isStreaming
 
 
+def test_no_stalls_are_an_empty_table(spark, tmp_path):
+    stored = spark.createDataFrame([(1, "p", "odds", "success", BASE)], "id bigint, provider string, kind string, status string, finished_at timestamp")
+    ticks = source(spark, str(tmp_path / "in"), [[(0,)]], "tick bigint")
+    jobs.stream_stalls(ticks, lambda: stored, f"{tmp_path}/s", f"{tmp_path}/o", f"{tmp_path}/c", lambda batch: F.lit(BASE), **ONE_FILE).awaitTermination()
+    told = jobs.told_stalls(spark, f"{tmp_path}/o")
+    assert told.columns[:3] == ["provider", "kind", "status"] and told.isEmpty()
+
+
 def test_quiet_books_close_and_late_books_do_not(spark, tmp_path):
     events = spark.createDataFrame([(1, BASE + timedelta(minutes=40), "scheduled"), (2, BASE + timedelta(days=9), "scheduled")], "event_id bigint, commence_at timestamp, status string")
     selections = spark.createDataFrame([(10, 100, 1), (11, 100, 1), (20, 200, 2)], "selection_id bigint, market_id bigint, event_id bigint")
