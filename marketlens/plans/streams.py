@@ -240,4 +240,4 @@ def _(t: Tables):
     )
     root = _folder(t, "alerts")
     _finish(jobs.stream_alerts(alerts, t("fx_alert_subscriptions"), f"{root}/out", f"{root}/ckpt", **ONCE))
-    return t.spark.read.parquet(f"{root}/out")
+    return t.spark.read.parquet(f"{root}/out").select("subscription_id", "alert_id", "sent_at")

@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -51,6 +52,10 @@ QUOTE = np.dtype([("selection_id", "<i8"), ("bookmaker_id", "<i8"), ("at", "<i8"
 REPORT = np.dtype([(c, "<i8") for c in ("row", "order_id", "report_seq")] + [("filled_size", "<f8"), ("price", "<f8")])
 ORDER = np.dtype([("order_id", "<i8"), ("size", "<f8"), ("cost", "<f8")])
 NO_OWNER = -(1 << 63)
+LATEST = (1 << 63) - 1
+SENT_STATE = "subscription_id bigint, sent_at timestamp"
+#: Subscriptions that meet their alerts together.
+PER_LINE = 1024
 
 
 def _start(stream: DataFrame, handle, checkpoint: str, trigger: dict) -> StreamingQuery:
@@ -409,49 +414,117 @@ def stream_order_reconcile(reports: DataFrame, out_path: str, checkpoint: str, b
     return _append(booked.select("order_id", *owner, "side", "delta_size", "delta_cost"), out_path, checkpoint, trigger or {"processingTime": "1 minute"})
 
 
-def cool(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """The alerts of one subscription that come a cooldown after the last one sent, in order of time; lowest id of an instant."""
-    seed, lines = None, []
-    for chunk in chunks:
-        lines.append(chunk[["t", "alert_id"]].to_numpy(np.int64))
-        seed = chunk["seed"].iloc[0]
-    last = state.get[0] if state.exists else None if seed is None or seed != seed else int(seed)
-    line = np.concatenate(lines)
-    line = line[np.lexsort([line[:, 1], line[:, 0]])]
-    sent, at = [], 0
-    while at < len(line):
-        if last is not None:
-            at = int(np.searchsorted(line[:, 0], last + ALERT_COOLDOWN_MICROS, "left"))
-            if at == len(line):
-                break
-        last = int(line[at, 0])
-        sent.append((key[0], int(line[at, 1]), last))
-        at += 1
-    if last is not None:
-        state.update((last,))
-    if sent:
-        yield pd.DataFrame(sent, columns=["subscription_id", "alert_id", "t"])
-
-
-def cooled_deliveries(matches: DataFrame) -> DataFrame:
-    """Alerts (alert_id, raised_at) that pass the cooldown of their subscription, whose last delivery before all is ``seed_at``."""
-    rows = matches.select("subscription_id", F.unix_micros("raised_at").alias("t"), "alert_id", F.unix_micros("seed_at").alias("seed"))
-    shape = "subscription_id bigint, alert_id bigint, t bigint"
-    sent = rows.groupBy("subscription_id").applyInPandasWithState(cool, shape, "last bigint", "append", GroupStateTimeout.NoTimeout)
-    return sent.select("subscription_id", "alert_id", F.timestamp_micros("t").alias("sent_at"))
-
-
-def stream_alerts(alerts: DataFrame, subscriptions: DataFrame, out_path: str, checkpoint: str, **trigger) -> StreamingQuery:
+def value_order(values: np.ndarray) -> np.ndarray:
+    """Whole numbers in Spark's order of the doubles: zeros are equal and NaN comes last."""
+    bits = (values + 0.0).view(np.int64)
+    bits = np.where(bits < 0, bits ^ np.int64(LATEST), bits)
+    return np.where(np.isnan(values), LATEST - 1, bits)
+
+
+def first_reaching(values: np.ndarray, at: np.ndarray, floors: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
+    """The first place from ``at`` on whose value reaches the floor, or the number of values; ``steps`` are ``peaks``."""
+    at = at.copy()
+    for k in range(len(steps) - 1, -1, -1):
+        at += np.where(steps[k][at] < floors, 1 << k, 0)
+    return at
+
+
+def peaks(values: np.ndarray) -> list[np.ndarray]:
+    """For each place the largest of the next 1, 2, 4, ... values; one past the end is larger than all."""
+    n = len(values)
+    out, size = [np.append(values, LATEST)], 1
+    while size < n:
+        wide = np.full(n + 1, LATEST)
+        wide[: n + 1 - size] = np.maximum(out[-1][: n + 1 - size], out[-1][size:])
+        out, size = [*out, wide], 2 * size
+    return out
+
+
+def cool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The alerts each subscription of a line gets, of which each comes a cooldown after the one before or later.
+
+    A line's subscriptions come first and its alerts follow in order of time and id. Each subscription goes on from the
+    end of its cooldown to the next alert that reaches its floor, so the work is that of the deliveries.
+    """
+    line, ids, floors, due = None, *[np.zeros(0, np.int64)] * 3
+    for batch in batches:
+        head, chunk, t, name = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("head", "chunk", "t", "name"))
+        raised = batch.column("raised").to_numpy(zero_copy_only=False)
+        value = value_order(batch.column("value").to_numpy(zero_copy_only=False))
+        heads = np.flatnonzero((np.diff(head) != 0) | (np.diff(chunk) != 0)) + 1
+        sent = []
+        for low, high in zip([0, *heads], [*heads, len(head)]):
+            if low == high:
+                continue
+            if line != (head[low], chunk[low]):
+                line, ids, floors, due = (head[low], chunk[low]), *[np.zeros(0, np.int64)] * 3
+            first = low + int(np.searchsorted(raised[low:high], True))
+            ids, floors, due = (np.concatenate([x, y[low:first]]) for x, y in ((ids, name), (floors, value), (due, t)))
+            times, reached, told = t[first:high], value[first:high], name[first:high]
+            steps, active = peaks(reached), np.arange(len(ids))
+            while len(active) and len(times):
+                at = first_reaching(reached, np.searchsorted(times, due[active]), floors[active], steps)
+                active, at = active[at < len(times)], at[at < len(times)]
+                sent.append(np.stack([ids[active], told[at], times[at]]))
+                due[active] = times[at] + ALERT_COOLDOWN_MICROS
+        if sent:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.concatenate(sent, axis=1)], names=["subscription_id", "alert_id", "t"])
+
+
+def cooled_deliveries(alerts: DataFrame, subscriptions: DataFrame, told: DataFrame, per_line: int = PER_LINE) -> DataFrame:
+    """Alerts that pass the cooldown of their subscriptions, which starts with what was ``told`` last, or ``last_sent_at``.
+
+    Subscriptions that differ by floor and cooldown alone meet their alerts together, in lines of about ``per_line``; one
+    of several rows meets those of any row, which have passed the floor of that row.
+    """
+    rule = F.struct("kind", "leagues", "venue", F.coalesce("min_value", F.lit(0.0)).alias("floor"))
+    known = subscriptions.filter(F.col("active") & F.col("subscription_id").isNotNull())
+    known = known.groupBy("subscription_id").agg(F.array_sort(F.collect_set(rule)).alias("rules"), F.max("last_sent_at").alias("seed_at"))
+    one = F.size("rules") == 1
+    open_rule = F.transform("rules", lambda r: r.withField("floor", F.lit(None).cast("double")))
+    known = known.withColumn("floor", F.when(one, F.col("rules")[0]["floor"]).otherwise(F.lit(float("-inf"))))
+    known = known.withColumn("grp", F.xxhash64(F.to_json(F.when(one, open_rule).otherwise(F.col("rules")))))
+    known = known.withColumn("rules", F.when(one, open_rule).otherwise(F.col("rules")))
+    groups = known.groupBy("grp", "rules").agg(F.min("subscription_id").alias("head"), F.min("floor").alias("low"), F.count(F.lit(1)).alias("n"))
+    groups = groups.withColumn("chunks", F.ceil(F.col("n") / per_line))
+    filters = groups.select("head", "low", F.explode("rules").alias("r")).select(
+        F.col("head").alias("subscription_id"), F.col("head").alias("user_id"), "r.kind", F.coalesce("r.floor", "low").alias("min_value"),
+        F.lit("").alias("channels"), "r.leagues", "r.venue", F.lit(True).alias("active"), F.lit(None).cast("timestamp").alias("last_sent_at"),
+    )
+    t = F.unix_micros("raised_at")
+    whole = alerts.withColumn("alert_id", F.struct(F.coalesce("alert_id", F.lit(NO_OWNER)).alias("name"), F.coalesce(t, F.lit(NO_OWNER)).alias("t"), "value"))
+    pairs = ops.alert_matches(whole, filters, F.current_timestamp()).select("alert_id.*", F.col("subscription_id").alias("head"))
+    raised = pairs.join(groups.select("head", "chunks"), "head").select(
+        "head", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)).alias("chunk"), F.lit(True).alias("raised"), "t", "name", "value"
+    )
+    last = F.unix_micros(F.coalesce("sent_at", "seed_at"))
+    waiting = known.join(groups.drop("low", "n"), ["grp", "rules"]).join(told, "subscription_id", "left").select(
+        "head", F.pmod(F.xxhash64("subscription_id"), F.col("chunks")).alias("chunk"), F.lit(False).alias("raised"),
+        F.coalesce(last + ALERT_COOLDOWN_MICROS, F.lit(NO_OWNER)).alias("t"), F.col("subscription_id").alias("name"), F.col("floor").alias("value"),
+    )
+    rows = waiting.unionByName(raised).repartition("head", "chunk").sortWithinPartitions("head", "chunk", "raised", "t", "name")
+    sent = rows.mapInArrow(cool, "subscription_id bigint, alert_id bigint, t bigint")
+    return sent.select("subscription_id", F.nullif("alert_id", F.lit(NO_OWNER)).alias("alert_id"), F.timestamp_micros("t").alias("sent_at"))
+
+
+def stream_alerts(alerts: DataFrame, subscriptions: DataFrame, out_path: str, checkpoint: str, buckets: int = 64, **trigger) -> StreamingQuery:
     """Delivers alerts to matching subscriptions, at most one per 15 minutes each.
 
-    Alerts that match a subscription in several ways count once, as only the first of an instant can pass.
+    Alerts that match a subscription in several ways count once, as only the first of an instant can pass. State, beside
+    the checkpoint's own: when each subscription was last sent one.
     """
-    keyed_state(alerts.sparkSession)
-    whole = alerts.withColumn("alert_id", F.struct("alert_id", "raised_at"))
-    ready = subscriptions.withColumn("last_sent_at", F.lit(None).cast("timestamp"))
-    pairs = ops.alert_matches(whole, ready, F.current_timestamp()).select("alert_id.*", "subscription_id")
-    seeds = subscriptions.select("subscription_id", F.col("last_sent_at").alias("seed_at"))
-    return _append(cooled_deliveries(pairs.join(seeds, "subscription_id")), out_path, checkpoint, trigger or {"processingTime": "1 minute"})
+    state = BucketedState(alerts.sparkSession, f"{checkpoint}/sent", ["subscription_id"], SENT_STATE, buckets)
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        cooled_deliveries(batch, subscriptions, state.read(batch_id)).write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
+        sent = alerts.sparkSession.read.parquet(f"{out_path}/batch={batch_id}")
+        newest = sent.groupBy("subscription_id").agg(F.max("sent_at").alias("sent_at")).persist()
+        touched = state.touched(newest)
+        if touched:
+            state.write(keyed_upsert(state.read(batch_id, touched), newest, ["subscription_id"]), batch_id)
+        newest.unpersist()
+
+    return _start(alerts, handle, checkpoint, trigger or {"processingTime": "1 minute"})
 
 
 def traffic_windows(requests: DataFrame, bucket: str = "1 hour", delay: str = QUOTE_DELAY) -> DataFrame:

@@ -46,3 +46,22 @@ def test_pairs_are_near_the_matches(spark):
     pairs = ops.alert_pairs(raised, wanted, ["key"])
     assert pairs.filter("value >= min_value").count() == sum(v * 3 * 2 + 3 for v in range(500))
     assert pairs.filter("value < min_value").count() < 0.1 * 3000 * 2000 / 4
+
+
+def test_cooldown_by_definition(spark):
+    """Subscriptions of one and of several rows, in lines of a few, with and without earlier deliveries."""
+    rng = random.Random(7)
+    lines, raised = subscriptions(rng, 60), alerts(rng, 250)
+    lines += [(*s[:8], BASE + timedelta(minutes=rng.randrange(200))) for s in subscriptions(rng, 90)[60:]] + subscriptions(rng, 5) + lines[:5]
+    told = [(i, BASE + timedelta(minutes=10 * i)) for i in range(0, 20, 3)]
+    args = (spark.createDataFrame(raised, ALERT), spark.createDataFrame(lines, SUBSCRIPTION), spark.createDataFrame(told, jobs.SENT_STATE))
+    got = sorted(map(tuple, jobs.cooled_deliveries(*args, per_line=4).collect()))
+    want = []
+    for i in {s[0] for s in lines}:
+        own = [s for s in lines if s[0] == i and s[7]]
+        last = dict(told).get(i, max((s[8] for s in own if s[8]), default=None))
+        for a in sorted(raised, key=lambda a: (a[5], a[0])):
+            if any(passes(a, s) for s in own) and (last is None or a[5] >= last + timedelta(minutes=15)):
+                last = a[5]
+                want.append((i, a[0], last))
+    assert got == sorted(want) and len(want) > 300
