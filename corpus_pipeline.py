@@ -1,6 +1,6 @@
 """A training-data pipeline: each stage works on the documents that the one before it kept.
 
-1. Language ID: documents without a recognizable language go.
+1. Language ID: documents go whose text is no nearer to any learned language than chance.
 2. Line dedup: later copies of runs of lines, of long lines and of one-line documents are deleted from the texts.
 3. N-gram Jaccard join: one document of each class of near duplicates stays, the one of the least doc_id.
 4. Suffix-array dedup: bytes of 100-byte strings that start earlier are deleted from the texts.
@@ -34,7 +34,7 @@ def _like(changed: DataFrame, docs: DataFrame) -> DataFrame:
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    return language.filter_languages(docs)
+    return language.filter_languages(docs, language.CHANCE)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

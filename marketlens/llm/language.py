@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from marketlens.llm.tables import slices, text_buffer
 
 DIMENSIONS = 4096
+#: Four standard deviations of the cosine of a random vector.
+CHANCE = 4 / DIMENSIONS**0.5
 MOST_LANGUAGES = 2000
 UNKNOWN = "und"
 SEED = 20
@@ -182,23 +184,25 @@ def identify(docs: DataFrame, parts: int = 4, left: int = 2) -> DataFrame:
     return predict(marked, learn(marked.filter("NOT held_out")))
 
 
-def filter_languages(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows that have no letter, or no text. Only these go: a text with letters always has a language
-    that is nearest, however small its cosine. Learns from all labelled rows; without any, all rows with letters stay.
+def filter_languages(docs: DataFrame, least: float = 0.0) -> DataFrame:
+    """``docs`` without the rows that have no letter, no text, or no language to which their cosine is ``least`` or more.
+
+    With ``CHANCE`` texts go that are no nearer to any learned language than a random vector may be. Learns from all
+    labelled rows; without any, all rows with letters stay.
     """
     known = docs.filter(F.coalesce(F.col("text"), F.lit("")).rlike(r"\p{L}"))
     prototypes = learn(known.select("text", "lang"))
-    return recognized(known, prototypes) if prototypes else known
+    return recognized(known, prototypes, least) if prototypes else known
 
 
-def recognized(docs: DataFrame, prototypes: dict[str, np.ndarray]) -> DataFrame:
-    """The rows of ``docs``, whole, to which the prototypes give a language."""
+def recognized(docs: DataFrame, prototypes: dict[str, np.ndarray], least: float = 0.0) -> DataFrame:
+    """The rows of ``docs``, whole, to which the prototypes give a language with a score of ``least`` or more."""
     schema = docs.schema
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         profiles = Profiles(prototypes)
         for batch in slices(batches, "text"):
-            best, _ = profiles.predict(*text_buffer(batch.column("text")))
-            yield batch.filter(pa.array(best >= 0))
+            best, score = profiles.predict(*text_buffer(batch.column("text")))
+            yield batch.filter(pa.array((best >= 0) & (score >= least)))
 
     return docs.mapInArrow(keep, schema)

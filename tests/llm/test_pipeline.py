@@ -1,6 +1,6 @@
 import corpus_pipeline
 
-from marketlens.llm import jaccard, queries
+from marketlens.llm import jaccard, language, queries
 
 
 def test_stages(odd):
@@ -45,3 +45,14 @@ def test_line_dedup_takes_long_and_only_lines(spark):
     long = " ".join(f"word{i}" for i in range(60))
     docs = spark.createDataFrame([(1, f"a\n{long}"), (2, f"b\n{long}\nc"), (3, "one"), (4, "one")], "doc_id long, text string")
     assert {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(spark, docs, "").collect()} == {1: f"a\n{long}", 2: "b\nc", 3: "one", 4: ""}
+
+
+def test_language_stage_drops_what_no_language_is_near(spark):
+    """Texts with letters of which no run occurs in a learned language go, also for the stages that follow."""
+    known = [(k, f"the story of the {w} and the other things that were there", "en") for k, w in enumerate(["house", "river", "garden", "winter"])]
+    odd = [(10, "жшщ фыц щзх ъэю цкф йыъ эхъ шъщ", None), (11, "the garden of the other story", None), (12, "12 34", None)]
+    docs = spark.createDataFrame(known + odd, "doc_id long, text string, lang string")
+    for least, left in ((0.0, {0, 1, 2, 3, 10, 11}), (language.CHANCE, {0, 1, 2, 3, 11})):
+        assert {r["doc_id"] for r in language.filter_languages(docs, least).collect()} == left
+    stage = dict(corpus_pipeline.STAGES)["language"]
+    assert {r["doc_id"] for r in stage(spark, docs, "").collect()} == {0, 1, 2, 3, 11}
