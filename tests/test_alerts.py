@@ -48,6 +48,43 @@ def test_pairs_are_near_the_matches(spark):
     assert pairs.filter("value < min_value").count() < 0.1 * 3000 * 2000 / 4
 
 
+def shuffled_rows(spark, df):
+    """Rows that the exchanges of a query write, and the rows it gives."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rows = len(df.collect())
+        found, nodes = 0, [df._jdf.queryExecution().executedPlan()]
+        while nodes:
+            node = nodes.pop()
+            if node.nodeName() == "Exchange":
+                found += node.metrics().apply("shuffleRecordsWritten").value()
+            nodes += [node.children().apply(i) for i in range(node.children().size())]
+        return found, rows
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_alerts_below_all_floors_are_not_shuffled(spark):
+    raised = spark.range(3000).select(F.lit("k").alias("key"), (F.col("id") % 1000 / 10).alias("value"), F.col("id").alias("alert_id"))
+    wanted = spark.range(200).select(F.lit("k").alias("key"), (F.col("id") / 1000 + 99.7).alias("min_value"), F.col("id").alias("subscription_id"))
+    found, rows = shuffled_rows(spark, ops.alert_pairs(raised, wanted, ["key"]).filter("value >= min_value"))
+    assert rows == 3 * (1 + 101 + 200) and found < 200 + 100
+
+
+def test_alerts_above_a_few_floors_are_shuffled_once(spark):
+    raised = spark.range(1000).select(F.lit("k").alias("key"), (F.col("id") + 100.0).alias("value"), F.col("id").alias("alert_id"))
+    wanted = spark.range(10).select(F.lit("k").alias("key"), F.col("id").cast("double").alias("min_value"), F.col("id").alias("subscription_id"))
+    found, rows = shuffled_rows(spark, ops.alert_pairs(raised, wanted, ["key"]))
+    assert rows == 10_000 and found <= 1010
+
+
+def test_no_subscriptions_no_pairs(spark):
+    raised = spark.range(5).select(F.lit("k").alias("key"), F.lit(1.0).alias("value"), F.col("id").alias("alert_id"))
+    wanted = spark.createDataFrame([], "key string, min_value double, subscription_id bigint")
+    assert ops.alert_pairs(raised, wanted, ["key"]).count() == 0
+    assert ops.alert_pairs(raised, wanted.union(spark.sql("SELECT 'k', NULL, 1")), ["key"]).count() == 0
+
+
 def test_cooldown_by_definition(spark):
     """Subscriptions of one and of several rows, in lines of a few, with and without earlier deliveries."""
     rng = random.Random(7)
