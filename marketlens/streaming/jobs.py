@@ -54,8 +54,12 @@ ORDER = np.dtype([("order_id", "<i8"), ("size", "<f8"), ("cost", "<f8")])
 NO_OWNER = -(1 << 63)
 LATEST = (1 << 63) - 1
 SENT_STATE = "subscription_id bigint, sent_at timestamp"
-#: Subscriptions that meet their alerts together.
+#: Subscriptions that are looked at together, and that a line has at least if its filter has as many.
 PER_LINE = 1024
+#: Lines for each core, beside one for each filter.
+LINES = 8
+#: Deliveries that leave a task together.
+SENT_ROWS = 100_000
 
 
 def _start(stream: DataFrame, handle, checkpoint: str, trigger: dict) -> StreamingQuery:
@@ -444,7 +448,8 @@ def cool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The alerts each subscription of a line gets, of which each comes a cooldown after the one before or later.
 
     A line's subscriptions come first and its alerts follow in order of time and id. Each subscription goes on from the
-    end of its cooldown to the next alert that reaches its floor, so the work is that of the deliveries.
+    end of its cooldown to the next alert that reaches its floor, so the work is that of the deliveries. Subscriptions
+    are taken by floor, since those of near floors get the same alerts, and the deliveries of so many lie in order of time.
     """
     line, ids, floors, due = None, *[np.zeros(0, np.int64)] * 3
     for batch in batches:
@@ -452,31 +457,50 @@ def cool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raised = batch.column("raised").to_numpy(zero_copy_only=False)
         value = value_order(batch.column("value").to_numpy(zero_copy_only=False))
         heads = np.flatnonzero((np.diff(head) != 0) | (np.diff(chunk) != 0)) + 1
-        sent = []
+        sent, held = [], 0
         for low, high in zip([0, *heads], [*heads, len(head)]):
             if low == high:
                 continue
             if line != (head[low], chunk[low]):
                 line, ids, floors, due = (head[low], chunk[low]), *[np.zeros(0, np.int64)] * 3
             first = low + int(np.searchsorted(raised[low:high], True))
-            ids, floors, due = (np.concatenate([x, y[low:first]]) for x, y in ((ids, name), (floors, value), (due, t)))
+            if first > low:
+                ids, floors, due = (np.concatenate([x, y[low:first]]) for x, y in ((ids, name), (floors, value), (due, t)))
+                order = np.lexsort([ids, floors])
+                ids, floors, due = ids[order], floors[order], due[order]
             times, reached, told = t[first:high], value[first:high], name[first:high]
-            steps, active = peaks(reached), np.arange(len(ids))
-            while len(active) and len(times):
-                at = first_reaching(reached, np.searchsorted(times, due[active]), floors[active], steps)
-                active, at = active[at < len(times)], at[at < len(times)]
-                sent.append(np.stack([ids[active], told[at], times[at]]))
-                due[active] = times[at] + ALERT_COOLDOWN_MICROS
-        if sent:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.concatenate(sent, axis=1)], names=["subscription_id", "alert_id", "t"])
+            steps = peaks(reached)
+            for start in range(0, len(ids) if len(times) else 0, PER_LINE):
+                active, got = np.arange(start, min(start + PER_LINE, len(ids))), []
+                while len(active):
+                    at = first_reaching(reached, np.searchsorted(times, due[active]), floors[active], steps)
+                    active, at = active[at < len(times)], at[at < len(times)]
+                    got.append(np.stack([active, at]))
+                    due[active] = times[at] + ALERT_COOLDOWN_MICROS
+                who, at = np.concatenate(got, axis=1)
+                order = np.lexsort([who, at])
+                sent.append(np.stack([ids[who[order]], told[at[order]], times[at[order]]]))
+                held += len(order)
+                if held >= SENT_ROWS:
+                    yield deliveries(sent)
+                    sent, held = [], 0
+        if held:
+            yield deliveries(sent)
+
+
+def deliveries(sent: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in np.concatenate(sent, axis=1)], names=["subscription_id", "alert_id", "t"])
 
 
 def cooled_deliveries(alerts: DataFrame, subscriptions: DataFrame, told: DataFrame, per_line: int = PER_LINE) -> DataFrame:
     """Alerts that pass the cooldown of their subscriptions, which starts with what was ``told`` last, or ``last_sent_at``.
 
-    Subscriptions that differ by floor and cooldown alone meet their alerts together, in lines of about ``per_line``; one
-    of several rows meets those of any row, which have passed the floor of that row.
+    Subscriptions that differ by floor and cooldown alone meet their alerts together, in lines of ``per_line`` or more; one
+    of several rows meets those of any row, which have passed the floor of that row. There are about as many lines as the
+    cores ask for, not more with more subscriptions, so what is shuffled grows with the alerts and the subscriptions, not
+    with their product.
     """
+    lines = LINES * subscriptions.sparkSession.sparkContext.defaultParallelism
     rule = F.struct("kind", "leagues", "venue", F.coalesce("min_value", F.lit(0.0)).alias("floor"))
     known = subscriptions.filter(F.col("active") & F.col("subscription_id").isNotNull())
     known = known.groupBy("subscription_id").agg(F.array_sort(F.collect_set(rule)).alias("rules"), F.max("last_sent_at").alias("seed_at"))
@@ -485,8 +509,9 @@ def cooled_deliveries(alerts: DataFrame, subscriptions: DataFrame, told: DataFra
     known = known.withColumn("floor", F.when(one, F.col("rules")[0]["floor"]).otherwise(F.lit(float("-inf"))))
     known = known.withColumn("grp", F.xxhash64(F.to_json(F.when(one, open_rule).otherwise(F.col("rules")))))
     known = known.withColumn("rules", F.when(one, open_rule).otherwise(F.col("rules")))
+    whole_line = F.greatest(F.lit(per_line), F.ceil(subscriptions.agg(F.count(F.lit(1))).scalar() / lines))
     groups = known.groupBy("grp", "rules").agg(F.min("subscription_id").alias("head"), F.min("floor").alias("low"), F.count(F.lit(1)).alias("n"))
-    groups = groups.withColumn("chunks", F.ceil(F.col("n") / per_line))
+    groups = groups.withColumn("chunks", F.ceil(F.col("n") / whole_line))
     filters = groups.select("head", "low", F.explode("rules").alias("r")).select(
         F.col("head").alias("subscription_id"), F.col("head").alias("user_id"), "r.kind", F.coalesce("r.floor", "low").alias("min_value"),
         F.lit("").alias("channels"), "r.leagues", "r.venue", F.lit(True).alias("active"), F.lit(None).cast("timestamp").alias("last_sent_at"),
@@ -502,7 +527,7 @@ def cooled_deliveries(alerts: DataFrame, subscriptions: DataFrame, told: DataFra
         "head", F.pmod(F.xxhash64("subscription_id"), F.col("chunks")).alias("chunk"), F.lit(False).alias("raised"),
         F.coalesce(last + ALERT_COOLDOWN_MICROS, F.lit(NO_OWNER)).alias("t"), F.col("subscription_id").alias("name"), F.col("floor").alias("value"),
     )
-    rows = waiting.unionByName(raised).repartition("head", "chunk").sortWithinPartitions("head", "chunk", "raised", "t", "name")
+    rows = waiting.unionByName(raised).repartition(lines, "head", "chunk").sortWithinPartitions("head", "chunk", "raised", "t", "name")
     sent = rows.mapInArrow(cool, "subscription_id bigint, alert_id bigint, t bigint")
     return sent.select("subscription_id", F.nullif("alert_id", F.lit(NO_OWNER)).alias("alert_id"), F.timestamp_micros("t").alias("sent_at"))
 
@@ -516,7 +541,7 @@ def stream_alerts(alerts: DataFrame, subscriptions: DataFrame, out_path: str, ch
     state = BucketedState(alerts.sparkSession, f"{checkpoint}/sent", ["subscription_id"], SENT_STATE, buckets)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        cooled_deliveries(batch, subscriptions, state.read(batch_id)).write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
+        cooled_deliveries(batch, subscriptions, state.read(batch_id)).write.mode("overwrite").option("compression", "zstd").parquet(f"{out_path}/batch={batch_id}")
         sent = alerts.sparkSession.read.parquet(f"{out_path}/batch={batch_id}")
         newest = sent.groupBy("subscription_id").agg(F.max("sent_at").alias("sent_at")).persist()
         touched = state.touched(newest)

@@ -4,6 +4,8 @@ import random
 from collections import Counter
 from datetime import datetime, timedelta
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from marketlens.operators import ops
@@ -102,3 +104,35 @@ def test_cooldown_by_definition(spark):
                 last = a[5]
                 want.append((i, a[0], last))
     assert got == sorted(want) and len(want) > 300
+
+
+def test_alerts_meet_many_subscriptions_in_few_lines(spark):
+    lines = spark.range(2000).selectExpr("id subscription_id", "id user_id", "'k' kind", "CAST(id AS DOUBLE) min_value", "'' channels", "'' leagues", "'both' venue", "true active", "CAST(NULL AS TIMESTAMP) last_sent_at")
+    raised = spark.range(50).selectExpr("id alert_id", "'k' kind", "'x' league", "'' venue", "2000.0D value", "timestamp_micros(id) raised_at")
+    told = spark.createDataFrame([], jobs.SENT_STATE)
+    found, rows = shuffled_rows(spark, jobs.cooled_deliveries(raised, lines, told, per_line=1))
+    cores = spark.sparkContext.defaultParallelism
+    assert rows == 2000 and found < 8 * 2000 + 50 * (2 * 8 * cores + 100) < 50 * 2000
+
+
+def test_cool_takes_subscriptions_by_floor_and_gives_deliveries_in_order(monkeypatch):
+    """A line in several batches and blocks; the deliveries of a block lie in order of time, those of an alert by floor."""
+    monkeypatch.setattr(jobs, "PER_LINE", 4)
+    monkeypatch.setattr(jobs, "SENT_ROWS", 1)
+    rng = random.Random(5)
+    floors, minutes = [rng.random() * 5 for _ in range(10)], sorted(rng.randrange(600) for _ in range(100))
+    told = [(0, 0, True, t * 60_000_000, k, rng.random() * 10) for k, t in enumerate(minutes)]
+    rows = [(0, 0, False, jobs.NO_OWNER, i, f) for i, f in enumerate(floors)] + told
+    columns = zip(("head", "chunk", "raised", "t", "name", "value"), zip(*rows))
+    table = pa.table({c: pa.array(v, pa.bool_() if c == "raised" else pa.float64() if c == "value" else pa.int64()) for c, v in columns})
+    got = [[np.asarray(c) for c in b.columns] for b in jobs.cool(iter(table.to_batches(max_chunksize=55)))]
+    want = []
+    for i, floor in enumerate(floors):
+        due = None
+        for _, _, _, t, k, value in told:
+            if value >= floor and (due is None or t >= due):
+                due = t + jobs.ALERT_COOLDOWN_MICROS
+                want.append((i, k, t))
+    assert sorted((int(i), int(k), int(t)) for b in got for i, k, t in zip(*b)) == sorted(want)
+    for ids, names, _ in got:
+        assert len(set(ids.tolist())) <= 4 and list(zip(names, [floors[i] for i in ids])) == sorted(zip(names, [floors[i] for i in ids]))
